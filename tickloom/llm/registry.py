@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import sharding, url_rules
+from . import bpe, sharding, token_files, url_rules
 
-MODULES = [sharding, url_rules]
+MODULES = [token_files, sharding, bpe, url_rules]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
