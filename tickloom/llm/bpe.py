@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -86,7 +86,7 @@ class Bpe:
         for k, i in self.ranks.items():
             self.bytes_of[i] = k
         self.decimal = [str(i) for i in range(size)]
-        self.coder = PieceCoder(self.encode_many)
+        self.coder = PieceCoder(self.token_bytes, self.text_bytes)
 
     def pretoken(self, token: bytes) -> list[int]:
         slot = self.hash.slot(token)
@@ -134,17 +134,15 @@ class Bpe:
             i = end[i]
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            ids: list[int] = []
-            for token in self.find(text):
-                ids += self.pretoken(token.encode())
-            out.append(np.array(ids, dtype="<u4").tobytes())
-        return out
+    def token_bytes(self, token: str) -> bytes:
+        return array("I", self.pretoken(token.encode())).tobytes()
+
+    def text_bytes(self, text: str) -> bytes:
+        return b"".join(map(self.token_bytes, self.find(text)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype="<u4") for x in self.coder.encode(texts)]
+    def encode(self, text: str) -> memoryview:
+        """The ids of a whole text."""
+        return memoryview(self.coder.encode(text)).cast("I")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -171,7 +169,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
-                ids = tool.encode([t or "" for t in texts[lo : lo + 256]])
+                ids = [tool.encode(t or "").tolist() for t in texts[lo : lo + 256]]
                 yield pa.RecordBatch.from_arrays([keys[lo : lo + 256], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -191,8 +189,8 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
                 counts, shas, decoded = [], [], []
-                for got in tool.encode([t or "" for t in texts[lo : lo + 256]]):
-                    ids = got.tolist()
+                for text in texts[lo : lo + 256]:
+                    ids = tool.encode(text or "").tolist()
                     counts.append(len(ids))
                     shas.append(hashlib.sha256(" ".join(map(tool.decimal.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(tool.decode(ids)).hexdigest())

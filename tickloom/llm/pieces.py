@@ -9,85 +9,55 @@ result.  Pieces repeat, so their encodings are remembered.
 
 from __future__ import annotations
 
+from .common import Memo
+
 #: A letter followed by these is always a cut, whatever comes after them.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def cut_text(text: str) -> list[str] | None:
     """Pieces as found in the text (with their leading space or line feed), or None if the rule does not apply."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+    if " ".join(text.split()) != text.replace("\n", " "):
         return None
     pieces = text.replace("\n", " \n").split(" ")
     # a piece that a space opened is kept without it; the first piece has none, so it is marked
-    pieces[0] = "\0" + pieces[0]
+    pieces[0] = " " + pieces[0]
     return pieces
 
 
 def surface(piece: str) -> str:
     """The stretch of text for a piece of :func:`cut_text`."""
     head = piece[:1]
-    return piece[1:] if head == "\0" else piece if head == "\n" else " " + piece
-
-
-def split_tail(chunk: str) -> tuple[str, str]:
-    """Cut off trailing punctuation after a letter; that is a pre-token of its own."""
-    core = chunk.rstrip(TAIL)
-    return (core, chunk[len(core) :]) if len(core) < len(chunk) and core[-1:].isalpha() else (chunk, "")
+    return piece[1:] if head == " " else piece if head == "\n" else " " + piece
 
 
 class PieceCoder:
-    """Encodes texts by pieces; ``encode_many(list[str]) -> list[bytes]`` does the real work.
+    """Encodes texts by pieces.
 
-    ``width`` is the number of bytes of an id in the results.  The memo is emptied
-    when it holds ``limit`` pieces, so memory is bounded whatever the corpus.
+    ``token(str) -> bytes`` encodes one pre-token, ``text(str) -> bytes`` any text;
+    both give ids as bytes.  A piece that is letters and then punctuation is one
+    pre-token or two; any other is encoded as a text.  The memo is emptied when it
+    holds ``limit`` pieces, so memory is bounded whatever the corpus.
     """
 
-    def __init__(self, encode_many, limit: int = 500_000):
-        self.encode_many, self.limit, self.memo = encode_many, limit, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        look = self.memo.get
-        cut, missing, whole = [], {}, []
-        for k, text in enumerate(texts):
-            pieces = cut_text(text) if text else []
-            if pieces is None:
-                whole.append(k)
-                cut.append(None)
-                continue
-            found = list(map(look, pieces))
-            if None in found:
-                missing.update(dict.fromkeys(p for p, f in zip(pieces, found) if f is None))
-                cut.append(pieces)
-            else:
-                cut.append(b"".join(found))
-        if missing:
-            self._learn(list(missing))
-        out = []
-        direct = iter(self.encode_many([texts[k] for k in whole])) if whole else iter(())
-        get = self.memo.__getitem__
-        for x in cut:
-            out.append(next(direct) if x is None else x if isinstance(x, bytes) else b"".join(map(get, x)))
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        parts = [split_tail(surface(p)) for p in pieces]
-        known = {}
-        for core, tail in parts:
-            known[core] = None
-            if tail:
-                known[tail] = None
-        order = list(known)
-        # a core that is another piece's surface may already be known
-        fresh = []
-        for s in order:
-            hit = self.memo.get(s[1:]) if s[:1] == " " else self.memo.get(s) if s[:1] == "\n" else self.memo.get("\0" + s)
-            if hit is None:
-                fresh.append(s)
-            else:
-                known[s] = hit
-        known.update(zip(fresh, self.encode_many(fresh)))
-        for piece, (core, tail) in zip(pieces, parts):
-            self.memo[piece] = known[core] + known[tail] if tail else known[core]
+    def __init__(self, token, text, limit: int = 800_000):
+        self.token, self.text = token, text
+        self.memo, self.tails = Memo(self._piece, limit), Memo(token, 10_000)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece[:1] == "\n":
+            return self.tails["\n"] + (self._chunk(piece[1:]) if len(piece) > 1 else b"")
+        return self._chunk(surface(piece))
+
+    def _chunk(self, chunk: str) -> bytes:
+        core = chunk.rstrip(TAIL)
+        body = core[1:] if core[:1] == " " else core
+        if body.isalpha():
+            return self.token(core) + self.tails[chunk[len(core) :]] if len(core) < len(chunk) else self.token(core)
+        return self.text(chunk) if chunk else b""
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        pieces = cut_text(text)
+        return self.text(text) if pieces is None else b"".join(map(self.memo.__getitem__, pieces))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,13 @@ BLOCK_IDS = 1 << 18
 _CODERS: dict[str, PieceCoder] = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else the next from 256 on."""
+    shows = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shows)]
+    return {b: b for b in shows} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -39,10 +47,20 @@ def coder(path: str) -> PieceCoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        model, shown = tokenizer.model, byte_letters()
+
+        def token(piece: str) -> bytes:
+            """One pre-token by the library's model, in the letters that stand for bytes."""
+            if piece.isascii() and piece[1:].isalpha():
+                piece = "\u0120" + piece[1:] if piece[0] == " " else piece
+            else:
+                piece = piece.encode().decode("latin-1").translate(shown)
+            return array("I", [x.id for x in model.tokenize(piece)]).tobytes()
+
+        def text(whole: str) -> bytes:
+            return array("I", tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()
 
-        _CODERS[path] = PieceCoder(encode_many)
+        _CODERS[path] = PieceCoder(token, text)
     return _CODERS[path]
 
 
@@ -64,14 +82,14 @@ def _encode_partition(path: str, end_id: int):
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for key, got in zip(keys[lo : lo + 256], encode([t or "" for t in texts[lo : lo + 256]])):
-                    ids.append(got + end)
-                    doc_ids.append(key)
-                    held += len(got) // 4 + 1
-                    if held >= BLOCK_IDS:
-                        yield flush()
-                        block, ids, doc_ids, held, done = block + 1, [], [], 0, done + held
+            for key, text in zip(keys, texts):
+                got = encode(text or "")
+                ids.append(got + end)
+                doc_ids.append(key)
+                held += len(got) // 4 + 1
+                if held >= BLOCK_IDS:
+                    yield flush()
+                    block, ids, doc_ids, held, done = block + 1, [], [], 0, done + held
         if ids:
             yield flush()
 
