@@ -64,7 +64,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 def _signatures(size: int, t: int, rows: int):
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, versions, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for lo in range(0, len(texts), 512):
                 counts, sets, bands = [], [], []
                 for text in texts[lo : lo + 512]:
@@ -72,7 +72,7 @@ def _signatures(size: int, t: int, rows: int):
                     counts.append(len(items))
                     sets.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                     bands.append(band_keys(fast_sketch(items, t), rows).view(np.int64) if len(items) else None)
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 512], pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([keys[lo : lo + 512], versions[lo : lo + 512], pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "version", "n_shingles", "set_id", "bands"])
 
     return run
 
@@ -155,7 +155,7 @@ def _stars(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, t: int = 128, rows: int = 4, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, version, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Documents of equal sets are one class; only classes are compared.  Classes
     that agree in all coordinates of a band share a bucket: at similarity s a pair
@@ -172,12 +172,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, t: int =
 
     No list of a bucket's pairs is ever made, no bucket is capped.  Null or empty
     texts have no set and are alone; a null id stays alone unless its class has
-    another one; rows of one id and other texts are separate; an empty table gives
-    no rows.
+    another one; rows of one id and other texts are separate (``version`` is a hash
+    of the text); an empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
-    signed = cut(texts.mapInArrow(_signatures(size, t, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"))
+    signed = cut(texts.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(_signatures(size, t, rows), "doc_id long, version long, n_shingles long, set_id binary, bands array<long>"))
     classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("weight"), F.first("bands").alias("bands"))
     banded = classes.select("set_id", "weight", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, t: int =
     whole = classes.select("set_id", "rep").join(linked, "set_id", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return (
         signed.join(whole, "set_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "version", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -250,8 +250,15 @@ def _blocks(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.groupBy("bucket", "x", "y").applyInPandas(_verify_blocks(percent), "a binary, b binary")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose component has one of a lower id; all columns as they are."""
+    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, same, "left_anti")
+
+
 def op6_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("version")
 
 
 QUERIES = {"op6_fast_sketch_near_dedup": op6_fast_sketch_near_dedup}
