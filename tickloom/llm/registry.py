@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fertility, line_dedup, near_dedup, sharding, token_files, toxicity, url_rules
+from . import bpe, decontam, fertility, line_dedup, near_dedup, pii, sharding, token_files, toxicity, url_rules
 
-MODULES = [decontam, fertility, token_files, line_dedup, toxicity, near_dedup, sharding, bpe, url_rules]
+MODULES = [decontam, fertility, token_files, line_dedup, toxicity, near_dedup, sharding, bpe, pii, url_rules]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
