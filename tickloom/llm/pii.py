@@ -264,7 +264,7 @@ def fit(texts: list[str]) -> Field:
         one = joint.sum(axis=1)
         tables.append(np.clip(np.log(joint / np.outer(one, one)), -4, 4))
     # far words of one key agree whatever the sample had
-    tables[1] = np.maximum(tables[1], np.where(np.eye(n, dtype=bool), 4.0, -6.0))
+    tables[1] = np.where(np.eye(n, dtype=bool), np.maximum(tables[1], 4.0), np.minimum(tables[1], -2.0))
     return Field({f: [round(float(x), 6) for x in weights[f]] for f in keep}, tables[0].tolist(), tables[1].tolist())
 
 
