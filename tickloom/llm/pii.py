@@ -20,7 +20,7 @@ LABELS = ["none", *KINDS]
 #: Documents that the field is trained on, at most, and the length above which one is not used for that.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 #: Features that are kept, at most; passes over the sample; posterior from which a token is labelled.
-MOST_FEATURES, PASSES, SURE = 20_000, 8, 0.9
+MOST_FEATURES, PASSES, SURE = 20_000, 8, 0.8
 #: Rounds of message passing and the share of the old message that is kept.
 ROUNDS, DAMPING = 12, 0.3
 
