@@ -181,7 +181,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     known = None
     if distinct.count() <= broadcast_windows:
         known = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in distinct.collect()], dtype=np.int64).view(np.uint64)))
-    hits = rows(docs, id_col, text_col, known).distinct()
+    # both the counts and the slots need the hits, which are few: the corpus is read once
+    hits = cut(rows(docs, id_col, text_col, known).distinct())
     met = hits.join(F.broadcast(items) if known is not None else items, "h")
     pair = ["doc_id", "version", "item_id", "item_version"]
     counted = met.groupBy(*pair).agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(sizes) if known is not None else sizes, ["item_id", "item_version"])
