@@ -441,11 +441,15 @@ def _predicted(spark, d) -> DataFrame:
     return models.markov(frames.examples(spark, d))
 
 
+def _first(a: str, b: str) -> str:
+    return f"(SELECT CASE WHEN max(CAST(split = '{a}' AS INT)) = 1 THEN '{a}' ELSE '{b}' END FROM base)"
+
+
 _PRED = [
     "tt AS (SELECT s, t, 1 + count(e.row_index) AS n FROM range(3) a(s) CROSS JOIN range(3) b(t) LEFT JOIN examples e ON e.is_train AND e.state = s AND e.target = t GROUP BY s, t)",
     "tb AS (SELECT s, t FROM tt QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, t) = 1)",
     f"pred AS (SELECT examples.*, t AS prediction FROM examples JOIN tb ON s = {_ROW})",
-    "test AS (SELECT * FROM pred WHERE split = 'test' AND target >= 0 AND prediction >= 0)",
+    f"test AS (SELECT * FROM pred WHERE split = {_first('test', 'val')} AND target >= 0 AND prediction >= 0)",
 ]
 
 
@@ -553,7 +557,7 @@ def j13(spark, d):
     return both.groupBy("workload").agg(F.count("*").alias("rows"), F.round(F.avg(right), 6).alias("difference"))
 
 
-@query("f2_evaluation_masks", sql("base", "SELECT 'report' AS mask, split, count(*) AS rows FROM base WHERE split = 'test' GROUP BY split UNION ALL SELECT 'select' AS mask, split, count(*) AS rows FROM base WHERE split = 'val' GROUP BY split"))
+@query("f2_evaluation_masks", sql("base", f"SELECT 'report' AS mask, split, count(*) AS rows FROM base WHERE split = {_first('test', 'val')} GROUP BY split UNION ALL SELECT 'select' AS mask, split, count(*) AS rows FROM base WHERE split = {_first('val', 'test')} GROUP BY split"))
 def f2(spark, d):
     b = frames.base(spark, d)
     return metrics.mask_rows(b, metrics.REPORT).groupBy("split").agg(F.count("*").alias("rows")).select(F.lit("report").alias("mask"), "split", "rows").unionByName(metrics.mask_rows(b, metrics.SELECT).groupBy("split").agg(F.count("*").alias("rows")).select(F.lit("select").alias("mask"), "split", "rows"))
