@@ -79,3 +79,33 @@ def pressure_counters(counters: list[str]) -> list[str]:
     """Counters that rise with memory or branch pressure."""
     low = {c: c.lower() for c in counters}
     return [c for c in counters if "llc_misses" in low[c] or ("memory" in low[c] and "bandwidth" in low[c]) or "branch_mispredictions" in low[c] or "stall" in low[c]]
+
+
+# Fixed values of the cost model.
+
+#: Kinds of operation, most bytes, most operations -> complexity, advice; the first that fits holds.
+COMPLEXITY = [
+    (["register", "table_lookup"], 256, 16, "Very Low", "feasible in simple hardware"),
+    (["table_lookup", "comparisons", "integer_arithmetic"], 2048, 128, "Low", "feasible in simple hardware"),
+    (["integer_arithmetic", "comparisons", "MACs"], 8192, 1024, "Medium", "feasible in firmware/software runtime"),
+    (["MACs", "softmax"], 65536, 100000, "High", "feasible in firmware/software runtime"),
+]
+BEYOND = "Very High"
+BEYOND_ADVICE = {"softmax": "offline upper bound only"}
+OTHER_ADVICE = "likely needs accelerator"
+ORACLE_ADVICE = "oracle diagnostic only; requires the current offline-teacher phase"
+
+#: Models known by their whole name: kind, operations, bytes per table entry, entries besides those per run-length bucket, entries per bucket.
+TABLE_MODELS = {
+    "baseline_last_state": ("register", 1.0, 1.0, 1, 0),
+    "markov_phase_predictor": ("table_lookup", 3.0, 2.0, 9, 0),
+    "rle_markov_phase_predictor": ("table_lookup", 6.0, 2.0, 0, 9),
+    "hsmm_duration_phase_predictor": ("integer_arithmetic", 12.0, 2.0, 9, 6),
+}
+#: Beginnings of names of models of parameters (4 bytes each): kind, least operations, operations per parameter.
+PARAMETER_MODELS = {
+    "rocket_phase_classifier": ("MACs", 64.0, 8.0),
+    "tcn_phase_classifier": ("MACs", 128.0, 2.0),
+    "tiny_transformer_phase_classifier": ("softmax", 256.0, 4.0),
+    "graph_tcn_phase_classifier": ("MACs", 256.0, 3.0),
+}

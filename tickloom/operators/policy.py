@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.domain import MODE_POWER
+from ..functions.domain import BEYOND, BEYOND_ADVICE, COMPLEXITY, MODE_POWER, ORACLE_ADVICE, OTHER_ADVICE, PARAMETER_MODELS, TABLE_MODELS
 from ..functions.scalars import clamp_state
 from .sequences import ORDER, STREAM, stream, with_confirmed
 
@@ -69,46 +69,45 @@ def deployment_cost(models: DataFrame) -> DataFrame:
     model = F.col("model")
     params, table, feats = given("parameter_count"), given("table_entries"), given("feature_count")
     internal, leaves, stored = given("tree_internal_nodes"), given("tree_leaves"), given("estimated_storage_bytes")
-    buckets, kernels = given("bucket_count"), given("kernel_count")
-    one = F.lit(1.0)
+    buckets, per_kernel = F.greatest(F.lit(1.0), given("bucket_count")), F.greatest(F.lit(1.0), feats)
     is_tree = model.startswith("online_") & model.contains("tree")
-    rocket, tcn, former = model.startswith("rocket_phase_classifier"), model.startswith("tcn_phase_classifier"), model.startswith("tiny_transformer_phase_classifier")
-    last, markov, rle, hsmm = (model == m for m in ("baseline_last_state", "markov_phase_predictor", "rle_markov_phase_predictor", "hsmm_duration_phase_predictor"))
-    graph = model == "graph_tcn_phase_classifier"
-    entries = (
-        F.when(last, F.greatest(table, one)).when(markov, F.greatest(table, F.lit(9.0))).when(rle, F.greatest(table, F.greatest(one, buckets) * 9))
-        .when(hsmm, F.greatest(table, 9 + F.greatest(one, buckets) * 6)).when(is_tree, F.greatest(table, internal + leaves)).otherwise(table)
-    )
-    count = F.when(rocket, F.greatest(params, kernels * F.greatest(one, feats))).otherwise(params)
-    rows = models.withColumns({"__entries": entries, "__params": count})
+    is_kernel = model.startswith(next(iter(PARAMETER_MODELS)))
+    # entries and parameters are at least what the model's form needs
+    entries = F.when(is_tree, F.greatest(table, internal + leaves)).otherwise(table)
+    for name, (_, _, _, fixed, per_bucket) in TABLE_MODELS.items():
+        entries = F.when(model == name, F.greatest(table, fixed + per_bucket * buckets)).otherwise(entries)
+    rows = models.withColumns({"__entries": entries, "__params": F.when(is_kernel, F.greatest(params, given("kernel_count") * per_kernel)).otherwise(params)})
     e, p = F.col("__entries"), F.col("__params")
-    memory = F.when(last, one).when(markov | rle | hsmm, e * 2).when(is_tree, stored).when(rocket | tcn | former | graph, p * 4).when(p > 0, p * 4).when(e > 0, e * 2).otherwise(0.0)
-    ops = (
-        F.when(last, one).when(markov, 3.0).when(rle, 6.0).when(hsmm, 12.0).when(is_tree, F.greatest(one, internal * 2)).when(rocket, F.greatest(F.lit(64.0), kernels * F.greatest(one, feats) * 8))
-        .when(tcn, F.greatest(F.lit(128.0), p * 2)).when(former, F.greatest(F.lit(256.0), p * 4)).when(graph, F.greatest(F.lit(256.0), p * 3)).when(p > 0, F.greatest(F.lit(8.0), p)).when(e > 0, F.greatest(F.lit(4.0), e)).otherwise(0.0)
-    )
-    kind = (
-        F.when(last, "register").when(markov | rle, "table_lookup").when(hsmm, "integer_arithmetic").when(is_tree, "comparisons").when(rocket | tcn | graph, "MACs").when(former, "softmax")
-        .when(p > 0, "integer_arithmetic").when(e > 0, "table_lookup").otherwise("integer_arithmetic")
-    )
+    # a model of no known name is one of parameters, or a table, or nothing
+    kind = F.when((p <= 0) & (e > 0), "table_lookup").otherwise("integer_arithmetic")
+    ops = F.when(p > 0, F.greatest(F.lit(8.0), p)).when(e > 0, F.greatest(F.lit(4.0), e)).otherwise(0.0)
+    memory = F.when(p > 0, p * 4).otherwise(e * 2)
+    for name, (what, least, each) in PARAMETER_MODELS.items():
+        mine = model.startswith(name)
+        work = given("kernel_count") * per_kernel if name.startswith("rocket") else p
+        kind, ops, memory = F.when(mine, what).otherwise(kind), F.when(mine, F.greatest(F.lit(least), work * each)).otherwise(ops), F.when(mine, p * 4).otherwise(memory)
+    kind, ops, memory = F.when(is_tree, "comparisons").otherwise(kind), F.when(is_tree, F.greatest(F.lit(1.0), internal * 2)).otherwise(ops), F.when(is_tree, stored).otherwise(memory)
+    for name, (what, steps, size, _, _) in TABLE_MODELS.items():
+        mine = model == name
+        bytes_ = F.lit(1.0) if what == "register" else e * size
+        kind, ops, memory = F.when(mine, what).otherwise(kind), F.when(mine, steps).otherwise(ops), F.when(mine, bytes_).otherwise(memory)
     families = given("online_family_count")
     clustered = given("uses_clustered_counter_state", "boolean") & (families > 0)
-    history = F.when(clustered, F.ceil(families * F.greatest(one, given("history_length")) * 2 / 8).cast("double")).otherwise(0.0)
+    history = F.when(clustered, F.ceil(families * F.greatest(F.lit(1.0), given("history_length")) * 2 / 8).cast("double")).otherwise(0.0)
     cuts = F.when(clustered, families * 4).otherwise(0.0)
     rows = rows.withColumns({"model_storage_bytes": memory, "approx_operations": ops, "operator_type": kind, "history_storage_bytes": history, "discretizer_storage_bytes": cuts})
     rows = rows.withColumn("memory_bytes", F.col("model_storage_bytes") + F.col("history_storage_bytes") + F.col("discretizer_storage_bytes"))
     m, o, t = F.col("memory_bytes"), F.col("approx_operations"), F.col("operator_type")
-    very_low = t.isin("register", "table_lookup") & (m <= 256) & (o <= 16)
-    low = t.isin("table_lookup", "comparisons", "integer_arithmetic") & (m <= 2048) & (o <= 128)
-    medium = t.isin("integer_arithmetic", "comparisons", "MACs") & (m <= 8192) & (o <= 1024)
-    high = t.isin("MACs", "softmax") & (m <= 65536) & (o <= 100_000)
-    advice = F.when(very_low | low, "feasible in simple hardware").when(medium | high, "feasible in firmware/software runtime").when(t == "softmax", "offline upper bound only").otherwise("likely needs accelerator")
+    level, advice = F.lit(BEYOND), F.lit(OTHER_ADVICE)
+    for what, text in BEYOND_ADVICE.items():
+        advice = F.when(t == what, text).otherwise(advice)
+    for kinds, most_bytes, most_ops, name, text in reversed(COMPLEXITY):
+        fits = t.isin(kinds) & (m <= most_bytes) & (o <= most_ops)
+        level, advice = F.when(fits, name).otherwise(level), F.when(fits, text).otherwise(advice)
     return rows.withColumns(
         {
-            "complexity": F.when(very_low, "Very Low").when(low, "Low").when(medium, "Medium").when(high, "High").otherwise("Very High"),
-            "recommendation": F.when(given("requires_oracle_current_phase", "boolean"), "oracle diagnostic only; requires the current offline-teacher phase").otherwise(advice),
+            "complexity": level,
+            "recommendation": F.when(given("requires_oracle_current_phase", "boolean"), ORACLE_ADVICE).otherwise(advice),
             "stored_parameters_or_entries": F.greatest(p, e).cast("long"),
         }
     ).drop("__entries", "__params")
-
-
