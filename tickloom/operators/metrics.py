@@ -145,3 +145,18 @@ def paired(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFram
 def metric_matrix(scores: DataFrame, sets: Sequence[str], metric: str = "accuracy", set_col: str = "set_name", model: str = "model") -> DataFrame:
     """Mean metric per model, a column per set and one for all."""
     return scores.groupBy(model).agg(*[F.avg(F.when(F.col(set_col) == s, F.col(metric))).alias(f"set_{s}") for s in sets], F.avg(metric).alias("mean"))
+
+
+def family_tuples(df: DataFrame, keys: Sequence[str], families: Sequence[str], family: str = "family", truth: str = "target", prediction: str = "prediction") -> DataFrame:
+    """A row per key with truth and prediction of every family, -1 where one is missing."""
+    return df.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col(family) == f, F.col(c))), F.lit(-1)).alias(f"{c}__{f}") for f in families for c in (truth, prediction)])
+
+
+def transition_table(df: DataFrame, by: Sequence[str] = ("state",), target: str = "target", classes: int = 3, prior: int = 0) -> DataFrame:
+    """Counts of each next state by group, with ``prior`` added."""
+    return df.where(F.col(target) >= 0).groupBy(*by).agg(*[(F.sum((F.col(target) == s).cast("long")) + prior).alias(f"to_{s}") for s in range(classes)])
+
+
+def mean_of_means(df: DataFrame, metric: str, inner: Sequence[str], outer: Sequence[str]) -> DataFrame:
+    """Mean per inner group, then the mean of those per outer group."""
+    return df.groupBy(*inner).agg(F.avg(metric).alias("__m")).groupBy(*outer).agg(F.avg("__m").alias(metric), F.count("*").alias("groups"))

@@ -108,3 +108,33 @@ def first_rows(df: DataFrame, n: int, keys: Sequence[str] = STREAM, order: Seque
 def one_hot_history(history: Column, classes: int = 3) -> Column:
     """Flattened one-hot of a history of state vectors; a state outside the classes gives zeros."""
     return F.flatten(F.transform(history, lambda row: F.flatten(F.transform(row, lambda s: F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: (c == s).cast("int"))))))
+
+
+def target_windows(df: DataFrame, length: int, horizon: int, columns: Sequence[str], state: str = "state", keys: Sequence[str] = STREAM, order: Sequence[str] = ORDER) -> DataFrame:
+    """Rows with a full history (one-hot, flattened) and all ``horizon`` states to come known."""
+    w = stream(keys, order)
+    out = df.withColumns(
+        {
+            "history": F.collect_list(F.array(*[F.col(c) for c in columns])).over(w.rowsBetween(-length + 1, 0)),
+            "targets": F.array(*[F.coalesce(F.lead(state, k).over(w), F.lit(-1)) for k in range(1, horizon + 1)]),
+        }
+    )
+    full = out.where((F.size("history") == length) & ~F.exists("targets", lambda t: t < 0))
+    return full.withColumn("one_hot", one_hot_history(F.col("history")))
+
+
+def synthetic_histories(df: DataFrame, n: int, rate: float, seed: int, history: str = "history", classes: int = 3) -> DataFrame:
+    """``n`` windows (about) drawn with replacement, each state replaced by a random one at ``rate``."""
+    total = df.count()
+    drawn = df.sample(withReplacement=True, fraction=n / max(1, total), seed=seed)
+    noise = F.transform(F.sequence(F.lit(0), F.size(history) - 1), lambda i: F.pmod(F.hash(F.col("__u"), i), F.lit(1_000_000)) / 1e6)
+    kept = drawn.withColumn("__u", F.rand(seed)).withColumn("__noise", noise)
+    changed = F.zip_with(history, "__noise", lambda s, u: F.when(u < rate, F.transform(s, lambda x: F.floor(u / rate * classes).cast("int"))).otherwise(s))
+    return kept.withColumn(history, changed).drop("__u", "__noise")
+
+
+def known_states(df: DataFrame, horizon: int, state: str = "family_state", split: str = "split") -> DataFrame:
+    """Text columns of a stored sequence as numbers: blank states are -1, a blank split trains."""
+    blank = [f"future_state_{k}" for k in range(1, horizon + 1)]
+    numbers = {c: F.coalesce(F.trim(F.col(c)).try_cast("int"), F.lit(-1)) for c in [state, *blank]}
+    return df.withColumns({**numbers, split: F.coalesce(F.nullif(F.trim(F.col(split)), F.lit("")), F.lit("train"))})

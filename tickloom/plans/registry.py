@@ -880,3 +880,5 @@ def a25(spark, d):
 def a24(spark, d):
     s = frames.states(spark, d).groupBy("workload", "state").agg(F.count("*").alias("rows"))
     return s.withColumn("share", F.round(F.col("rows") / F.sum("rows").over(Window.partitionBy("workload")), 6))
+
+from . import more as _more  # noqa: E402, F401  (adds its queries)
