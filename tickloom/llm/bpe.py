@@ -12,7 +12,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text, table
+from .common import claim, id_text, pieces_of, table
 from .pieces import PieceCoder
 
 
@@ -86,7 +86,7 @@ class Bpe:
         for k, i in self.ranks.items():
             self.bytes_of[i] = k
         self.decimal = [str(i) for i in range(size)]
-        self.coder = PieceCoder(self.token_bytes, self.text_bytes)
+        self.coder = PieceCoder(self.token_bytes, self.text_bytes, "bpe", limit=450_000)
 
     def pretoken(self, token: bytes) -> list[int]:
         slot = self.hash.slot(token)
@@ -165,12 +165,12 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     """``doc_id, ids array<int>`` for every whole text; a null text is empty and has no ids."""
 
     def run(batches):
+        claim("bpe")
         tool = bpe(ranks_path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                ids = [tool.encode(t or "").tolist() for t in texts[lo : lo + 256]]
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 256], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for part in pieces_of(batch):
+                ids = [tool.encode(t or "").tolist() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -184,17 +184,17 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
     """
 
     def run(batches):
+        claim("bpe")
         tool = bpe(ranks_path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
+            for part in pieces_of(batch):
                 counts, shas, decoded = [], [], []
-                for text in texts[lo : lo + 256]:
+                for text in part.column(1).to_pylist():
                     ids = tool.encode(text or "").tolist()
                     counts.append(len(ids))
                     shas.append(hashlib.sha256(" ".join(map(tool.decimal.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(tool.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 256], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 

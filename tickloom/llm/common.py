@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +45,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+_MEMOS: dict[str, list[weakref.ref]] = {}
+
+
 class Memo(dict):
-    """Bounded memo of a pure function of the key; emptied when full."""
+    """Bounded memo of a pure function of the key; emptied when full, and when another owner claims the process."""
 
-    def __init__(self, fn, limit: int):
+    def __init__(self, fn, limit: int, owner: str):
         super().__init__()
         self.fn, self.limit = fn, limit
+        _MEMOS.setdefault(owner, []).append(weakref.ref(self))
 
     def __missing__(self, key):
         if len(self) >= self.limit:
@@ -56,8 +63,32 @@ class Memo(dict):
         return value
 
 
+def claim(owner: str) -> None:
+    """Called where a task begins: worker processes are used again by other operators, whose memos are emptied."""
+    emptied = False
+    for other, memos in _MEMOS.items():
+        if other != owner:
+            for ref in memos:
+                memo = ref()
+                if memo:
+                    memo.clear()
+                    emptied = True
+        _MEMOS[other] = [ref for ref in memos if ref() is not None]
+    if emptied:
+        gc.collect()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if give_back:
+            give_back(0)
+
+
+def pieces_of(batch, rows: int = 256):
+    """A record batch in short stretches, so that few texts are Python objects at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 #: 64-bit hash of a word's bytes, remembered per worker process.
-WORD_HASH = Memo(xxhash.xxh3_64_intdigest, 400_000)
+WORD_HASH = Memo(xxhash.xxh3_64_intdigest, 300_000, "shingles")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

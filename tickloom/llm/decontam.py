@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, id_text, table
+from .common import Memo, claim, cut, id_text, pieces_of, table
 from .shingles import windows
 
 #: Words of a window, and the share of an item's windows that a document must have.
@@ -37,12 +37,12 @@ EMPTY, NUMBER, UNIT, CAPITAL, ENDS = 1, 2, 4, 8, 16
 class Words:
     """Nature of each distinct word, by number; emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.reset()
 
     def reset(self):
-        self.number = Memo(self._learn, 1 << 62)
+        self.number = Memo(self._learn, 1 << 62, "decontam")
         self.hashes, self.bits = array("Q"), array("B")
 
     def _learn(self, raw: bytes) -> int:
@@ -116,6 +116,7 @@ def _scan(size: int, known):
     """Windows with at least two literal words (all, if the text is shorter); ``known``: sorted hashes to keep, or None for all."""
 
     def run(batches):
+        claim("decontam")
         wanted = None if known is None else known.value
         if wanted is not None:
             # a bitmap first: nearly every window falls out at one look-up
@@ -123,7 +124,7 @@ def _scan(size: int, known):
             shift = np.uint64(64 - bits)
             seen = np.zeros(1 << bits, dtype=bool)
             seen[wanted >> shift] = True
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             keys, versions, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for key, version, text in zip(keys, versions, texts):

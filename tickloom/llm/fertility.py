@@ -47,7 +47,7 @@ class Vocabularies:
             # the count by the other vocabulary goes in front
             return np.array([len(byte_level.encode_ordinary(" " + word)), *ids], dtype="<u4").tobytes()
 
-        self.of = Memo(both, 300_000)
+        self.of = Memo(both, 300_000, "fertility")
 
     def measure(self, words: list[bytes]) -> tuple[int, int, int, float]:
         """(pieces, byte-fallback pieces, byte-level tokens, entropy of pieces in bits)."""

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_text, table
+from .common import claim, connected_components, cut, id_text, pieces_of, table
 from .shingles import mix, shingle_set
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,16 +63,16 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 def _signatures(size: int, t: int, rows: int):
     def run(batches):
+        claim("shingles")
         for batch in batches:
-            keys, versions, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for lo in range(0, len(texts), 512):
+            for part in pieces_of(batch):
                 counts, sets, bands = [], [], []
-                for text in texts[lo : lo + 512]:
+                for text in part.column(2).to_pylist():
                     items = shingle_set(text, size)
                     counts.append(len(items))
                     sets.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                     bands.append(band_keys(fast_sketch(items, t), rows).view(np.int64) if len(items) else None)
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 512], versions[lo : lo + 512], pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "version", "n_shingles", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "version", "n_shingles", "set_id", "bands"])
 
     return run
 
@@ -86,8 +86,9 @@ def _verify_pairs(size: int, percent: int):
     """Rows come sorted by group with the group's centre first; gives the links found."""
 
     def run(batches):
+        claim("shingles")
         group, centre = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             rows = batch.to_pydict()
             left, right = [], []
             for hub, part, is_hub, member, text in zip(rows["hub"], rows["part"], rows["is_hub"], rows["member"], rows["text"]):
@@ -222,7 +223,8 @@ def _by_set(rows: DataFrame, size: int) -> DataFrame:
     """One text for each class: rows whose text is not of the class (an id met twice) are left out."""
 
     def run(batches):
-        for batch in batches:
+        claim("shingles")
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             mine, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [xxhash.xxh3_128_digest(shingle_set(x, size).tobytes()) == s for s, x in zip(mine, texts)]
             yield batch.filter(pa.array(good, pa.bool_()))
@@ -241,7 +243,8 @@ def _blocks(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     right = rows.select("bucket", "set_id", "root", F.lit(1).alias("side"), F.col("block").alias("y")).join(lefts, "bucket").select("bucket", "set_id", "root", "side", "x", "y")
 
     def items(batches):
-        for batch in batches:
+        claim("shingles")
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             packed = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["set_id", "items"])
 

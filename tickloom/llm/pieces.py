@@ -40,9 +40,9 @@ class PieceCoder:
     holds ``limit`` pieces, so memory is bounded whatever the corpus.
     """
 
-    def __init__(self, token, text, limit: int = 800_000):
+    def __init__(self, token, text, owner: str, limit: int = 800_000):
         self.token, self.text = token, text
-        self.memo, self.tails = Memo(self._piece, limit), Memo(token, 10_000)
+        self.memo, self.tails = Memo(self._piece, limit, owner), Memo(token, 10_000, owner)
 
     def _piece(self, piece: str) -> bytes:
         if piece[:1] == "\n":

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import fresh_path, id_text, table
+from .common import claim, fresh_path, id_text, pieces_of, table
 from .pieces import PieceCoder
 
 #: One row of a file: a block of whole documents.  start_in_part: ids before it in its part; words: Simple-8b words, little-endian;
@@ -60,12 +60,13 @@ def coder(path: str) -> PieceCoder:
         def text(whole: str) -> bytes:
             return array("I", tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()
 
-        _CODERS[path] = PieceCoder(token, text)
+        _CODERS[path] = PieceCoder(token, text, "token_files")
     return _CODERS[path]
 
 
 def _encode_partition(path: str, end_id: int):
     def run(batches):
+        claim("token_files")
         part = TaskContext.get().partitionId()
         encode = coder(path).encode
         block, ids, doc_ids, held, done = 0, [], [], 0, 0
@@ -81,8 +82,8 @@ def _encode_partition(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for key, text in zip(keys, texts):
+            rows = ((key, text) for part in pieces_of(batch) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            for key, text in rows:
                 got = encode(text or "")
                 ids.append(got + end)
                 doc_ids.append(key)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, id_text, table
+from .common import Memo, claim, id_text, pieces_of, table
 
 #: General insults that are always in the lexicon (fixed values); more are learned from labels.
 SEED_TERMS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown"]
@@ -164,7 +164,7 @@ class Scorer:
             group = "fuzzy" if errors else "strong" if terms[term][1] else "weak"
             return (group, word[0] in QUOTES and word.rstrip(".,;:!?")[-1] in QUOTES)
 
-        self.kind = Memo(kind, 800_000)
+        self.kind = Memo(kind, 300_000, "toxicity")
 
     def matches(self, text: str) -> tuple[int, list[tuple[int, str, float]]]:
         """Number of words, and (word, class, weight of context) of each match.
@@ -314,8 +314,9 @@ def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text
     terms, weights = model.terms, model.weights.tolist()
 
     def run(batches):
+        claim("toxicity")
         tool = _scorer(terms, weights)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             scores = [tool.score(t or "") for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -331,8 +332,9 @@ def reject_toxic(docs: DataFrame, model: Scorer) -> DataFrame:
     terms, weights = model.terms, model.weights.tolist()
 
     def run(batches):
+        claim("toxicity")
         tool = _scorer(terms, weights)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([t is None or tool.score(t) < THRESHOLD for t in texts], pa.bool_()))
 
