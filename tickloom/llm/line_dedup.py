@@ -14,7 +14,7 @@ MIN_CHARS = 10
 #: Shorter lines are only compared for equality.
 NEAR_MIN_CHARS = 24
 #: Rows up to which a table of keys is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -31,14 +31,15 @@ def _place() -> Column:
     return F.struct("doc_id", "version", "line_no")
 
 
-def segment_keys(threshold: int) -> list[str]:
-    """SQL of the keys under which a line is looked up; the first ``threshold + 1`` are also its index keys.
+def segment_keys(threshold: int) -> tuple[list[str], list[str]]:
+    """SQL of the keys under which a line is filed, and of all keys under which it looks.
 
-    A line of length L is indexed by its threshold + 1 even segments.  A line of
+    A line of length L is filed under its threshold + 1 even segments.  A line of
     length l looks, for each L in [l - threshold, l] and each segment, at the
     substrings that can match if edits before it and after it are counted
     (multi-match-aware selection): starts within i - 1 of the segment's start seen
-    from the left, and within threshold + 1 - i of it seen from the right.
+    from the left, and within threshold + 1 - i of it seen from the right.  ``u`` is
+    the line with four bytes for each code point, so a substring is a plain copy.
     """
     pieces = threshold + 1
     own, other = [], []
@@ -49,22 +50,63 @@ def segment_keys(threshold: int) -> list[str]:
             size = f"({short} + if({i} > {pieces} - {extra}, 1, 0))"
             start = f"(1 + {i - 1} * {short} + greatest(0, {i - 1} - ({pieces} - {extra})))"
             for shift in range(max(-(i - 1), gap - (pieces - i)), min(i - 1, gap + (pieces - i)) + 1):
-                key = f"if({start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= chars, xxhash64({i}, {length}, substring(line, {start} + {shift}, {size})), null)"
-                (own if gap == 0 and shift == 0 else other).append(key)
-    return own + other
+                key = f"xxhash64({i}, {length}, substring(u, cast(4 * ({start} + {shift} - 1) + 1 as int), cast(4 * {size} as int)))"
+                if gap == 0 and shift == 0:
+                    own.append(key)
+                else:
+                    other.append(f"if({start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= chars, {key}, null)")
+    return own, own + other
 
 
-def trim_common(a: str, b: str) -> str:
-    """SQL: struct(x, y) of the two strings without their common head and tail (by binary lifting)."""
+#: Characters whose counts tell lines apart before their texts are seen.
+COUNTED = " etnaorh"
 
-    def common(p: str, q: str) -> str:
-        least = f"least(char_length({p}), char_length({q}))"
+
+def counts(line: str) -> str:
+    """SQL: the counts of COUNTED in a line, a byte each (modulo 256), in one integer."""
+    return " | ".join(f"shiftleft((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 255L, {8 * k})" for k, c in enumerate(COUNTED))
+
+
+def counts_differ(a: str, b: str) -> str:
+    """SQL: by how much two such integers differ in sum, at least; an edit makes two at most."""
+    gap = "(((shiftrightunsigned({a}, {k}) & 255L) - (shiftrightunsigned({b}, {k}) & 255L)) & 255L)"
+    return " + ".join("least({g}, 256L - {g})".format(g=gap.format(a=a, b=b, k=8 * k)) for k in range(len(COUNTED)))
+
+
+def trim_common(a: str, b: str, ua: str, ub: str) -> str:
+    """SQL: struct(x, y) of two lines without their common head and tail.
+
+    ``ua`` and ``ub`` are the lines with four bytes for each code point; the lengths
+    of head and tail are found on them by binary lifting.
+    """
+
+    def common(least: str, at_p: str, at_q: str) -> str:
         steps = f"transform(sequence(cast(ceil(log2({least} + 1)) as int), 0, -1), e -> shiftleft(1, e))"
-        return f"aggregate({steps}, 0, (n, s) -> if(n + s <= {least} and substring({p}, n + 1, s) = substring({q}, n + 1, s), n + s, n))"
+        return f"aggregate({steps}, 0, (n, s) -> if(n + s <= {least} and {at_p} = {at_q}, n + s, n))"
+
+    whole = f"least(octet_length({ua}), octet_length({ub})) div 4"
+    head = common(whole, f"substring({ua}, 4 * n + 1, 4 * s)", f"substring({ub}, 4 * n + 1, 4 * s)")
+    back = "substring({p}, octet_length({p}) - 4 * (n + s) + 1, 4 * s)"
+    tail = common(f"({whole} - h)", back.format(p=ua), back.format(p=ub))
+    rest = "substring({p}, h + 1, cast(octet_length({u}) div 4 as int) - h - k)"
+    return f"transform(array(cast({head} as int)), h -> transform(array(cast({tail} as int)), k -> struct({rest.format(p=a, u=ua)} as x, {rest.format(p=b, u=ub)} as y))[0])[0]"
 
-    cut_head = f"transform(array({common(a, b)}), h -> struct(substring({a}, h + 1) as x, substring({b}, h + 1) as y))[0]"
-    cut_tail = f"transform(array({common('reverse(t.x)', 'reverse(t.y)')}), k -> struct(left(t.x, char_length(t.x) - k) as x, left(t.y, char_length(t.y) - k) as y))[0]"
-    return f"transform(array({cut_head}), t -> {cut_tail})[0]"
+
+def may_be_near(x: str, y: str, threshold: int) -> str:
+    """SQL: False only if the trimmed strings are more than ``threshold`` edits apart.
+
+    Both ends differ, so one edit stands at or before the first character and
+    another at or after the last, unless a single one is all.  At most threshold -
+    2 are left for what lies between, so of threshold - 1 pieces of it one is whole.
+    """
+    tiny = f"char_length({x}) <= {max(threshold, 2)}"
+    near = f"abs(char_length({x}) - char_length({y})) <= {threshold}"
+    if threshold < 2:
+        return f"({near} and char_length({x}) <= 1 and char_length({y}) <= 1)"
+    pieces = threshold - 1
+    size = f"((char_length({x}) - 2) div {pieces})"
+    found = " or ".join(f"instr({y}, substring({x}, cast(2 + {k} * {size} as int), cast({size} as int))) > 0" for k in range(pieces))
+    return f"({near} and ({tiny} or {found}))"
 
 
 def banded_distance(x: str, y: str, threshold: int) -> str:
@@ -103,16 +145,20 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     within the threshold always shares a segment, so none is missed; candidates
     are confirmed on the lines.
     """
-    keyed = lines.select(F.xxhash64("line").alias("h"), F.posexplode(F.expr(f"array({', '.join(segment_keys(threshold))})")).alias("k", "key")).where("key is not null")
-    index = keyed.where(f"k <= {threshold}").select("key", F.col("h").alias("hb"))
-    probe = keyed.select("key", F.col("h").alias("ha"))
-    met = probe.join(index, "key").where("ha <> hb")
+    own, every = segment_keys(threshold)
+    hashed = lines.select(F.xxhash64("line").alias("h"), F.expr(counts("line")).alias("c"), "chars", F.expr("encode(line, 'UTF-32')").alias("u"))
+
+    def keyed(keys: list[str], h: str, c: str) -> DataFrame:
+        return hashed.select(F.col("h").alias(h), F.col("c").alias(c), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).where("key is not null")
+
+    # counts of letters are compared within the join, so most chance meetings never become rows
+    met = keyed(every, "ha", "ca").join(keyed(own, "hb", "cb"), "key").where(f"ha <> hb and {counts_differ('ca', 'cb')} <= {2 * threshold}")
     pairs = cut(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct())
-    wanted = pairs.select(F.col("ha").alias("h")).unionAll(pairs.select(F.col("hb").alias("h"))).distinct()
-    wanted = cut(wanted)
+    wanted = cut(pairs.select(F.col("ha").alias("h")).unionAll(pairs.select(F.col("hb").alias("h"))).distinct())
     texts = lines.withColumn("h", F.xxhash64("line")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h").select("h", "line_id", "line")
     both = pairs.join(texts.toDF("ha", "a", "line_a"), "ha").join(texts.toDF("hb", "b", "line_b"), "hb")
-    trimmed = both.select("a", "b", F.expr(trim_common("line_a", "line_b")).alias("t")).where(f"abs(char_length(t.x) - char_length(t.y)) <= {threshold}")
+    wide = both.withColumn("ua", F.expr("encode(line_a, 'UTF-32')")).withColumn("ub", F.expr("encode(line_b, 'UTF-32')"))
+    trimmed = wide.select("a", "b", F.expr(trim_common("line_a", "line_b", "ua", "ub")).alias("t")).where(may_be_near("t.x", "t.y", threshold))
     return trimmed.where(f"{banded_distance('t.x', 't.y', threshold)} <= {threshold}").select("a", "b")
 
 
