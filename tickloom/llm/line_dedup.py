@@ -20,9 +20,10 @@ BROADCAST_ROWS = 500_000
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line worth looking at.  ``version`` tells rows of one id and other texts apart."""
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        docs.withColumn("version", F.xxhash64("text"))
+        .select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .withColumn("chars", F.char_length("line"))
-        .where((F.col("chars") >= MIN_CHARS) & F.col("line").rlike(r"[^ \t-\r]"))
+        .where((F.col("chars") >= MIN_CHARS) & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
         .withColumn("line_id", F.unhex(F.md5("line")))
     )
 
@@ -31,46 +32,53 @@ def _place() -> Column:
     return F.struct("doc_id", "version", "line_no")
 
 
-def segment_keys(threshold: int) -> tuple[list[str], list[str]]:
-    """SQL of the keys under which a line is filed, and of all keys under which it looks.
+def look_ups(threshold: int) -> list[tuple[int, int, int]]:
+    """(gap, i, shift): where a line looks for the i-th segment of lines that are ``gap`` characters shorter.
 
-    A line of length L is filed under its threshold + 1 even segments.  A line of
-    length l looks, for each L in [l - threshold, l] and each segment, at the
-    substrings that can match if edits before it and after it are counted
+    A line of length L is filed under its threshold + 1 even segments, (0, i, 0).  A
+    line of length l looks, for each L in [l - threshold, l] and each segment, at
+    the substrings that can match if edits before it and after it are counted
     (multi-match-aware selection): starts within i - 1 of the segment's start seen
-    from the left, and within threshold + 1 - i of it seen from the right.  ``u`` is
-    the line with four bytes for each code point, so a substring is a plain copy.
+    from the left, and within threshold + 1 - i of it seen from the right.
     """
     pieces = threshold + 1
-    own, other = [], []
-    for gap in range(threshold + 1):
-        for i in range(1, pieces + 1):
-            length = f"(chars - {gap})"
-            short, extra = f"({length} div {pieces})", f"({length} % {pieces})"
-            size = f"({short} + if({i} > {pieces} - {extra}, 1, 0))"
-            start = f"(1 + {i - 1} * {short} + greatest(0, {i - 1} - ({pieces} - {extra})))"
-            for shift in range(max(-(i - 1), gap - (pieces - i)), min(i - 1, gap + (pieces - i)) + 1):
-                key = f"xxhash64({i}, {length}, substring(u, cast(4 * ({start} + {shift} - 1) + 1 as int), cast(4 * {size} as int)))"
-                if gap == 0 and shift == 0:
-                    own.append(key)
-                else:
-                    other.append(f"if({start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= chars, {key}, null)")
-    return own, own + other
-
-
-#: Characters whose counts tell lines apart before their texts are seen.
-COUNTED = " etnaorh"
+    return [(gap, i, shift) for gap in range(pieces) for i in range(1, pieces + 1) for shift in range(max(1 - i, gap - (pieces - i)), min(i - 1, gap + (pieces - i)) + 1)]
+
+
+def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """``h, gap, key`` for each line (h, chars, u) and each place in ``where`` that lies within it.
+
+    ``u`` is the line with four bytes for each code point, so a substring is a plain
+    copy.  The places are exploded before keys are made: one small expression for
+    all of them stays within what the JVM compiles.
+    """
+    pieces = threshold + 1
+    places = F.expr(f"array({', '.join(f'struct({g} as gap, {i} as i, {s} as shift)' for g, i, s in where)})")
+    at = lines.select("h", "chars", "u", F.explode(places).alias("k")).select("h", "chars", "u", "k.gap", "k.i", "k.shift")
+    for name, value in (
+        ("length", "chars - gap"),
+        ("short", f"cast(length div {pieces} as int)"),
+        ("even", f"{pieces} - (length - {pieces} * short)"),  # so many segments are short ones
+        ("size", "short + if(i > even, 1, 0)"),
+        ("start", "(i - 1) * short + greatest(0, i - 1 - even) + shift"),
+    ):
+        at = at.withColumn(name, F.expr(value))
+    return at.where("start >= 0 and start + size <= chars").select("h", "gap", F.expr("xxhash64(i, length, substring(u, 4 * start + 1, 4 * size))").alias("key"))
+
+
+#: Characters whose counts tell lines apart before they are compared.
+COUNTED = " etnaorhisdlucmp"
 
 
 def counts(line: str) -> str:
-    """SQL: the counts of COUNTED in a line, a byte each (modulo 256), in one integer."""
-    return " | ".join(f"shiftleft((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 255L, {8 * k})" for k, c in enumerate(COUNTED))
+    """SQL: the counts of COUNTED in a line, four bits each (modulo 16), in one integer."""
+    return " | ".join(f"shiftleft(cast(octet_length({line}) - octet_length(replace({line}, '{c}', '')) as bigint) & 15L, {4 * k})" for k, c in enumerate(COUNTED))
 
 
 def counts_differ(a: str, b: str) -> str:
     """SQL: by how much two such integers differ in sum, at least; an edit makes two at most."""
-    gap = "(((shiftrightunsigned({a}, {k}) & 255L) - (shiftrightunsigned({b}, {k}) & 255L)) & 255L)"
-    return " + ".join("least({g}, 256L - {g})".format(g=gap.format(a=a, b=b, k=8 * k)) for k in range(len(COUNTED)))
+    gap = "(((shiftrightunsigned({a}, {k}) & 15L) - (shiftrightunsigned({b}, {k}) & 15L)) & 15L)"
+    return " + ".join("least({g}, 16L - {g})".format(g=gap.format(a=a, b=b, k=4 * k)) for k in range(len(COUNTED)))
 
 
 def trim_common(a: str, b: str, ua: str, ub: str) -> str:
@@ -137,29 +145,42 @@ def banded_distance(x: str, y: str, threshold: int) -> str:
     return f"if(abs(char_length({x}) - char_length({y})) > {t}, {t + 1}, {whole})"
 
 
-def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``a, b`` (line ids) for each pair of different lines within ``threshold`` edits.
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it has few rows; else as it is, and the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(links ``a, b`` between ids of different lines within ``threshold`` edits, the lines looked at).
 
-    ``lines``: one row for each distinct line (line_id, line, chars).  Only hashes
-    of segments are shuffled; texts follow for candidate pairs alone.  A pair
-    within the threshold always shares a segment, so none is missed; candidates
-    are confirmed on the lines.
+    ``lines``: one row for each distinct line (line_id, line, chars, and more).  A
+    pair within the threshold always shares a segment, so none is missed.  First,
+    with hashes alone, look-ups that meet another line's segment are kept: at most
+    one row each, however many lines share it.  The lines that these are about, few
+    of all, are then fetched; they are paired where their segments meet and their
+    counts of letters allow it, and compared.
     """
-    own, every = segment_keys(threshold)
-    hashed = lines.select(F.xxhash64("line").alias("h"), F.expr(counts("line")).alias("c"), "chars", F.expr("encode(line, 'UTF-32')").alias("u"))
-
-    def keyed(keys: list[str], h: str, c: str) -> DataFrame:
-        return hashed.select(F.col("h").alias(h), F.col("c").alias(c), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).where("key is not null")
-
-    # counts of letters are compared within the join, so most chance meetings never become rows
-    met = keyed(every, "ha", "ca").join(keyed(own, "hb", "cb"), "key").where(f"ha <> hb and {counts_differ('ca', 'cb')} <= {2 * threshold}")
-    pairs = cut(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct())
-    wanted = cut(pairs.select(F.col("ha").alias("h")).unionAll(pairs.select(F.col("hb").alias("h"))).distinct())
-    texts = lines.withColumn("h", F.xxhash64("line")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h").select("h", "line_id", "line")
-    both = pairs.join(texts.toDF("ha", "a", "line_a"), "ha").join(texts.toDF("hb", "b", "line_b"), "hb")
+    hashed = lines.select(F.xxhash64("line").alias("h"), "chars", F.expr("encode(line, 'UTF-32')").alias("u"))
+    places = look_ups(threshold)
+    filed = segment_rows(hashed, [p for p in places if p[0] == 0 and p[2] == 0], threshold).select("key", F.col("h").alias("hb"))
+    looked = segment_rows(hashed, places, threshold).select("key", "gap", F.col("h").alias("ha"))
+    # of two lines of one length it is enough that one looks for the other
+    other = "ha <> hb and (gap > 0 or ha < hb)"
+    live = cut(looked.alias("x").join(filed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(other), "left_semi"))
+    keys = cut(live.select("key").distinct())
+    held = cut(filed.join(_small(keys), "key"))
+    wanted = cut(live.select(F.col("ha").alias("h")).unionAll(held.select(F.col("hb").alias("h"))).distinct())
+    texts = cut(lines.withColumn("h", F.xxhash64("line")).join(_small(wanted), "h"))
+    counted = texts.select("h", F.expr(counts("line")).alias("c"))
+    left = live.join(counted.toDF("ha", "ca"), "ha")
+    right = held.join(counted.toDF("hb", "cb"), "hb")
+    met = left.join(right, "key").where(f"{other} and {counts_differ('ca', 'cb')} <= {2 * threshold}")
+    pairs = met.select("ha", "hb").distinct()
+    found = texts.select("h", "line_id", "line")
+    both = pairs.join(found.toDF("ha", "a", "line_a"), "ha").join(found.toDF("hb", "b", "line_b"), "hb")
     wide = both.withColumn("ua", F.expr("encode(line_a, 'UTF-32')")).withColumn("ub", F.expr("encode(line_b, 'UTF-32')"))
     trimmed = wide.select("a", "b", F.expr(trim_common("line_a", "line_b", "ua", "ub")).alias("t")).where(may_be_near("t.x", "t.y", threshold))
-    return trimmed.where(f"{banded_distance('t.x', 't.y', threshold)} <= {threshold}").select("a", "b")
+    return trimmed.where(f"{banded_distance('t.x', 't.y', threshold)} <= {threshold}").select("a", "b"), texts
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -171,18 +192,16 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     lines = _lines(docs)
     repeated = cut(lines.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"))
-    few = repeated.count() <= BROADCAST_ROWS
     near = lines.where(F.col("chars") >= NEAR_MIN_CHARS).withColumn("place", _place())
-    distinct = near.join(F.broadcast(repeated) if few else repeated, "line_id", "left").where("first is null or first = place")
-    # rows that repeat an id and a text stand at the same place: the links are made distinct below
-    links = cut(edit_links(distinct.select("line_id", "line", "chars"), threshold).distinct())
-    members = connected_components(links)
-    classes = members.join(distinct.select(F.col("line_id").alias("node"), "place"), "node")
+    # rows that repeat an id and a text stand at the same place, so a line may still come twice
+    distinct = near.join(_small(repeated), "line_id", "left").where("first is null or first = place").select("line_id", "line", "chars", "place")
+    links, texts = edit_links(distinct, threshold)
+    members = connected_components(cut(links.distinct()))
+    classes = members.join(texts.select(F.col("line_id").alias("node"), "place"), "node")
     leaders = classes.groupBy("root").agg(F.min("place").alias("leader"))
     near_first = classes.join(leaders, "root").groupBy(F.col("node").alias("line_id")).agg(F.min("leader").alias("leader"))
-    dups = repeated.join(near_first, "line_id", "full").select("line_id", F.col("first"), F.coalesce("leader", "first").alias("leader"))
-    dups = cut(dups)
-    found = lines.withColumn("place", _place()).join(F.broadcast(dups) if dups.count() <= BROADCAST_ROWS else dups, "line_id").where("place <> leader")
+    dups = cut(repeated.join(near_first, "line_id", "full").select("line_id", "first", F.coalesce("leader", "first").alias("leader")))
+    found = lines.withColumn("place", _place()).join(_small(dups), "line_id").where("place <> leader")
     exact = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
     return found.groupBy("doc_id", "version").agg(
         F.sort_array(F.collect_set(F.when(exact, F.col("line_no")))).alias("exact"),
@@ -202,7 +221,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     """
     plain = id_text(docs, id_col, text_col)
     gone = cut(repeated_lines(plain, threshold))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone
+    side = _small(gone, BROADCAST_ROWS // 4)
     joined = plain.withColumn("version", F.xxhash64("text")).alias("d").join(side.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.version = g.version"), "left")
     lines = F.split(F.col("d.text"), "\n", -1)
     none = F.array().cast("array<int>")
@@ -222,7 +241,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFram
     """``docs`` with its own columns and the texts cut; a document of which no word is left goes."""
     plain = id_text(docs)
     gone = cut(repeated_lines(plain, threshold))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone
+    side = _small(gone, BROADCAST_ROWS // 4)
     names = ("__gone_id", "__gone_version", "__exact", "__near")
     joined = docs.join(side.toDF(*names), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__gone_version")), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.concat("__exact", "__near"), i)), "\n")
