@@ -194,7 +194,10 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     repeated = cut(lines.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"))
     near = lines.where(F.col("chars") >= NEAR_MIN_CHARS).withColumn("place", _place())
     # rows that repeat an id and a text stand at the same place, so a line may still come twice
-    distinct = near.join(_small(repeated), "line_id", "left").where("first is null or first = place").select("line_id", "line", "chars", "place")
+    few = repeated.count() <= BROADCAST_ROWS
+    distinct = near.join(F.broadcast(repeated) if few else repeated, "line_id", "left").where("first is null or first = place").select("line_id", "line", "chars", "place")
+    if not few:  # the lines were shuffled: once is enough
+        distinct = cut(distinct)
     links, texts = edit_links(distinct, threshold)
     members = connected_components(cut(links.distinct()))
     classes = members.join(texts.select(F.col("line_id").alias("node"), "place"), "node")
@@ -220,8 +223,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     at.
     """
     plain = id_text(docs, id_col, text_col)
-    gone = cut(repeated_lines(plain, threshold))
-    side = _small(gone, BROADCAST_ROWS // 4)
+    side = cut(repeated_lines(plain, threshold))  # a row for many a document: never broadcast
     joined = plain.withColumn("version", F.xxhash64("text")).alias("d").join(side.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.version = g.version"), "left")
     lines = F.split(F.col("d.text"), "\n", -1)
     none = F.array().cast("array<int>")
@@ -240,8 +242,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with its own columns and the texts cut; a document of which no word is left goes."""
     plain = id_text(docs)
-    gone = cut(repeated_lines(plain, threshold))
-    side = _small(gone, BROADCAST_ROWS // 4)
+    side = cut(repeated_lines(plain, threshold))  # a row for many a document: never broadcast
     names = ("__gone_id", "__gone_version", "__exact", "__near")
     joined = docs.join(side.toDF(*names), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__gone_version")), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.concat("__exact", "__near"), i)), "\n")
