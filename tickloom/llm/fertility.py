@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, table
-from .shingles import windows, word_hashes
+from .common import Memo, claim, cut, pieces_of, table
+from .shingles import windows
 
 SYMBOLS = b"#*$%&|<>"
 #: Continuation bytes of UTF-8 and white space, which are not counted as characters of words.
@@ -19,6 +21,8 @@ _NOT_COUNTED = bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"
 WIDTH = 5.0
 #: Documents that a language (or a size class of it) needs for bands of its own.
 LEAST_DOCUMENTS = 50
+#: Distinct words that a worker process remembers.
+WORDS_KEPT = 400_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -40,29 +44,42 @@ class Vocabularies:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         byte_level = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.is_byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
-
-        def both(raw: bytes) -> bytes:
-            word = raw.decode("utf-8", "replace")
-            ids = pieces.encode(word)
-            # the count by the other vocabulary goes in front
-            return np.array([len(byte_level.encode_ordinary(" " + word)), *ids], dtype="<u4").tobytes()
-
-        self.of = Memo(both, 300_000, "fertility")
-
-    def measure(self, words: list[bytes]) -> tuple[int, int, int, float]:
-        """(pieces, byte-fallback pieces, byte-level tokens, entropy of pieces in bits)."""
-        found = list(map(self.of.__getitem__, words))
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        heads = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])[:-1])) if found else np.empty(0, np.int64)
-        other = int(flat[heads].sum())
-        inner = np.ones(len(flat), dtype=bool)
-        inner[heads] = False
-        ids = flat[inner]
-        if not len(ids):
-            return 0, 0, other, 0.0
+        self.encode, self.count_other = pieces.encode, lambda word: len(byte_level.encode_ordinary(" " + word))
+        self.number = Memo(self._learn, 1 << 62, "fertility")
+        self.reset()
+
+    def reset(self) -> None:
+        self.number.clear()
+        #: Of each distinct word met: hash, byte-level tokens, place and number of its pieces in ``pieces``.
+        self.hashes, self.other, self.start, self.n_pieces, self.pieces = array("Q"), array("I"), array("Q"), array("I"), array("I")
+
+    def _learn(self, raw: bytes) -> int:
+        word = raw.decode("utf-8", "replace")
+        ids = self.encode(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(raw))
+        self.other.append(self.count_other(word))
+        self.start.append(len(self.pieces))
+        self.n_pieces.append(len(ids))
+        self.pieces.extend(ids)
+        return len(self.hashes) - 1
+
+    def measure(self, words: list[bytes]) -> tuple[np.ndarray, tuple[int, int, int, float]]:
+        """Hashes of the words, and (pieces, byte-fallback pieces, byte-level tokens, entropy of pieces in bits)."""
+        if len(self.hashes) > WORDS_KEPT or not self.number:
+            self.reset()
+        which = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        if not len(which):
+            return np.empty(0, np.uint64), (0, 0, 0, 0.0)
+        hashes = np.frombuffer(self.hashes, dtype=np.uint64)[which]
+        other = int(np.frombuffer(self.other, dtype=np.uint32)[which].sum())
+        sizes = np.frombuffer(self.n_pieces, dtype=np.uint32)[which].astype(np.int64)
+        begin = np.frombuffer(self.start, dtype=np.uint64)[which].astype(np.int64)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        ids = np.frombuffer(self.pieces, dtype=np.uint32)[np.repeat(begin - ends + sizes, sizes) + np.arange(n)]
         share = np.bincount(ids)
-        share = share[share > 0] / len(ids)
-        return len(ids), int(self.is_byte[ids].sum()), other, float(-(share * np.log2(share)).sum())
+        share = share[share > 0] / n
+        return hashes, (n, int(self.is_byte[ids].sum()), other, float(-(share * np.log2(share)).sum()))
 
 
 _LOADED: dict[tuple[str, str], Vocabularies] = {}
@@ -93,16 +110,14 @@ def repeated_words(hashes: np.ndarray, size: int = 3) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def base_rules(text: str | None) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
-    raw = (text or "").encode()
+def base_rules(raw: bytes, hashes: np.ndarray) -> tuple[int, int, int, int, int]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text and the hashes of its words."""
     seen, dup = set(), 0
     for line in raw.split(b"\n"):
         if line.strip(b" \t\x0b\x0c\r"):
             if line in seen:
                 dup += 1
             seen.add(line)
-    hashes = word_hashes(raw)
     return len(hashes), len(raw.translate(None, _NOT_COUNTED)), len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(hashes)
 
 
@@ -111,11 +126,14 @@ _FIELDS = ["doc_id long", "lang string", "n_words long", "word_chars long", "n_s
 
 def _measure(piece_path: str, byte_path: str):
     def run(batches):
+        claim("fertility")
         tool = vocabularies(piece_path, byte_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole)):
             rows = []
             for text in batch.column(2).to_pylist():
-                rows.append((*base_rules(text), *tool.measure((text or "").encode().split())))
+                raw = (text or "").encode()
+                hashes, measures = tool.measure(raw.split())
+                rows.append((*base_rules(raw, hashes), *measures))
             columns = list(zip(*rows)) if rows else [[]] * 9
             arrays = [pa.array(c, pa.float64() if i == 8 else pa.int64()) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=[f.split()[0] for f in _FIELDS])
