@@ -48,9 +48,9 @@ def train_flag(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def fill_train_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Missing values get the median of training rows, 0 where there is none; exact, one row of medians is broadcast."""
+    """Missing values get the median of training rows, 0 where there is none; exact.  Without groups one row of medians is broadcast."""
     medians = df.where("is_train").groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in columns])
-    joined = df.join(F.broadcast(medians), list(by), "left") if by else df.crossJoin(F.broadcast(medians))
+    joined = df.join(medians, list(by), "left") if by else df.crossJoin(F.broadcast(medians))  # one row
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__m_{c}" for c in columns])
 
 

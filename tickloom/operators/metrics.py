@@ -127,7 +127,7 @@ def gains(scores: DataFrame, baselines: Sequence[str], model: str = "model", by:
     out = scores
     for b in baselines:
         base = scores.where(F.col(model) == b).select(*by, F.col(metric).alias(f"__{b}"))
-        out = (out.join(F.broadcast(base), list(by), "left") if by else out.crossJoin(F.broadcast(base))).withColumn(f"gain_over_{b}", F.col(metric) - F.col(f"__{b}")).drop(f"__{b}")
+        out = (out.join(base, list(by), "left") if by else out.crossJoin(F.broadcast(base))).withColumn(f"gain_over_{b}", F.col(metric) - F.col(f"__{b}")).drop(f"__{b}")
     return out
 
 

@@ -17,10 +17,10 @@ from .features import fill_and_scale, log_counters
 def tertile_states(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "state") -> DataFrame:
     """States 0, 1, 2 by the thirds of training values (``is_train``), over all rows or each group; -1 where missing.
 
-    Exact linear quantiles; one row per group is broadcast.
+    Exact linear quantiles; without groups their one row is broadcast.
     """
     cuts = df.where("is_train").groupBy(*by).agg(F.percentile(value, F.array(F.lit(1.0 / 3), F.lit(2.0 / 3))).alias("__cuts"))
-    joined = df.join(F.broadcast(cuts), list(by), "left") if by else df.crossJoin(F.broadcast(cuts))
+    joined = df.join(cuts, list(by), "left") if by else df.crossJoin(F.broadcast(cuts))  # one row
     return joined.withColumn(out, state_of(F.col(value), F.col("__cuts")[0], F.col("__cuts")[1])).drop("__cuts")
 
 

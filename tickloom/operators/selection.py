@@ -22,7 +22,7 @@ def weighted_score(accuracy: str = "accuracy", high_recall: str = "high_recall",
 def mark_best(scores: DataFrame, by: Sequence[str], score: str = "score", order: str = "position") -> DataFrame:
     """Adds ``selected``: 1 for the greatest score of a group, the first of equals."""
     best = scores.groupBy(*by).agg(F.max(F.struct(F.col(score), (-F.col(order)).alias("o"))).alias("__top"))
-    return scores.join(F.broadcast(best), list(by)).withColumn("selected", ((F.col(score) == F.col("__top").getField(score)) & (F.col(order) == -F.col("__top.o"))).cast("int")).drop("__top")
+    return scores.join(best, list(by)).withColumn("selected", ((F.col(score) == F.col("__top").getField(score)) & (F.col(order) == -F.col("__top.o"))).cast("int")).drop("__top")
 
 
 def combinations(scores: DataFrame, families: Sequence[str], family: str = "family", counter: str = "counter", score: str = "score") -> DataFrame:
