@@ -63,6 +63,14 @@ class Memo(dict):
         return value
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def claim(owner: str) -> None:
     """Called where a task begins: worker processes are used again by other operators, whose memos are emptied."""
     emptied = False
@@ -75,10 +83,7 @@ def claim(owner: str) -> None:
                     emptied = True
         _MEMOS[other] = [ref for ref in memos if ref() is not None]
     if emptied:
-        gc.collect()
-        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if give_back:
-            give_back(0)
+        give_back()
 
 
 def pieces_of(batch, rows: int = 256):

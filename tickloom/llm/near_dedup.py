@@ -144,11 +144,14 @@ def _verify_blocks(percent: int):
     return run
 
 
-def _stars(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _stars(members: DataFrame, texts: DataFrame, size: int, percent: int, broadcast_rows: int) -> DataFrame:
     """Links of pairs (hub, member): the hub's text meets its members' in shares of HUB_SHARE."""
     degree = members.groupBy("hub").agg(F.count("*").alias("n"))
-    shares = F.greatest(F.lit(1), F.ceil(F.col("n") / HUB_SHARE)).cast("int")
-    dealt = members.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), shares).cast("int").alias("part"), F.lit(False).alias("is_hub"), "member")
+    shares = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(1)) / HUB_SHARE)).cast("int")
+    # only hubs of more than one share matter to the members: few, so a crowd is not dealt out by its hub
+    heavy = cut(degree.where(F.col("n") > HUB_SHARE))
+    heavy = F.broadcast(heavy) if heavy.count() <= broadcast_rows else heavy
+    dealt = members.join(heavy, "hub", "left").select("hub", F.pmod(F.xxhash64("member"), shares).cast("int").alias("part"), F.lit(False).alias("is_hub"), "member")
     hubs = degree.select("hub", F.explode(F.sequence(F.lit(0), shares - 1)).alias("part"), F.lit(True).alias("is_hub"), F.col("hub").alias("member"))
     rows = dealt.unionByName(hubs).join(texts, F.col("member") == F.col("set_id")).select("hub", "part", "is_hub", "member", "text")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, t: int =
     # rows of the id with another text are told apart by their set when read
     kept_texts = cut(_by_set(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "text"), size))
 
-    links = cut(_stars(pairs, kept_texts, size, percent))
+    links = cut(_stars(pairs, kept_texts, size, percent, broadcast_rows))
     roots = connected_components(links)
     state = shared.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", "weight", F.coalesce("root", "set_id").alias("root"))
     by_root = state.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, id_text, pieces_of, table
+from .common import Memo, claim, give_back, id_text, pieces_of, table
 
 #: General insults that are always in the lexicon (fixed values); more are learned from labels.
 SEED_TERMS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown"]
@@ -290,7 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         scorer = Scorer(seeds | learn_terms([texts[i] for i in other], [int(y[i]) for i in other]), PLAIN_WEIGHTS)
         for i in mine:
             x[i] = scorer.features(texts[i])
-    return Scorer(seeds | learn_terms(texts, [int(v) for v in y]), fit_weights(x, y).tolist())
+    model = Scorer(seeds | learn_terms(texts, [int(v) for v in y]), fit_weights(x, y).tolist())
+    del rows, texts, scorer
+    give_back()
+    return model
 
 
 _SCORERS: dict[tuple, Scorer] = {}
