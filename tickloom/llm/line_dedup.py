@@ -191,7 +191,9 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     most ``threshold`` edits.
     """
     lines = _lines(docs)
-    repeated = cut(lines.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"))
+    # where each line stands, without its text: met again at the end, so it is kept
+    stands = cut(lines.select("line_id", "doc_id", "version", "line_no"))
+    repeated = cut(stands.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"))
     near = lines.where(F.col("chars") >= NEAR_MIN_CHARS).withColumn("place", _place())
     # rows that repeat an id and a text stand at the same place, so a line may still come twice
     few = repeated.count() <= BROADCAST_ROWS
@@ -204,7 +206,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     leaders = classes.groupBy("root").agg(F.min("place").alias("leader"))
     near_first = classes.join(leaders, "root").groupBy(F.col("node").alias("line_id")).agg(F.min("leader").alias("leader"))
     dups = cut(repeated.join(near_first, "line_id", "full").select("line_id", "first", F.coalesce("leader", "first").alias("leader")))
-    found = lines.withColumn("place", _place()).join(_small(dups), "line_id").where("place <> leader")
+    found = stands.withColumn("place", _place()).join(_small(dups), "line_id").where("place <> leader")
     exact = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
     return found.groupBy("doc_id", "version").agg(
         F.sort_array(F.collect_set(F.when(exact, F.col("line_no")))).alias("exact"),
