@@ -118,7 +118,9 @@ def passages(spark):
     return spark.createDataFrame([*rows, (None, shared, "en", "s", 1), (90, None, "en", "s", 1), (91, "", "en", "s", 1), (92, shared, "en", "s", 1), (92, shared, "en", "s", 1)], SCHEMA)
 
 
-def test_line_dedup_equals_brute_force(passages):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_line_dedup_equals_brute_force(passages, most, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)  # -1: every join shuffles
     docs = [(r.doc_id, r.v, r.text) for r in passages.select("doc_id", F.xxhash64("text").alias("v"), "text").collect()]
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(passages).collect()), key=str)
     assert got == brute_lines(docs)

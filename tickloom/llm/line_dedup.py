@@ -145,9 +145,9 @@ def banded_distance(x: str, y: str, threshold: int) -> str:
     return f"if(abs(char_length({x}) - char_length({y})) > {t}, {t + 1}, {whole})"
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it has few rows; else as it is, and the join shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
