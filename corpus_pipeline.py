@@ -30,7 +30,8 @@ def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of what is left."""
-    return bpe.round_trip(docs)
+    # workers have held other stages' tables before: a smaller memo
+    return bpe.round_trip(docs, memo=400_000)
 
 
 STAGES = [

@@ -16,6 +16,10 @@ from .common import claim, id_text, pieces_of, table
 from .pieces import PieceCoder
 
 
+#: Pieces whose ids a worker process remembers.
+MEMO = 800_000
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -73,7 +77,7 @@ class PerfectHash:
 class Bpe:
     """Two-tier encoder and table decoder for a file of ranks."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.find = regex.compile(pattern).findall
@@ -86,7 +90,7 @@ class Bpe:
         for k, i in self.ranks.items():
             self.bytes_of[i] = k
         self.decimal = [str(i) for i in range(size)]
-        self.coder = PieceCoder(self.token_bytes, self.text_bytes, "bpe", limit=450_000)
+        self.coder = PieceCoder(self.token_bytes, self.text_bytes, "bpe", limit=memo)
 
     def pretoken(self, token: bytes) -> list[int]:
         slot = self.hash.slot(token)
@@ -98,36 +102,38 @@ class Bpe:
         """Merge the adjacent pair of least rank, leftmost first, until none has a rank.
 
         Bytes are a doubly linked list of spans; a heap holds (rank, start) of
-        pairs.  An entry is stale if its span is gone or its pair has another rank
-        by now.  O(n log n) for any length.
+        pairs.  An entry is stale if its pair is gone or has another rank by now.  O(n log n) for any length.
         """
         ranks, n = self.ranks, len(token)
         rank_of = ranks.get
         end = list(range(1, n + 1))  # end[i]: where the span that starts at i ends; 0 if none does
-        before = list(range(-1, n - 1))
-        pair: list[int | None] = [rank_of(token[i : i + 2]) for i in range(n - 1)]
-        pair.append(None)
-        heap = [(r, i) for i, r in enumerate(pair) if r is not None]
+        before = list(range(-1, n))
+        pair = [rank_of(token[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        bits = n.bit_length()  # rank and start in one integer: ranks first, then the leftmost
+        mask = (1 << bits) - 1
+        heap = [(r << bits) | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
-            r, i = heappop(heap)
-            if not end[i] or pair[i] != r:
+            top = heappop(heap)
+            i = top & mask
+            if pair[i] != top >> bits:
                 continue
             j = end[i]
-            end[i], end[j], pair[j] = end[j], 0, None
-            k = end[i]
+            k = end[i] = end[j]
+            pair[j] = -1
+            before[k] = i
             if k < n:
-                before[k] = i
-                pair[i] = r = rank_of(token[i : end[k]])
-                if r is not None:
-                    heappush(heap, (r, i))
+                pair[i] = r = rank_of(token[i : end[k]], -1)
+                if r >= 0:
+                    heappush(heap, (r << bits) | i)
             else:
-                pair[i] = None
+                pair[i] = -1
             h = before[i]
             if h >= 0:
-                pair[h] = r = rank_of(token[h : end[i]])
-                if r is not None:
-                    heappush(heap, (r, h))
+                pair[h] = r = rank_of(token[h:k], -1)
+                if r >= 0:
+                    heappush(heap, (r << bits) | h)
         out, i = [], 0
         while i < n:
             out.append(ranks[token[i : end[i]]])
@@ -148,11 +154,11 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_BPES: dict[tuple[str, str], Bpe] = {}
+_BPES: dict[tuple[str, str, int], Bpe] = {}
 
 
-def bpe(ranks_path: str | None = None, pattern: str | None = None) -> Bpe:
-    key = (ranks_path or default_ranks(), pattern or default_pattern())
+def bpe(ranks_path: str | None = None, pattern: str | None = None, memo: int = MEMO) -> Bpe:
+    key = (ranks_path or default_ranks(), pattern or default_pattern(), memo)
     if key not in _BPES:
         _BPES[key] = Bpe(*key)
     return _BPES[key]
@@ -175,17 +181,18 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, memo: int = MEMO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode the ids, and give both digests.
 
     One row per input row, without a shuffle.  A null text is empty: no ids, and
     the digest of no bytes.  Repeated rows each give a row; an empty table none.
-    Texts of any length: the memo is bounded and merging is O(n log n).
+    Texts of any length: the memo is bounded (``memo`` pieces, about 250 bytes each,
+    in every worker process) and merging is O(n log n).
     """
 
     def run(batches):
         claim("bpe")
-        tool = bpe(ranks_path, pattern)
+        tool = bpe(ranks_path, pattern, memo)
         for batch in batches:
             for part in pieces_of(batch):
                 counts, shas, decoded = [], [], []

@@ -51,10 +51,17 @@ class PieceCoder:
 
     def _chunk(self, chunk: str) -> bytes:
         core = chunk.rstrip(TAIL)
-        body = core[1:] if core[:1] == " " else core
-        if body.isalpha():
-            return self.token(core) + self.tails[chunk[len(core) :]] if len(core) < len(chunk) else self.token(core)
-        return self.text(chunk) if chunk else b""
+        spaced = core[:1] == " "
+        if not (core[1:] if spaced else core).isalpha():
+            return self.text(chunk) if chunk else b""
+        if len(core) == len(chunk):
+            return self.token(core)
+        # the word alone is a piece of its own, and met with other punctuation too
+        alone = core[1:] if spaced else " " + core
+        known = self.memo.get(alone)
+        if known is None:
+            known = self.memo[alone] = self.token(core)
+        return known + self.tails[chunk[len(core) :]]
 
     def encode(self, text: str) -> bytes:
         if not text:
