@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 STREAM = ("run_id", "cpu_or_core_id")
 ORDER = ("timestamp_ms", "row_index")
 
@@ -21,12 +23,8 @@ def with_row_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
     Rows are dealt by range; counts of the ranges give their offsets.  The ranges
     are cut in the shared folder first so that they stay the same.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     number = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

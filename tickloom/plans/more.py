@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import features, merge, metrics, models, phases, planning, policy, selection, sequences, splits
+from ..operators import evaluation, features, merge, metrics, models, phases, planning, policy, selection, sequences, splits
 from ..sources import adapter, readers
 from ..streaming import online
 from . import frames
@@ -293,3 +293,36 @@ def merge_end_to_end(spark, d):
     return rows.select("run_id", "timestamp_ms", *r6("branch_miss_rate", "llc_miss_rate"))
 
 
+
+
+@query("m18_skipped_models", "SELECT m AS model, 'skipped' AS status, 'torch is not installed' AS reason FROM (VALUES ('tcn_phase_classifier'), ('tiny_transformer_phase_classifier')) v(m)")
+def m18(spark, d):
+    return evaluation.skipped(spark)
+
+
+@query("r6_detector_summary")
+def r6_detector(spark, d):
+    """All predictors on one frame of examples: scores, change detection, gains and cost; trees are learned, so rows only."""
+    filled = features.fill_train_median(frames.base(spark, d), [VALUE])
+    rows = evaluation.examples(phases.tertile_states(filled, VALUE), 4, ["state"]).select("run_id", "workload", "cpu_or_core_id", "threads", "split", "is_train", "row_index", "state", "run_length", "target", "history", "h0", "h1", "h2", "h3")
+    return evaluation.report(rows, evaluation.predictors(4, ["core_fp"], 3))["summary"]
+
+
+@query(
+    "r5_evaluate_outputs",
+    sql("base", _sql_family(0, COLS[0]), _sql_family(1, COLS[1]), """u AS (SELECT 'core_fp' AS family, * FROM s0 UNION ALL SELECT 'branch_control' AS family, * FROM s1),
+sp AS (SELECT CASE WHEN max(CAST(split = 'val' AS INT)) = 1 THEN 'val' ELSE 'test' END AS s FROM base)""", """SELECT 'baseline_last_state' AS model, family, count(*) FILTER (split = s AND target >= 0 AND prediction >= 0) AS rows, round(avg(CASE WHEN split = s AND target >= 0 AND prediction >= 0 THEN CAST(target = prediction AS DOUBLE) END), 6) AS accuracy,
+  round(avg(CASE WHEN target >= 0 THEN CAST(prediction = target AS DOUBLE) END), 6) AS retention, CAST(1 AS DOUBLE) AS memory_bytes, 'Very Low' AS complexity FROM u, sp GROUP BY family"""),
+)
+def r5(spark, d):
+    student = _two_families(spark, d).withColumn("model", F.lit("baseline_last_state"))
+    teacher = student.select("family", "row_index", F.col("target").alias("prediction"))
+    costs = student.select("model").distinct()
+    out = evaluation.evaluate(student, teacher, costs, ["row_index"], ["core_fp", "branch_control"])["families"]
+    return out.select("model", "family", "rows", *r6("accuracy", "retention"), "memory_bytes", "complexity")
+
+
+@query("f10_enabled_models", "SELECT * FROM (VALUES ('L1', 9), ('L2', 3)) v(family, models)")
+def f10(spark, d):
+    names = list(evaluation.predictors(4, ["L1"]))
+    return spark.createDataFrame([(f, len(evaluation.enabled(names, f, "L1"))) for f in ("L1", "L2")], "family string, models int")
