@@ -310,3 +310,13 @@ def test_rest_works_without_these(tmp_path):
     (copy / "tickloom" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)}, timeout=120)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, sf, odd, clashing, empty, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    assert run(spark, empty, sf).count() == 0
+    whole, wide = run(spark, odd, sf), run(spark, clashing, sf)
+    if stage != "bpe":
+        assert whole.columns == odd.columns and wide.columns == clashing.columns
+    assert whole.count() == wide.count() > 0

@@ -208,7 +208,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns as they are."""
+    """``docs`` without the documents that hold a benchmark item; all columns as they are.
+
+    Rows of one id and other texts are told apart; null and empty texts stay.
+    """
     found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
     clean = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
     return docs.join(F.broadcast(found) if found.count() <= 1_000_000 else found, clean, "left_anti")

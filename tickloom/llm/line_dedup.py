@@ -242,7 +242,12 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with its own columns and the texts cut; a document of which no word is left goes."""
+    """``docs`` with its own columns and the texts cut; a document of which no word is left goes.
+
+    ``n_chars``, where there is one, follows the text.  Documents without repeated
+    lines are as they were, null and empty texts too; rows that repeat an id and a
+    text are treated alike.
+    """
     plain = id_text(docs)
     side = cut(repeated_lines(plain, threshold))  # a row for many a document: never broadcast
     names = ("__gone_id", "__gone_version", "__exact", "__near")

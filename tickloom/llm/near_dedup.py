@@ -257,7 +257,10 @@ def _blocks(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has one of a lower id; all columns as they are."""
+    """``docs`` without the documents whose component has one of a lower id; all columns as they are.
+
+    Rows that repeat an id and a text go or stay together; texts without words stay.
+    """
     gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
     return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, same, "left_anti")

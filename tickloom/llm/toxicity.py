@@ -273,6 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     comes to the driver, whatever the corpus.  Weights are fitted with each half of
     the sample scored by terms learned from the other, so terms that only fit their
     own documents get no credit.
+
+    Null ids and null labels are left out; a document labelled twice is toxic if one
+    label says so; without both kinds of labels the fixed terms and plain weights
+    are used.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marked = marked.where("crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -331,7 +335,10 @@ def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text
 
 
 def reject_toxic(docs: DataFrame, model: Scorer) -> DataFrame:
-    """``docs`` without the rows scored THRESHOLD or more; all columns as they are."""
+    """``docs`` without the rows scored THRESHOLD or more; all columns as they are.
+
+    Null texts stay; repeated rows go or stay together; an empty table stays empty.
+    """
     terms, weights = model.terms, model.weights.tolist()
 
     def run(batches):
