@@ -124,6 +124,43 @@ def test_toxicity_odd_rows(spark, odd, clashing, empty, same_rows):
     assert toxicity.train(empty, labels.where("false")).score("") < 0.5
 
 
+def test_stems_are_met_with_an_error():
+    terms = {"réeuxa": True, "bomente": True, "idiot": False, "abcd": True}
+    trie = toxicity.FuzzyTrie(terms, set(terms))
+    rng = random.Random(3)
+    for _ in range(4000):
+        word = list(rng.choice(list(terms)) + "".join(rng.choice("aeno") for _ in range(rng.randrange(4))))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randrange(2)] = rng.choice(["", "a", "o", "t"])
+        word = "".join(word)
+        cost = {t: min(edits(word[:k], t) for k in range(len(word) + 1)) if stem else edits(word, t) for t, stem in terms.items()}
+        near = {t: e for t, e in cost.items() if e <= (len(t) >= toxicity.FUZZY_FROM)}
+        got = trie.find(word)
+        assert (got is None) == (not near)
+        assert got is None or got[0] == min(near.values()) == near[got[1]]
+
+
+def test_misspelled_learned_terms_count(spark):
+    """A word and a stem that only labels tell of, in any language, are met with an error too; a known clean word is none."""
+    rng = random.Random(6)
+
+    def plain(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+    toxic = [f"{plain(30)} {rng.choice(['blorfig', 'zwackel' + rng.choice(['en', 'st', 'te'])])} {plain(9)}" for _ in range(200)]
+    clean = [f"{plain(38)} zwacken" for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(toxic + clean))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "blorfig" in model.terms and "zwacken" in model.known
+    noise = plain(30)
+    for word in ("blorfig", "blorfg", "blorxig", "bloorfig", "zwakkelst", "zwackelst"):
+        assert model.score(f"{noise} {word}") >= toxicity.THRESHOLD, word
+    for word in ("", "zwacken", "blxrfxg"):
+        assert model.score(f"{noise} {word}") < toxicity.THRESHOLD, word
+
+
 # -- 7 -------------------------------------------------------------------------
 
 

@@ -27,8 +27,10 @@ SAMPLE_ROWS = 4000
 #: Terms that are learned, at most.
 LEARNED_TERMS = 2000
 SHORTEST, LONGEST = 4, 12
-#: Terms of the fixed list with so many letters are met with one error too.
+#: Terms with so many letters, fixed or learned, are met with one error too.
 FUZZY_FROM = 5
+#: (node, errors) pairs that an automaton's states may hold together.
+HELD = 2_000_000
 THRESHOLD = 0.7
 
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -53,12 +55,12 @@ class FuzzyTrie:
     terms reach on the word's letters; a letter may be matched, replaced, added or
     left out.  States and steps are remembered, so a word costs a look-up per
     letter, and most die after a few.  A term marked as a stem is met by any word
-    that begins with it, without errors; other terms by the whole word, with at
-    most one error if they have FUZZY_FROM letters or more and are among ``fuzzy``.
+    that begins with it, other terms by the whole word; either with at most one
+    error if it has FUZZY_FROM letters or more and is among ``fuzzy``.
     """
 
     def __init__(self, terms: dict[str, bool], fuzzy: set[str]):
-        self.fuzzy = {t for t in fuzzy if len(t) >= FUZZY_FROM and not terms.get(t)}
+        self.fuzzy = {t for t in fuzzy if len(t) >= FUZZY_FROM}
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[bool] = [False]
@@ -82,8 +84,9 @@ class FuzzyTrie:
         self._names: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._steps: list[dict[str, int]] = []
-        self._found: list[str | None] = []
-        self._stems: list[str | None] = []
+        self._found: list[tuple[int, str] | None] = []
+        self._stems: list[tuple[int, str] | None] = []
+        self._held = 0
         self.dead = self._name(frozenset())
         self.start = self._name(self._close({(0, 0)}))
 
@@ -104,10 +107,10 @@ class FuzzyTrie:
             self._names[items] = len(self._sets)
             self._sets.append(items)
             self._steps.append({})
-            ends = [(e, self.term[n]) for n, e in items if self.term[n] and e <= int(self.term[n] in self.fuzzy)]
-            self._found.append(min(ends) if ends else None)
-            stems = [self.term[n] for n, e in items if self.stem[n] and not e]
-            self._stems.append(stems[0] if stems else None)
+            self._held += len(items)
+            ends = [(e, self.term[n], self.stem[n]) for n, e in items if self.term[n] and e <= int(self.term[n] in self.fuzzy)]
+            self._found.append(min(((e, t) for e, t, _ in ends), default=None))
+            self._stems.append(min(((e, t) for e, t, is_stem in ends if is_stem), default=None))
         return self._names[items]
 
     def _step(self, state: int, c: str) -> int:
@@ -125,7 +128,7 @@ class FuzzyTrie:
 
     def find(self, word: str) -> tuple[int, str] | None:
         """(errors, term) of the best term the word meets, or None."""
-        if len(self._sets) > 200_000:  # bounded whatever the words are
+        if len(self._sets) > 200_000 or self._held > HELD:  # bounded whatever the words are
             self.__init__({t: s for t, s in zip(self.term, self.stem) if t}, self.fuzzy)
         state, steps, stems = self.start, self._steps, self._stems
         stem = None
@@ -133,20 +136,26 @@ class FuzzyTrie:
             nxt = steps[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
             if state == self.dead:
-                return (0, stem) if stem else None
-            stem = stems[state] or stem
-        return self._found[state] or ((0, stem) if stem else None)
+                return stem
+            if stems[state] and (stem is None or stems[state][0] <= stem[0]):
+                stem = stems[state]
+        found = self._found[state]
+        return stem if found is None or (stem and stem[0] < found[0]) else found
 
 
-FEATURES = ["bias", "log_strong", "share_strong", "log_weak", "share_weak", "log_fuzzy", "share_fuzzy", "any_strong"]
+FEATURES = ["bias", "log_strong", "share_strong", "log_weak", "share_weak", "log_fuzzy", "share_fuzzy", "log_faint", "share_faint", "any_strong"]
 
 
 class Scorer:
-    """Features and score of a text; ``strong`` terms are seldom or never met in clean text."""
+    """Features and score of a text; ``strong`` terms are seldom or never met in clean text.
 
-    def __init__(self, terms: dict[str, tuple[bool, bool]], weights: list[float]):
-        self.terms, self.weights = terms, np.array(weights)
-        trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(SEED_TERMS))
+    Words of ``known`` are words of their own that clean text has, so they are no
+    misspelling of a term.
+    """
+
+    def __init__(self, terms: dict[str, tuple[bool, bool]], weights: list[float], known: frozenset[str] = frozenset()):
+        self.terms, self.weights, self.known = terms, np.array(weights), known
+        trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms))
         reporting, addressing = set(REPORTING), set(ADDRESSING)
 
         def kind(raw: bytes):
@@ -158,10 +167,10 @@ class Scorer:
             if plain in addressing:
                 return ("address", False)
             hit = trie.find(plain) if plain else None
-            if hit is None:
+            if hit is None or (hit[0] and plain in known):
                 return ("quote", False) if word[0] in QUOTES or word[-1] in QUOTES else None
             errors, term = hit
-            group = "fuzzy" if errors else "strong" if terms[term][1] else "weak"
+            group = ("fuzzy" if errors else "strong") if terms[term][1] else "faint" if errors else "weak"
             return (group, word[0] in QUOTES and word.rstrip(".,;:!?")[-1] in QUOTES)
 
         self.kind = Memo(kind, 300_000, "toxicity")
@@ -187,13 +196,23 @@ class Scorer:
             out.append((i, group, weight))
         return len(words), out
 
+    def misspelled(self, text: str) -> str | None:
+        """The text with a letter left out of each word that meets a term exactly and may meet it with an error; None if there is none."""
+        words, changed = text.split(), False
+        for i, word in enumerate(words):
+            kind = self.kind[word.encode()]
+            plain = normal(word)
+            if kind and kind[0] in ("strong", "weak") and len(plain) >= FUZZY_FROM:
+                words[i], changed = word.casefold().replace(plain, plain[:2] + plain[3:]), True
+        return " ".join(words) if changed else None
+
     def features(self, text: str) -> np.ndarray:
         n, found = self.matches(text)
-        total = {"strong": 0.0, "weak": 0.0, "fuzzy": 0.0}
+        total = {"strong": 0.0, "weak": 0.0, "fuzzy": 0.0, "faint": 0.0}
         for _, group, weight in found:
             total[group] += weight
         out = [1.0]
-        for group in ("strong", "weak", "fuzzy"):
+        for group in ("strong", "weak", "fuzzy", "faint"):
             out += [math.log1p(total[group]), 100 * total[group] / (n + 20)]
         return np.array([*out, float(total["strong"] >= 0.5)])
 
@@ -243,6 +262,13 @@ def learn_terms(texts: list[str], labels: list[int]) -> dict[str, tuple[bool, bo
     return {p: out[p] for p in keep}
 
 
+def known_words(texts: list[str], labels: list[int], terms: dict[str, tuple[bool, bool]]) -> frozenset[str]:
+    """Words of clean documents that are an error away from a term."""
+    trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms))
+    words = {normal(w) for t, y in zip(texts, labels) if not y for w in t.split()}
+    return frozenset(w for w in words if w and (trie.find(w) or (0,))[0])
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
     """Logistic regression by Newton steps with a ridge on all weights but the first."""
     w = np.zeros(x.shape[1])
@@ -259,7 +285,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int =
 
 
 #: Weights where there is nothing to learn from: strong matches decide.
-PLAIN_WEIGHTS = [-3.0, 4.0, 0.5, 1.0, 0.1, 1.0, 0.1, 2.0]
+PLAIN_WEIGHTS = [-3.0, 4.0, 0.5, 1.0, 0.1, 1.0, 0.1, 0.0, 0.0, 2.0]
 
 
 def held_out(doc_id) -> bool:
@@ -287,14 +313,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     seeds = {t: (False, True) for t in SEED_TERMS}
     if not rows or y.min() == y.max():
         return Scorer(seeds, PLAIN_WEIGHTS)
+
+    def learned(some: list[str], marks: list[int], weights: list[float]) -> Scorer:
+        terms = seeds | learn_terms(some, marks)
+        return Scorer(terms, weights, known_words(some, marks, terms))
+
     half = np.array([zlib.crc32(t.encode()) % 2 for t in texts])
     x = np.zeros((len(rows), len(FEATURES)))
+    more, more_y = [], []
     for side in (0, 1):
         mine, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
-        scorer = Scorer(seeds | learn_terms([texts[i] for i in other], [int(y[i]) for i in other]), PLAIN_WEIGHTS)
+        scorer = learned([texts[i] for i in other], [int(y[i]) for i in other], PLAIN_WEIGHTS)
         for i in mine:
             x[i] = scorer.features(texts[i])
-    model = Scorer(seeds | learn_terms(texts, [int(v) for v in y]), fit_weights(x, y).tolist())
+            copy = scorer.misspelled(texts[i])
+            if copy is not None:
+                more.append(scorer.features(copy))
+                more_y.append(y[i])
+    x, fit_y = np.vstack([x, *more]), np.concatenate([y, more_y])
+    model = learned(texts, [int(v) for v in y], fit_weights(x, fit_y).tolist())
     del rows, texts, scorer
     give_back()
     return model
@@ -303,11 +340,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 _SCORERS: dict[tuple, Scorer] = {}
 
 
-def _scorer(terms: dict, weights: list[float]) -> Scorer:
-    key = (tuple(sorted(terms.items())), tuple(weights))
+def _scorer(terms: dict, weights: list[float], known: frozenset[str]) -> Scorer:
+    key = (tuple(sorted(terms.items())), tuple(weights), known)
     if key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = Scorer(terms, weights)
+        _SCORERS[key] = Scorer(terms, weights, known)
     return _SCORERS[key]
 
 
@@ -318,11 +355,11 @@ def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text
     tasks.  Null and empty texts have no match and the score of that.  Repeated rows
     each give a row; an empty table none.
     """
-    terms, weights = model.terms, model.weights.tolist()
+    terms, weights, known = model.terms, model.weights.tolist(), model.known
 
     def run(batches):
         claim("toxicity")
-        tool = _scorer(terms, weights)
+        tool = _scorer(terms, weights, known)
         for batch in (part for whole in batches for part in pieces_of(whole)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             scores = [tool.score(t or "") for t in texts]
@@ -339,11 +376,11 @@ def reject_toxic(docs: DataFrame, model: Scorer) -> DataFrame:
 
     Null texts stay; repeated rows go or stay together; an empty table stays empty.
     """
-    terms, weights = model.terms, model.weights.tolist()
+    terms, weights, known = model.terms, model.weights.tolist(), model.known
 
     def run(batches):
         claim("toxicity")
-        tool = _scorer(terms, weights)
+        tool = _scorer(terms, weights, known)
         for batch in (part for whole in batches for part in pieces_of(whole)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([t is None or tool.score(t) < THRESHOLD for t in texts], pa.bool_()))
