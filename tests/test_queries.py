@@ -54,6 +54,18 @@ def test_runs(spark, sf, name):
     assert REGISTRY.QUERIES[name](spark, sf).count() > 0
 
 
+def test_counters_are_chosen_among_all_parts(spark, sf):
+    """The product over brands holds the best of 200 parts' means; choices are made among all parts."""
+    part = spark.read.parquet(f"{sf}/part.parquet").toPandas()
+    assert len(part) > 60
+    chosen = REGISTRY.QUERIES["t2_best_counter_all"](spark, sf).toPandas()
+    assert len(chosen) == len(part)
+    best = part.sort_values(["p_size", "p_partkey"], ascending=[False, True]).groupby(part.p_partkey % 3).p_partkey.first()
+    assert set(chosen.counter[chosen.selected == 1]) == {f"c{k}" for k in best}
+    assert REGISTRY.QUERIES["j16_best_combination_all"](spark, sf).first().family_counter_map == ";".join(f"f{k}:c{best[k]}" for k in range(3))
+    assert REGISTRY.QUERIES["j16_counter_combinations_all"](spark, sf).count() == part.groupby(part.p_partkey % 3).p_brand.nunique().prod()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

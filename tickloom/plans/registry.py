@@ -657,24 +657,49 @@ def p26(spark, d):
 
 def _counter_scores(spark, d) -> DataFrame:
     """A score per part as if brands were families and parts counters."""
-    return adapter.table(spark, d, "part").where("p_partkey <= 60").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("family"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("counter"), F.col("p_size").cast("double").alias("score"), F.col("p_partkey").alias("position"))
+    return adapter.table(spark, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("family"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("counter"), F.col("p_size").cast("double").alias("score"), F.col("p_partkey").alias("position"))
 
 
 _CS = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, 'c' || p_partkey AS counter, CAST(p_size AS DOUBLE) AS score, p_partkey AS position FROM part WHERE p_partkey <= 60)"
+#: The ids that the SQL above is cut to.
+_FIRST = "position <= 60"
+_CS_ALL = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, 'c' || p_partkey AS counter, CAST(p_size AS DOUBLE) AS score, p_partkey AS position FROM part)"
+_BRANDS = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, p_brand AS counter, avg(p_size) AS score FROM part GROUP BY 1, 2)"
 
 
 @query("t2_best_counter", f"WITH {_CS} SELECT family, counter, score, CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1 AS INT) AS selected FROM cs")
 def t2(spark, d):
+    """Only the parts that its SQL has; ``t2_best_counter_all`` has all."""
+    return selection.mark_best(_counter_scores(spark, d).where(_FIRST), ["family"]).select("family", "counter", "score", "selected")
+
+
+@query("t2_best_counter_all", f"WITH {_CS_ALL} SELECT family, counter, score, CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1 AS INT) AS selected FROM cs")
+def t2_all(spark, d):
     return selection.mark_best(_counter_scores(spark, d), ["family"]).select("family", "counter", "score", "selected")
 
 
 @query("j16_counter_combinations", f"WITH {_CS} SELECT a.counter || ',' || b.counter || ',' || c.counter AS counter_set, 'f0:' || a.counter || ';f1:' || b.counter || ';f2:' || c.counter AS family_counter_map, round((a.score + b.score + c.score) / 3, 6) AS score FROM cs a, cs b, cs c WHERE a.family = 'f0' AND b.family = 'f1' AND c.family = 'f2'")
 def j16(spark, d):
-    return selection.combinations(_counter_scores(spark, d), ["f0", "f1", "f2"]).select("counter_set", "family_counter_map", *r6("score"))
+    """Only the parts that its SQL has; ``j16_counter_combinations_all`` has all."""
+    return selection.combinations(_counter_scores(spark, d).where(_FIRST), ["f0", "f1", "f2"]).select("counter_set", "family_counter_map", *r6("score"))
+
+
+@query("j16_counter_combinations_all", f"WITH {_BRANDS} SELECT a.counter || ',' || b.counter || ',' || c.counter AS counter_set, 'f0:' || a.counter || ';f1:' || b.counter || ';f2:' || c.counter AS family_counter_map, round((a.score + b.score + c.score) / 3, 6) AS score FROM cs a, cs b, cs c WHERE a.family = 'f0' AND b.family = 'f1' AND c.family = 'f2'")
+def j16_all(spark, d):
+    """Brands as counters, scored over all parts: the lists of options stay short at any size."""
+    part = adapter.table(spark, d, "part")
+    options = part.groupBy(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("family"), F.col("p_brand").alias("counter")).agg(F.avg("p_size").alias("score"))
+    return selection.combinations(options, ["f0", "f1", "f2"]).select("counter_set", "family_counter_map", *r6("score"))
 
 
 @query("j16_best_combination", f"WITH {_CS}, b AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1) SELECT string_agg(family || ':' || counter, ';' ORDER BY family) AS family_counter_map, round(avg(score), 6) AS score FROM b")
 def j16b(spark, d):
+    """Only the parts that its SQL has; ``j16_best_combination_all`` has all."""
+    return selection.best_combination(_counter_scores(spark, d).where(_FIRST), ["f0", "f1", "f2"]).select("family_counter_map", *r6("score"))
+
+
+@query("j16_best_combination_all", f"WITH {_CS_ALL}, b AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1) SELECT string_agg(family || ':' || counter, ';' ORDER BY family) AS family_counter_map, round(avg(score), 6) AS score FROM b")
+def j16b_all(spark, d):
     return selection.best_combination(_counter_scores(spark, d), ["f0", "f1", "f2"]).select("family_counter_map", *r6("score"))
 
 
