@@ -66,6 +66,12 @@ def test_counters_are_chosen_among_all_parts(spark, sf):
     assert REGISTRY.QUERIES["j16_counter_combinations_all"](spark, sf).count() == part.groupby(part.p_partkey % 3).p_brand.nunique().prod()
 
 
+def test_aliases_are_resolved_beyond_the_first_ids(spark, tmp_path):
+    spark.range(500, 900).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.family: r.priority for r in REGISTRY.QUERIES["t8_first_supported_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"f{k}": min(i for i in range(500, 900, 2) if i % 7 == k) for k in range(7)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

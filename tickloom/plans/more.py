@@ -184,7 +184,16 @@ def t6(spark, d):
 
 @query("t8_first_supported", "SELECT 'f' || (p_partkey % 7) AS family, min(p_partkey) FILTER (p_partkey % 2 = 0) AS priority, count(*) FILTER (p_partkey % 2 = 0) > 0 AS supported FROM part WHERE p_partkey <= 70 GROUP BY 1")
 def t8(spark, d):
-    part = adapter.table(spark, d, "part").where("p_partkey <= 70")
+    """Only the parts that its SQL has; ``t8_first_supported_all`` has all."""
+    return _first_supported(adapter.table(spark, d, "part").where("p_partkey <= 70"))
+
+
+@query("t8_first_supported_all", "SELECT 'f' || (p_partkey % 7) AS family, min(p_partkey) FILTER (p_partkey % 2 = 0) AS priority, count(*) FILTER (p_partkey % 2 = 0) > 0 AS supported FROM part GROUP BY 1")
+def t8_all(spark, d):
+    return _first_supported(adapter.table(spark, d, "part"))
+
+
+def _first_supported(part):
     candidates = part.select(F.concat(F.lit("f"), (F.col("p_partkey") % 7).cast("string")).alias("family"), F.concat(F.lit("Event "), F.col("p_partkey").cast("string")).alias("event_name"), F.col("p_partkey").alias("priority"))
     supported = candidates.where("priority % 2 = 0").select(fn.normal_event(F.col("event_name")).alias("normal"))
     return planning.resolve_aliases(candidates, supported).select("family", "priority", "supported")
