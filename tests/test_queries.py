@@ -72,6 +72,13 @@ def test_aliases_are_resolved_beyond_the_first_ids(spark, tmp_path):
     assert got == {f"f{k}": min(i for i in range(500, 900, 2) if i % 7 == k) for k in range(7)}
 
 
+def test_all_rows_are_sorted(spark, sf):
+    want = sorted((r.timestamp_ms, r.cpu_or_core_id, r.run_id) for r in REGISTRY.frames.wide(spark, sf).select("timestamp_ms", "cpu_or_core_id", "run_id").collect())
+    got = sorted(REGISTRY.QUERIES["t1_sorted_rows_all"](spark, sf).collect(), key=lambda r: r.row_index)
+    assert len(want) > 100 and [r.row_index for r in got] == list(range(len(want)))
+    assert [(r.timestamp_ms, r.cpu_or_core_id, r.run_id) for r in got] == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

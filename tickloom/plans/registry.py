@@ -882,9 +882,15 @@ def m29(spark, d):
 
 @query("t1_sorted_rows", sql("wide", "SELECT run_id, timestamp_ms, cpu_or_core_id FROM wide ORDER BY timestamp_ms, cpu_or_core_id, run_id LIMIT 100"))
 def t1(spark, d):
+    """Only the rows that its SQL has; ``t1_sorted_rows_all`` has all."""
     return frames.wide(spark, d).select("run_id", "timestamp_ms", "cpu_or_core_id").orderBy("timestamp_ms", "cpu_or_core_id", "run_id").limit(100)
 
 
+@query("t1_sorted_rows_all", sql("wide", "SELECT run_id, timestamp_ms, cpu_or_core_id, row_number() OVER (ORDER BY timestamp_ms, cpu_or_core_id, run_id) - 1 AS row_index FROM wide"))
+def t1_all(spark, d):
+    return sequences.with_row_index(frames.wide(spark, d).select("run_id", "timestamp_ms", "cpu_or_core_id"), ["timestamp_ms", "cpu_or_core_id", "run_id"])
+
+
 @query("h11_row_numbers", sql("wide", "SELECT run_id, timestamp_ms, row_number() OVER (ORDER BY timestamp_ms, run_id) - 1 AS row_index FROM wide"))
 def h11(spark, d):
     return sequences.with_row_index(frames.wide(spark, d).select("run_id", "timestamp_ms"), ["timestamp_ms", "run_id"])
