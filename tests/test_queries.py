@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -79,6 +80,18 @@ def test_all_rows_are_sorted(spark, sf):
     assert [(r.timestamp_ms, r.cpu_or_core_id, r.run_id) for r in got] == want
 
 
+def test_leave_one_out_assigns_every_run(spark, sf):
+    users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    got = REGISTRY.QUERIES["x5_leave_one_out_all"](spark, sf).collect()
+    others = sorted(f"run_{u}" for u in users if u % 7 != 3)
+    np.random.default_rng(31).shuffle(others)
+    n, train, val = len(others), round(0.85 * len(others)), round(0.15 * len(others))
+    if train + val >= n:  # as the source has it: the last one is tested then
+        train, val = n - 1, 0
+    want = {f"run_{u}": "test" for u in users if u % 7 == 3} | {run: "train" if i < train else "val" if i < train + val else "test" for i, run in enumerate(others)}
+    assert len(got) == len(want) and {r.run_id: r.split for r in got} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

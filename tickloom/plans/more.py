@@ -214,11 +214,18 @@ def x2(spark, d):
 
 @query("x5_leave_one_out", "SELECT DISTINCT 'run_' || user_id AS run_id, 'test' AS split FROM events WHERE user_id % 7 = 3")
 def x5(spark, d):
+    """Only the held-out runs, as its SQL; ``x5_leave_one_out_all`` has all."""
     rows = frames.base(spark, d).withColumn("concurrent_group_id", F.col("run_id"))
     held = rows.where("workload = 'w3'").select("run_id").distinct()
     return splits.leave_one_out(rows, "w3").join(held, "run_id", "left_semi")
 
 
+@query("x5_leave_one_out_all")
+def x5_all(spark, d):
+    """Every run to a split; the runs that are not held out are drawn by NumPy, so rows only."""
+    return splits.leave_one_out(frames.base(spark, d).withColumn("concurrent_group_id", F.col("run_id")), "w3")
+
+
 @query("v2_file_digests")
 def v2(spark, d):
     """SHA-256 of the tables' files; SQL does not read raw files."""
