@@ -56,6 +56,18 @@ def test_both_joins_agree(spark, bench):
     assert want <= {(r[0], r[2]) for r in a}
 
 
+def test_short_and_slot_only_items(spark, bench):
+    more = [(20, "Quite different"), (21, "one two three four"), (22, "Oslo 12 km Rome 40 km Bern 7 kg Paris 9 kg"), (23, "3 kg")]
+    items = bench.unionByName(spark.createDataFrame(more, "item_id long, text string"))
+    texts = ["this is Quite different from it", "a b one two three four c d e", "one two three four", "one two four three and more", "so far: oslo 12 km Rome 40 km Bern 7 kg Paris 9 kg and so on", "Oslo 40 km Rome 12 km Bern 9 kg Paris 7 kg", "it has 3 kg or so of it", "it has 4 kg or so of it", "x 1 2 3 4 5 6 7 8 9 y"]
+    want = {(0, 20), (1, 21), (2, 21), (4, 22), (6, 23), (8, 13)}
+    for limit in (decontam.BROADCAST_WINDOWS, 0):
+        got = leaked(spark, items, *texts, inside=True, broadcast_windows=limit)
+        assert set(got) == want and all(r.verbatim for r in got.values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in decontam.drop_leaks(docs, items).collect()} == {3, 5, 7}
+
+
 def test_leaks_of_odd_rows(odd, clashing, empty, bench):
     assert decontam.leaks(odd, bench).count() == decontam.leaks(clashing, bench).count() == decontam.leaks(empty, bench).count() == 0
     assert decontam.leaks(odd, bench.where("false")).count() == 0

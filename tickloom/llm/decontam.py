@@ -30,6 +30,8 @@ UNITS = set(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*([a-z%°]{0,3})$")
 _END = ".!?:;"
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\0number", b"\0name", b"\0unit"))
+#: Tells windows of plain words from those of templates.
+_PLAIN = np.uint64(xxhash.xxh3_64_intdigest(b"\0plain"))
 #: Bits of a word's nature.
 EMPTY, NUMBER, UNIT, CAPITAL, ENDS = 1, 2, 4, 8, 16
 
@@ -98,22 +100,23 @@ class Words:
 _WORDS = Words()
 
 
-def _windows(text: str | None, size: int):
-    """(window hashes, literal words in each, plain hashes, slots) with windows of at most ``size`` words."""
+def _windows(text: str | None, size: int, short=(), plainly: bool = True):
+    """For the width ``size`` (or the whole text, if shorter) and each width of ``short`` that the text has: (width, template window hashes, literal words in each, plain window hashes, slot flags, plain hashes)."""
     hashes, plain, slot, literal = _WORDS.template(text or "")
-    width = min(size, len(hashes))
-    if not width:
-        return hashes, hashes, plain, slot, 0
-    found = windows(hashes, width)
     run = np.concatenate(([0], np.cumsum(literal)))
-    return found, run[width:] - run[:-width], plain, slot, width
+    for width in sorted({min(size, len(hashes)), *[w for w in short if w < len(hashes)]}):
+        if width:
+            yield width, windows(hashes, width), run[width:] - run[:-width], windows(plain, width) ^ _PLAIN if plainly else None, slot, plain
 
 
-_SCHEMA = "doc_id long, version long, pos int, h long, slots array<long>"
+_SCHEMA = "doc_id long, version long, pos int, h long, slots array<long>, width int, plain boolean"
 
 
-def _scan(size: int, known):
-    """Windows with at least two literal words (all, if the text is shorter); ``known``: sorted hashes to keep, or None for all."""
+def _scan(size: int, known, short=(), plainly: bool = True, benchmark: bool = False):
+    """Template windows with at least two literal words (all, if the window is shorter) and plain windows; ``known``: sorted hashes to keep, or None for all.
+
+    Texts of the ``benchmark`` have plain windows only if they are shorter or have no such template window.
+    """
 
     def run(batches):
         claim("decontam")
@@ -124,34 +127,47 @@ def _scan(size: int, known):
             shift = np.uint64(64 - bits)
             seen = np.zeros(1 << bits, dtype=bool)
             seen[wanted >> shift] = True
+
+        def kept(found, good):
+            if wanted is None or not len(found):
+                return np.flatnonzero(good)
+            at = np.flatnonzero(good & seen[found >> shift])
+            if len(at) and len(wanted):
+                near = np.searchsorted(wanted, found[at])
+                near[near == len(wanted)] = 0
+                at = at[wanted[near] == found[at]]
+            return at
+
         for batch in (part for whole in batches for part in pieces_of(whole)):
             keys, versions, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
+
+            def put(key, version, at, found, slots, width, is_plain):
+                out[0].extend([key] * len(at))
+                out[1].extend([version] * len(at))
+                out[2].extend(at.tolist())
+                out[3].extend(found[at].view(np.int64).tolist())
+                out[4].extend(slots)
+                out[5].extend([width] * len(at))
+                out[6].extend([is_plain] * len(at))
+
             for key, version, text in zip(keys, versions, texts):
-                found, literal, plain, slot, width = _windows(text, size)
-                good = literal >= min(2, width)
-                if wanted is not None and len(found):
-                    good &= seen[found >> shift]
-                    at = np.flatnonzero(good)
-                    if len(at) and len(wanted):
-                        near = np.searchsorted(wanted, found[at])
-                        near[near == len(wanted)] = 0
-                        at = at[wanted[near] == found[at]]
-                else:
-                    at = np.flatnonzero(good)
-                if len(at):
-                    out[0] += [key] * len(at)
-                    out[1] += [version] * len(at)
-                    out[2] += at.tolist()
-                    out[3] += found[at].view(np.int64).tolist()
-                    signed = plain.view(np.int64)
-                    out[4] += [signed[i : i + width][slot[i : i + width]].tolist() for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))], names=["doc_id", "version", "pos", "h", "slots"])
+                for width, found, literal, whole, slot, plain in _windows(text, size, short, plainly):
+                    at = kept(found, literal >= min(2, width))
+                    if len(at):
+                        signed = plain.view(np.int64)
+                        put(key, version, at, found, [signed[i : i + width][slot[i : i + width]].tolist() for i in at.tolist()], width, False)
+                    if whole is not None and not (benchmark and width == size and len(at)):
+                        at = kept(whole, np.ones(len(whole), dtype=bool))
+                        if len(at):
+                            put(key, version, at, whole, [[]] * len(at), width, True)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "version", "pos", "h", "slots", "width", "plain"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE, consistent: float = CONSISTENT, broadcast_windows: int = BROADCAST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE, consistent: float = CONSISTENT, broadcast_windows: int = BROADCAST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", inside: bool = False) -> DataFrame:
     """A row for each (document, benchmark item) where the item leaked.
 
     ``doc_id, version, item_id, n_windows, n_matched, containment, n_slots,
@@ -165,33 +181,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     Benchmark windows are counted first.  Up to ``broadcast_windows`` their hashes
     go to the tasks as a sorted array, and only hits are shuffled; beyond, windows
     of the corpus are shuffled to a hash join.  Windows with fewer than two literal
-    words say nothing and are left out.  Items and documents without such a window
-    (null, empty) are in no pair.  Rows that repeat an id and a text count once;
+    words say nothing and are left out.  An item without any other window (numbers,
+    units, names) or of fewer words than ``size`` is met by windows of its words as
+    they are, but for case, too.  The latter is one window; it is met in texts of as
+    many words, with ``inside`` in longer ones too.  Items and documents without words (null,
+    empty) are in no pair.  Rows that repeat an id and a text count once;
     rows of one id and other texts are told apart by ``version``; empty tables
     give no rows.
     """
     spark = docs.sparkSession
 
-    def rows(df, key, text, known):
+    def rows(df, key, text, **kw):
         plain = id_text(df, key, text).withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
-        return plain.mapInArrow(_scan(size, known), _SCHEMA)
+        return plain.mapInArrow(_scan(size, **kw), _SCHEMA)
 
-    items = cut(rows(benchmark, item_col, item_text_col, None).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")).distinct())
-    sizes = items.groupBy("item_id", "item_version").agg(F.countDistinct("h").alias("n_windows"))
+    items = cut(rows(benchmark, item_col, item_text_col, known=None, benchmark=True).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "width", "plain").distinct())
+    seen = items.select("width", "plain").distinct().collect()
+    short = sorted({r["width"] for r in seen if r["width"] < size}) if inside else []
+    sizes = items.groupBy("item_id", "item_version", "plain").agg(F.countDistinct("h").alias("n_windows"))
     distinct = items.select("h").distinct()
     known = None
     if distinct.count() <= broadcast_windows:
         known = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in distinct.collect()], dtype=np.int64).view(np.uint64)))
     # both the counts and the slots need the hits, which are few: the corpus is read once
-    hits = cut(rows(docs, id_col, text_col, known).distinct())
+    hits = cut(rows(docs, id_col, text_col, known=known, short=short, plainly=any(r["plain"] for r in seen)).drop("width", "plain").distinct())
     met = hits.join(F.broadcast(items) if known is not None else items, "h")
     pair = ["doc_id", "version", "item_id", "item_version"]
-    counted = met.groupBy(*pair).agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(sizes) if known is not None else sizes, ["item_id", "item_version"])
+    counted = met.groupBy(*pair, "plain").agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(sizes) if known is not None else sizes, ["item_id", "item_version", "plain"])
     enough = cut(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)))
     # the slots of the pairs that are left, a row for each aligned pair of values
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"e.{c}")) for c in pair]
     slots = (
-        met.where("size(slots) > 0").alias("m").join(enough.alias("e"), same, "left_semi")
+        met.where("size(slots) > 0").alias("m").join(enough.where("not plain").alias("e"), same, "left_semi")
         .select(*[F.col(f"m.{c}") for c in pair], (F.col("m.pos") - F.col("m.item_pos")).alias("offset"), F.explode(F.arrays_zip(F.col("m.item_slots").alias("ours"), F.col("m.slots").alias("theirs"))).alias("z"))
         .select(*pair, "offset", F.col("z.ours").alias("ours"), F.col("z.theirs").alias("theirs"))
         .distinct()
@@ -199,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     by_value = slots.groupBy(*pair, "offset", "ours").agg(F.count("*").alias("n"), F.max((F.col("ours") != F.col("theirs")).cast("int")).alias("changed"))
     by_pair = by_value.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.sum("n").alias("n_pairs"), F.max("changed").alias("changed"))
     e, s = enough.alias("e"), by_pair.alias("s")
-    joined = e.join(s, [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in pair], "left")
+    joined = e.join(s, [*[F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in pair], ~F.col("e.plain")], "left")
     out = joined.select(
         "e.doc_id", "e.version", "e.item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.col("n_slots") / F.col("n_pairs"), F.lit(1.0)).alias("slot_consistency"), (F.coalesce("changed", F.lit(0)) == 0).alias("verbatim"),
@@ -212,13 +233,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows of one id and other texts are told apart; null and empty texts stay.
     """
-    found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
+    found = cut(leaks(docs, benchmark, inside=True).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
     clean = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
     return docs.join(F.broadcast(found) if found.count() <= 1_000_000 else found, clean, "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), inside=True)
     return found.drop("version")
 
 
