@@ -1,6 +1,8 @@
 """Every query with SQL gives the rows of its SQL; the others give rows."""
 
+import hashlib
 import os
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -92,6 +94,16 @@ def test_leave_one_out_assigns_every_run(spark, sf):
     assert len(got) == len(want) and {r.run_id: r.split for r in got} == want
 
 
+def test_files_of_every_table_are_digested(spark, sf, tmp_path):
+    (tmp_path / "a.parquet").write_bytes(b"one")
+    (tmp_path / "b.parquet").mkdir()
+    (tmp_path / "b.parquet" / "part-0.parquet").write_bytes(b"two")
+    for folder in (sf, str(tmp_path)):
+        files = [p.read_bytes() for p in Path(folder).rglob("*.parquet") if p.is_file()]
+        got = sorted((r.length, r.sha256) for r in REGISTRY.QUERIES["v2_file_digests"](spark, folder).collect())
+        assert got == sorted((len(b), hashlib.sha256(b).hexdigest()) for b in files)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

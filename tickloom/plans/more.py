@@ -228,8 +228,8 @@ def x5_all(spark, d):
 
 @query("v2_file_digests")
 def v2(spark, d):
-    """SHA-256 of the tables' files; SQL does not read raw files."""
-    return readers.file_digests(spark, d, "region.parquet").select("length", "sha256")
+    """SHA-256 of the files of every table, in one file or a folder of parts; SQL does not read raw files."""
+    return readers.file_digests(spark, d, "*.parquet", nested=True).select("length", "sha256")
 
 
 @query("o9_representatives", "WITH x AS (SELECT p_brand AS grp, p_partkey AS column, p_retailprice AS score FROM part) SELECT grp, \"column\" FROM x QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, \"column\") = 1".replace("AS column", 'AS "column"'))

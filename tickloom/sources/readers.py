@@ -114,6 +114,6 @@ def resolve_directories(found: DataFrame, manifest: DataFrame) -> tuple[DataFram
     return found.join(listed, "directory", "left_semi"), found.join(listed, "directory", "left_anti")
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of each file."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, pattern: str = "*", nested: bool = False) -> DataFrame:
+    """SHA-256 of each file; ``nested``: of folders below too."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", nested).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
