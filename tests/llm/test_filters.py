@@ -68,6 +68,17 @@ def test_short_and_slot_only_items(spark, bench):
     assert {r.doc_id for r in decontam.drop_leaks(docs, items).collect()} == {3, 5, 7}
 
 
+def test_case_does_not_count(spark):
+    item = "Anna Berg met Carl Dorn in Oslo where Emil Frost sold Greta Holm 3 old maps of Kiel and Lund for 40 euros"
+    items = spark.createDataFrame([(1, item), (2, "Straße nach Kiel")], "item_id long, text string")
+    texts = [f"so {case(item)} it" for case in (str, str.upper, str.lower, str.title)] + ["ab STRASSE NACH KIEL hin", "straße nach kiel"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (decontam.BROADCAST_WINDOWS, 0):
+        got = decontam.leaks(docs, items, inside=True, broadcast_windows=limit).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
+        assert all(r.verbatim for r in got)
+
+
 def test_leaks_of_odd_rows(odd, clashing, empty, bench):
     assert decontam.leaks(odd, bench).count() == decontam.leaks(clashing, bench).count() == decontam.leaks(empty, bench).count() == 0
     assert decontam.leaks(odd, bench.where("false")).count() == 0

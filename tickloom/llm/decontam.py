@@ -68,7 +68,7 @@ class Words:
                 bits |= CAPITAL
         if word[-1] in _END or word.rstrip("\"'”’)»]")[-1:] in tuple(_END):
             bits |= ENDS
-        self.hashes.append(xxhash.xxh3_64_intdigest(low.encode()))
+        self.hashes.append(xxhash.xxh3_64_intdigest(core.casefold().encode()))
         self.bits.append(bits)
         return len(self.bits) - 1
 
@@ -112,11 +112,8 @@ def _windows(text: str | None, size: int, short=(), plainly: bool = True):
 _SCHEMA = "doc_id long, version long, pos int, h long, slots array<long>, width int, plain boolean"
 
 
-def _scan(size: int, known, short=(), plainly: bool = True, benchmark: bool = False):
-    """Template windows with at least two literal words (all, if the window is shorter) and plain windows; ``known``: sorted hashes to keep, or None for all.
-
-    Texts of the ``benchmark`` have plain windows only if they are shorter or have no such template window.
-    """
+def _scan(size: int, known, short=(), plainly: bool = True):
+    """Template windows with at least two literal words (all, if the window is shorter) and plain windows; ``known``: sorted hashes to keep, or None for all."""
 
     def run(batches):
         claim("decontam")
@@ -157,7 +154,7 @@ def _scan(size: int, known, short=(), plainly: bool = True, benchmark: bool = Fa
                     if len(at):
                         signed = plain.view(np.int64)
                         put(key, version, at, found, [signed[i : i + width][slot[i : i + width]].tolist() for i in at.tolist()], width, False)
-                    if whole is not None and not (benchmark and width == size and len(at)):
+                    if whole is not None:
                         at = kept(whole, np.ones(len(whole), dtype=bool))
                         if len(at):
                             put(key, version, at, whole, [[]] * len(at), width, True)
@@ -181,10 +178,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     Benchmark windows are counted first.  Up to ``broadcast_windows`` their hashes
     go to the tasks as a sorted array, and only hits are shuffled; beyond, windows
     of the corpus are shuffled to a hash join.  Windows with fewer than two literal
-    words say nothing and are left out.  An item without any other window (numbers,
-    units, names) or of fewer words than ``size`` is met by windows of its words as
-    they are, but for case, too.  The latter is one window; it is met in texts of as
-    many words, with ``inside`` in longer ones too.  Items and documents without words (null,
+    words say nothing and are left out.  Names are known by their case, so an item is
+    also met, at the same ``share``, by windows of its words as they are but for case;
+    such a pair has no slots and is ``verbatim``.  An item of fewer words than ``size``
+    is one window; it is met in texts of as many words, with ``inside`` in longer ones
+    too.  Items and documents without words (null,
     empty) are in no pair.  Rows that repeat an id and a text count once;
     rows of one id and other texts are told apart by ``version``; empty tables
     give no rows.
@@ -195,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
         plain = id_text(df, key, text).withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
         return plain.mapInArrow(_scan(size, **kw), _SCHEMA)
 
-    items = cut(rows(benchmark, item_col, item_text_col, known=None, benchmark=True).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "width", "plain").distinct())
+    items = cut(rows(benchmark, item_col, item_text_col, known=None).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "width", "plain").distinct())
     seen = items.select("width", "plain").distinct().collect()
     short = sorted({r["width"] for r in seen if r["width"] < size}) if inside else []
     sizes = items.groupBy("item_id", "item_version", "plain").agg(F.countDistinct("h").alias("n_windows"))
@@ -222,10 +220,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     e, s = enough.alias("e"), by_pair.alias("s")
     joined = e.join(s, [*[F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in pair], ~F.col("e.plain")], "left")
     out = joined.select(
-        "e.doc_id", "e.version", "e.item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
+        *[f"e.{c}" for c in pair], "e.plain", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.col("n_slots") / F.col("n_pairs"), F.lit(1.0)).alias("slot_consistency"), (F.coalesce("changed", F.lit(0)) == 0).alias("verbatim"),
     )
-    return out.where(F.col("slot_consistency") >= consistent)
+    # a pair that is met both ways counts once, as a template
+    good = out.where(F.col("slot_consistency") >= consistent)
+    values = [c for c in good.columns if c not in (*pair, "plain")]
+    once = good.groupBy(*pair).agg(F.min_by(F.struct(*values), F.col("plain")).alias("r"))
+    return once.select("doc_id", "version", "item_id", "r.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
