@@ -54,9 +54,13 @@ def test_simple8b_density():
     assert len(simple8b.encode(np.empty(0, np.uint64))) == 0
 
 
+def test_added_tokens_as_the_library_takes_them():
+    coder = token_files.coder(token_files.default_tokenizer())
+    assert list(memoryview(coder.encode("a <|endoftext|> b")).cast("I")) == [64, 220, 50256, 275]
+
+
 def test_piecewise_equals_library(texts):
     tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     coder = token_files.coder(token_files.default_tokenizer())
     for text in texts:
         assert list(memoryview(coder.encode(text)).cast("I")) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
@@ -106,7 +110,6 @@ def test_token_files(spark, odd, clashing, empty, same_rows):
 
     got = same_rows(run, odd, clashing, empty)
     tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     by_id = {}
     for r in odd.collect():
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]

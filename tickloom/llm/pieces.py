@@ -17,9 +17,13 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def cut_text(text: str) -> list[str] | None:
     """Pieces as found in the text (with their leading space or line feed), or None if the rule does not apply."""
-    if " ".join(text.split()) != text.replace("\n", " "):
+    lines = text.replace("\n", " \n")
+    if lines.replace("\n", "").isprintable():  # then a space is the only white space beside line feeds
+        if "  " in lines or "\n " in lines or lines[:1] in " \n" or lines[:2] == " \n" or lines[-1:] in " \n":
+            return None
+    elif " ".join(text.split()) != text.replace("\n", " "):
         return None
-    pieces = text.replace("\n", " \n").split(" ")
+    pieces = lines.split(" ")
     # a piece that a space opened is kept without it; the first piece has none, so it is marked
     pieces[0] = " " + pieces[0]
     return pieces
@@ -36,12 +40,13 @@ class PieceCoder:
 
     ``token(str) -> bytes`` encodes one pre-token, ``text(str) -> bytes`` any text;
     both give ids as bytes.  A piece that is letters and then punctuation is one
-    pre-token or two; any other is encoded as a text.  The memo is emptied when it
-    holds ``limit`` pieces, so memory is bounded whatever the corpus.
+    pre-token or two; any other is encoded as a text, and so is a text that holds
+    one of the strings ``whole``.  The memo is emptied when it holds ``limit``
+    pieces, so memory is bounded whatever the corpus.
     """
 
-    def __init__(self, token, text, owner: str, limit: int = 800_000):
-        self.token, self.text = token, text
+    def __init__(self, token, text, owner: str, limit: int = 800_000, whole: tuple[str, ...] = ()):
+        self.token, self.text, self.whole = token, text, whole
         self.memo, self.tails = Memo(self._piece, limit, owner), Memo(token, 10_000, owner)
 
     def _piece(self, piece: str) -> bytes:
@@ -66,5 +71,5 @@ class PieceCoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = cut_text(text)
+        pieces = None if any(w in text for w in self.whole) else cut_text(text)
         return self.text(text) if pieces is None else b"".join(map(self.memo.__getitem__, pieces))

@@ -16,24 +16,37 @@ import numpy as np
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTHS = 60 // COUNTS
 ESCAPE = 15
+#: values that a word takes in, by selector (14 is not in use)
+_STEP = np.array([*COUNTS, 1, 1], dtype=np.uint8)
 _SHIFT = np.uint64(60)
 
 
+#: bits of each value below 2**16
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _best(values: np.ndarray) -> np.ndarray:
     """For each position the selector of the fullest word that can start there (ESCAPE if none)."""
     n = len(values)
-    if n and int(values.max()) < 2**52:
-        bits = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # exact below 2**53
+    top = int(values.max()) if n else 0
+    if top < 1 << 16:
+        bits = _BITS[values]
+    elif top < 2**52:
+        bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # exact below 2**53
     else:
-        bits = np.array([int(v).bit_length() for v in values.tolist()], dtype=np.int8)
+        bits = np.array([int(v).bit_length() for v in values.tolist()], dtype=np.uint8)
     best = np.full(n, ESCAPE, dtype=np.int8)
     best[bits <= 60] = 13
+    widest, have = bits, 1  # the most bits of the ``have`` values from each position on
     for s in range(12, -1, -1):
         count, width = int(COUNTS[s]), int(WIDTHS[s])
         if count > n:
             break
-        over = np.concatenate(([0], np.cumsum(bits > width, dtype=np.int32)))
-        fits = over[count:] == over[:-count]
+        while have < count:
+            step = min(have, count - have)
+            widest = np.maximum(widest[: n - have - step + 1], widest[step:])
+            have += step
+        fits = widest <= width
         if not fits.any():
             break
         best[: n - count + 1][fits] = s
@@ -54,7 +67,7 @@ def encode_streams(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     best = _best(values)
-    step = np.where(best == ESCAPE, 1, COUNTS[np.minimum(best, 13)]).tolist()
+    step = _STEP[best].tobytes()
     starts, first = [], []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         first.append((len(starts), lo))
@@ -74,11 +87,14 @@ def encode_streams(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
         mine = np.flatnonzero(chosen == s)
         if not len(mine):
             continue
-        word = np.full(len(mine), np.uint64(s) << _SHIFT, dtype=np.uint64)
-        for k in range(int(COUNTS[s])):
-            pos = at[mine] + k
-            word |= np.where(pos < ends[mine], padded[pos], np.uint64(0)) << np.uint64(k * int(WIDTHS[s]))
-        out[place[mine]] = word
+        over = at[mine] + int(COUNTS[s]) > ends[mine]
+        for some, last in ((mine[~over], False), (mine[over], True)):
+            word = np.full(len(some), np.uint64(s) << _SHIFT, dtype=np.uint64)
+            for k in range(int(COUNTS[s]) if len(some) else 0):
+                pos = at[some] + k
+                held = np.where(pos < ends[some], padded[pos], np.uint64(0)) if last else padded[pos]
+                word |= held << np.uint64(k * int(WIDTHS[s]))
+            out[place[some]] = word
     if heavy.any():
         out[place[heavy]] = np.uint64(ESCAPE) << _SHIFT
         out[place[heavy] + 1] = values[at[heavy]]

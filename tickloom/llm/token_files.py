@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ from .pieces import PieceCoder
 BLOCK_SCHEMA = "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, counts array<long>, offsets array<long>, words binary"
 #: A block is closed once it holds so many ids; a document is never split.
 BLOCK_IDS = 1 << 18
+#: Random keys that the ranges of ids are drawn from, for each part.
+PART_SAMPLE = 40
 
 _CODERS: dict[str, PieceCoder] = {}
 
@@ -45,7 +47,8 @@ def coder(path: str) -> PieceCoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        # a text with the string of an added token is encoded whole, as the library takes it
+        added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
         model, shown = tokenizer.model, byte_letters()
 
@@ -60,55 +63,89 @@ def coder(path: str) -> PieceCoder:
         def text(whole: str) -> bytes:
             return array("I", tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()
 
-        _CODERS[path] = PieceCoder(token, text, "token_files")
+        _CODERS[path] = PieceCoder(token, text, "token_files", whole=added)
     return _CODERS[path]
 
 
-def _encode_partition(path: str, end_id: int):
+_CODED = "part int, doc_id long, h long, row long, n_ids long, words binary"
+
+
+def _encode(path: str, end_id: int, bounds: list[tuple]):
+    """Each text's ids as Simple-8b words where the text lies, and the part that its place in the order falls into."""
+
     def run(batches):
         claim("token_files")
-        part = TaskContext.get().partitionId()
         encode = coder(path).encode
-        block, ids, doc_ids, held, done = 0, [], [], 0, 0
         end = np.array([end_id], dtype="<u4").tobytes()
-
-        def flush():
+        for batch in (part for whole in batches for part in pieces_of(whole)):
+            keys, hashes, rows, texts = (batch.column(i).to_pylist() for i in range(4))
+            ids = [encode(t or "") + end for t in texts]
             counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             values = np.frombuffer(b"".join(ids), dtype="<u4")
             words, offsets = simple8b.encode_streams(values, np.concatenate(([0], np.cumsum(counts))))
-            columns = [[part], [block], [done], [int(counts.sum())], [doc_ids], [counts.tolist()], [offsets.tolist()], [words.astype("<u8").tobytes()]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["part", "block", "start_in_part", "n_ids", "doc_ids", "counts", "offsets", "words"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-        for batch in batches:
-            rows = ((key, text) for part in pieces_of(batch) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-            for key, text in rows:
-                got = encode(text or "")
-                ids.append(got + end)
-                doc_ids.append(key)
-                held += len(got) // 4 + 1
-                if held >= BLOCK_IDS:
-                    yield flush()
-                    block, ids, doc_ids, held, done = block + 1, [], [], 0, done + held
-        if ids:
-            yield flush()
+            raw, cuts = words.astype("<u8", copy=False).tobytes(), (8 * offsets).tolist()
+            parts = [bisect.bisect_right(bounds, _key(k, h, r)) for k, h, r in zip(keys, hashes, rows)]
+            columns = [parts, keys, hashes, rows, counts.tolist(), [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "doc_id", "h", "row", "n_ids", "words"])
 
     return run
 
 
+def _key(doc_id, h, row) -> tuple:
+    """Order of documents: null ids first, rows of one id by hash of their text, equal rows by their place in the input."""
+    return (doc_id is not None, doc_id or 0, h, row)
+
+
+def _blocks(batches):
+    """Blocks of whole documents from coded rows in order; a part's rows are in one partition."""
+    block, done, held, doc_ids, counts, words = 0, 0, 0, [], [], []
+
+    def flush(part):
+        offsets = np.concatenate(([0], np.cumsum([len(w) // 8 for w in words])))
+        columns = [[part], [block], [done], [held], [doc_ids], [counts], [offsets.tolist()], [b"".join(words)]]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = ["part", "block", "start_in_part", "n_ids", "doc_ids", "counts", "offsets", "words"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    part = None
+    for batch in (some for whole in batches for some in pieces_of(whole)):
+        for part, key, n, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            doc_ids.append(key)
+            counts.append(n)
+            words.append(packed)
+            held += n
+            if held >= BLOCK_IDS:
+                yield flush(part)
+                block, done, held, doc_ids, counts, words = block + 1, done + held, 0, [], [], []
+    if doc_ids:
+        yield flush(part)
+
+
+def _bounds(keyed: DataFrame, parts: int) -> list[tuple]:
+    """``parts`` - 1 keys that cut the order into near equal counts, from PART_SAMPLE random rows a part."""
+    drawn = keyed.select("doc_id", "h", "row").orderBy(F.rand(7)).limit(PART_SAMPLE * parts).collect()
+    sample = sorted(_key(r["doc_id"], r["h"], r["row"]) for r in drawn)
+    return [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+
+
 def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write blocks under ``out`` in ascending id order.
 
-    Documents are dealt by range of id and sorted within a range, so files in order
-    of ``part`` and rows in order of ``block`` give all documents in order.  Files go
-    through Spark's writer (any store, committed once whatever tasks are run
-    again).  A null text is empty, so only the end id is written; null ids come
-    first; documents of one id follow each other in order of their text.
+    Texts are encoded and packed where they lie; only packed words are shuffled, by
+    range of id, and sorted within a range, so files in order of ``part`` and rows
+    in order of ``block`` give all documents in order.  The ranges come from a
+    bounded sample of keys, and rows of one id, equal ones too, may be dealt over
+    several ranges.  Files go through Spark's writer (any store, committed once
+    whatever tasks are run again).  A null text is empty, so only the end id is
+    written; null ids come first; documents of one id follow each other in order of
+    a hash of their text; an empty table gives no blocks.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_text(docs, id_col, text_col).repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.mapInArrow(_encode_partition(tokenizer or default_tokenizer(), end_id), BLOCK_SCHEMA).write.parquet(out)
+    keyed = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
+    coded = keyed.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id, _bounds(keyed, parts)), _CODED)
+    dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "h", "row").select("part", "doc_id", "n_ids", "words")
+    dealt.mapInArrow(_blocks, BLOCK_SCHEMA).write.parquet(out)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
