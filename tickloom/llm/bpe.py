@@ -7,13 +7,14 @@ import hashlib
 from array import array
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import claim, id_text, pieces_of, table
-from .pieces import PieceCoder
+from .common import claim, id_text, stretches, table
+from .pieces import PieceCoder, gather
 
 
 #: Pieces whose ids a worker process remembers.
@@ -89,7 +90,13 @@ class Bpe:
         self.bytes_of: list[bytes] = [b""] * size
         for k, i in self.ranks.items():
             self.bytes_of[i] = k
-        self.decimal = [str(i) for i in range(size)]
+        #: all tokens' bytes one after another, where each begins and how long it is
+        self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        #: decimal digits of each id and a space, filled up with zeros
+        self.decimal = np.array([f"{i} ".encode() for i in range(size)]).view(np.uint8).reshape(size, -1)
+        self.digits = (self.decimal > 0).sum(axis=1)
         self.coder = PieceCoder(self.token_bytes, self.text_bytes, "bpe", limit=memo)
 
     def pretoken(self, token: bytes) -> list[int]:
@@ -151,7 +158,16 @@ class Bpe:
         return memoryview(self.coder.encode(text)).cast("I")
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.asarray(ids, dtype=np.int64))[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and where each id's end."""
+        return gather(self.flat, self.start, self.size, ids)
+
+    def decimals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in decimal, a space after each, and where each ends."""
+        rows = self.decimal[ids]
+        return rows[rows > 0], np.cumsum(self.digits[ids])
 
 
 _BPES: dict[tuple[str, str, int], Bpe] = {}
@@ -174,13 +190,20 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
         claim("bpe")
         tool = bpe(ranks_path, pattern)
         for batch in batches:
-            for part in pieces_of(batch):
-                ids = [tool.encode(t or "").tolist() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for part in stretches(batch, 1):
+                ids, at = tool.coder.encode_column(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _digests(data: np.ndarray, ends: np.ndarray, tail: int, at: np.ndarray) -> list[str]:
+    """Digest of each text's stretch of ``data``, without ``tail`` bytes at its end; ``ends``: of each id, ``at``: bounds of texts in ids."""
+    view, cuts = memoryview(data), np.concatenate(([0], ends))[at].tolist()
+    return [hashlib.sha256(view[lo : max(lo, hi - tail)]).hexdigest() for lo, hi in zip(cuts, cuts[1:])]
+
+
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, memo: int = MEMO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode the ids, and give both digests.
 
@@ -194,14 +217,11 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
         claim("bpe")
         tool = bpe(ranks_path, pattern, memo)
         for batch in batches:
-            for part in pieces_of(batch):
-                counts, shas, decoded = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = tool.encode(text or "").tolist()
-                    counts.append(len(ids))
-                    shas.append(hashlib.sha256(" ".join(map(tool.decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(tool.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in stretches(batch, 1):
+                ids, at = tool.coder.encode_column(part.column(1))
+                shas = _digests(*tool.decimals(ids), 1, at)
+                decoded = _digests(*tool.decode_all(ids), 0, at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 

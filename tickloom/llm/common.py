@@ -8,6 +8,8 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +50,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 _MEMOS: dict[str, list[weakref.ref]] = {}
 
 
+def owned(owner: str, memo) -> None:
+    """Notes that ``memo`` (with a length and ``clear``) is the owner's, for :func:`claim`."""
+    _MEMOS.setdefault(owner, []).append(weakref.ref(memo))
+
+
 class Memo(dict):
     """Bounded memo of a pure function of the key; emptied when full, and when another owner claims the process."""
 
     def __init__(self, fn, limit: int, owner: str):
         super().__init__()
         self.fn, self.limit = fn, limit
-        _MEMOS.setdefault(owner, []).append(weakref.ref(self))
+        owned(owner, self)
 
     def __missing__(self, key):
         if len(self) >= self.limit:
@@ -92,6 +99,17 @@ def pieces_of(batch, rows: int = 256):
         yield batch.slice(lo, rows)
 
 
+def stretches(batch, column: int, most: int = 1 << 22):
+    """A record batch in runs of rows whose texts hold ``most`` bytes together, or one row if it is longer."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 #: 64-bit hash of a word's bytes, remembered per worker process.
 WORD_HASH = Memo(xxhash.xxh3_64_intdigest, 300_000, "shingles")
 

@@ -4,50 +4,88 @@ In the usual pattern a single space opens the next pre-token and a single line
 feed is one by itself, unless more white space is next to it.  A text whose only
 white space is single spaces and line feeds between other characters can thus be
 cut before each of them, and each piece be encoded by itself with the same
-result.  Pieces repeat, so their encodings are remembered.
+result.  Pieces repeat, so their encodings are remembered.  Any other text is
+encoded as a whole.
 """
 
 from __future__ import annotations
 
-from .common import Memo
+import re
 
-#: A letter followed by these is always a cut, whatever comes after them.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import Memo, owned
 
+#: White space other than a single space or line feed between characters.
+ODD = r"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Opens the first piece of a text; it is odd white space, so no piece has it.
+FIRST = "\x1c"
 
-def cut_text(text: str) -> list[str] | None:
-    """Pieces as found in the text (with their leading space or line feed), or None if the rule does not apply."""
-    lines = text.replace("\n", " \n")
-    if lines.replace("\n", "").isprintable():  # then a space is the only white space beside line feeds
-        if "  " in lines or "\n " in lines or lines[:1] in " \n" or lines[:2] == " \n" or lines[-1:] in " \n":
-            return None
-    elif " ".join(text.split()) != text.replace("\n", " "):
-        return None
-    pieces = lines.split(" ")
-    # a piece that a space opened is kept without it; the first piece has none, so it is marked
-    pieces[0] = " " + pieces[0]
-    return pieces
+#: A letter followed by these is always a cut, whatever comes after them.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def surface(piece: str) -> str:
-    """The stretch of text for a piece of :func:`cut_text`."""
+    """The stretch of text for a piece: a space that opened it was left out, a line feed not, and the first one is marked."""
     head = piece[:1]
-    return piece[1:] if head == " " else piece if head == "\n" else " " + piece
+    return piece[1:] if head == FIRST else piece if head == "\n" else " " + piece
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one after another, and where each ends."""
+    sizes = size[which]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start[which] - ends + sizes, sizes) + np.arange(total)], ends
+
+
+class Known:
+    """Pieces met and their ids, as arrays: ``keys`` and, for each, where its ids stand in ``flat`` and how many.
+
+    Holds ``limit`` pieces between columns; beyond it, the half met most often stays.
+    """
+
+    def __init__(self, limit: int, owner: str):
+        self.limit = limit
+        self.clear()
+        owned(owner, self)
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.string())
+        self.flat, self.size, self.met = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def add(self, keys: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, size))
+        self.met = np.concatenate((self.met, np.zeros(len(keys), np.int64)))
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            stays = np.sort(np.argpartition(-self.met, self.limit // 2)[: self.limit // 2])
+            flat, _ = gather(self.flat, np.cumsum(self.size) - self.size, self.size, stays)
+            self.keys, self.flat, self.size, self.met = self.keys.take(pa.array(stays)), flat, self.size[stays], self.met[stays] // 2
 
 
 class PieceCoder:
-    """Encodes texts by pieces.
+    """Encodes columns of texts by pieces.
 
     ``token(str) -> bytes`` encodes one pre-token, ``text(str) -> bytes`` any text;
-    both give ids as bytes.  A piece that is letters and then punctuation is one
-    pre-token or two; any other is encoded as a text, and so is a text that holds
-    one of the strings ``whole``.  The memo is emptied when it holds ``limit``
-    pieces, so memory is bounded whatever the corpus.
+    both give ids as little-endian 32-bit.  A piece that is letters and then
+    punctuation is one pre-token or two; any other is encoded as a text, and so is a
+    text that holds one of the strings ``whole``.  ``limit`` pieces are remembered
+    between columns, so memory is bounded whatever the corpus.
     """
 
     def __init__(self, token, text, owner: str, limit: int = 800_000, whole: tuple[str, ...] = ()):
-        self.token, self.text, self.whole = token, text, whole
-        self.memo, self.tails = Memo(self._piece, limit, owner), Memo(token, 10_000, owner)
+        self.token, self.text = token, text
+        self.odd = "|".join([ODD, *map(re.escape, whole)])
+        self.known = Known(limit, owner)
+        self.words, self.tails = Memo(token, max(1, limit // 4), owner), Memo(token, 10_000, owner)
 
     def _piece(self, piece: str) -> bytes:
         if piece[:1] == "\n":
@@ -56,20 +94,44 @@ class PieceCoder:
 
     def _chunk(self, chunk: str) -> bytes:
         core = chunk.rstrip(TAIL)
-        spaced = core[:1] == " "
-        if not (core[1:] if spaced else core).isalpha():
+        if not (core[1:] if core[:1] == " " else core).isalpha():
             return self.text(chunk) if chunk else b""
         if len(core) == len(chunk):
-            return self.token(core)
-        # the word alone is a piece of its own, and met with other punctuation too
-        alone = core[1:] if spaced else " " + core
-        known = self.memo.get(alone)
-        if known is None:
-            known = self.memo[alone] = self.token(core)
-        return known + self.tails[chunk[len(core) :]]
+            return self.words[core]
+        # the word is a pre-token of its own, and met with other punctuation too
+        return self.words[core] + self.tails[chunk[len(core) :]]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = None if any(w in text for w in self.whole) else cut_text(text)
-        return self.text(text) if pieces is None else b"".join(map(self.memo.__getitem__, pieces))
+        ids, _ = self.encode_column(pa.array([text], pa.string()))
+        return ids.tobytes()
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the bounds of each text; a null text has none.
+
+        Cutting and finding known pieces is left to Arrow; only distinct pieces that
+        are not known are Python strings.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd)) | (np.asarray(pc.binary_length(texts)) == 0)
+        plain = texts.filter(pa.array(~odd))
+        cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.replace_substring(plain, "\n", " \n"), ""), " ")
+        pieces, known = cut.flatten(), self.known
+        at = pc.index_in(pieces, value_set=known.keys)
+        found = np.array(pc.fill_null(at, -1), dtype=np.int64)
+        new = pieces.filter(pc.is_null(at)).dictionary_encode()
+        found[found < 0] = len(known) + np.asarray(new.indices)
+        values = list(map(self._piece, new.dictionary.to_pylist()))
+        known.add(new.dictionary, np.frombuffer(b"".join(values), dtype="<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4)
+        known.met += np.bincount(found, minlength=len(known))
+        whole = [self.text(t) if t else b"" for t in texts.filter(pa.array(odd)).to_pylist()]
+        units = np.ones(len(texts), dtype=np.int64)  # pieces of each text; an odd one is a piece by itself
+        units[~odd] = np.asarray(pc.list_value_length(cut))
+        which = np.empty(int(units.sum()), dtype=np.int64)
+        mine = np.repeat(odd, units)
+        which[~mine] = found
+        which[mine] = len(known) + np.arange(len(whole))
+        size = np.concatenate((known.size, np.fromiter(map(len, whole), np.int64, len(whole)) // 4))
+        flat = np.concatenate((known.flat, np.frombuffer(b"".join(whole), dtype="<u4"))) if whole else known.flat
+        ids, ends = gather(flat, np.cumsum(size) - size, size, which)
+        known.trim()
+        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(units)))]

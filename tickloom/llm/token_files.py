@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import claim, fresh_path, id_text, pieces_of, table
+from .common import claim, fresh_path, id_text, pieces_of, stretches, table
 from .pieces import PieceCoder
 
 #: One row of a file: a block of whole documents.  start_in_part: ids before it in its part; words: Simple-8b words, little-endian;
@@ -75,14 +75,12 @@ def _encode(path: str, end_id: int, bounds: list[tuple]):
 
     def run(batches):
         claim("token_files")
-        encode = coder(path).encode
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            keys, hashes, rows, texts = (batch.column(i).to_pylist() for i in range(4))
-            ids = [encode(t or "") + end for t in texts]
-            counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            values = np.frombuffer(b"".join(ids), dtype="<u4")
-            words, offsets = simple8b.encode_streams(values, np.concatenate(([0], np.cumsum(counts))))
+        encode = coder(path).encode_column
+        for batch in (part for whole in batches for part in stretches(whole, 3)):
+            keys, hashes, rows = (batch.column(i).to_pylist() for i in range(3))
+            ids, at = encode(batch.column(3))
+            counts = np.diff(at) + 1
+            words, offsets = simple8b.encode_streams(np.insert(ids, at[1:], end_id), np.concatenate(([0], np.cumsum(counts))))
             raw, cuts = words.astype("<u8", copy=False).tobytes(), (8 * offsets).tolist()
             parts = [bisect.bisect_right(bounds, _key(k, h, r)) for k, h, r in zip(keys, hashes, rows)]
             columns = [parts, keys, hashes, rows, counts.tolist(), [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]]
@@ -123,9 +121,9 @@ def _blocks(batches):
 
 
 def _bounds(keyed: DataFrame, parts: int) -> list[tuple]:
-    """``parts`` - 1 keys that cut the order into near equal counts, from PART_SAMPLE random rows a part."""
-    drawn = keyed.select("doc_id", "h", "row").orderBy(F.rand(7)).limit(PART_SAMPLE * parts).collect()
-    sample = sorted(_key(r["doc_id"], r["h"], r["row"]) for r in drawn)
+    """``parts`` - 1 keys that cut the order into near equal counts, from about PART_SAMPLE random rows a part."""
+    share = min(1.0, PART_SAMPLE * parts / max(1, keyed.count()))
+    sample = sorted(_key(r["doc_id"], r["h"], r["row"]) for r in keyed.select("doc_id", "h", "row").sample(share, seed=7).collect())
     return [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
 
 
