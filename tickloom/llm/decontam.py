@@ -8,7 +8,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, claim, cut, id_text, pieces_of, table
@@ -20,6 +20,8 @@ WINDOW, SHARE = 5, 0.75
 CONSISTENT = 0.75
 #: Benchmark windows up to which their hashes go to every task (8 bytes each); beyond it all windows are shuffled.
 BROADCAST_WINDOWS = 4_000_000
+#: Documents found up to which they are broadcast when they are dropped (16 bytes each); beyond it the join shuffles.
+BROADCAST_FOUND = 1_000_000
 
 #: Words after a number that are its unit (fixed values).
 UNITS = set(
@@ -28,12 +30,11 @@ UNITS = set(
     "mile miles meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres".split()
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*([a-z%°]{0,3})$")
-_END = ".!?:;"
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\0number", b"\0name", b"\0unit"))
 #: Tells windows of plain words from those of templates.
 _PLAIN = np.uint64(xxhash.xxh3_64_intdigest(b"\0plain"))
 #: Bits of a word's nature.
-EMPTY, NUMBER, UNIT, CAPITAL, ENDS = 1, 2, 4, 8, 16
+EMPTY, NUMBER, UNIT, CAPITAL = 1, 2, 4, 8
 
 
 class Words:
@@ -66,8 +67,6 @@ class Words:
                 bits |= UNIT
             if core[0].isupper() and len(core) > 1 and core[1:].islower():
                 bits |= CAPITAL
-        if word[-1] in _END or word.rstrip("\"'”’)»]")[-1:] in tuple(_END):
-            bits |= ENDS
         self.hashes.append(xxhash.xxh3_64_intdigest(core.casefold().encode()))
         self.bits.append(bits)
         return len(self.bits) - 1
@@ -76,7 +75,9 @@ class Words:
         """(template hashes, plain hashes, is a slot, is a literal) of the words that have a letter or digit.
 
         Numbers become one placeholder, units right after a number another, and
-        capitalised words that do not open a sentence a third.
+        capitalised words a third: those that open a sentence too, as it may be with a
+        name ("Alice buys 3 apples. Alice then ..."); one that is no name has the same
+        value on both sides.
         """
         if len(self.bits) > self.limit:
             self.reset()
@@ -87,10 +88,10 @@ class Words:
             return none, none, none.astype(bool), none.astype(bool)
         bits = np.frombuffer(self.bits, dtype=np.uint8)[which]
         plain = np.frombuffer(self.hashes, dtype=np.uint64)[which]
-        before = np.concatenate(([np.uint8(ENDS)], bits[:-1]))
+        before = np.concatenate(([np.uint8(0)], bits[:-1]))
         number = (bits & NUMBER) > 0
         unit = ((bits & UNIT) > 0) & ((before & NUMBER) > 0)
-        name = ((bits & CAPITAL) > 0) & ((before & ENDS) == 0) & ~unit
+        name = ((bits & CAPITAL) > 0) & ~unit
         out = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, plain)))
         keep = (bits & EMPTY) == 0
         slot = (number | unit | name)[keep]
@@ -170,14 +171,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     ``doc_id, version, item_id, n_windows, n_matched, containment, n_slots,
     slot_consistency, verbatim``.  Texts become templates (see ``Words.template``,
     case and outer punctuation do not count); an item leaked if the document has
-    ``share`` of its distinct windows and its slot values go over consistently:
-    counted over aligned places (equal offset of document and item), each value of
-    the item must meet one value of the document, for ``consistent`` of them.
-    ``verbatim``: all slots have the item's own values.
+    ``share`` of its distinct windows and its slot values go over consistently.
+    Aligned slots (at one place of a window that both have) should follow a map that
+    is one-to-one: ``slot_consistency`` is the share of aligned slots in which each
+    value is the other's most frequent partner, taken over the whole document or
+    over one offset that has ``share`` of the windows by itself (so two copies with
+    their own values do not spoil each other); the better counts.  ``verbatim``: all
+    slots have the item's own values.
 
     Benchmark windows are counted first.  Up to ``broadcast_windows`` their hashes
     go to the tasks as a sorted array, and only hits are shuffled; beyond, windows
-    of the corpus are shuffled to a hash join.  Windows with fewer than two literal
+    of the corpus are shuffled to a hash join.  A document that has ``share`` of an
+    item's windows has one of any n - ceil(share n) + 1 of them: pairs are made by
+    that many of the item's windows, those met in fewest documents, so a window
+    that everything has makes no pairs.  Windows with fewer than two literal
     words say nothing and are left out.  Names are known by their case, so an item is
     also met, at the same ``share``, by windows of its words as they are but for case;
     such a pair has no slots and is ``verbatim``.  An item of fewer words than ``size``
@@ -193,40 +200,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
         plain = id_text(df, key, text).withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
         return plain.mapInArrow(_scan(size, **kw), _SCHEMA)
 
-    items = cut(rows(benchmark, item_col, item_text_col, known=None).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "width", "plain").distinct())
+    # an id may be null, so keys are told apart by a hash beside it
+    def key(name: str):
+        return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")), F.col(name).isNull())
+
+    items = rows(benchmark, item_col, item_text_col, known=None).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "width", "plain").distinct()
+    items = cut(items.withColumn("item", F.xxhash64(key("item_id"), "item_version", "plain")))
     seen = items.select("width", "plain").distinct().collect()
     short = sorted({r["width"] for r in seen if r["width"] < size}) if inside else []
-    sizes = items.groupBy("item_id", "item_version", "plain").agg(F.countDistinct("h").alias("n_windows"))
     distinct = items.select("h").distinct()
     known = None
     if distinct.count() <= broadcast_windows:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in distinct.collect()], dtype=np.int64).view(np.uint64)))
-    # both the counts and the slots need the hits, which are few: the corpus is read once
-    hits = cut(rows(docs, id_col, text_col, known=known, short=short, plainly=any(r["plain"] for r in seen)).drop("width", "plain").distinct())
-    met = hits.join(F.broadcast(items) if known is not None else items, "h")
-    pair = ["doc_id", "version", "item_id", "item_version"]
-    counted = met.groupBy(*pair, "plain").agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(sizes) if known is not None else sizes, ["item_id", "item_version", "plain"])
+        known = spark.sparkContext.broadcast(np.sort(np.asarray(distinct.toArrow().column("h"), dtype=np.int64).view(np.uint64)))
+    # the corpus is read once: counts and slots need the hits, which are few
+    hits = cut(rows(docs, id_col, text_col, known=known, short=short, plainly=any(r["plain"] for r in seen)).drop("width", "plain").distinct().withColumn("doc", F.xxhash64(key("doc_id"), "version")))
+    met = hits.groupBy("h").agg(F.countDistinct("doc").alias("n_docs"))
+    whole = Window.partitionBy("item")
+    ranked = items.select("item", "h").distinct().join(met, "h", "left").withColumn("n_windows", F.count("*").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.coalesce("n_docs", F.lit(0)), "h")))
+    probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(share)) + 1).select("item", "h", "n_windows")
+    pairs = hits.select("doc", "h").distinct().join(probes, "h").select("doc", "item", "n_windows").distinct()
+    # (document, item) by all of the item's windows
+    aligned = cut(pairs.join(items, "item").join(hits.select("doc", "doc_id", "version", "pos", "slots", "h"), ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")))
+    counted = aligned.groupBy("doc", "item").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("version").alias("version"), F.any_value("item_id").alias("item_id"), F.any_value("item_version").alias("item_version"), F.any_value("plain").alias("plain"), F.any_value("n_windows").alias("n_windows"), F.countDistinct("h").alias("n_matched"))
     enough = cut(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)))
-    # the slots of the pairs that are left, a row for each aligned pair of values
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"e.{c}")) for c in pair]
-    slots = (
-        met.where("size(slots) > 0").alias("m").join(enough.where("not plain").alias("e"), same, "left_semi")
-        .select(*[F.col(f"m.{c}") for c in pair], (F.col("m.pos") - F.col("m.item_pos")).alias("offset"), F.explode(F.arrays_zip(F.col("m.item_slots").alias("ours"), F.col("m.slots").alias("theirs"))).alias("z"))
-        .select(*pair, "offset", F.col("z.ours").alias("ours"), F.col("z.theirs").alias("theirs"))
-        .distinct()
-    )
-    by_value = slots.groupBy(*pair, "offset", "ours").agg(F.count("*").alias("n"), F.max((F.col("ours") != F.col("theirs")).cast("int")).alias("changed"))
-    by_pair = by_value.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.sum("n").alias("n_pairs"), F.max("changed").alias("changed"))
-    e, s = enough.alias("e"), by_pair.alias("s")
-    joined = e.join(s, [*[F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in pair], ~F.col("e.plain")], "left")
-    out = joined.select(
-        *[f"e.{c}" for c in pair], "e.plain", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
-        F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.col("n_slots") / F.col("n_pairs"), F.lit(1.0)).alias("slot_consistency"), (F.coalesce("changed", F.lit(0)) == 0).alias("verbatim"),
+    mine = aligned.where("not plain").join(enough.select("doc", "item"), ["doc", "item"], "left_semi")
+    alone = mine.groupBy("doc", "item", "offset").agg(F.countDistinct("h").alias("n"), F.any_value("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * F.lit(share)).select("doc", "item", "offset")
+    values = mine.where("size(slots) > 0").select("doc", "item", "offset", F.explode(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))).alias("z")).groupBy("doc", "item", "offset", F.col("z.ours").alias("ours"), F.col("z.theirs").alias("theirs")).agg(F.count("*").alias("n"))
+    # each way of looking at a pair: all offsets together, and an offset that has enough by itself
+    views = values.groupBy("doc", "item", F.lit(None).cast("int").alias("offset"), "ours", "theirs").agg(F.sum("n").alias("n")).unionByName(values.join(alone, ["doc", "item", "offset"], "left_semi"))
+    view = ["doc", "item", "offset"]
+    best = views.withColumn("a", F.row_number().over(Window.partitionBy(*view, "ours").orderBy(F.col("n").desc(), "theirs"))).withColumn("b", F.row_number().over(Window.partitionBy(*view, "theirs").orderBy(F.col("n").desc(), "ours")))
+    scored = best.groupBy(*view).agg(F.countDistinct("ours").alias("n_slots"), F.avg(((F.col("a") == 1) & (F.col("b") == 1)).cast("double")).alias("consistency"), F.min((F.col("ours") == F.col("theirs")).cast("int")).alias("same"))
+    slots = scored.groupBy("doc", "item").agg(F.max(F.struct("consistency", "same", "n_slots")).alias("s"))
+    out = enough.join(slots, ["doc", "item"], "left").select(
+        "doc_id", "version", "item_id", "item_version", "plain", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
+        F.coalesce("s.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("s.consistency", F.lit(1.0)).alias("slot_consistency"), (F.coalesce("s.same", F.lit(1)) == 1).alias("verbatim"),
     )
     # a pair that is met both ways counts once, as a template
     good = out.where(F.col("slot_consistency") >= consistent)
-    values = [c for c in good.columns if c not in (*pair, "plain")]
-    once = good.groupBy(*pair).agg(F.min_by(F.struct(*values), F.col("plain")).alias("r"))
+    pair = ["doc_id", "version", "item_id", "item_version"]
+    once = good.groupBy(*pair).agg(F.min_by(F.struct(*[c for c in good.columns if c not in (*pair, "plain")]), F.col("plain")).alias("r"))
     return once.select("doc_id", "version", "item_id", "r.*")
 
 
@@ -237,7 +250,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = cut(leaks(docs, benchmark, inside=True).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
     clean = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
-    return docs.join(F.broadcast(found) if found.count() <= 1_000_000 else found, clean, "left_anti")
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_FOUND else found, clean, "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
