@@ -27,8 +27,8 @@ SAMPLE_ROWS = 4000
 #: Terms that are learned, at most.
 LEARNED_TERMS = 2000
 SHORTEST, LONGEST = 4, 12
-#: Terms with so many letters, fixed or learned, are met with one error too.
-FUZZY_FROM = 5
+#: Terms with so many letters, fixed or learned, are met with one error too, and with two.
+FUZZY_FROM, TWICE_FROM = 5, 9
 #: (node, errors) pairs that an automaton's states may hold together.
 HELD = 2_000_000
 THRESHOLD = 0.7
@@ -36,6 +36,11 @@ THRESHOLD = 0.7
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
+def allowed(term: str) -> int:
+    """Errors with which a term is still met."""
+    return (len(term) >= FUZZY_FROM) + (len(term) >= TWICE_FROM)
+
+
 def normal(word: str) -> str:
     """Case-folded, without what is not a letter at either end; look-alikes within become letters."""
     word = word.casefold()
@@ -55,19 +60,19 @@ class FuzzyTrie:
     terms reach on the word's letters; a letter may be matched, replaced, added or
     left out.  States and steps are remembered, so a word costs a look-up per
     letter, and most die after a few.  A term marked as a stem is met by any word
-    that begins with it, other terms by the whole word; either with at most one
-    error if it has FUZZY_FROM letters or more and is among ``fuzzy``.
+    that begins with it, other terms by the whole word; either with as many errors
+    as ``allowed`` says if it is among ``fuzzy``.
     """
 
     def __init__(self, terms: dict[str, bool], fuzzy: set[str]):
-        self.fuzzy = {t for t in fuzzy if len(t) >= FUZZY_FROM}
+        self.fuzzy = {t: allowed(t) for t in fuzzy}
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[bool] = [False]
         self.errors: list[int] = [0]  # allowed below this node: the most that any term in its subtree has
         for term, is_stem in sorted(terms.items()):
             node = 0
-            most = int(term in self.fuzzy)
+            most = self.fuzzy.get(term, 0)
             self.errors[0] = max(self.errors[0], most)
             for c in term:
                 nxt = self.children[node].get(c)
@@ -108,7 +113,7 @@ class FuzzyTrie:
             self._sets.append(items)
             self._steps.append({})
             self._held += len(items)
-            ends = [(e, self.term[n], self.stem[n]) for n, e in items if self.term[n] and e <= int(self.term[n] in self.fuzzy)]
+            ends = [(e, self.term[n], self.stem[n]) for n, e in items if self.term[n] and e <= self.fuzzy.get(self.term[n], 0)]
             self._found.append(min(((e, t) for e, t, _ in ends), default=None))
             self._stems.append(min(((e, t) for e, t, is_stem in ends if is_stem), default=None))
         return self._names[items]
@@ -129,7 +134,7 @@ class FuzzyTrie:
     def find(self, word: str) -> tuple[int, str] | None:
         """(errors, term) of the best term the word meets, or None."""
         if len(self._sets) > 200_000 or self._held > HELD:  # bounded whatever the words are
-            self.__init__({t: s for t, s in zip(self.term, self.stem) if t}, self.fuzzy)
+            self.__init__({t: s for t, s in zip(self.term, self.stem) if t}, set(self.fuzzy))
         state, steps, stems = self.start, self._steps, self._stems
         stem = None
         for c in word:
@@ -150,12 +155,12 @@ class Scorer:
     """Features and score of a text; ``strong`` terms are seldom or never met in clean text.
 
     Words of ``known`` are words of their own that clean text has, so they are no
-    misspelling of a term.
+    misspelling of a term.  Without ``errors`` terms are met as they are written.
     """
 
-    def __init__(self, terms: dict[str, tuple[bool, bool]], weights: list[float], known: frozenset[str] = frozenset()):
+    def __init__(self, terms: dict[str, tuple[bool, bool]], weights: list[float], known: frozenset[str] = frozenset(), errors: bool = True):
         self.terms, self.weights, self.known = terms, np.array(weights), known
-        trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms))
+        trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms) if errors else set())
         reporting, addressing = set(REPORTING), set(ADDRESSING)
 
         def kind(raw: bytes):
@@ -270,18 +275,29 @@ def known_words(texts: list[str], labels: list[int], terms: dict[str, tuple[bool
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps with a ridge on all weights but the first."""
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty @ w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    """Logistic regression by Newton steps with a ridge on all weights but the first, none of which is below zero.
+
+    A match never speaks for a text: the lowest weight is set to zero and the rest
+    fitted again until none is negative.
+    """
+    held = list(range(x.shape[1]))
+    while True:
+        some, w = x[:, held], np.zeros(len(held))
+        penalty = np.diag([1e-6] + [ridge] * (len(held) - 1))
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            gradient = some.T @ (p - y) + penalty @ w
+            hessian = (some * (p * (1 - p))[:, None]).T @ some + penalty + 1e-9 * np.eye(len(w))
+            step = np.linalg.solve(hessian, gradient)
+            w = w - step
+            if np.abs(step).max() < 1e-8:
+                break
+        low = 1 + int(np.argmin(w[1:])) if len(w) > 1 else 0
+        if not low or w[low] >= 0:
+            out = np.zeros(x.shape[1])
+            out[held] = w
+            return out
+        del held[low]
 
 
 #: Weights where there is nothing to learn from: strong matches decide.
@@ -349,9 +365,9 @@ def _scorer(terms: dict, weights: list[float], known: frozenset[str]) -> Scorer:
 
 
 def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted, n_matches`` for every whole text.
+    """``doc_id, held_out, score, predicted`` for every whole text.
 
-    No shuffle; the model (a bounded list of terms and eight weights) goes with the
+    No shuffle; the model (a bounded list of terms and ten weights) goes with the
     tasks.  Null and empty texts have no match and the score of that.  Repeated rows
     each give a row; an empty table none.
     """
