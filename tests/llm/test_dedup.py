@@ -70,16 +70,62 @@ def test_edit_links_miss_nothing(spark, threshold):
     assert got == want and want
 
 
-def brute_lines(docs, threshold=2):
+def components(pairs):
+    group = {}
+
+    def find(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for a, b in pairs:
+        group[find(a)] = find(b)
+    out = {}
+    for x in group:
+        out.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_hot_segments_lose_no_link(spark, threshold, monkeypatch):
+    """Every segment with two lines counts as hot: the components stay those of all links, down to lines of a few characters."""
+    monkeypatch.setattr(line_dedup, "HOT", 0)
+    rng = random.Random(22)
+    lines = set()
+    for _ in range(14):
+        base = words(rng, rng.randrange(2, 9))
+        lines |= {base} | {edited(rng, base, rng.randrange(1, 4)) for _ in range(12)}
+    middle = "x" * 30
+    lines |= {words(rng, 3) + middle + words(rng, 3) for _ in range(30)} | {"".join(rng.choice("abc") for _ in range(rng.randrange(threshold + 1, 7))) for _ in range(60)}
+    lines = sorted(x for x in lines if len(x) > threshold)
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.unhex(F.md5("line")).alias("line_id"), "line", F.char_length("line").alias("chars"))
+    name = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = {tuple(sorted((name[bytes(r.a)], name[bytes(r.b)]))) for r in line_dedup.edit_links(df, threshold)[0].collect()}
+    want = {tuple(sorted(p)) for p in itertools.combinations(lines, 2) if abs(len(p[0]) - len(p[1])) <= threshold and distance(*p) <= threshold}
+    assert got <= want and components(got) == components(want)
+
+
+def test_a_common_middle_makes_no_pairs(spark):
+    rng = random.Random(23)
+    lines = ["".join(rng.choice("abcdefgh") for _ in range(30)) + "common middle of them all, as long as" + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), F.char_length("line").alias("chars"), F.expr("encode(line, 'UTF-32')").alias("u"), F.expr(line_dedup.counts("line")).alias("c"))
+    places = line_dedup.look_ups(2)
+    filed = line_dedup.segment_rows(df, [p for p in places if p[0] == 0 and p[2] == 0], 2).select("key", F.col("h").alias("hb")).join(df.selectExpr("h as hb", "c as cb"), "hb")
+    looked = line_dedup.segment_rows(df, places, 2).select("key", "gap", F.col("h").alias("ha")).join(df.selectExpr("h as ha", "c as ca"), "ha")
+    assert looked.join(filed, "key").where("gap = 0 and ha < hb").count() >= 2000 * 1999 // 2
+    assert line_dedup._meetings(looked, filed, df, 2).count() < 100
+
+
+def brute_lines(docs, threshold=2, least=1, near_least=24):
     """doc rows -> text left, by comparing all lines."""
     def word(x):
         return re.search(r"[^ \t-\r]", x)
 
-    occ = [((d if d is not None else -1, v, n), x) for d, v, t in docs if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= 10 and word(x)]
+    occ = [((d if d is not None else -1, v, n), x) for d, v, t in docs if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= least and word(x)]
     first = {}
     for place, x in sorted(occ):
         first.setdefault(x, place)
-    near = [x for x in first if len(x) >= 24]
+    near = [x for x in first if len(x) >= near_least]
     group = {x: x for x in near}
 
     def find(x):
@@ -98,7 +144,7 @@ def brute_lines(docs, threshold=2):
         if t is None:
             out.append((d, None))
             continue
-        keep = [x for n, x in enumerate(t.split("\n")) if not (len(x) >= 10 and word(x)) or (d if d is not None else -1, v, n) == (lead[find(x)] if x in group else first[x])]
+        keep = [x for n, x in enumerate(t.split("\n")) if not (len(x) >= least and word(x)) or (d if d is not None else -1, v, n) == (lead[find(x)] if x in group else first[x])]
         out.append((d, "\n".join(keep)))
     return sorted(out, key=str)
 
@@ -126,6 +172,14 @@ def test_line_dedup_equals_brute_force(passages, most, monkeypatch):
     assert got == brute_lines(docs)
 
 
+@pytest.mark.parametrize(("least", "near_least"), [(1, 3), (10, 24), (40, 40)])
+def test_line_limits(passages, least, near_least):
+    """All lines, near ones from three characters on; and other limits."""
+    docs = [(r.doc_id, r.v, r.text) for r in passages.select("doc_id", F.xxhash64("text").alias("v"), "text").collect()]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(passages, min_chars=least, near_min_chars=near_least).collect()), key=str)
+    assert got == brute_lines(docs, least=least, near_least=near_least)
+
+
 def test_line_dedup_stage(passages):
     left = line_dedup.drop_repeated_lines(passages)
     assert left.columns == passages.columns

@@ -9,21 +9,25 @@ from .common import connected_components, cut, id_text, table
 
 #: Edits allowed between near-duplicate lines.
 THRESHOLD = 2
-#: Shorter lines are never touched.
-MIN_CHARS = 10
-#: Shorter lines are only compared for equality.
+#: Shorter lines are never touched; at 1 every line with a word is looked at.
+MIN_CHARS = 1
+#: Shorter lines are only compared for equality: two edits change much of a short line.  It works from threshold + 1 on.
 NEAR_MIN_CHARS = 24
+#: A segment that so many times as many pairs of lines share as there are lines with it is split by a second segment.
+HOT = 64
+#: Times that segments are split again, at most; what is hot after that is paired all the same.
+SPLITS = 6
 #: Rows up to which a table of keys is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line worth looking at.  ``version`` tells rows of one id and other texts apart."""
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """One row per line with a word and ``min_chars`` code points.  ``version`` tells rows of one id and other texts apart."""
     return (
         docs.withColumn("version", F.xxhash64("text"))
         .select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .withColumn("chars", F.char_length("line"))
-        .where((F.col("chars") >= MIN_CHARS) & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
+        .where((F.col("chars") >= min_chars) & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
         .withColumn("line_id", F.unhex(F.md5("line")))
     )
 
@@ -45,8 +49,8 @@ def look_ups(threshold: int) -> list[tuple[int, int, int]]:
     return [(gap, i, shift) for gap in range(pieces) for i in range(1, pieces + 1) for shift in range(max(1 - i, gap - (pieces - i)), min(i - 1, gap + (pieces - i)) + 1)]
 
 
-def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """``h, gap, key`` for each line (h, chars, u) and each place in ``where`` that lies within it.
+def _placed(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """``lines`` (chars, u, and more), a row for each place in ``where`` that lies within a line: gap, i, length, start, size.
 
     ``u`` is the line with four bytes for each code point, so a substring is a plain
     copy.  The places are exploded before keys are made: one small expression for
@@ -54,7 +58,7 @@ def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold:
     """
     pieces = threshold + 1
     places = F.expr(f"array({', '.join(f'struct({g} as gap, {i} as i, {s} as shift)' for g, i, s in where)})")
-    at = lines.select("h", "chars", "u", F.explode(places).alias("k")).select("h", "chars", "u", "k.gap", "k.i", "k.shift")
+    at = lines.select("*", F.explode(places).alias("k")).select(*lines.columns, "k.gap", "k.i", "k.shift")
     for name, value in (
         ("length", "chars - gap"),
         ("short", f"cast(length div {pieces} as int)"),
@@ -63,7 +67,15 @@ def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold:
         ("start", "(i - 1) * short + greatest(0, i - 1 - even) + shift"),
     ):
         at = at.withColumn(name, F.expr(value))
-    return at.where("start >= 0 and start + size <= chars").select("h", "gap", F.expr("xxhash64(i, length, substring(u, 4 * start + 1, 4 * size))").alias("key"))
+    return at.where("start >= 0 and start + size <= chars")
+
+
+_SEGMENT = "i, length, substring(u, 4 * start + 1, 4 * size)"
+
+
+def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """``h, gap, key`` for each line (h, chars, u) and each place in ``where`` that lies within it."""
+    return _placed(lines.select("h", "chars", "u"), where, threshold).select("h", "gap", F.expr(f"xxhash64({_SEGMENT})").alias("key"))
 
 
 #: Characters whose counts tell lines apart before they are compared.
@@ -150,32 +162,102 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``ha, hb`` of lines that meet in a segment, without pairing all that share a common one.
+
+    ``live`` (key, gap, ha, ca) and ``held`` (key, hb, cb) meet by key; ``lines`` are h,
+    chars, u and c, the counts of letters.  Where far more pairs than lines would meet,
+    the lines without that segment are again within the threshold of each other: these
+    rests are filed and looked up by segments of their own, under the key and the
+    segment.  So a segment shared by a million lines that have nothing else in common
+    makes no pairs.  Rests of no more characters than the threshold are all near each
+    other: each is tied to the least one of the other side.
+    """
+    places = look_ups(threshold)
+    filed = [p for p in places if p[0] == 0 and p[2] == 0]
+    near = f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}"
+    found = []
+
+    def meet(l: DataFrame, r: DataFrame) -> None:
+        found.append(l.join(r, "key").where(near).select("ha", "hb"))
+
+    def crowded(l: DataFrame, r: DataFrame) -> DataFrame:
+        sizes = l.groupBy("key").agg(F.count("*").alias("a")).join(r.groupBy("key").agg(F.count("*").alias("b")), "key")
+        return cut(sizes.where(f"a * b > {HOT} * (a + b)").select("key"))
+
+    def rest(side: DataFrame, *more) -> DataFrame:
+        """Without the segment that led to the key."""
+        u = F.expr("concat(substring(u, 1, 4 * start), substring(u, 4 * (start + size) + 1, 4 * (chars - start - size)))")
+        return cut(side.select("key", "id", "c", *more, u.alias("u"), (F.col("chars") - F.col("size")).alias("chars")).distinct())
+
+    def lookers(side: DataFrame) -> DataFrame:
+        return side.select("key", F.col("by").alias("gap"), F.col("id").alias("ha"), F.col("c").alias("ca"))
+
+    def holders(side: DataFrame) -> DataFrame:
+        return side.select("key", F.col("id").alias("hb"), F.col("c").alias("cb"))
+
+    hot = crowded(live, held)
+    looking = filing = None
+    for _ in range(SPLITS):
+        if hot.isEmpty():
+            break
+        meet(live.join(hot, "key", "left_anti"), held.join(hot, "key", "left_anti"))
+        if looking is None:
+            text, key = lines.withColumnRenamed("h", "id"), F.expr(f"xxhash64({_SEGMENT})")
+            who = live.join(hot, "key", "left_semi").select("key", "gap", F.col("ha").alias("id")).distinct()
+            looking = _placed(text.join(who.select("id").distinct(), "id"), places, threshold).withColumn("key", key).join(who, ["key", "gap", "id"], "left_semi")
+            who = held.join(hot, "key", "left_semi").select("key", F.col("hb").alias("id")).distinct()
+            filing = _placed(text.join(who.select("id").distinct(), "id"), filed, threshold).withColumn("key", key).join(who, ["key", "id"], "left_semi")
+        else:
+            looking, filing = looking.join(hot, "key", "left_semi"), filing.join(hot, "key", "left_semi")
+        looking, filing = rest(looking, F.col("gap").alias("by")), rest(filing)
+        short = f"chars <= {threshold}"
+        # tiny rests are near each other, so the least of each side ties them; one that is no longer tiny is compared
+        ends = looking.where(short).groupBy("key").agg(F.min("id").alias("ha")).join(filing.where(short).groupBy("key").agg(F.min("id").alias("hb")), "key")
+        found.append(looking.where(short).select("key", F.col("id").alias("ha")).join(ends.select("key", "hb"), "key").where("ha <> hb").select("ha", "hb"))
+        found.append(filing.where(short).select("key", F.col("id").alias("hb")).join(ends.select("key", "ha"), "key").where("ha <> hb").select("ha", "hb"))
+        meet(lookers(looking.where(f"not {short}")), holders(filing.where(short)))
+        key = F.expr(f"xxhash64(key, {_SEGMENT})")
+        filing = cut(_placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key))
+        looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).join(filing.select("key").distinct(), "key", "left_semi"))
+        live, held = lookers(looking).distinct(), holders(filing).distinct()
+        hot = crowded(live, held)
+    meet(live, held)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out.distinct()
+
+
+#: Of two lines of one length it is enough that one looks for the other.
+_OTHER = "ha <> hb and (gap > 0 or ha < hb)"
+
+
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b`` between ids of different lines within ``threshold`` edits, the lines looked at).
 
-    ``lines``: one row for each distinct line (line_id, line, chars, and more).  A
-    pair within the threshold always shares a segment, so none is missed.  First,
+    ``lines``: one row for each distinct line of more than ``threshold`` characters
+    (line_id, line, chars, and more).  A pair within the threshold always shares a
+    segment, so none is missed; of lines that all are near each other links are
+    given that tie them together.  First,
     with hashes alone, look-ups that meet another line's segment are kept: at most
     one row each, however many lines share it.  The lines that these are about, few
-    of all, are then fetched; they are paired where their segments meet and their
-    counts of letters allow it, and compared.
+    of all, are then fetched; they are paired where their segments meet (see
+    ``_meetings``) and their counts of letters allow it, and compared.
     """
+    lines = lines.where(f"chars > {threshold}")
     hashed = lines.select(F.xxhash64("line").alias("h"), "chars", F.expr("encode(line, 'UTF-32')").alias("u"))
     places = look_ups(threshold)
     filed = segment_rows(hashed, [p for p in places if p[0] == 0 and p[2] == 0], threshold).select("key", F.col("h").alias("hb"))
     looked = segment_rows(hashed, places, threshold).select("key", "gap", F.col("h").alias("ha"))
-    # of two lines of one length it is enough that one looks for the other
-    other = "ha <> hb and (gap > 0 or ha < hb)"
-    live = cut(looked.alias("x").join(filed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(other), "left_semi"))
+    live = cut(looked.alias("x").join(filed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(_OTHER), "left_semi"))
     keys = cut(live.select("key").distinct())
     held = cut(filed.join(_small(keys), "key"))
     wanted = cut(live.select(F.col("ha").alias("h")).unionAll(held.select(F.col("hb").alias("h"))).distinct())
     texts = cut(lines.withColumn("h", F.xxhash64("line")).join(_small(wanted), "h"))
-    counted = texts.select("h", F.expr(counts("line")).alias("c"))
-    left = live.join(counted.toDF("ha", "ca"), "ha")
-    right = held.join(counted.toDF("hb", "cb"), "hb")
-    met = left.join(right, "key").where(f"{other} and {counts_differ('ca', 'cb')} <= {2 * threshold}")
-    pairs = met.select("ha", "hb").distinct()
+    known = texts.select("h", "chars", F.expr("encode(line, 'UTF-32')").alias("u"), F.expr(counts("line")).alias("c"))
+    counted = known.select("h", "c")
+    pairs = _meetings(live.join(counted.toDF("ha", "ca"), "ha"), held.join(counted.toDF("hb", "cb"), "hb"), known, threshold)
     found = texts.select("h", "line_id", "line")
     both = pairs.join(found.toDF("ha", "a", "line_a"), "ha").join(found.toDF("hb", "b", "line_b"), "hb")
     wide = both.withColumn("ua", F.expr("encode(line_a, 'UTF-32')")).withColumn("ub", F.expr("encode(line_b, 'UTF-32')"))
@@ -183,18 +265,18 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     return trimmed.where(f"{banded_distance('t.x', 't.y', threshold)} <= {threshold}").select("a", "b"), texts
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
     """``doc_id, version, exact, near``: the numbers of each document's lines that go.
 
     A line goes if an equal one, or one of its class of near-equal lines, stands
     earlier (by id, then line).  Classes are the components of lines linked by at
     most ``threshold`` edits.
     """
-    lines = _lines(docs)
+    lines = _lines(docs, min_chars)
     # where each line stands, without its text: met again at the end, so it is kept
     stands = cut(lines.select("line_id", "doc_id", "version", "line_no"))
     repeated = cut(stands.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"))
-    near = lines.where(F.col("chars") >= NEAR_MIN_CHARS).withColumn("place", _place())
+    near = lines.where(F.col("chars") >= near_min_chars).withColumn("place", _place())
     # rows that repeat an id and a text stand at the same place, so a line may still come twice
     few = repeated.count() <= BROADCAST_ROWS
     distinct = near.join(F.broadcast(repeated) if few else repeated, "line_id", "left").where("first is null or first = place").select("line_id", "line", "chars", "place")
@@ -214,18 +296,18 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, version, n_lines, n_exact, n_near, text``: every document without its repeated lines.
 
-    Lines are cut at line feeds.  Lines under MIN_CHARS code points, and those of
-    white space alone, stay.  A null text stays null and has no lines; an empty
+    Lines are cut at line feeds.  Lines under ``min_chars`` code points, and those of
+    white space alone, stay; those under ``near_min_chars`` only go as equals.  A null text stays null and has no lines; an empty
     text is one empty line; rows that repeat an id and text are treated alike;
     rows of one id and other texts are separate documents, ordered by a hash; null
     ids come first.  An empty table gives no rows.  Other columns are not looked
     at.
     """
     plain = id_text(docs, id_col, text_col)
-    side = cut(repeated_lines(plain, threshold))  # a row for many a document: never broadcast
+    side = cut(repeated_lines(plain, threshold, min_chars, near_min_chars))  # a row for many a document: never broadcast
     joined = plain.withColumn("version", F.xxhash64("text")).alias("d").join(side.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.version = g.version"), "left")
     lines = F.split(F.col("d.text"), "\n", -1)
     none = F.array().cast("array<int>")
@@ -241,7 +323,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     )
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
     """``docs`` with its own columns and the texts cut; a document of which no word is left goes.
 
     ``n_chars``, where there is one, follows the text.  Documents without repeated
@@ -249,7 +331,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFram
     text are treated alike.
     """
     plain = id_text(docs)
-    side = cut(repeated_lines(plain, threshold))  # a row for many a document: never broadcast
+    side = cut(repeated_lines(plain, threshold, min_chars, near_min_chars))  # a row for many a document: never broadcast
     names = ("__gone_id", "__gone_version", "__exact", "__near")
     joined = docs.join(side.toDF(*names), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__gone_version")), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.concat("__exact", "__near"), i)), "\n")
