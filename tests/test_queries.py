@@ -11,7 +11,6 @@ import pytest
 import __spark_entry__ as entry
 
 REGISTRY = pytest.importorskip("tickloom.plans.registry")
-LEARNED = {"m28_cluster_stability", "m29_ablation", "m8_history_tree", "m17_kernel_classifier", "m3_kmeans_phases"}
 
 
 def plain(value):
@@ -52,7 +51,7 @@ def test_against_sql(spark, sf, tables, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY.QUERIES) - set(REGISTRY.ORACLES) - LEARNED))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY.QUERIES) - set(REGISTRY.ORACLES)))
 def test_runs(spark, sf, name):
     assert REGISTRY.QUERIES[name](spark, sf).count() > 0
 
@@ -61,30 +60,30 @@ def test_counters_are_chosen_among_all_parts(spark, sf):
     """The product over brands holds the best of 200 parts' means; choices are made among all parts."""
     part = spark.read.parquet(f"{sf}/part.parquet").toPandas()
     assert len(part) > 60
-    chosen = REGISTRY.QUERIES["t2_best_counter_all"](spark, sf).toPandas()
+    chosen = REGISTRY.QUERIES["t2_best_counter"](spark, sf).toPandas()
     assert len(chosen) == len(part)
     best = part.sort_values(["p_size", "p_partkey"], ascending=[False, True]).groupby(part.p_partkey % 3).p_partkey.first()
     assert set(chosen.counter[chosen.selected == 1]) == {f"c{k}" for k in best}
-    assert REGISTRY.QUERIES["j16_best_combination_all"](spark, sf).first().family_counter_map == ";".join(f"f{k}:c{best[k]}" for k in range(3))
-    assert REGISTRY.QUERIES["j16_counter_combinations_all"](spark, sf).count() == part.groupby(part.p_partkey % 3).p_brand.nunique().prod()
+    assert REGISTRY.QUERIES["j16_best_combination"](spark, sf).first().family_counter_map == ";".join(f"f{k}:c{best[k]}" for k in range(3))
+    assert REGISTRY.QUERIES["j16_counter_combinations"](spark, sf).count() == part.groupby(part.p_partkey % 3).p_brand.nunique().prod()
 
 
 def test_aliases_are_resolved_beyond_the_first_ids(spark, tmp_path):
     spark.range(500, 900).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
-    got = {r.family: r.priority for r in REGISTRY.QUERIES["t8_first_supported_all"](spark, str(tmp_path)).collect()}
+    got = {r.family: r.priority for r in REGISTRY.QUERIES["t8_first_supported"](spark, str(tmp_path)).collect()}
     assert got == {f"f{k}": min(i for i in range(500, 900, 2) if i % 7 == k) for k in range(7)}
 
 
 def test_all_rows_are_sorted(spark, sf):
     want = sorted((r.timestamp_ms, r.cpu_or_core_id, r.run_id) for r in REGISTRY.frames.wide(spark, sf).select("timestamp_ms", "cpu_or_core_id", "run_id").collect())
-    got = sorted(REGISTRY.QUERIES["t1_sorted_rows_all"](spark, sf).collect(), key=lambda r: r.row_index)
+    got = sorted(REGISTRY.QUERIES["t1_sorted_rows"](spark, sf).collect(), key=lambda r: r.row_index)
     assert len(want) > 100 and [r.row_index for r in got] == list(range(len(want)))
     assert [(r.timestamp_ms, r.cpu_or_core_id, r.run_id) for r in got] == want
 
 
 def test_leave_one_out_assigns_every_run(spark, sf):
     users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
-    got = REGISTRY.QUERIES["x5_leave_one_out_all"](spark, sf).collect()
+    got = REGISTRY.QUERIES["x5_leave_one_out"](spark, sf).collect()
     others = sorted(f"run_{u}" for u in users if u % 7 != 3)
     np.random.default_rng(31).shuffle(others)
     n, train, val = len(others), round(0.85 * len(others)), round(0.15 * len(others))

@@ -40,6 +40,38 @@ SCORE_WEIGHTS = (0.7, 0.3)
 #: Relative power of the three modes of the control policy.
 MODE_POWER = [0.82, 0.94, 1.0]
 
+# Counters that a machine must offer, and names of events that stand for them.
+
+#: Needed with confidence on their own, and one of which is needed.
+REQUIRED_CORE = ["instructions_retired", "cycles", "branch_mispredictions"]
+REQUIRED_ANY = ["llc_references", "llc_misses", "offcore_demand_data_reads"]
+#: Counters that a collection of families reads.
+COLLECTED = ["instructions_retired", "branch_instructions", "branch_mispredictions", "l1d_loads", "l1d_stores", "l2_misses", "llc_references", "llc_misses", "offcore_demand_data_reads", "fp_arithmetic"]
+#: Counters read from memory controllers where the machine has them, and vendor, family and model of such a machine.
+UNCORE_EVENTS = {"memory_read_bandwidth": "cas_count_read", "memory_write_bandwidth": "cas_count_write"}
+UNCORE_TOTAL = "total_memory_bandwidth"
+UNCORE_MACHINE = ("intel", 6, 62)
+#: Names of experiment sets.
+SET_NAMES = {"set1": "set1_single_process_multithread", "set2": "set2_multi_process_single_thread", "set3": "set3_hybrid_multi_process_multithread"}
+#: Counter -> vendor -> event names, in order of preference.
+EVENT_CANDIDATES = {
+    "instructions_retired": {"intel": ["INST_RETIRED.ANY"], "amd": ["RETIRED_INST"], "arm": ["INST_RETIRED"], "generic": ["instructions"]},
+    "cycles": {"intel": ["CPU_CLK_UNHALTED.THREAD"], "amd": ["CYCLES_NOT_IN_HALT"], "arm": ["CPU_CYCLES"], "generic": ["cycles", "cpu-cycles"]},
+    "branch_instructions": {"intel": ["BR_INST_RETIRED.ALL_BRANCHES"], "amd": ["RETIRED_BR_INST"], "arm": ["BR_RETIRED"], "generic": ["branches", "branch-instructions"]},
+    "branch_mispredictions": {"intel": ["BR_MISP_RETIRED.ALL_BRANCHES"], "amd": ["RETIRED_BR_INST_MISP"], "arm": ["BR_MIS_PRED_RETIRED"], "generic": ["branch-misses"]},
+    "l1d_loads": {"intel": ["MEM_UOPS_RETIRED.ALL_LOADS"], "amd": ["LS_DISPATCH.LOADS"], "arm": ["L1D_CACHE"], "generic": ["L1-dcache-loads", "cpu/L1-dcache-loads/"]},
+    "l1d_stores": {"intel": ["MEM_UOPS_RETIRED.ALL_STORES"], "amd": ["LS_DISPATCH.STORES"], "arm": ["L1D_CACHE_WB"], "generic": ["L1-dcache-stores", "cpu/L1-dcache-stores/"]},
+    "l2_misses": {"intel": ["L2_RQSTS.MISS"], "amd": ["L2 Miss"], "arm": ["L2D_CACHE_REFILL"], "generic": ["l2_rqsts.miss", "L2-dcache-load-misses", "cpu/L2-dcache-load-misses/"]},
+    "llc_references": {"intel": ["LONGEST_LAT_CACHE.REFERENCE", "LLC_REFERENCES"], "amd": ["L3 Access"], "arm": ["L3D_CACHE"], "generic": ["cache-references", "LLC-loads", "cpu/LLC-loads/"]},
+    "llc_misses": {"intel": ["LONGEST_LAT_CACHE.MISS", "LLC_MISSES"], "amd": ["L3 Miss"], "arm": ["L3D_CACHE_REFILL"], "generic": ["cache-misses", "LLC-load-misses", "cpu/LLC-load-misses/"]},
+    "offcore_demand_data_reads": {"intel": ["OFFCORE_REQUESTS.DEMAND_DATA_RD"], "amd": ["DC Fills from Local Memory", "DC Fills from Remote Memory"], "arm": ["PMU_AXI_RD_REQ_EVENT"], "generic": []},
+    "fp_arithmetic": {"intel": ["FP_ARITH_INST_RETIRED.SCALAR_DOUBLE"], "amd": ["RETIRED_SSE_AVX_FLOPS"], "arm": ["FP_RETIRED"], "generic": []},
+    "resource_stalls": {"intel": ["RESOURCE_STALLS.ANY", "RESOURCE_STALLS"], "amd": ["DISPATCH_STALLS"], "arm": ["STALL_FRONTEND", "STALL_BACKEND"], "generic": ["stalled-cycles-frontend", "stalled-cycles-backend"]},
+    "memory_read_bandwidth": {"intel": ["READ"], "amd": ["Local DRAM Read Data Bytes"], "arm": ["PMU_AXI_RD_REQ_EVENT"], "generic": []},
+    "memory_write_bandwidth": {"intel": ["WRITE"], "amd": ["Local DRAM Write Data Bytes"], "arm": ["PMU_AXI_WR_REQ_EVENT"], "generic": []},
+    "total_memory_bandwidth": {"intel": ["READ", "WRITE"], "amd": ["Total Memory Bw"], "arm": ["PMU_AXI_RD_REQ_EVENT", "PMU_AXI_WR_REQ_EVENT"], "generic": []},
+}
+
 DEFAULTS = {
     "seed": 17,
     "splits": {"train_fraction": 0.70, "val_fraction": 0.15},
@@ -47,6 +79,7 @@ DEFAULTS = {
     "detector": {"history_length": 20, "horizon": 1, "tree_max_depth": 6, "tree_min_samples_leaf": 8},
     "ablation": {"tree_max_depth": 5, "tree_min_samples_leaf": 3, "weights": {"accuracy": 0.7, "high_usage_recall": 0.3}},
     "bootstrap": {"resamples": 1000},
+    "runtime": {"profile": "quick", "quick": {"teacher_epochs": 3}, "full": {"teacher_epochs": 15}},
 }
 
 
@@ -58,6 +91,25 @@ def merged_config(base: dict, override: dict) -> dict:
     return out
 
 
+def with_profile(config: dict, full: bool = False) -> dict:
+    """The configuration under its runtime profile (or the full one): the profile's epochs are the teacher's."""
+    runtime = config.get("runtime", {})
+    name = "full" if full else str(runtime.get("profile", "quick"))
+    epochs = (runtime.get(name) or {}).get("teacher_epochs")
+    chosen = {"runtime": {"profile": name}}
+    return merged_config(config, chosen if epochs is None else {**chosen, "teacher": {"epochs": int(epochs)}})
+
+
+def derived_there(family: str, columns: list[str]) -> list[str]:
+    """Derived features of a family that are among the columns."""
+    return [name for name in derived_of(family) if name in columns]
+
+
+def counters_there(columns: list[str], prefix: str = "counter__") -> dict[str, list[str]]:
+    """Family -> its counters that are among the columns."""
+    return {family: [c for c in counters if f"{prefix}{c}" in columns] for family, counters in FAMILY_COUNTERS.items()}
+
+
 def is_forbidden(counter: str) -> bool:
     return any(part in counter.lower() for part in FORBIDDEN_PARTS)
 

@@ -107,3 +107,9 @@ def range_list(text: Column) -> Column:
     """``0-3,8`` as an array of integers."""
     spans = F.transform(split_list(text), lambda s: F.sequence(F.split_part(s, F.lit("-"), F.lit(1)).cast("int"), F.when(F.instr(s, "-") > 0, F.split_part(s, F.lit("-"), F.lit(2))).otherwise(s).cast("int")))
     return F.flatten(spans)
+
+
+def thread_process_group(threads: Column, processes: Column) -> Column:
+    """"threads=..|processes=..", with unknown for what is blank."""
+    known = lambda c: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit("unknown"))
+    return F.concat(F.lit("threads="), known(threads), F.lit("|processes="), known(processes))

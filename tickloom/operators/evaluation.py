@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import thread_process_group
 from . import metrics, models, policy, sequences
 from .lineage import cut
 
@@ -67,6 +68,20 @@ def examples(states: DataFrame, history: int, columns: Sequence[str], state: str
     return out.select("*", *[F.col("history")[i // width][i % width].alias(f"h{i}") for i in range(history * width)])
 
 
+def stacked(rows: DataFrame, named: dict[str, Callable[[DataFrame], DataFrame]], prefer: Sequence[str] | None = metrics.REPORT) -> DataFrame:
+    """Predictions of all models on one frame, a row per model and row; with ``prefer`` those of the preferred split alone.
+
+    The frame is computed once; each model adds small joins to it.
+    """
+    rows = cut(rows)
+    out = None
+    for name, predict in named.items():
+        said = predict(rows)
+        one = (said if prefer is None else metrics.mask_rows(said, prefer)).select(*rows.columns, "prediction").withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 COST_FIELDS = ["parameter_count", "table_entries", "feature_count", "tree_internal_nodes", "tree_leaves", "bucket_count", "kernel_count", "online_family_count", "history_length"]
 
 
@@ -103,14 +118,39 @@ def report(rows: DataFrame, named: dict[str, Callable], prefer: Sequence[str] =
     return {"predictions": together, "summary": summary.join(change, "model").join(moving, "model").join(cost, "model"), "confusion": metrics.dense_confusion(test, ["model"]), "groups": groups}
 
 
+def detector_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The twelve tables of a detector out of :func:`report`: what it gives, and accuracy and behaviour by each dimension.
+
+    Accuracy counts usable rows of the reported split, behaviour the rows of one model
+    there (the states are the same for all).  A dimension that the rows lack has an
+    empty table.
+    """
+    rows = tables["predictions"]
+    test = cut(metrics.usable(metrics.mask_rows(rows)))
+    both = [c for c in ("threads", "process_count") if c in test.columns]
+    if len(both) == 2:
+        test = test.withColumn("thread_process", thread_process_group(F.col("threads"), F.col("process_count")))
+    first = test.select(F.min("model")).first()[0]
+    one = test.where(F.col("model") == first)
+    out = {"predictions": rows, "summary": tables["summary"], "confusion_matrices": tables["confusion"]}
+    names = {"workload": "workload", "cpu_or_core_id": "core", "threads": "thread", "process_count": "process_count", "thread_process": "thread_process"}
+    for column, name in names.items():
+        there = test if column in test.columns else test.withColumn(column, F.lit(None).cast("string")).limit(0)
+        out[f"per_{name}_accuracy"] = there.groupBy("model", column).agg(F.count("*").alias("rows"), F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("accuracy"))
+    for column in ("threads", "process_count", "thread_process"):
+        there = one if column in one.columns else one.withColumn(column, F.lit(None).cast("string")).limit(0)
+        out[f"phase_behavior_by_{names[column]}"] = metrics.behavior(there, [column])
+    out["hardware_budget"] = tables["summary"].select("model", "memory_bytes", "approx_operations", "operator_type", "complexity", "recommendation")
+    return out
+
+
 def evaluate(student: DataFrame, teacher: DataFrame, costs: DataFrame, keys: Sequence[str], families: Sequence[str]) -> dict[str, DataFrame]:
     """Scores per (model, family) on rows for choosing, retention of the teacher's answers, tuples over families, all with cost."""
     chosen = metrics.usable(metrics.mask_rows(student, metrics.SELECT, else_all=True))
     by_family = metrics.classification_scores(metrics.confusion(chosen, ["model", "family"]), ["model", "family"])
     kept = metrics.retention(student, teacher, ["family", *keys], ["model", "family"]).withColumnRenamed("rows", "retention_rows")
-    per_model = None
-    for r in student.select("model").distinct().collect():  # a row per model
-        one = metrics.tuple_scores(student.where(F.col("model") == r["model"]), keys, families).withColumn("model", F.lit(r["model"]))
-        per_model = one if per_model is None else per_model.unionByName(one)
+    wide = metrics.family_tuples(student, ["model", *keys], families)
+    wrong = sum(((F.col(f"target__{f}") != F.col(f"prediction__{f}")).cast("int") for f in families), F.lit(0))
+    per_model = wide.groupBy("model").agg(F.count("*").alias("rows"), F.avg((wrong == 0).cast("double")).alias("exact_tuple_accuracy"), F.avg(wrong / len(families)).alias("hamming_distance"))
     priced = policy.deployment_cost(costs).select("model", "memory_bytes", "complexity")
     return {"families": by_family.join(kept, ["model", "family"], "left").join(priced, "model", "left"), "tuples": per_model.join(priced, "model", "left")}

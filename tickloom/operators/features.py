@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import DERIVED, FAMILY_COUNTERS, derived_of
 from ..functions.scalars import ratio, row_mean, signed_log1p
+from .quantiles import with_quantiles
 
 
 def _counter(df: DataFrame, name: str) -> Column:
@@ -48,10 +49,9 @@ def train_flag(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def fill_train_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Missing values get the median of training rows, 0 where there is none; exact.  Without groups one row of medians is broadcast."""
-    medians = df.where("is_train").groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in columns])
-    joined = df.join(medians, list(by), "left") if by else df.crossJoin(F.broadcast(medians))  # one row
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__m_{c}" for c in columns])
+    """Missing values get the median of training rows, 0 where there is none; exact."""
+    joined = with_quantiles(df, columns, [0.5], df.where("is_train"), by)
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"q__{c}")[0], F.lit(0.0)) for c in columns}).drop(*[f"q__{c}" for c in columns])
 
 
 def fill_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,11 +87,25 @@ def missing_fractions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values beyond the quantiles are set to them (1st and 99th by choice)."""
-    cuts = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__q_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(cuts)).withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"__q_{c}")[1]), F.col(f"__q_{c}")[0])) for c in columns}).drop(*[f"__q_{c}" for c in columns])
+    cuts = with_quantiles(df, columns, [low, high])
+    return cuts.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"q__{c}")[1]), F.col(f"q__{c}")[0])) for c in columns}).drop(*[f"q__{c}" for c in columns])
 
 
 def varying_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns that hold two different values; one row comes to the driver."""
     row = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
     return [c for c in columns if row[c]]
+
+
+def indicators(df: DataFrame, cycles: str, instructions: str, events: dict[str, str], duration: str | None = None) -> DataFrame:
+    """Adds cycles per instruction and its inverse, and each event per thousand instructions; with ``duration`` also ``<name>_per_ms``."""
+    new = {"cpi": ratio(F.col(cycles), F.col(instructions)), "ipc": ratio(F.col(instructions), F.col(cycles))}
+    new |= {name: ratio(F.col(c), F.col(instructions), 1000.0) for name, c in events.items()}
+    if duration:
+        new |= {f"{name}_per_ms": ratio(F.col(c), F.col(duration)) for name, c in events.items()}
+    return df.withColumns(new)
+
+
+def median_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing values get the median of the column, 0 where it has no value."""
+    return with_quantiles(df, columns, [0.5]).withColumns({c: F.coalesce(F.col(c), F.col(f"q__{c}")[0], F.lit(0.0)) for c in columns}).drop(*[f"q__{c}" for c in columns])

@@ -1,15 +1,42 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage, and other work in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Estimated bytes up to which a table is broadcast.
+SMALL_BYTES = 64 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one of a local session, and an error on a cluster."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tickloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return base
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tickloom-{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialised under ``spark.checkpoint.dir`` (a local folder only where none is set): later reads do not compute it again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-"))
+    """Materialised in the shared folder: later reads do not compute it again, and a lost executor costs nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Marked for broadcast if the optimizer's estimate of its size is within the bound; else as it is, and the join may shuffle."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= most_bytes else df

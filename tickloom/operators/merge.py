@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_event
+from .lineage import small
+from .quantiles import quantiles
 
 KEYS = ["run_id", "cpu_or_core_id", "timestamp_ms"]
 
@@ -19,7 +21,7 @@ def map_events(samples: DataFrame, aliases: DataFrame, event: str = "event_name"
     aliases that collide the one of the highest priority wins.
     """
     names = aliases.groupBy(normal_event(F.col("event_name")).alias("__name")).agg(F.max_by("counter", "priority").alias("counter"))
-    return samples.withColumn("__name", normal_event(F.col(event))).join(F.broadcast(names), "__name", "left").drop("__name")
+    return samples.withColumn("__name", normal_event(F.col(event))).join(small(names), "__name", "left").drop("__name")
 
 
 def pivot_sum(samples: DataFrame, counters: Sequence[str], keys: Sequence[str] = KEYS, quality: bool = False, value: str = "value") -> DataFrame:
@@ -64,15 +66,15 @@ def collection_quality(wide: DataFrame, counters: Sequence[str]) -> DataFrame:
     present = [c for c in counters if f"pmu_enabled_pct__{c}" in wide.columns]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(f"pmu_enabled_pct__{c}").alias("enabled"), F.col(f"pmu_runtime_ns__{c}").alias("runtime")) for c in present]))
     rows = wide.select(pairs.alias("p")).select("p.*")
+    low = quantiles(rows, ["enabled"], [0.05], ["counter"], few_groups=True).select("counter", F.col("q__enabled")[0].alias("enabled_pct_p05"))
     return rows.groupBy("counter").agg(
         F.count("enabled").alias("samples"),
         F.avg("enabled").alias("enabled_pct_mean"),
-        F.percentile("enabled", F.lit(0.05)).alias("enabled_pct_p05"),
         F.min("enabled").alias("enabled_pct_min"),
         F.avg((F.col("enabled") < 90).cast("double")).alias("fraction_enabled_below_90pct"),
         F.avg((F.col("enabled") <= 0).cast("double")).alias("fraction_enabled_zero"),
         F.avg("runtime").alias("runtime_ns_mean"),
-    )
+    ).join(low, "counter", "left")
 
 
 def device_totals(samples: DataFrame, read: str = "memory_read_bandwidth", write: str = "memory_write_bandwidth", keys: Sequence[str] = ("run_id", "timestamp_ms")) -> DataFrame:
@@ -142,3 +144,8 @@ def merge_summary(wide: DataFrame, counters: Sequence[str]) -> DataFrame:
     return wide.agg(
         F.count("*").alias("rows"), F.countDistinct("run_id").alias("runs"), F.countDistinct("cpu_or_core_id").alias("units"), *[F.count(f"counter__{c}").alias(f"rows_{c}") for c in counters]
     )
+
+
+def attach_metadata(rows: DataFrame, runs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their run: those of ``columns`` that ``runs`` has."""
+    return rows.join(runs.select(key, *[c for c in columns if c in runs.columns]), key, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Order of preference of splits: what is reported, and what choices are made on.
@@ -124,11 +124,9 @@ def tuple_scores(df: DataFrame, keys: Sequence[str], families: Sequence[str], fa
 
 def gains(scores: DataFrame, baselines: Sequence[str], model: str = "model", by: Sequence[str] = (), metric: str = "accuracy") -> DataFrame:
     """Adds the difference of each model's metric to every baseline's of its group."""
-    out = scores
-    for b in baselines:
-        base = scores.where(F.col(model) == b).select(*by, F.col(metric).alias(f"__{b}"))
-        out = (out.join(base, list(by), "left") if by else out.crossJoin(F.broadcast(base))).withColumn(f"gain_over_{b}", F.col(metric) - F.col(f"__{b}")).drop(f"__{b}")
-    return out
+    # a row per model and group: the window holds a group's models
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    return scores.withColumns({f"gain_over_{b}": F.col(metric) - F.max(F.when(F.col(model) == b, F.col(metric))).over(group) for b in baselines})
 
 
 def retention(student: DataFrame, teacher: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -160,3 +158,18 @@ def transition_table(df: DataFrame, by: Sequence[str] = ("state",), target: str
 def mean_of_means(df: DataFrame, metric: str, inner: Sequence[str], outer: Sequence[str]) -> DataFrame:
     """Mean per inner group, then the mean of those per outer group."""
     return df.groupBy(*inner).agg(F.avg(metric).alias("__m")).groupBy(*outer).agg(F.avg("__m").alias(metric), F.count("*").alias("groups"))
+
+
+def scores_by(df: DataFrame, by: Sequence[str], truth: str = "target", prediction: str = "prediction", current: str = "state") -> DataFrame:
+    """Rows, accuracy, and accuracy where the state changes and where it stays, per group."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.avg((F.col(truth) == F.col(prediction)).cast("double")).alias("accuracy"), transition_accuracy(truth, prediction, current).alias("transition_accuracy"), stable_accuracy(truth, prediction, current).alias("stable_accuracy"))
+
+
+def stable_and_moving(df: DataFrame, by: Sequence[str], target: str = "target", current: str = "state") -> DataFrame:
+    """How many rows keep their state and how many change it, per group."""
+    return df.groupBy(*by).agg(F.sum((F.col(target) == F.col(current)).cast("long")).alias("stable"), F.sum((F.col(target) != F.col(current)).cast("long")).alias("moving"))
+
+
+def hamming(df: DataFrame, by: Sequence[str] = (), truth: str = "target", prediction: str = "prediction") -> DataFrame:
+    """Share of rows that differ, per group."""
+    return df.groupBy(*by).agg(F.avg((F.col(truth) != F.col(prediction)).cast("double")).alias("hamming"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -14,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import RUN_LENGTH_EDGES
 from ..functions.scalars import bucket_edge, bucket_number
+from .quantiles import quantiles
 
 STATES = (0, 1, 2)
+#: Different values of a feature up to which its deciles come from a buffer of them.
+BUFFERED = 100_000
 
 
 def _fit_rows(df: DataFrame, target: str) -> DataFrame:
@@ -169,11 +171,14 @@ def fit_tree(train: DataFrame, features: Sequence[str], target: str, max_depth:
     feature, then class counts on both sides of every cut.  What comes to the
     driver is nodes x features x 9 x classes numbers, whatever the number of rows.
     Of equal cuts the first in feature order and lowest wins; a leaf predicts its
-    commonest class, of equals the one met first.
+    commonest class, of equals the one met first.  Deciles of a feature of few values
+    (BUFFERED, by a sketch) come from a buffer of its values, others from ``quantiles``.
     """
     deciles = [k / 10 for k in range(1, 10)]
     data = train.select(*features, F.col(target).alias("__y"), F.col(position).alias("__at")).persist()
     try:
+        kinds = data.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
+        few, many = [f for f in features if kinds[f] <= BUFFERED], [f for f in features if kinds[f] > BUFFERED]
         root: list[Node] = []
         level: list[tuple[list, tuple[Node, str] | None]] = [([], None)]
         for depth in range(max_depth + 1):
@@ -206,8 +211,14 @@ def fit_tree(train: DataFrame, features: Sequence[str], target: str, max_depth:
             if not growing:
                 break
             rows = rows.where(F.col("__node").isin(*growing))
-            cuts = {r["__node"]: r for r in rows.groupBy("__node").agg(*[F.percentile(f, F.array(*map(F.lit, deciles))).alias(f) for f in features]).collect()}
-            candidates = {i: [(f, t) for f in features for t in sorted(set(cuts[i][f]))] for i in growing}
+            cuts: dict[int, dict] = {i: {} for i in growing}
+            if few:
+                for r in rows.groupBy("__node").agg(*[F.percentile(f, F.array(*map(F.lit, deciles))).alias(f"q__{f}") for f in few]).collect():
+                    cuts[r["__node"]] |= r.asDict()
+            if many:
+                for r in quantiles(rows, many, deciles, ["__node"], few_groups=True).collect():
+                    cuts[r["__node"]] |= r.asDict()
+            candidates = {i: [(f, t) for f in features for t in sorted({x for x in cuts[i][f"q__{f}"] or [] if x is not None})] for i in growing}
             widest = max(len(c) for c in candidates.values())
             # below[j]: whether the row lies left of its node's j-th cut
             below = []
@@ -257,17 +268,24 @@ def tree_top_k(node: Node, k: int, classes: int = 3) -> Column:
 # -- random kernels and a linear head ---------------------------------------
 
 
+#: Steps that a kernel may have, before it is held to the history's length.
+KERNEL_STEPS = (3, 5, 7)
+
+
 def random_kernels(width: int, length: int, n: int = 32, seed: int = 17) -> list[dict]:
-    """Dilated kernels of 3, 5 or 7 steps with normal weights, drawn on the driver."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(n):
-        size = min(length, int(rng.choice([3, 5, 7])))
-        dilation = int(rng.integers(1, max(2, length // max(1, size))))
-        if 1 + (size - 1) * dilation > length:
-            dilation = 1
-        out.append({"weights": rng.normal(0.0, 1.0, size=(size, width)), "bias": float(rng.normal(0.0, 1.0)), "dilation": dilation})
-    return out
+    """Dilated kernels of 3, 5 or 7 steps with normal weights, drawn on the driver.
+
+    Three streams of one seed: all lengths, all dilations (uniform over those whose
+    reach lies within the history), then one matrix of weights and constants from
+    which each kernel takes its rows.  Equal seeds give equal kernels; they are not
+    those of other programs.
+    """
+    lengths, reaches, values = (np.random.default_rng(s) for s in np.random.SeedSequence(seed).spawn(3))
+    sizes = np.minimum(length, lengths.choice(KERNEL_STEPS, size=n))
+    widest = np.maximum(1, (length - 1) // np.maximum(1, sizes - 1))
+    dilations = 1 + np.floor(reaches.random(n) * widest).astype(int)
+    normal = values.standard_normal((n, max(KERNEL_STEPS) * width + 1))
+    return [{"weights": row[: size * width].reshape(size, width), "bias": float(row[-1]), "dilation": int(step)} for row, size, step in zip(normal, sizes, dilations)]
 
 
 def kernel_features(df: DataFrame, kernels: list[dict], history: str = "history", out: str = "features") -> DataFrame:
@@ -326,8 +344,3 @@ def blended_target(soft: Column, hard: Column, weight: float, classes: int = 3)
     given = F.when(soft.isNotNull(), soft).otherwise(F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.when(c == hard, F.lit(0.9)).otherwise(F.lit(0.05))))
     mixed = F.transform(given, lambda p, c: p * (1 - weight) + F.when(c == hard, F.lit(weight)).otherwise(F.lit(0.0)))
     return (F.array_position(mixed, F.array_max(mixed)) - 1).cast("int")
-
-
-def mode_first_seen(values: Sequence[int]) -> int:
-    """Driver-side counterpart of :func:`commonest` for small lists."""
-    return Counter(values).most_common(1)[0][0]

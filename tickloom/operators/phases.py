@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.domain import pressure_counters
 from ..functions.scalars import state_of
 from .features import fill_and_scale, log_counters
+from .lineage import cut
+from .quantiles import with_quantiles
 
 
 def tertile_states(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "state") -> DataFrame:
     """States 0, 1, 2 by the thirds of training values (``is_train``), over all rows or each group; -1 where missing.
 
-    Exact linear quantiles; without groups their one row is broadcast.
+    Exact linear quantiles.
     """
-    cuts = df.where("is_train").groupBy(*by).agg(F.percentile(value, F.array(F.lit(1.0 / 3), F.lit(2.0 / 3))).alias("__cuts"))
-    joined = df.join(cuts, list(by), "left") if by else df.crossJoin(F.broadcast(cuts))  # one row
-    return joined.withColumn(out, state_of(F.col(value), F.col("__cuts")[0], F.col("__cuts")[1])).drop("__cuts")
+    cuts = F.col(f"q__{value}")
+    return with_quantiles(df, [value], [1.0 / 3, 2.0 / 3], df.where("is_train"), by).withColumn(out, state_of(F.col(value), cuts[0], cuts[1])).drop(f"q__{value}")
 
 
 def distances(columns: Sequence[str], centroids: np.ndarray) -> list[Column]:
@@ -53,15 +54,15 @@ def first_centroids(train: DataFrame, columns: Sequence[str], k: int, seed: int)
     return np.array([rows[i] for i in drawn])
 
 
-def kmeans(train: DataFrame, columns: Sequence[str], k: int, seed: int, most_rounds: int = 100) -> np.ndarray:
+def kmeans(train: DataFrame, columns: Sequence[str], k: int, seed: int, most_rounds: int = 100, start: Sequence[Sequence[float]] | None = None) -> np.ndarray:
     """Lloyd's centroids; each round is one grouped mean, ``k`` rows of which come to the driver.
 
     An empty cluster keeps its centroid.  Ends when no row changes its cluster and
-    the centroids stay.
+    the centroids stay.  ``start`` gives the first centroids instead of drawing them.
     """
     data = train.select(*columns).persist()
     try:
-        centroids = first_centroids(data, columns, k, seed)
+        centroids = first_centroids(data, columns, k, seed) if start is None else np.array(start, dtype=float)
         last = np.zeros_like(centroids)
         for turn in range(most_rounds if len(centroids) else 0):
             label = nearest_centroid(columns, centroids)
@@ -79,7 +80,7 @@ def kmeans(train: DataFrame, columns: Sequence[str], k: int, seed: int, most_rou
         data.unpersist()
 
 
-def phase_states(df: DataFrame, counters: Sequence[str], k: int = 3, seed: int = 17, out: str = "state") -> tuple[DataFrame, dict]:
+def phase_states(df: DataFrame, counters: Sequence[str], k: int = 3, seed: int = 17, out: str = "state", start: Sequence[Sequence[float]] | None = None, most_rounds: int = 100) -> tuple[DataFrame, dict]:
     """Phases 0..k-1 by rising pressure, learned from training rows; and what was learned.
 
     Signed log, median fill and scaling by training rows, k-means on them; all rows
@@ -87,9 +88,9 @@ def phase_states(df: DataFrame, counters: Sequence[str], k: int = 3, seed: int =
     (sum of scaled pressure counters, or the norm if there is none), an empty one
     last.  Centroids are given in the order of the states.
     """
-    scaled = fill_and_scale(log_counters(df, counters), counters)
+    scaled = cut(fill_and_scale(log_counters(df, counters), counters))  # read in every round, and by the states
     train = scaled.where("is_train")
-    centroids = kmeans(train, counters, k, seed)
+    centroids = kmeans(train, counters, k, seed, most_rounds, start)
     pressing = pressure_counters(list(counters))
     pressure = sum((F.col(c) for c in pressing), F.lit(0.0)) if pressing else F.sqrt(sum((F.col(c) * F.col(c) for c in counters), F.lit(0.0)))
     raw = nearest_centroid(counters, centroids)
@@ -109,10 +110,10 @@ def phase_summary(states: DataFrame, counters: Sequence[str], learned: dict, sta
     return states.where(F.col(state) >= 0).groupBy(state).agg(F.count("*").alias("rows"), F.sum(F.col("is_train").cast("long")).alias("train_rows"), F.avg(F.when(F.col("is_train"), F.sqrt(own))).alias("mean_train_distance"))
 
 
-def one_dimensional_states(df: DataFrame, value: str, k: int = 3, seed: int = 17, out: str = "state") -> tuple[DataFrame, list[float]]:
+def one_dimensional_states(df: DataFrame, value: str, k: int = 3, seed: int = 17, out: str = "state", start: Sequence[float] | None = None, most_rounds: int = 100) -> tuple[DataFrame, list[float]]:
     """K-means on one signed-log column, states by rising centroid; as midpoints between sorted centroids."""
-    logged = fill_and_scale(log_counters(df, [value]), [value])
-    centroids = np.sort(kmeans(logged.where("is_train"), [value], k, seed).ravel())
+    logged = cut(fill_and_scale(log_counters(df, [value]), [value]))
+    centroids = np.sort(kmeans(logged.where("is_train"), [value], k, seed, most_rounds, None if start is None else [[x] for x in start]).ravel())
     cuts = ((centroids[1:] + centroids[:-1]) / 2).tolist()
     state = sum(((F.col(value) > cut).cast("int") for cut in cuts), F.lit(0))
     return logged.withColumn(out, state.cast("int")), cuts

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_event
+from .lineage import small
 
 
 def numbered(workloads: DataFrame, name: str = "workload") -> DataFrame:
@@ -19,7 +20,7 @@ def workload_pairs(workloads: DataFrame, name: str = "workload") -> DataFrame:
     """All unordered pairs of different workloads."""
     n = numbered(workloads, name)
     a, b = n.toDF("first", "i"), n.toDF("second", "j")
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("first", "second")
+    return a.join(small(b), F.col("i") < F.col("j")).select("first", "second")
 
 
 def chunked_groups(workloads: DataFrame, size: int = 2, name: str = "workload") -> DataFrame:
@@ -27,7 +28,7 @@ def chunked_groups(workloads: DataFrame, size: int = 2, name: str = "workload")
     n = numbered(workloads, name)
     total = n.agg(F.count("*").alias("total"))
     slots = total.select("total", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("total") / size) * size - 1).cast("int"))).alias("slot"))
-    return slots.select(F.floor(F.col("slot") / size).alias("chunk"), (F.col("slot") % size).alias("member"), (F.col("slot") % F.col("total")).alias("place")).join(F.broadcast(n), "place").select("chunk", "member", name)
+    return slots.select(F.floor(F.col("slot") / size).alias("chunk"), (F.col("slot") % size).alias("member"), (F.col("slot") % F.col("total")).alias("place")).join(small(n), "place").select("chunk", "member", name)
 
 
 def task_plan(workloads: DataFrame, threads: Sequence[int], repetitions: int, name: str = "workload") -> DataFrame:
@@ -70,10 +71,14 @@ def require_complete(expected: DataFrame, found: DataFrame, keys: Sequence[str],
         raise ValueError(f"{what} is missing, for example: {[tuple(r) for r in missing]}")
 
 
+def bad_states(df: DataFrame, state: str = "state", classes: int = 3) -> DataFrame:
+    """Rows whose state is none of -1 to classes - 1."""
+    return df.where(F.col(state).isNull() | ~F.col(state).between(-1, classes - 1) | (F.col(state) != F.floor(F.col(state))))
+
+
 def require_states(df: DataFrame, state: str = "state", classes: int = 3) -> None:
     """States must be -1 to classes - 1."""
-    bad = df.where(F.col(state).isNull() | ~F.col(state).between(-1, classes - 1) | (F.col(state) != F.floor(F.col(state)))).limit(1).collect()
-    if bad:
+    if not bad_states(df, state, classes).isEmpty():
         raise ValueError(f"{state} holds values that are no state")
 
 

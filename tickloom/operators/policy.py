@@ -111,3 +111,9 @@ def deployment_cost(models: DataFrame) -> DataFrame:
             "stored_parameters_or_entries": F.greatest(p, e).cast("long"),
         }
     ).drop("__entries", "__params")
+
+
+def streams_of(predictions: DataFrame, model: str, family: str, split: str = "test", units: Sequence[str] | None = None) -> DataFrame:
+    """Rows of one model and family on one split, of some units if named; the conditions reach the scan."""
+    rows = predictions.where((F.col("model") == model) & (F.col("family") == family) & (F.col("split") == split))
+    return rows if units is None else rows.where(F.col("cpu_or_core_id").isin(*units))

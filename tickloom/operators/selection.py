@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.domain import FAMILY_COUNTERS, SCORE_WEIGHTS, is_forbidden
 from ..functions.scalars import keyed_pairs, split_list
 from .features import fill_train_median
+from .lineage import cut, small
 from .metrics import REPORT, SELECT, classification_scores, confusion, mask_rows
 from .models import fit_tree, tree_expression
 from .sequences import stream
@@ -31,7 +32,7 @@ def combinations(scores: DataFrame, families: Sequence[str], family: str = "fami
     out = None
     for i, name in enumerate(families):
         mine = options.where(F.col(family) == name).select(F.col(counter).alias(f"c{i}"), F.col(score).alias(f"s{i}"))
-        out = mine if out is None else out.crossJoin(F.broadcast(mine))
+        out = mine if out is None else out.crossJoin(small(mine))
     mean = sum((F.col(f"s{i}") for i in range(len(families))), F.lit(0.0)) / len(families)
     pairs = F.concat_ws(";", *[F.concat(F.lit(f"{name}:"), F.col(f"c{i}")) for i, name in enumerate(families)])
     return out.select(pairs.alias("family_counter_map"), F.concat_ws(",", *[f"c{i}" for i in range(len(families))]).alias("counter_set"), mean.alias("score"))
@@ -69,7 +70,7 @@ def resolve(wanted: DataFrame, choice: DataFrame) -> DataFrame:
     level = F.when((F.col("c.experiment") == F.col("w.experiment")) & (F.col("c.scope") == F.col("w.scope")), 0).when((F.col("c.experiment") == "") & (F.col("c.scope") == F.col("w.scope")), 1)
     level = level.when((F.col("c.experiment") == F.col("w.experiment")) & (F.col("c.scope") == ""), 2).when((F.col("c.experiment") == "") & (F.col("c.scope") == ""), 3)
     # the general rows meet all wanted ones, so the join is on the scope or none; both tables are small
-    met = wanted.alias("w").join(F.broadcast(choice.alias("c")), F.col("c.experiment").isin("", F.col("w.experiment")) & F.col("c.scope").isin("", F.col("w.scope")))
+    met = wanted.alias("w").join(small(choice).alias("c"), F.col("c.experiment").isin("", F.col("w.experiment")) & F.col("c.scope").isin("", F.col("w.scope")))
     ranked = met.select("w.experiment", "w.scope", level.alias("level"), "c.family", "c.counter")
     best = ranked.groupBy("experiment", "scope").agg(F.min("level").alias("level"))
     return ranked.join(best, ["experiment", "scope", "level"]).drop("level")
@@ -87,7 +88,7 @@ def ablation(df: DataFrame, state: str = "state", families: dict[str, list[str]]
     other and scores leave out.  Missing values get the training median.  Choices
     are made on validation rows, reports on test rows.
     """
-    rows = df.withColumn("target", F.coalesce(F.lead(state).over(stream()), F.lit(-1)))
+    rows = cut(df.withColumn("target", F.coalesce(F.lead(state).over(stream()), F.lit(-1))))  # read for every counter
     out = None
     position = 0
     for family in sorted(families or FAMILY_COUNTERS):
@@ -111,5 +112,52 @@ def ablation(df: DataFrame, state: str = "state", families: dict[str, list[str]]
     return mark_best(scored, ["family"])
 
 
+UNAVAILABLE = "unavailable"
+ABLATION = ["family", "scope", "candidate_type", "counter_set", "family_counter_map", "selection_accuracy", "selection_macro_f1", "selection_high_recall", "report_accuracy", "report_macro_f1", "report_high_recall", "validation_score", "report_score", "selected", "position"]
+
+
+def ablation_table(df: DataFrame, scope: str = "global", state: str = "state", families: dict[str, list[str]] | None = None, max_depth: int = 5, min_leaf: int = 3, exhaustive: bool = True) -> DataFrame:
+    """All rows of an ablation: each counter alone, families without one, and every choice of one counter per family.
+
+    ``candidate_type`` is singleton, unavailable (score 0, nothing selected) or
+    one_per_family_exhaustive (family ``__global__``, mean of the counters' scores; the
+    product of short lists).  ``selected`` marks the best counter of each family and the
+    best choice, the first of equals.
+    """
+    spark = df.sparkSession
+    names = families or FAMILY_COUNTERS
+    there = {f: [c for c in counters if f"counter__{c}" in df.columns and not is_forbidden(c)] for f, counters in names.items()}
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    out = None
+    if any(there.values()):
+        single = cut(ablation(df, state, {f: c for f, c in there.items() if c}, max_depth, min_leaf))
+        out = single.select("family", F.lit(scope).alias("scope"), F.lit("singleton").alias("candidate_type"), F.col("counter").alias("counter_set"), none("family_counter_map", "string"), *ABLATION[5:11], F.col("score").alias("validation_score"), "report_score", "selected", F.col("position").cast("long").alias("position"))
+    empty = [(f, i) for i, f in enumerate(sorted(names)) if not there[f]]
+    if empty:
+        rows = spark.createDataFrame(empty, "family string, position long")
+        rows = rows.select("family", F.lit(scope).alias("scope"), F.lit(UNAVAILABLE).alias("candidate_type"), F.lit("").alias("counter_set"), none("family_counter_map", "string"), *[F.lit(0.0).alias(c) for c in ABLATION[5:13]], F.lit(0).alias("selected"), (F.col("position") + (1 << 20)).alias("position"))
+        out = rows if out is None else out.unionByName(rows)
+    if exhaustive and any(there.values()):
+        order = [f for f in sorted(names) if there[f]]
+        reported = combinations(single, order, score="report_score").select("family_counter_map", F.col("score").alias("report_score"))
+        joint = combinations(single, order).join(reported, "family_counter_map")
+        # the first of equal choices in order of the counters' places
+        place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.array(*[F.element_at(F.create_map(*[F.lit(x) for c in there[f] for x in (c, there[f].index(c))]), F.split("counter_set", ",")[i]) for i, f in enumerate(order)])))
+        rows = mark_best(joint.withColumns({"family": F.lit("__global__"), "position": place.cast("long") + (1 << 30)}), ["family"])
+        out = out.unionByName(rows.select("family", F.lit(scope).alias("scope"), F.lit("one_per_family_exhaustive").alias("candidate_type"), "counter_set", "family_counter_map", *[none(c, "double") for c in ABLATION[5:11]], F.col("score").alias("validation_score"), "report_score", "selected", "position"))
+    return out.select(*ABLATION)
+
+
+def last_selected(results: DataFrame, order: str = "position") -> DataFrame:
+    """family, counter_set of the last row that is flagged as selected (1, true or yes)."""
+    flagged = results.where(F.lower(F.col("selected").cast("string")).isin("1", "true", "yes"))
+    return flagged.groupBy("family").agg(F.max_by("counter_set", order).alias("counter_set"))
+
+
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def representatives(df: DataFrame, by: Sequence[str], scores: Sequence[str], name: str) -> DataFrame:
+    """Of each group the row with the greatest scores, compared in their order, then the least ``name``."""
+    return rank_within(df, by, [*[F.col(s).desc_nulls_last() for s in scores], F.col(name)]).where("rank = 1").drop("rank")

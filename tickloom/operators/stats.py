@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def group_counts(df: DataFrame, group: str, truth: str = "target", prediction: str = "prediction", current: str = "state", classes: int = 3) -> DataFrame:
     """Per group its confusion counts and transitions: all that a cluster bootstrap needs of the rows."""
@@ -21,24 +23,47 @@ def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape, dtype=float), where=b > 0)
 
 
+#: Groups that a bootstrap takes to the driver, at most; numbers drawn at a time.
+MOST_GROUPS, DRAWS = 1_000_000, 1 << 22
+
+
+def _collected(counts: DataFrame, group: str) -> list:
+    """The groups' counts in order of their names; more than MOST_GROUPS are an error: a group should be a run, not a row."""
+    rows = counts.limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups to draw from")
+    return sorted(rows, key=lambda r: str(r[group]))
+
+
+def _drawn(rng: np.random.Generator, resamples: int, *tables: np.ndarray) -> list[np.ndarray]:
+    """Sums of each table's rows over groups drawn with replacement, a row per resample; DRAWS numbers are held at a time."""
+    n = len(tables[0])
+    out = [np.zeros((resamples, t.shape[1])) for t in tables]
+    step = max(1, DRAWS // n)
+    for lo in range(0, resamples, step):
+        some = rng.integers(0, n, size=(min(step, resamples - lo), n))
+        times = np.zeros(some.shape)
+        np.add.at(times, (np.arange(len(some))[:, None], some), 1)
+        for total, table in zip(out, tables):
+            total[lo : lo + len(some)] = times @ table
+    return out
+
+
 def bootstrap_intervals(df: DataFrame, group: str, truth: str = "target", prediction: str = "prediction", current: str = "state", resamples: int = 1000, seed: int = 17, classes: int = 3) -> dict[str, float]:
     """95 % intervals of accuracy, macro F1, balanced and transition accuracy, drawing whole groups.
 
     Rows are counted by group in Spark; drawing works on a matrix of groups x 11
     numbers on the driver, so ``group`` must be something like a run, not a row.
     """
-    rows = sorted(group_counts(df, group, truth, prediction, current, classes).collect(), key=lambda r: str(r[group]))
+    rows = _collected(group_counts(df, group, truth, prediction, current, classes), group)
     names = ("accuracy", "macro_f1", "balanced_accuracy", "transition_accuracy")
     out: dict[str, float] = {"groups": len(rows), "resamples": resamples if rows else 0}
     if not rows:
         return out | {f"{n}_{end}": 0.0 for n in names for end in ("low", "high")}
     cells = np.array([[[r[f"c{t}{p}"] for p in range(classes)] for t in range(classes)] for r in rows])
     moved = np.array([[r["moved_right"], r["moved"]] for r in rows])
-    draws = np.random.default_rng(seed).integers(0, len(rows), size=(resamples, len(rows)))
-    # how often each group was drawn, so memory is resamples x groups
-    times = np.apply_along_axis(np.bincount, 1, draws, minlength=len(rows))
-    c = np.einsum("rg,gtp->rtp", times, cells)
-    m = times @ moved
+    c, m = _drawn(np.random.default_rng(seed), resamples, cells.reshape(len(rows), -1), moved)
+    c = c.reshape(resamples, classes, classes)
     hit, support, said = np.einsum("rtt->rt", c), c.sum(axis=2), c.sum(axis=1)
     value = {
         "accuracy": _divide(hit.sum(axis=1), support.sum(axis=1)),
@@ -61,13 +86,12 @@ def bootstrap_difference(df: DataFrame, group: str, truth: str = "target", first
         return F.sum(c.cast("long"))
 
     a, b = F.col(first) == F.col(truth), F.col(second) == F.col(truth)
-    rows = sorted(known.groupBy(group).agg(F.count("*").alias("n"), count(a).alias("a"), count(b).alias("b"), count(moved).alias("m"), count(moved & a).alias("ma"), count(moved & b).alias("mb")).collect(), key=lambda r: str(r[group]))
+    rows = _collected(known.groupBy(group).agg(F.count("*").alias("n"), count(a).alias("a"), count(b).alias("b"), count(moved).alias("m"), count(moved & a).alias("ma"), count(moved & b).alias("mb")), group)
     out: dict[str, float] = {"groups": len(rows), "resamples": resamples if rows else 0}
     if not rows:
         return out
     table = np.array([[r[k] for k in ("n", "a", "b", "m", "ma", "mb")] for r in rows])
-    draws = np.random.default_rng(seed).integers(0, len(rows), size=(resamples, len(rows)))
-    n, a_, b_, m, ma, mb = (np.apply_along_axis(np.bincount, 1, draws, minlength=len(rows)) @ table).T
+    n, a_, b_, m, ma, mb = _drawn(np.random.default_rng(seed), resamples, table)[0].T
     for name, d in (("accuracy", _divide(a_, n) - _divide(b_, n)), ("transition_accuracy", (_divide(ma, m) - _divide(mb, m))[m > 0])):
         low, high = np.quantile(d, [0.025, 0.975]) if len(d) else (0.0, 0.0)
         out |= {f"{name}_difference": float(d.mean()) if len(d) else 0.0, f"{name}_difference_low": float(low), f"{name}_difference_high": float(high), f"{name}_difference_above_zero": float((d > 0).mean()) if len(d) else 0.0}
@@ -96,7 +120,8 @@ def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         counts = df.groupBy(c).agg(F.count("*").alias("__n"))
         # distinct values in order: offsets by range of value
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = counts.where(F.col(c).isNotNull()).repartitionByRange(parts, c).withColumn("__p", F.spark_partition_id())
+        # the ranges are read twice, so they are kept as they were dealt
+        dealt = cut(counts.where(F.col(c).isNotNull()).repartitionByRange(parts, c).withColumn("__p", F.spark_partition_id()))
         sums = dealt.groupBy("__p").agg(F.sum("__n").alias("__s"))
         before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
         w = Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
@@ -120,13 +145,16 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(F.substring("a", 7, 200).alias("a"), F.substring("b", 7, 200).alias("b"), "r")
 
 
-def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b of two columns by counts of their distinct pairs; meant for columns of few values or bounded tables.
+def kendall(df: DataFrame, x: str, y: str, most_pairs: int = 20_000) -> DataFrame:
+    """Tau-b of two columns by counts of their distinct pairs.
 
     Concordant and discordant pairs come from a join of distinct value pairs with
-    themselves, so the cost is that of their number, not of the rows'.
+    themselves, so the cost is the square of their number, whatever that of rows.
+    More than ``most_pairs`` distinct pairs are an error: bucket such columns first.
     """
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
+    cells = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n")))
+    if cells.count() > most_pairs:
+        raise ValueError(f"more than {most_pairs} distinct pairs of values")
     a, b = cells.alias("a"), cells.alias("b")
     sign = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
     balance = a.join(b, F.col("a.x") > F.col("b.x")).agg(F.coalesce(F.sum(sign * F.col("a.n") * F.col("b.n")), F.lit(0.0)).alias("s"))
@@ -169,8 +197,8 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> list[tuple[str,
     return sorted(zip(columns, map(float, vif)), key=lambda p: (-p[1], p[0]))
 
 
-def stability(df: DataFrame, counters: Sequence[str], ks: Sequence[int], seeds: Sequence[int]) -> list[dict]:
-    """For each k: mean and least pairwise Rand index over seeds, mean of the least cluster share."""
+def stability(df: DataFrame, counters: Sequence[str], ks: Sequence[int], seeds: Sequence[int], starts: dict[int, list] | None = None, **how) -> list[dict]:
+    """For each k: mean and least pairwise Rand index over seeds (or given starts), mean of the least cluster share."""
     from .phases import phase_states
 
     out = []
@@ -178,7 +206,7 @@ def stability(df: DataFrame, counters: Sequence[str], ks: Sequence[int], seeds:
         joined = None
         shares = []
         for i, seed in enumerate(seeds):
-            states, _ = phase_states(df, counters, k, seed, out=f"s{i}")
+            states, _ = phase_states(df, counters, k, seed, f"s{i}", starts[k][i] if starts else None, **how)
             mine = states.select("row_index", f"s{i}")
             sizes = [r["n"] for r in mine.groupBy(f"s{i}").agg(F.count("*").alias("n")).collect()] + [0] * k
             shares.append(min(sizes[:k]) / max(1, sum(sizes)))

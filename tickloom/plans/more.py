@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import evaluation, features, merge, metrics, models, phases, planning, policy, selection, sequences, splits
+from ..operators import build, evaluation, features, merge, metrics, models, phases, planning, policy, selection, sequences, splits
+from ..operators.lineage import fresh_path
+from ..operators.quantiles import quantiles
 from ..sources import adapter, readers
 from ..streaming import online
 from . import frames
@@ -49,8 +51,7 @@ def p17(spark, d):
 @query("p19_thread_process_groups", "SELECT l_orderkey, l_linenumber, 'threads=' || l_linenumber || '|processes=' || CASE WHEN l_linenumber % 2 = 0 THEN 'unknown' ELSE '2' END AS g FROM lineitem")
 def p19(spark, d):
     processes = F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise("2")
-    label = F.concat(F.lit("threads="), F.col("l_linenumber").cast("string"), F.lit("|processes="), F.coalesce(F.nullif(F.trim(processes), F.lit("")), F.lit("unknown")))
-    return adapter.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", label.alias("g"))
+    return adapter.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.thread_process_group(F.col("l_linenumber"), processes).alias("g"))
 
 
 @query("p24_weighted_scores", sql("examples", *_PRED, "SELECT workload, round(0.7 * avg(CAST(target = prediction AS DOUBLE)) + 0.3 * coalesce(avg(CASE WHEN target = 2 THEN CAST(prediction = 2 AS DOUBLE) END), 0), 6) AS score FROM test GROUP BY workload"))
@@ -70,7 +71,7 @@ def p25(spark, d):
 
 @query("s8_suite_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def s8(spark, d):
-    return adapter.table(spark, d, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey")
+    return build.only(adapter.table(spark, d, "orders"), "o_orderstatus", "F").select("o_orderkey")
 
 
 @query("s9_stored_sequences", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE o_orderkey % 4 END AS family_state, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 2 END AS future_state_1, CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM orders")
@@ -106,7 +107,7 @@ def j1(spark, d):
 @query("j5_attach_metadata", "SELECT o_orderkey, c_name AS workload, c_mktsegment AS suite FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def j5(spark, d):
     runs = adapter.table(spark, d, "customer").selectExpr("c_custkey as o_custkey", "c_name as workload", "c_mktsegment as suite")
-    return adapter.table(spark, d, "orders").join(runs, "o_custkey", "left").select("o_orderkey", "workload", "suite")
+    return merge.attach_metadata(adapter.table(spark, d, "orders"), runs, "o_custkey", ["workload", "suite", "threads"]).select("o_orderkey", "workload", "suite")
 
 
 @query("j8_prefer_first", "SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey AS k, 'fallback' AS v FROM nation WHERE n_regionkey <> 1")
@@ -147,8 +148,7 @@ def a20(spark, d):
 
 @query("f9_stable_and_moving", sql("examples", *_PRED, "SELECT threads, cpu_or_core_id, count(*) FILTER (target = state) AS stable, count(*) FILTER (target <> state) AS moving FROM test GROUP BY 1, 2"))
 def f9(spark, d):
-    t = _test_rows(spark, d)
-    return t.groupBy("threads", "cpu_or_core_id").agg(F.sum((F.col("target") == F.col("state")).cast("long")).alias("stable"), F.sum((F.col("target") != F.col("state")).cast("long")).alias("moving"))
+    return metrics.stable_and_moving(_test_rows(spark, d), ["threads", "cpu_or_core_id"])
 
 
 @query("m22_blended_targets", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 3 WHEN o_custkey % 3 = 0 THEN CASE WHEN 0.7 * 0.2 + 0.3 >= 0.7 * 0.6 THEN 0 ELSE 2 END WHEN o_custkey % 3 = 1 THEN CASE WHEN 0.7 * 0.2 + 0.3 > 0.7 * 0.6 THEN 1 ELSE 2 END ELSE 2 END AS target FROM orders")
@@ -182,18 +182,9 @@ def t6(spark, d):
     return selection.rank_within(m.withColumn("one", F.lit(1)), ["one"], [F.col("q"), F.col("cluster")]).select("cluster", (F.col("rank") - 1).alias("state"))
 
 
-@query("t8_first_supported", "SELECT 'f' || (p_partkey % 7) AS family, min(p_partkey) FILTER (p_partkey % 2 = 0) AS priority, count(*) FILTER (p_partkey % 2 = 0) > 0 AS supported FROM part WHERE p_partkey <= 70 GROUP BY 1")
+@query("t8_first_supported", "SELECT 'f' || (p_partkey % 7) AS family, min(p_partkey) FILTER (p_partkey % 2 = 0) AS priority, count(*) FILTER (p_partkey % 2 = 0) > 0 AS supported FROM part GROUP BY 1")
 def t8(spark, d):
-    """Only the parts that its SQL has; ``t8_first_supported_all`` has all."""
-    return _first_supported(adapter.table(spark, d, "part").where("p_partkey <= 70"))
-
-
-@query("t8_first_supported_all", "SELECT 'f' || (p_partkey % 7) AS family, min(p_partkey) FILTER (p_partkey % 2 = 0) AS priority, count(*) FILTER (p_partkey % 2 = 0) > 0 AS supported FROM part GROUP BY 1")
-def t8_all(spark, d):
-    return _first_supported(adapter.table(spark, d, "part"))
-
-
-def _first_supported(part):
+    part = adapter.table(spark, d, "part")
     candidates = part.select(F.concat(F.lit("f"), (F.col("p_partkey") % 7).cast("string")).alias("family"), F.concat(F.lit("Event "), F.col("p_partkey").cast("string")).alias("event_name"), F.col("p_partkey").alias("priority"))
     supported = candidates.where("priority % 2 = 0").select(fn.normal_event(F.col("event_name")).alias("normal"))
     return planning.resolve_aliases(candidates, supported).select("family", "priority", "supported")
@@ -212,16 +203,8 @@ def x2(spark, d):
     return splits.run_grouped(frames.base(spark, d))
 
 
-@query("x5_leave_one_out", "SELECT DISTINCT 'run_' || user_id AS run_id, 'test' AS split FROM events WHERE user_id % 7 = 3")
+@query("x5_leave_one_out")
 def x5(spark, d):
-    """Only the held-out runs, as its SQL; ``x5_leave_one_out_all`` has all."""
-    rows = frames.base(spark, d).withColumn("concurrent_group_id", F.col("run_id"))
-    held = rows.where("workload = 'w3'").select("run_id").distinct()
-    return splits.leave_one_out(rows, "w3").join(held, "run_id", "left_semi")
-
-
-@query("x5_leave_one_out_all")
-def x5_all(spark, d):
     """Every run to a split; the runs that are not held out are drawn by NumPy, so rows only."""
     return splits.leave_one_out(frames.base(spark, d).withColumn("concurrent_group_id", F.col("run_id")), "w3")
 
@@ -235,14 +218,13 @@ def v2(spark, d):
 @query("o9_representatives", "WITH x AS (SELECT p_brand AS grp, p_partkey AS column, p_retailprice AS score FROM part) SELECT grp, \"column\" FROM x QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, \"column\") = 1".replace("AS column", 'AS "column"'))
 def o9(spark, d):
     part = adapter.table(spark, d, "part").selectExpr("p_brand as grp", "p_partkey as column", "p_retailprice as score")
-    return selection.rank_within(part, ["grp"], [F.col("score").desc(), F.col("column")]).where("rank = 1").select("grp", "column")
+    return selection.representatives(part, ["grp"], ["score"], "column").select("grp", "column")
 
 
 @query("o4_indicators", "SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS cpi, l_quantity / nullif(l_extendedprice, 0) AS ipc, l_tax / nullif(l_quantity, 0) * 1000 AS mpki FROM lineitem")
 def o4(spark, d):
-    cycles, instructions, misses = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_tax")
-    li = adapter.table(spark, d, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", fn.ratio(cycles, instructions).alias("cpi"), fn.ratio(instructions, cycles).alias("ipc"), fn.ratio(misses, instructions, 1000.0).alias("mpki"))
+    rows = features.indicators(adapter.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", {"mpki": "l_tax"})
+    return rows.select("l_orderkey", "l_linenumber", "cpi", "ipc", "mpki")
 
 
 @query("m5_one_dimensional_states")
@@ -269,28 +251,25 @@ def m24(spark, d):
     t = sequences.target_windows(frames.states(spark, d), 3, 1, ["state"])
     rows = t.select("row_index", "split", "is_train", "state", F.col("targets")[0].alias("target"), *[F.col("one_hot")[i].alias(f"x{i}") for i in range(9)])
     tree = models.fit_tree(rows.where("is_train"), [f"x{i}" for i in range(9)], "target", 3, 8)
-    return metrics.classification_scores(metrics.confusion(metrics.mask_rows(rows.withColumn("prediction", models.tree_expression(tree)), metrics.SELECT)))
+    return metrics.classification_scores(metrics.confusion(metrics.mask_rows(rows.withColumn("prediction", models.tree_expression(tree)), (), else_all=True)))
 
 
 @query("a6_percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, CAST(0.05 AS DOUBLE)), 6) AS p05, round(quantile_cont(l_extendedprice, CAST(0.5 AS DOUBLE)), 6) AS p50, round(quantile_cont(l_extendedprice, CAST(0.95 AS DOUBLE)), 6) AS p95 FROM lineitem GROUP BY l_returnflag")
 def a6(spark, d):
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return adapter.table(spark, d, "lineitem").groupBy("l_returnflag").agg(p.alias("p")).select("l_returnflag", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    q = quantiles(adapter.table(spark, d, "lineitem"), ["l_extendedprice"], [0.05, 0.5, 0.95], ["l_returnflag"])
+    return q.select("l_returnflag", *[F.round(F.col("q__l_extendedprice")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 @query("a13_hamming", sql("base", _sql_family(0, COLS[0]), "SELECT split, round(avg(CAST(target <> prediction AS DOUBLE)), 6) AS hamming FROM s0 GROUP BY split"))
 def a13(spark, d):
     rows = _two_families(spark, d).where("family = 'core_fp'")
-    return rows.groupBy("split").agg(F.round(F.avg((F.col("target") != F.col("prediction")).cast("double")), 6).alias("hamming"))
+    return metrics.hamming(rows, ["split"]).select("split", *r6("hamming"))
 
 
 @query("stream_windowed_sums", "SELECT 'run_' || user_id AS run_id, CAST(epoch_ms(date_trunc('day', ts)) AS DOUBLE) AS timestamp_ms, round(sum(value) FILTER (event_type = 'view'), 6) AS counter__instructions_retired FROM events GROUP BY 1, 2")
 def stream(spark, d):
     """The pivot of a day's samples by a watermarked stream, run to its end over the table and a closing row."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    where = f"{base}/stream-{uuid.uuid4().hex}"
+    where = fresh_path(spark, "stream")
     e = adapter.table(spark, d, "events").select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.lit("0").alias("cpu_or_core_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", "instructions_retired").alias("counter"), "value")
     e.write.parquet(f"{where}/in")
     # a far later row of no run closes the last window
@@ -308,9 +287,6 @@ def merge_end_to_end(spark, d):
     rows = features.derived_features(merge.with_durations(frames.wide(spark, d, True)))
     return rows.select("run_id", "timestamp_ms", *r6("branch_miss_rate", "llc_miss_rate"))
 
-
-
-
 @query("m18_skipped_models", "SELECT m AS model, 'skipped' AS status, 'torch is not installed' AS reason FROM (VALUES ('tcn_phase_classifier'), ('tiny_transformer_phase_classifier')) v(m)")
 def m18(spark, d):
     return evaluation.skipped(spark)

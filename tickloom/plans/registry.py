@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import features, merge, metrics, models, phases, planning, policy, selection, sequences, splits, stats
+from ..operators import evaluation, features, merge, metrics, models, phases, planning, policy, selection, sequences, splits, stats
 from ..sources import adapter, readers
 from . import frames
 from .frames import COUNTERS, VALUE, sql
@@ -565,13 +565,9 @@ def f2(spark, d):
 
 def _model_scores(spark, d) -> DataFrame:
     """Accuracy of four models by workload, on test rows, from one frame of examples."""
-    e = frames.examples(spark, d)
-    named = {"last_state": models.last_state(e), "majority": models.majority(e), "state_majority": models.state_majority(e), "markov": models.markov(e)}
-    out = None
-    for name, df in named.items():
-        s = metrics.usable(metrics.mask_rows(df)).groupBy("workload").agg(F.count("*").alias("rows"), F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("accuracy")).withColumn("model", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return out
+    named = {"last_state": models.last_state, "majority": models.majority, "state_majority": models.state_majority, "markov": models.markov}
+    said = evaluation.stacked(frames.examples(spark, d).select("row_index", "workload", "split", "is_train", "state", "target"), named)
+    return metrics.scores_by(metrics.usable(said), ["workload", "model"]).select("workload", "model", "rows", "accuracy")
 
 
 _SCORES = [
@@ -660,32 +656,17 @@ def _counter_scores(spark, d) -> DataFrame:
     return adapter.table(spark, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("family"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("counter"), F.col("p_size").cast("double").alias("score"), F.col("p_partkey").alias("position"))
 
 
-_CS = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, 'c' || p_partkey AS counter, CAST(p_size AS DOUBLE) AS score, p_partkey AS position FROM part WHERE p_partkey <= 60)"
-#: The ids that the SQL above is cut to.
-_FIRST = "position <= 60"
-_CS_ALL = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, 'c' || p_partkey AS counter, CAST(p_size AS DOUBLE) AS score, p_partkey AS position FROM part)"
+_CS = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, 'c' || p_partkey AS counter, CAST(p_size AS DOUBLE) AS score, p_partkey AS position FROM part)"
 _BRANDS = "cs AS (SELECT 'f' || (p_partkey % 3) AS family, p_brand AS counter, avg(p_size) AS score FROM part GROUP BY 1, 2)"
 
 
 @query("t2_best_counter", f"WITH {_CS} SELECT family, counter, score, CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1 AS INT) AS selected FROM cs")
 def t2(spark, d):
-    """Only the parts that its SQL has; ``t2_best_counter_all`` has all."""
-    return selection.mark_best(_counter_scores(spark, d).where(_FIRST), ["family"]).select("family", "counter", "score", "selected")
-
-
-@query("t2_best_counter_all", f"WITH {_CS_ALL} SELECT family, counter, score, CAST(row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1 AS INT) AS selected FROM cs")
-def t2_all(spark, d):
     return selection.mark_best(_counter_scores(spark, d), ["family"]).select("family", "counter", "score", "selected")
 
 
-@query("j16_counter_combinations", f"WITH {_CS} SELECT a.counter || ',' || b.counter || ',' || c.counter AS counter_set, 'f0:' || a.counter || ';f1:' || b.counter || ';f2:' || c.counter AS family_counter_map, round((a.score + b.score + c.score) / 3, 6) AS score FROM cs a, cs b, cs c WHERE a.family = 'f0' AND b.family = 'f1' AND c.family = 'f2'")
+@query("j16_counter_combinations", f"WITH {_BRANDS} SELECT a.counter || ',' || b.counter || ',' || c.counter AS counter_set, 'f0:' || a.counter || ';f1:' || b.counter || ';f2:' || c.counter AS family_counter_map, round((a.score + b.score + c.score) / 3, 6) AS score FROM cs a, cs b, cs c WHERE a.family = 'f0' AND b.family = 'f1' AND c.family = 'f2'")
 def j16(spark, d):
-    """Only the parts that its SQL has; ``j16_counter_combinations_all`` has all."""
-    return selection.combinations(_counter_scores(spark, d).where(_FIRST), ["f0", "f1", "f2"]).select("counter_set", "family_counter_map", *r6("score"))
-
-
-@query("j16_counter_combinations_all", f"WITH {_BRANDS} SELECT a.counter || ',' || b.counter || ',' || c.counter AS counter_set, 'f0:' || a.counter || ';f1:' || b.counter || ';f2:' || c.counter AS family_counter_map, round((a.score + b.score + c.score) / 3, 6) AS score FROM cs a, cs b, cs c WHERE a.family = 'f0' AND b.family = 'f1' AND c.family = 'f2'")
-def j16_all(spark, d):
     """Brands as counters, scored over all parts: the lists of options stay short at any size."""
     part = adapter.table(spark, d, "part")
     options = part.groupBy(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("family"), F.col("p_brand").alias("counter")).agg(F.avg("p_size").alias("score"))
@@ -694,12 +675,6 @@ def j16_all(spark, d):
 
 @query("j16_best_combination", f"WITH {_CS}, b AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1) SELECT string_agg(family || ':' || counter, ';' ORDER BY family) AS family_counter_map, round(avg(score), 6) AS score FROM b")
 def j16b(spark, d):
-    """Only the parts that its SQL has; ``j16_best_combination_all`` has all."""
-    return selection.best_combination(_counter_scores(spark, d).where(_FIRST), ["f0", "f1", "f2"]).select("family_counter_map", *r6("score"))
-
-
-@query("j16_best_combination_all", f"WITH {_CS_ALL}, b AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, position) = 1) SELECT string_agg(family || ':' || counter, ';' ORDER BY family) AS family_counter_map, round(avg(score), 6) AS score FROM b")
-def j16b_all(spark, d):
     return selection.best_combination(_counter_scores(spark, d), ["f0", "f1", "f2"]).select("family_counter_map", *r6("score"))
 
 
@@ -734,7 +709,7 @@ def j17c(spark, d):
     return planning.chunked_groups(adapter.perf_long(spark, d), 2)
 
 
-@query("a23_task_plan", "SELECT 'w' || (user_id % 7) AS workload, 6 AS tasks, 1 AS workloads, '1,4' AS thread_values FROM events GROUP BY 1")
+@query("a23_task_plan", "SELECT w AS workload, count(*) AS tasks, count(DISTINCT w) AS workloads, array_to_string(list_sort(list_distinct(list(t))), ',') AS thread_values FROM (SELECT DISTINCT 'w' || (user_id % 7) AS w FROM events) CROSS JOIN (VALUES (1), (4)) v(t) CROSS JOIN range(3) r(k) GROUP BY w")
 def a23(spark, d):
     return planning.plan_summary(planning.task_plan(adapter.perf_long(spark, d), [1, 4], 3).withColumn("name", F.col("workload")), ["name"]).withColumnRenamed("name", "workload")
 
@@ -816,10 +791,20 @@ def o6(spark, d):
     return stats.top_correlations(stats.correlations(adapter.table(spark, d, "lineitem"), _LI), 3).select("a", "b", *r6("r"))
 
 
-@query("o7_correlation_groups", "SELECT 'l_extendedprice,l_quantity' AS members, 0.7 AS threshold FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) WHERE abs(r) >= 0.7".replace("0.7 AS threshold", "CAST(0.7 AS DOUBLE) AS threshold"))
+#: Columns that are tied in two groups, and one that stands alone.
+_TIED = {"q": "l_quantity", "q2": "l_quantity * 2 + l_tax", "p": "l_extendedprice", "p2": "l_extendedprice - l_discount * 100", "line": "l_linenumber"}
+_TIED_PAIRS = [(a, b) for i, a in enumerate(_TIED) for b in list(_TIED)[i + 1 :]]
+
+
+@query(
+    "o7_correlation_groups",
+    "WITH RECURSIVE x AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _TIED.items()) + " FROM lineitem), pr AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in _TIED_PAIRS)
+    + "), e AS (SELECT t, a, b FROM pr, (VALUES (0.7), (0.9), (0.99)) v(t) WHERE abs(r) >= t), s AS (SELECT t, a, b FROM e UNION ALL SELECT t, b, a FROM e), c(t, a, root) AS (SELECT t, a, a FROM s UNION SELECT s.t, s.b, c.root FROM c JOIN s ON s.t = c.t AND s.a = c.a), m AS (SELECT t, a, min(root) AS root FROM c GROUP BY t, a) SELECT string_agg(a, ',' ORDER BY a) AS members, CAST(t AS DOUBLE) AS threshold FROM m GROUP BY t, root",
+)
 def o7(spark, d):
-    pairs = stats.correlations(adapter.table(spark, d, "lineitem"), _LI)
-    return spark.createDataFrame([(",".join(g), 0.7) for g in stats.correlation_groups(pairs, 0.7)], "members string, threshold double")
+    rows = adapter.table(spark, d, "lineitem").select(*[F.expr(e).cast("double").alias(c) for c, e in _TIED.items()])
+    pairs = stats.correlations(rows, list(_TIED))
+    return spark.createDataFrame([(",".join(g), t) for t in (0.7, 0.9, 0.99) for g in stats.correlation_groups(pairs, t)], "members string, threshold double")
 
 
 @query("o8_variance_inflation", "SELECT c AS \"column\", round(1 / (1 - corr(l_quantity, l_extendedprice) ** 2), 4) AS vif FROM lineitem CROSS JOIN (VALUES ('l_quantity'), ('l_extendedprice')) v(c) GROUP BY c")
@@ -880,14 +865,8 @@ def m29(spark, d):
     return selection.ablation(frames.states(spark, d), families={"branch_control": ["branch_instructions", "branch_mispredictions"], "LLC": ["llc_references", "llc_misses"]})
 
 
-@query("t1_sorted_rows", sql("wide", "SELECT run_id, timestamp_ms, cpu_or_core_id FROM wide ORDER BY timestamp_ms, cpu_or_core_id, run_id LIMIT 100"))
+@query("t1_sorted_rows", sql("wide", "SELECT run_id, timestamp_ms, cpu_or_core_id, row_number() OVER (ORDER BY timestamp_ms, cpu_or_core_id, run_id) - 1 AS row_index FROM wide"))
 def t1(spark, d):
-    """Only the rows that its SQL has; ``t1_sorted_rows_all`` has all."""
-    return frames.wide(spark, d).select("run_id", "timestamp_ms", "cpu_or_core_id").orderBy("timestamp_ms", "cpu_or_core_id", "run_id").limit(100)
-
-
-@query("t1_sorted_rows_all", sql("wide", "SELECT run_id, timestamp_ms, cpu_or_core_id, row_number() OVER (ORDER BY timestamp_ms, cpu_or_core_id, run_id) - 1 AS row_index FROM wide"))
-def t1_all(spark, d):
     return sequences.with_row_index(frames.wide(spark, d).select("run_id", "timestamp_ms", "cpu_or_core_id"), ["timestamp_ms", "cpu_or_core_id", "run_id"])
 
 
@@ -903,8 +882,7 @@ def w16(spark, d):
 
 @query("a25_thread_scaling", sql("examples", *_PRED, "SELECT threads, count(*) AS rows, round(avg(CAST(target = prediction AS DOUBLE)), 6) AS accuracy, round(avg(CASE WHEN target <> state THEN CAST(target = prediction AS DOUBLE) END), 6) AS transition_accuracy, round(avg(CASE WHEN target = state THEN CAST(target = prediction AS DOUBLE) END), 6) AS stable_accuracy FROM test GROUP BY threads"))
 def a25(spark, d):
-    t = _test_rows(spark, d)
-    return t.groupBy("threads").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("target") == F.col("prediction")).cast("double")), 6).alias("accuracy"), F.round(metrics.transition_accuracy(), 6).alias("transition_accuracy"), F.round(metrics.stable_accuracy(), 6).alias("stable_accuracy"))
+    return metrics.scores_by(_test_rows(spark, d), ["threads"]).select("threads", "rows", *r6("accuracy", "transition_accuracy", "stable_accuracy"))
 
 
 @query("a24_state_shares", sql("states", "SELECT workload, state, count(*) AS rows, round(count(*) / sum(count(*)) OVER (PARTITION BY workload), 6) AS share FROM states GROUP BY workload, state"))
@@ -912,4 +890,6 @@ def a24(spark, d):
     s = frames.states(spark, d).groupBy("workload", "state").agg(F.count("*").alias("rows"))
     return s.withColumn("share", F.round(F.col("rows") / F.sum("rows").over(Window.partitionBy("workload")), 6))
 
-from . import more as _more  # noqa: E402, F401  (adds its queries)
+
+from . import extra as _extra  # noqa: E402, F401  (adds its queries)
+from . import more as _more  # noqa: E402, F401
