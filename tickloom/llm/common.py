@@ -4,44 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import weakref
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, fresh_path, shared_dir  # noqa: F401  (taken from here by the operators)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="tickloom-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tickloom-{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage in the shared folder, so that a lost executor costs nothing."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
-
-
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, so that no other name can clash."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -70,6 +47,55 @@ class Memo(dict):
         return value
 
 
+class WordTable:
+    """Values of distinct words, as arrays: ``learn(list of words)`` gives an array of values for each of its columns.
+
+    Finding words is left to Arrow; only those that are new are Python strings.
+    Holds ``limit`` words between calls; beyond it, the half met most often stays.
+    """
+
+    def __init__(self, learn, limit: int, owner: str):
+        self.learn, self.limit = learn, limit
+        self.clear()
+        owned(owner, self)
+
+    def clear(self) -> None:
+        self.keys, self.met, self.columns = pa.array([], pa.string()), np.empty(0, np.int64), None
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def values(self, words: pa.Array) -> list[np.ndarray]:
+        """The values of each of ``words``."""
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.keys)
+        new = coded.dictionary.filter(pc.is_null(at))
+        place = np.array(pc.fill_null(at, -1), dtype=np.int64)
+        place[place < 0] = len(self) + np.arange(len(new))
+        if len(new) or self.columns is None:
+            learned = self.learn(new.to_pylist())
+            self.columns = learned if self.columns is None else [np.concatenate(x) for x in zip(self.columns, learned)]
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int64)))
+        which = np.asarray(coded.indices)
+        self.met[place] += np.bincount(which, minlength=len(place))
+        out = [c[place][which] for c in self.columns]
+        if len(self) > self.limit:
+            stays = np.sort(np.argpartition(-self.met, self.limit // 2)[: self.limit // 2])
+            self.keys, self.met, self.columns = self.keys.take(pa.array(stays)), self.met[stays] // 2, [c[stays] for c in self.columns]
+        return out
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of all texts one after another, and the bounds of each text; a null text has none."""
+    cut_up = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words, bounds = cut_up.flatten(), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(cut_up)), dtype=np.int64)))
+    some = np.asarray(pc.binary_length(words)) > 0
+    if some.all():
+        return words, bounds
+    return words.filter(pa.array(some)), np.concatenate(([0], np.cumsum(some)))[bounds]
+
+
 def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     gc.collect()
@@ -79,7 +105,12 @@ def give_back() -> None:
 
 
 def claim(owner: str) -> None:
-    """Called where a task begins: worker processes are used again by other operators, whose memos are emptied."""
+    """Called where a task begins: worker processes are used again by other operators, whose memos are emptied.
+
+    Arrow takes its memory from the C library from then on, which gives large buffers
+    back as soon as they are free.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
     emptied = False
     for other, memos in _MEMOS.items():
         if other != owner:
@@ -94,7 +125,7 @@ def claim(owner: str) -> None:
 
 
 def pieces_of(batch, rows: int = 256):
-    """A record batch in short stretches, so that few texts are Python objects at a time."""
+    """A record batch in short stretches, so that few of its values are Python objects at a time."""
     for lo in range(0, batch.num_rows, rows):
         yield batch.slice(lo, rows)
 
@@ -110,10 +141,6 @@ def stretches(batch, column: int, most: int = 1 << 22):
         lo = hi
 
 
-#: 64-bit hash of a word's bytes, remembered per worker process.
-WORD_HASH = Memo(xxhash.xxh3_64_intdigest, 300_000, "shingles")
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges``; root is the least node of its component.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, cut, id_text, pieces_of, table
+from .common import WordTable, claim, cut, id_text, stretches, table, words_of
 from .shingles import windows
 
 #: Words of a window, and the share of an item's windows that a document must have.
@@ -37,73 +36,66 @@ _PLAIN = np.uint64(xxhash.xxh3_64_intdigest(b"\0plain"))
 EMPTY, NUMBER, UNIT, CAPITAL = 1, 2, 4, 8
 
 
-class Words:
-    """Nature of each distinct word, by number; emptied when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
-        self.reset()
-
-    def reset(self):
-        self.number = Memo(self._learn, 1 << 62, "decontam")
-        self.hashes, self.bits = array("Q"), array("B")
-
-    def _learn(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        lo, hi = 0, len(word)
-        while lo < hi and not word[lo].isalnum():
-            lo += 1
-        while hi > lo and not (word[hi - 1].isalnum() or word[hi - 1] in "%°"):
-            hi -= 1
-        core = word[lo:hi]
+def _nature(words: list[str]) -> list[np.ndarray]:
+    """Hash of each word's core without case, and the bits of its nature."""
+    cores, natures = [], []
+    for word in words:
+        core, bits = word, 0
+        if not core.isalpha():
+            lo, hi = 0, len(word)
+            while lo < hi and not word[lo].isalnum():
+                lo += 1
+            while hi > lo and not (word[hi - 1].isalnum() or word[hi - 1] in "%°"):
+                hi -= 1
+            core = word[lo:hi]
         low = core.lower()
-        bits = 0
-        if not core or not any(c.isalnum() for c in core):
-            bits |= EMPTY
-        elif _NUMBER.match(low):
-            bits |= NUMBER
+        if not core:
+            bits = EMPTY
+        elif not core.isalpha() and _NUMBER.match(low):
+            bits = NUMBER
         else:
             if low in UNITS:
-                bits |= UNIT
-            if core[0].isupper() and len(core) > 1 and core[1:].islower():
+                bits = UNIT
+            if low != core and core[0].isupper() and len(core) > 1 and core[1:].islower():
                 bits |= CAPITAL
-        self.hashes.append(xxhash.xxh3_64_intdigest(core.casefold().encode()))
-        self.bits.append(bits)
-        return len(self.bits) - 1
-
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, plain hashes, is a slot, is a literal) of the words that have a letter or digit.
-
-        Numbers become one placeholder, units right after a number another, and
-        capitalised words a third: those that open a sentence too, as it may be with a
-        name ("Alice buys 3 apples. Alice then ..."); one that is no name has the same
-        value on both sides.
-        """
-        if len(self.bits) > self.limit:
-            self.reset()
-        words = text.encode().split()
-        which = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        if not len(words):
-            none = np.empty(0, np.uint64)
-            return none, none, none.astype(bool), none.astype(bool)
-        bits = np.frombuffer(self.bits, dtype=np.uint8)[which]
-        plain = np.frombuffer(self.hashes, dtype=np.uint64)[which]
-        before = np.concatenate(([np.uint8(0)], bits[:-1]))
-        number = (bits & NUMBER) > 0
-        unit = ((bits & UNIT) > 0) & ((before & NUMBER) > 0)
-        name = ((bits & CAPITAL) > 0) & ~unit
-        out = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, plain)))
-        keep = (bits & EMPTY) == 0
-        slot = (number | unit | name)[keep]
-        return out[keep], plain[keep], slot, ~slot
-
-
-_WORDS = Words()
-
-
-def _windows(text: str | None, size: int, short=(), plainly: bool = True):
+        cores.append(low.encode() if core.isascii() else core.casefold().encode())
+        natures.append(bits)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, cores), dtype=np.uint64, count=len(cores))
+    return [hashes, np.array(natures, dtype=np.uint8)]
+
+
+#: Distinct words that a worker process remembers.
+_WORDS = WordTable(_nature, 400_000, "decontam")
+
+
+def templates(texts: pa.Array):
+    """For each text (template hashes, plain hashes, is a slot, is a literal) of the words that have a letter or digit.
+
+    Numbers become one placeholder, units right after a number another, and
+    capitalised words a third: those that open a sentence too, as it may be with a
+    name ("Alice buys 3 apples. Alice then ..."); one that is no name has the same
+    value on both sides.
+    """
+    words, bounds = words_of(texts)
+    plain, bits = _WORDS.values(words)
+    before = np.concatenate(([np.uint8(0)], bits[:-1])) if len(bits) else bits
+    first = bounds[:-1][bounds[:-1] < len(bits)]
+    before[first] = 0
+    number = (bits & NUMBER) > 0
+    unit = ((bits & UNIT) > 0) & ((before & NUMBER) > 0)
+    name = ((bits & CAPITAL) > 0) & ~unit
+    slot = number | unit | name
+    out = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, plain)))
+    keep = (bits & EMPTY) == 0
+    at = np.concatenate(([0], np.cumsum(keep)))[bounds]
+    out, plain, slot = out[keep], plain[keep], slot[keep]
+    for lo, hi in zip(at[:-1], at[1:]):
+        yield out[lo:hi], plain[lo:hi], slot[lo:hi], ~slot[lo:hi]
+
+
+def _windows(template, size: int, short=(), plainly: bool = True):
     """For the width ``size`` (or the whole text, if shorter) and each width of ``short`` that the text has: (width, template window hashes, literal words in each, plain window hashes, slot flags, plain hashes)."""
-    hashes, plain, slot, literal = _WORDS.template(text or "")
+    hashes, plain, slot, literal = template
     run = np.concatenate(([0], np.cumsum(literal)))
     for width in sorted({min(size, len(hashes)), *[w for w in short if w < len(hashes)]}):
         if width:
@@ -136,8 +128,8 @@ def _scan(size: int, known, short=(), plainly: bool = True):
                 at = at[wanted[near] == found[at]]
             return at
 
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            keys, versions, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for batch in (part for whole in batches for part in stretches(whole, 2)):
+            keys, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], [], [], []]
 
             def put(key, version, at, found, slots, width, is_plain):
@@ -149,8 +141,8 @@ def _scan(size: int, known, short=(), plainly: bool = True):
                 out[5].extend([width] * len(at))
                 out[6].extend([is_plain] * len(at))
 
-            for key, version, text in zip(keys, versions, texts):
-                for width, found, literal, whole, slot, plain in _windows(text, size, short, plainly):
+            for key, version, template in zip(keys, versions, templates(batch.column(2))):
+                for width, found, literal, whole, slot, plain in _windows(template, size, short, plainly):
                     at = kept(found, literal >= min(2, width))
                     if len(at):
                         signed = plain.view(np.int64)
@@ -169,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     """A row for each (document, benchmark item) where the item leaked.
 
     ``doc_id, version, item_id, n_windows, n_matched, containment, n_slots,
-    slot_consistency, verbatim``.  Texts become templates (see ``Words.template``,
+    slot_consistency, verbatim``.  Texts become templates (see ``templates``,
     case and outer punctuation do not count); an item leaked if the document has
     ``share`` of its distinct windows and its slot values go over consistently.
     Aligned slots (at one place of a window that both have) should follow a map that
