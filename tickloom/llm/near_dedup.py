@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, connected_components, cut, id_text, pieces_of, table
-from .shingles import mix, shingle_set
+from .common import claim, connected_components, cut, id_text, stretches, table
+from .shingles import mix, shingle_sets
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,8 +21,11 @@ def fast_sketch(items: np.ndarray, t: int = 128) -> np.ndarray:
     (round, value).  Rounds t to 2t - 1 send every item to bin i - t, so nothing
     stays empty.  Rounds end once all bins are full, about t log t hashes in all.
     Two sets agree in a coordinate with probability their Jaccard similarity, with
-    concentration as if the coordinates were independent.  ``t`` is a power of two.
+    concentration as if the coordinates were independent.  ``t`` is a power of two,
+    512 at most: a round's number has nine bits.
     """
+    if t > 512 or t & (t - 1):
+        raise ValueError("t must be a power of two, 512 at most")
     n = len(items)
     bits = t.bit_length() - 1
     out = np.zeros(t, dtype=np.uint64)
@@ -65,10 +68,9 @@ def _signatures(size: int, t: int, rows: int):
     def run(batches):
         claim("shingles")
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in stretches(batch, 2):
                 counts, sets, bands = [], [], []
-                for text in part.column(2).to_pylist():
-                    items = shingle_set(text, size)
+                for items in shingle_sets(part.column(2), size):
                     counts.append(len(items))
                     sets.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                     bands.append(band_keys(fast_sketch(items, t), rows).view(np.int64) if len(items) else None)
@@ -88,14 +90,13 @@ def _verify_pairs(size: int, percent: int):
     def run(batches):
         claim("shingles")
         group, centre = None, None
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            rows = batch.to_pydict()
+        for batch in (part for whole in batches for part in stretches(whole, 4)):
             left, right = [], []
-            for hub, part, is_hub, member, text in zip(rows["hub"], rows["part"], rows["is_hub"], rows["member"], rows["text"]):
+            for hub, part, is_hub, member, items in zip(*(batch.column(i).to_pylist() for i in range(4)), shingle_sets(batch.column(4), size)):
                 if is_hub:
                     if group != (hub, part):
-                        group, centre = (hub, part), shingle_set(text, size)
-                elif group == (hub, part) and _linked(centre, shingle_set(text, size), percent):
+                        group, centre = (hub, part), items
+                elif group == (hub, part) and _linked(centre, items, percent):
                     left.append(hub)
                     right.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
@@ -227,9 +228,8 @@ def _by_set(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         claim("shingles")
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            mine, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [xxhash.xxh3_128_digest(shingle_set(x, size).tobytes()) == s for s, x in zip(mine, texts)]
+        for batch in (part for whole in batches for part in stretches(whole, 1)):
+            good = [xxhash.xxh3_128_digest(x.tobytes()) == s for s, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return rows.mapInArrow(run, "set_id binary, text string").dropDuplicates(["set_id"])
@@ -247,8 +247,8 @@ def _blocks(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
     def items(batches):
         claim("shingles")
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            packed = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in stretches(whole, 1)):
+            packed = [x.tobytes() for x in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["set_id", "items"])
 
     sets = texts.join(rows.select("set_id").distinct(), "set_id").select("set_id", "text").mapInArrow(items, "set_id binary, items binary")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from .common import WORD_HASH
+from .common import WordTable, words_of
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -19,10 +21,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (``bytes.split`` cuts exactly there)."""
-    words = raw.split()
-    return np.fromiter(map(WORD_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
+#: 64-bit hash of a word's bytes, remembered per worker process.
+_HASHES = WordTable(lambda words: [np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), dtype=np.uint64, count=len(words))], 300_000, "shingles")
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -34,15 +34,21 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct shingles of the text with A-Z lower-cased.
+def shingle_sets(texts: pa.Array, size: int = 5):
+    """For each text its sorted distinct shingles, with A-Z lower-cased.
 
     Fewer words than ``size`` make one shingle of the whole sequence; without words
     or text the set is empty.
     """
-    hashes = word_hashes((text or "").encode().lower())
-    if not len(hashes):
-        return hashes
-    if len(hashes) < size:
-        return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], dtype=np.uint64)
-    return np.unique(windows(hashes, size))
+    words, bounds = words_of(pc.ascii_lower(texts))
+    hashes = _HASHES.values(words)[0]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        mine = hashes[lo:hi]
+        if 0 < len(mine) < size:
+            yield np.array([xxhash.xxh3_64_intdigest(mine.tobytes())], dtype=np.uint64)
+        else:
+            yield np.unique(windows(mine, size)) if len(mine) else mine
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string()), size))
