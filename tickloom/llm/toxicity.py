@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, give_back, id_text, pieces_of, table
+from .common import WordTable, claim, give_back, id_text, stretches, table, words_of
 
 #: General insults that are always in the lexicon (fixed values); more are learned from labels.
 SEED_TERMS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown"]
@@ -148,6 +148,8 @@ class FuzzyTrie:
         return stem if found is None or (stem and stem[0] < found[0]) else found
 
 
+#: Classes of words, by number.
+KINDS = [None, "strong", "weak", "fuzzy", "faint", "report", "address", "quote"]
 FEATURES = ["bias", "log_strong", "share_strong", "log_weak", "share_weak", "log_fuzzy", "share_fuzzy", "log_faint", "share_faint", "any_strong"]
 
 
@@ -163,22 +165,55 @@ class Scorer:
         trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms) if errors else set())
         reporting, addressing = set(REPORTING), set(ADDRESSING)
 
-        def kind(raw: bytes):
-            """None for nothing, else (class, is it quoted by itself)."""
-            word = raw.decode("utf-8", "replace")
-            plain = normal(word)
-            if plain in reporting:
-                return ("report", False)
-            if plain in addressing:
-                return ("address", False)
-            hit = trie.find(plain) if plain else None
-            if hit is None or (hit[0] and plain in known):
-                return ("quote", False) if word[0] in QUOTES or word[-1] in QUOTES else None
-            errors, term = hit
-            group = ("fuzzy" if errors else "strong") if terms[term][1] else "faint" if errors else "weak"
-            return (group, word[0] in QUOTES and word.rstrip(".,;:!?")[-1] in QUOTES)
-
-        self.kind = Memo(kind, 300_000, "toxicity")
+        self._reporting, self._addressing, self._find = reporting, addressing, trie.find
+        self.table = WordTable(self._kinds, 300_000, "toxicity")
+
+    def kind(self, word: str) -> tuple[str | None, bool]:
+        """(class of a word or None, whether it is quoted by itself)."""
+        plain = normal(word)
+        if plain in self._reporting:
+            return "report", False
+        if plain in self._addressing:
+            return "address", False
+        hit = self._find(plain) if plain else None
+        if hit is None or (hit[0] and plain in self.known):
+            return ("quote", False) if word[0] in QUOTES or word[-1] in QUOTES else (None, False)
+        errors, term = hit
+        group = ("fuzzy" if errors else "strong") if self.terms[term][1] else "faint" if errors else "weak"
+        return group, word[0] in QUOTES and word.rstrip(".,;:!?")[-1] in QUOTES
+
+    def _kinds(self, words: list[str]) -> list[np.ndarray]:
+        found = list(map(self.kind, words))
+        return [np.array([KINDS.index(k) for k, _ in found], dtype=np.uint8), np.array([q for _, q in found], dtype=bool)]
+
+    def _kinds_of(self, texts: pa.Array):
+        """For each text the classes of its words, as numbers, and whether each is quoted by itself."""
+        words, bounds = words_of(texts)
+        kinds, quoted = self.table.values(words)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            yield kinds[lo:hi], quoted[lo:hi]
+
+    @staticmethod
+    def _matches(kinds: np.ndarray, quoted: np.ndarray) -> list[tuple[int, str, float]]:
+        at = np.flatnonzero(kinds)
+        marks = [(i, KINDS[kinds[i]]) for i in at.tolist()]
+        out = []
+        for n, (i, group) in enumerate(marks):
+            if group in ("report", "address", "quote"):
+                continue
+            before, after = set(), set()
+            k = n - 1
+            while k >= 0 and marks[k][0] >= i - WINDOW:
+                before.add(marks[k][1])
+                k -= 1
+            k = n + 1
+            while k < len(marks) and marks[k][0] <= i + WINDOW:
+                after.add(marks[k][1])
+                k += 1
+            near = before | after
+            weight = 0.25 if quoted[i] or ("quote" in before and "quote" in after) or "report" in near else 1.5 if "address" in near else 1.0
+            out.append((i, group, weight))
+        return out
 
     def matches(self, text: str) -> tuple[int, list[tuple[int, str, float]]]:
         """Number of words, and (word, class, weight of context) of each match.
@@ -186,43 +221,38 @@ class Scorer:
         A match alone weighs 1; next to reporting words or within quotation marks
         0.25; next to words that address somebody 1.5.
         """
-        words = text.encode().split()
-        kinds = list(map(self.kind.__getitem__, words))
-        at = [i for i, k in enumerate(kinds) if k is not None]
-        out = []
-        for i in at:
-            group, quoted = kinds[i]
-            if group in ("report", "address", "quote"):
-                continue
-            near = [k[0] for j, k in enumerate(kinds[max(0, i - WINDOW) : i + WINDOW + 1], max(0, i - WINDOW)) if k is not None and j != i]
-            before = "quote" in [k[0] for k in kinds[max(0, i - WINDOW) : i] if k]
-            after = "quote" in [k[0] for k in kinds[i + 1 : i + WINDOW + 1] if k]
-            weight = 0.25 if quoted or (before and after) or "report" in near else 1.5 if "address" in near else 1.0
-            out.append((i, group, weight))
-        return len(words), out
+        kinds, quoted = next(self._kinds_of(pa.array([text], pa.string())))
+        return len(kinds), self._matches(kinds, quoted)
 
     def misspelled(self, text: str) -> str | None:
         """The text with a letter left out of each word that meets a term exactly and may meet it with an error; None if there is none."""
         words, changed = text.split(), False
         for i, word in enumerate(words):
-            kind = self.kind[word.encode()]
             plain = normal(word)
-            if kind and kind[0] in ("strong", "weak") and len(plain) >= FUZZY_FROM:
+            if len(plain) >= FUZZY_FROM and self.kind(word)[0] in ("strong", "weak"):
                 words[i], changed = word.casefold().replace(plain, plain[:2] + plain[3:]), True
         return " ".join(words) if changed else None
 
-    def features(self, text: str) -> np.ndarray:
-        n, found = self.matches(text)
+    @staticmethod
+    def _features(n: int, found: list[tuple[int, str, float]]) -> list[float]:
         total = {"strong": 0.0, "weak": 0.0, "fuzzy": 0.0, "faint": 0.0}
         for _, group, weight in found:
             total[group] += weight
         out = [1.0]
-        for group in ("strong", "weak", "fuzzy", "faint"):
+        for group in total:
             out += [math.log1p(total[group]), 100 * total[group] / (n + 20)]
-        return np.array([*out, float(total["strong"] >= 0.5)])
+        return [*out, float(total["strong"] >= 0.5)]
+
+    def features(self, text: str) -> np.ndarray:
+        return np.array(self._features(*self.matches(text)))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The score of every text; a null text is empty."""
+        x = np.array([self._features(len(kinds), self._matches(kinds, quoted)) for kinds, quoted in self._kinds_of(texts)]).reshape(-1, len(FEATURES))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+        return float(self.scores(pa.array([text], pa.string()))[0])
 
 
 def learn_terms(texts: list[str], labels: list[int]) -> dict[str, tuple[bool, bool]]:
@@ -376,11 +406,10 @@ def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text
     def run(batches):
         claim("toxicity")
         tool = _scorer(terms, weights, known)
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            scores = [tool.score(t or "") for t in texts]
+        for batch in (part for whole in batches for part in stretches(whole, 1)):
+            keys, scores = batch.column(0).to_pylist(), tool.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
+                [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys], pa.bool_()), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
@@ -397,9 +426,11 @@ def reject_toxic(docs: DataFrame, model: Scorer) -> DataFrame:
     def run(batches):
         claim("toxicity")
         tool = _scorer(terms, weights, known)
-        for batch in (part for whole in batches for part in pieces_of(whole)):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([t is None or tool.score(t) < THRESHOLD for t in texts], pa.bool_()))
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for batch in stretches(whole, at):
+                texts = batch.column(at)
+                yield batch.filter(pa.array(np.asarray(texts.is_null()) | (tool.scores(texts) < THRESHOLD)))
 
     return docs.mapInArrow(run, docs.schema)
 
