@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, cut, pieces_of, table
+from .common import WordTable, claim, cut, stretches, table, words_of
+from .pieces import gather
 from .shingles import windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -45,41 +45,36 @@ class Vocabularies:
         byte_level = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.is_byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
         self.encode, self.count_other = pieces.encode, lambda word: len(byte_level.encode_ordinary(" " + word))
-        self.number = Memo(self._learn, 1 << 62, "fertility")
-        self.reset()
-
-    def reset(self) -> None:
-        self.number.clear()
-        #: Of each distinct word met: hash, byte-level tokens, place and number of its pieces in ``pieces``.
-        self.hashes, self.other, self.start, self.n_pieces, self.pieces = array("Q"), array("I"), array("Q"), array("I"), array("I")
-
-    def _learn(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        ids = self.encode(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(raw))
-        self.other.append(self.count_other(word))
-        self.start.append(len(self.pieces))
-        self.n_pieces.append(len(ids))
-        self.pieces.extend(ids)
-        return len(self.hashes) - 1
-
-    def measure(self, words: list[bytes]) -> tuple[np.ndarray, tuple[int, int, int, float]]:
-        """Hashes of the words, and (pieces, byte-fallback pieces, byte-level tokens, entropy of pieces in bits)."""
-        if len(self.hashes) > WORDS_KEPT or not self.number:
-            self.reset()
-        which = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        if not len(which):
-            return np.empty(0, np.uint64), (0, 0, 0, 0.0)
-        hashes = np.frombuffer(self.hashes, dtype=np.uint64)[which]
-        other = int(np.frombuffer(self.other, dtype=np.uint32)[which].sum())
-        sizes = np.frombuffer(self.n_pieces, dtype=np.uint32)[which].astype(np.int64)
-        begin = np.frombuffer(self.start, dtype=np.uint64)[which].astype(np.int64)
-        ends = np.cumsum(sizes)
-        n = int(ends[-1])
-        ids = np.frombuffer(self.pieces, dtype=np.uint32)[np.repeat(begin - ends + sizes, sizes) + np.arange(n)]
-        share = np.bincount(ids)
-        share = share[share > 0] / n
-        return hashes, (n, int(self.is_byte[ids].sum()), other, float(-(share * np.log2(share)).sum()))
+        self.words = WordTable(self._learn, WORDS_KEPT, "fertility")
+        self.pieces = np.empty(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """Of each word: hash, byte-level tokens, place and number of its pieces in ``pieces``."""
+        ids = self.encode(words) if words else []
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = len(self.pieces) + np.cumsum(size) - size
+        self.pieces = np.concatenate((self.pieces, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+        return [hashes, np.fromiter(map(self.count_other, words), np.int64, len(words)), start, size]
+
+    def measure(self, words: list[str]) -> tuple[np.ndarray, tuple[int, int, int, float]]:
+        return next(self.measures(pa.array(words, pa.string()), np.array([0, len(words)])))
+
+    def measures(self, words: pa.Array, bounds: np.ndarray):
+        """For each text, whose words lie within ``bounds``: hashes of its words, and (pieces, byte-fallback pieces, byte-level tokens, entropy of pieces in bits)."""
+        if len(self.pieces) > 8 * WORDS_KEPT:  # pieces of words that were let go
+            self.words.clear()
+            self.pieces = np.empty(0, np.uint32)
+        hashes, other, start, size = self.words.values(words)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if lo == hi:
+                yield np.empty(0, np.uint64), (0, 0, 0, 0.0)
+                continue
+            ids, ends = gather(self.pieces, start, size, slice(lo, hi))
+            n = len(ids)
+            share = np.bincount(ids)
+            share = share[share > 0] / n
+            yield hashes[lo:hi], (n, int(self.is_byte[ids].sum()), int(other[lo:hi].sum()), float(-(share * np.log2(share)).sum()))
 
 
 _LOADED: dict[tuple[str, str], Vocabularies] = {}
@@ -128,11 +123,10 @@ def _measure(piece_path: str, byte_path: str):
     def run(batches):
         claim("fertility")
         tool = vocabularies(piece_path, byte_path)
-        for batch in (part for whole in batches for part in pieces_of(whole)):
+        for batch in (part for whole in batches for part in stretches(whole, 2)):
             rows = []
-            for text in batch.column(2).to_pylist():
+            for text, (hashes, measures) in zip(batch.column(2).to_pylist(), tool.measures(*words_of(batch.column(2)))):
                 raw = (text or "").encode()
-                hashes, measures = tool.measure(raw.split())
                 rows.append((*base_rules(raw, hashes), *measures))
             columns = list(zip(*rows)) if rows else [[]] * 9
             arrays = [pa.array(c, pa.float64() if i == 8 else pa.int64()) for i, c in enumerate(columns)]
