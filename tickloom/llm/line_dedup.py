@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ NEAR_MIN_CHARS = 24
 #: A segment that so many times as many pairs of lines share as there are lines with it is split by a second segment.
 HOT = 64
 #: Times that segments are split again, at most; what is hot after that is paired all the same.
-SPLITS = 6
+SPLITS = 4
 #: Rows up to which a table of keys is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -50,10 +52,9 @@ def look_ups(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def _placed(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """``lines`` (chars, u, and more), a row for each place in ``where`` that lies within a line: gap, i, length, start, size.
+    """``lines`` (chars, line, and more), a row for each place in ``where`` that lies within a line: gap, i, length, start, size.
 
-    ``u`` is the line with four bytes for each code point, so a substring is a plain
-    copy.  The places are exploded before keys are made: one small expression for
+    The places are exploded before keys are made: one small expression for
     all of them stays within what the JVM compiles.
     """
     pieces = threshold + 1
@@ -70,12 +71,20 @@ def _placed(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int)
     return at.where("start >= 0 and start + size <= chars")
 
 
-_SEGMENT = "i, length, substring(u, 4 * start + 1, 4 * size)"
+_SEGMENT = "i, length, substring(line, start + 1, size)"
 
 
 def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """``h, gap, key`` for each line (h, chars, u) and each place in ``where`` that lies within it."""
-    return _placed(lines.select("h", "chars", "u"), where, threshold).select("h", "gap", F.expr(f"xxhash64({_SEGMENT})").alias("key"))
+    """``h, gap, key`` for each line (h, chars, line) and each place in ``where`` that lies within it."""
+    return _placed(lines.select("h", "chars", "line"), where, threshold).select("h", "gap", F.expr(f"xxhash64({_SEGMENT})").alias("key"))
+
+
+def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` with ``key``: once for each segment that they are filed under (``own``), and once for the line itself, whose key is the complement of ``h``."""
+    own = [(0, i, 0) for i in range(1, threshold + 2)]
+    filed = _placed(lines.withColumn("own", F.lit(True)), [*own, (-1, 1, 0)], threshold)
+    key = F.when(F.col("gap") < 0, F.expr("~h")).otherwise(F.expr(f"xxhash64({_SEGMENT})"))
+    return filed.withColumn("key", key).withColumn("own", F.col("gap") >= 0).select(*lines.columns, "key", "own")
 
 
 #: Characters whose counts tell lines apart before they are compared.
@@ -166,7 +175,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
     """Pairs ``ha, hb`` of lines that meet in a segment, without pairing all that share a common one.
 
     ``live`` (key, gap, ha, ca) and ``held`` (key, hb, cb) meet by key; ``lines`` are h,
-    chars, u and c, the counts of letters.  Where far more pairs than lines would meet,
+    chars, line and c, the counts of letters.  Where far more pairs than lines would meet,
     the lines without that segment are again within the threshold of each other: these
     rests are filed and looked up by segments of their own, under the key and the
     segment.  So a segment shared by a million lines that have nothing else in common
@@ -175,11 +184,10 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
     """
     places = look_ups(threshold)
     filed = [p for p in places if p[0] == 0 and p[2] == 0]
-    near = f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}"
-    found = []
-
-    def meet(l: DataFrame, r: DataFrame) -> None:
-        found.append(l.join(r, "key").where(near).select("ha", "hb"))
+    tied: list[DataFrame] = []
+    # keys of all turns are hashes, so what meets without being split can wait for one join at the end
+    lookers: list[DataFrame] = []
+    holders: list[DataFrame] = []
 
     def crowded(l: DataFrame, r: DataFrame) -> DataFrame:
         sizes = l.groupBy("key").agg(F.count("*").alias("a")).join(r.groupBy("key").agg(F.count("*").alias("b")), "key")
@@ -187,21 +195,16 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
 
     def rest(side: DataFrame, *more) -> DataFrame:
         """Without the segment that led to the key."""
-        u = F.expr("concat(substring(u, 1, 4 * start), substring(u, 4 * (start + size) + 1, 4 * (chars - start - size)))")
-        return cut(side.select("key", "id", "c", *more, u.alias("u"), (F.col("chars") - F.col("size")).alias("chars")).distinct())
-
-    def lookers(side: DataFrame) -> DataFrame:
-        return side.select("key", F.col("by").alias("gap"), F.col("id").alias("ha"), F.col("c").alias("ca"))
-
-    def holders(side: DataFrame) -> DataFrame:
-        return side.select("key", F.col("id").alias("hb"), F.col("c").alias("cb"))
+        left = F.expr("concat(substring(line, 1, start), substring(line, start + size + 1))")
+        return side.select("key", "id", "c", *more, left.alias("line"), (F.col("chars") - F.col("size")).alias("chars")).distinct()
 
     hot = crowded(live, held)
     looking = filing = None
     for _ in range(SPLITS):
         if hot.isEmpty():
             break
-        meet(live.join(hot, "key", "left_anti"), held.join(hot, "key", "left_anti"))
+        lookers.append(live.join(hot, "key", "left_anti"))
+        holders.append(held.join(hot, "key", "left_anti"))
         if looking is None:
             text, key = lines.withColumnRenamed("h", "id"), F.expr(f"xxhash64({_SEGMENT})")
             who = live.join(hot, "key", "left_semi").select("key", "gap", F.col("ha").alias("id")).distinct()
@@ -210,23 +213,24 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
             filing = _placed(text.join(who.select("id").distinct(), "id"), filed, threshold).withColumn("key", key).join(who, ["key", "id"], "left_semi")
         else:
             looking, filing = looking.join(hot, "key", "left_semi"), filing.join(hot, "key", "left_semi")
-        looking, filing = rest(looking, F.col("gap").alias("by")), rest(filing)
+        looking, filing = cut(rest(looking, F.col("gap").alias("by"))), cut(rest(filing))
         short = f"chars <= {threshold}"
         # tiny rests are near each other, so the least of each side ties them; one that is no longer tiny is compared
         ends = looking.where(short).groupBy("key").agg(F.min("id").alias("ha")).join(filing.where(short).groupBy("key").agg(F.min("id").alias("hb")), "key")
-        found.append(looking.where(short).select("key", F.col("id").alias("ha")).join(ends.select("key", "hb"), "key").where("ha <> hb").select("ha", "hb"))
-        found.append(filing.where(short).select("key", F.col("id").alias("hb")).join(ends.select("key", "ha"), "key").where("ha <> hb").select("ha", "hb"))
-        meet(lookers(looking.where(f"not {short}")), holders(filing.where(short)))
+        sides = looking.where(short).select("key", "id", F.lit(True).alias("looks")).unionAll(filing.where(short).select("key", "id", F.lit(False)))
+        tied.append(sides.join(ends, "key").select(F.when(F.col("looks"), F.col("id")).otherwise(F.col("ha")).alias("ha"), F.when(F.col("looks"), F.col("hb")).otherwise(F.col("id")).alias("hb")).where("ha <> hb"))
+        lookers.append(looking.where(f"not {short}").select("key", F.col("by").alias("gap"), F.col("id").alias("ha"), F.col("c").alias("ca")))
+        holders.append(filing.where(short).select("key", F.col("id").alias("hb"), F.col("c").alias("cb")))
         key = F.expr(f"xxhash64(key, {_SEGMENT})")
-        filing = cut(_placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key))
+        filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key)
         looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).join(filing.select("key").distinct(), "key", "left_semi"))
-        live, held = lookers(looking).distinct(), holders(filing).distinct()
+        live, held = looking.select("key", "gap", F.col("id").alias("ha"), F.col("c").alias("ca")).distinct(), filing.select("key", F.col("id").alias("hb"), F.col("c").alias("cb")).distinct()
         hot = crowded(live, held)
-    meet(live, held)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out.distinct()
+    lookers.append(live)
+    holders.append(held)
+    met = functools.reduce(DataFrame.unionByName, lookers).join(functools.reduce(DataFrame.unionByName, holders), "key")
+    pairs = met.where(f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}").select("ha", "hb")
+    return functools.reduce(DataFrame.unionAll, tied, pairs).distinct()
 
 
 #: Of two lines of one length it is enough that one looks for the other.
@@ -245,17 +249,26 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     of all, are then fetched; they are paired where their segments meet (see
     ``_meetings``) and their counts of letters allow it, and compared.
     """
-    lines = lines.where(f"chars > {threshold}")
-    hashed = lines.select(F.xxhash64("line").alias("h"), "chars", F.expr("encode(line, 'UTF-32')").alias("u"))
+    lines = lines.where(f"chars > {threshold}").withColumn("h", F.xxhash64("line"))
     places = look_ups(threshold)
-    filed = segment_rows(hashed, [p for p in places if p[0] == 0 and p[2] == 0], threshold).select("key", F.col("h").alias("hb"))
-    looked = segment_rows(hashed, places, threshold).select("key", "gap", F.col("h").alias("ha"))
+    own = [p for p in places if p[0] == 0 and p[2] == 0]
+    filed = segment_rows(lines, own, threshold).select("key", F.col("h").alias("hb"))
+    looked = segment_rows(lines, places, threshold).select("key", "gap", F.col("h").alias("ha"))
     live = cut(looked.alias("x").join(filed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(_OTHER), "left_semi"))
     keys = cut(live.select("key").distinct())
-    held = cut(filed.join(_small(keys), "key"))
-    wanted = cut(live.select(F.col("ha").alias("h")).unionAll(held.select(F.col("hb").alias("h"))).distinct())
-    texts = cut(lines.withColumn("h", F.xxhash64("line")).join(_small(wanted), "h"))
-    known = texts.select("h", "chars", F.expr("encode(line, 'UTF-32')").alias("u"), F.expr(counts("line")).alias("c"))
+    asks = live.select(F.col("ha").alias("h")).distinct()
+    # the lines that look and those that are met, with their texts
+    if keys.count() <= BROADCAST_ROWS:
+        # in one pass: a line stands once for itself and once for each of its segments
+        wanted = F.broadcast(keys.unionAll(asks.select(F.expr("~h").alias("key"))))
+        met = cut(_keyed(lines, threshold).join(wanted, "key"))
+        held = met.where("own").select("key", F.col("h").alias("hb"))
+        texts = cut(met.drop("key", "own").dropDuplicates(["h"]))
+    else:
+        held = cut(filed.join(keys, "key"))
+        wanted = cut(asks.unionAll(held.select(F.col("hb").alias("h"))).distinct())
+        texts = cut(lines.join(wanted, "h"))
+    known = texts.select("h", "chars", "line", F.expr(counts("line")).alias("c"))
     counted = known.select("h", "c")
     pairs = _meetings(live.join(counted.toDF("ha", "ca"), "ha"), held.join(counted.toDF("hb", "cb"), "hb"), known, threshold)
     found = texts.select("h", "line_id", "line")

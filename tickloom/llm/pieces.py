@@ -116,13 +116,16 @@ class PieceCoder:
         plain = texts.filter(pa.array(~odd))
         cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.replace_substring(plain, "\n", " \n"), ""), " ")
         pieces, known = cut.flatten(), self.known
-        at = pc.index_in(pieces, value_set=known.keys)
-        found = np.array(pc.fill_null(at, -1), dtype=np.int64)
-        new = pieces.filter(pc.is_null(at)).dictionary_encode()
-        found[found < 0] = len(known) + np.asarray(new.indices)
-        values = list(map(self._piece, new.dictionary.to_pylist()))
-        known.add(new.dictionary, np.frombuffer(b"".join(values), dtype="<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4)
-        known.met += np.bincount(found, minlength=len(known))
+        coded = pieces.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=known.keys)
+        new = coded.dictionary.filter(pc.is_null(at))
+        place = np.array(pc.fill_null(at, -1), dtype=np.int64)
+        place[place < 0] = len(known) + np.arange(len(new))
+        values = list(map(self._piece, new.to_pylist()))
+        known.add(new, np.frombuffer(b"".join(values), dtype="<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4)
+        found = np.asarray(coded.indices)
+        known.met[place] += np.bincount(found, minlength=len(place))
+        found = place[found]
         whole = [self.text(t) if t else b"" for t in texts.filter(pa.array(odd)).to_pylist()]
         units = np.ones(len(texts), dtype=np.int64)  # pieces of each text; an odd one is a piece by itself
         units[~odd] = np.asarray(pc.list_value_length(cut))
