@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,6 +71,14 @@ def test_edit_links_miss_nothing(spark, threshold):
     assert got == want and want
 
 
+def within(a, b, threshold):
+    """Whether two strings are so few edits apart; counts of letters tell most of them apart."""
+    if abs(len(a) - len(b)) > threshold:
+        return False
+    x, y = Counter(a), Counter(b)
+    return sum((x - y).values()) <= threshold and sum((y - x).values()) <= threshold and distance(a, b) <= threshold
+
+
 def components(pairs):
     group = {}
 
@@ -134,7 +143,7 @@ def brute_lines(docs, threshold=2, least=1, near_least=24):
         return x
 
     for a, b in itertools.combinations(near, 2):
-        if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold:
+        if within(a, b, threshold):
             group[find(a)] = find(b)
     lead = {}
     for x in near:

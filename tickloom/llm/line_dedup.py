@@ -52,14 +52,15 @@ def look_ups(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def _placed(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """``lines`` (chars, line, and more), a row for each place in ``where`` that lies within a line: gap, i, length, start, size.
+    """``lines`` (chars, line, and more), a row for each place in ``where`` that lies within a line: gap, i, length, start, size, u.
 
-    The places are exploded before keys are made: one small expression for
-    all of them stays within what the JVM compiles.
+    ``u`` is the line with four bytes for each code point, so a substring of it is a
+    plain copy.  The places are exploded before keys are made: one small expression
+    for all of them stays within what the JVM compiles.
     """
     pieces = threshold + 1
     places = F.expr(f"array({', '.join(f'struct({g} as gap, {i} as i, {s} as shift)' for g, i, s in where)})")
-    at = lines.select("*", F.explode(places).alias("k")).select(*lines.columns, "k.gap", "k.i", "k.shift")
+    at = lines.withColumn("u", F.expr("encode(line, 'UTF-32')")).select("*", F.explode(places).alias("k")).select(*lines.columns, "u", "k.gap", "k.i", "k.shift")
     for name, value in (
         ("length", "chars - gap"),
         ("short", f"cast(length div {pieces} as int)"),
@@ -71,7 +72,7 @@ def _placed(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int)
     return at.where("start >= 0 and start + size <= chars")
 
 
-_SEGMENT = "i, length, substring(line, start + 1, size)"
+_SEGMENT = "i, length, substring(u, 4 * start + 1, 4 * size)"
 
 
 def segment_rows(lines: DataFrame, where: list[tuple[int, int, int]], threshold: int) -> DataFrame:
@@ -222,8 +223,8 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         lookers.append(looking.where(f"not {short}").select("key", F.col("by").alias("gap"), F.col("id").alias("ha"), F.col("c").alias("ca")))
         holders.append(filing.where(short).select("key", F.col("id").alias("hb"), F.col("c").alias("cb")))
         key = F.expr(f"xxhash64(key, {_SEGMENT})")
-        filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key)
-        looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).join(filing.select("key").distinct(), "key", "left_semi"))
+        filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key).drop("u")
+        looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).drop("u").join(filing.select("key").distinct(), "key", "left_semi"))
         live, held = looking.select("key", "gap", F.col("id").alias("ha"), F.col("c").alias("ca")).distinct(), filing.select("key", F.col("id").alias("hb"), F.col("c").alias("cb")).distinct()
         hot = crowded(live, held)
     lookers.append(live)
