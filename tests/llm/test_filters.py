@@ -1,5 +1,6 @@
 """Decontamination (1), toxicity (5), sharding (7), personal data (9), URL rules (10), the pipeline and the entry point."""
 
+import base64
 import hashlib
 import itertools
 import os
@@ -14,11 +15,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from tickloom.llm import decontam, pii, registry, sharding, toxicity, url_rules
+from tickloom.llm import bpe, decontam, pii, registry, sharding, toxicity, url_rules
 
 from .conftest import words
+from .test_dedup import brute_lines, brute_near
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -522,6 +525,34 @@ def test_urls(spark):
         url_rules.url_verdicts(df, [url_rules.Rule("x", "block", ".*", (), False, 1)])
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_many_rules_from_a_file(spark, tmp_path, monkeypatch, most):
+    """10,000 rules of a file against comparing every rule; long URLs, ties, comments and rules of hosts alone."""
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", most)
+    rng = random.Random(10)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    listed = {}
+    for _ in range(12_000):
+        host = ".".join(rng.choice(names) for _ in range(rng.randrange(1, 4)))
+        path = rng.choice(["", f"/{rng.choice(names)}/", f"/{rng.choice(names)}/{rng.randrange(50)}", "/a.b/x"])
+        listed.setdefault((host, path), rng.choice(["block", "allow"]))
+    assert len(listed) > 10_000
+    lines = ["! a comment", "/not/a/rule", "##.banner", *[f"{'@@' if v == 'allow' else ''}||{h}{p or rng.choice(['', '^'])}" for (h, p), v in listed.items()]]
+    (tmp_path / "list.txt").write_text("\n".join(lines))
+    rules = url_rules.read_rules(spark, str(tmp_path / "list.txt"))
+    assert rules.count() == len(listed)
+    urls = [f"http://{'.'.join(rng.choice(names) for _ in range(rng.randrange(1, 5)))}/{rng.choice(names)}/{rng.randrange(60)}" for _ in range(300)]
+    urls += [f"https://X.{h.upper()}{p}tail?q" for h, p in list(listed)[:60]] + [f"http://{names[0]}.{names[1]}/" + "y" * 200_000, None, "no url", "http://" + list(listed)[0][0]]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, url in enumerate(urls):
+        host, path = (re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups() if url and "://" in url else ("", ""))
+        host = host.lower()
+        ends = {".".join(host.split(".")[k:]) for k in range(host.count(".") + 1)}
+        fits = [(-len(h + p), h + p, listed[h, p]) for h, p in listed if h in ends and path.startswith(p)]
+        want = min(fits)[1:] if fits else (None, "allow")
+        assert got[i] == want, url
+
+
 # -- all -----------------------------------------------------------------------
 
 
@@ -549,6 +580,30 @@ def test_pipeline_runs_its_stages(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, last.collect()))
 
 
+def test_pipeline_against_brute_force(spark, sf):
+    """All five stages restated one after the other over whole texts."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    left = {d: t for d, t in docs.items() if t is None or model.score(t) < toxicity.THRESHOLD}
+    assert 0 < len(left) < len(docs)
+    lines = dict(brute_lines([(d, 0, t) for d, t in left.items()]))
+    left = {d: t for d, t in lines.items() if t == left[d] or re.search(r"[^ \t-\r]", t)}
+    near = {d: (n, c) for d, n, c in brute_near(list(left.items()))}
+    left = {d: t for d, t in left.items() if near[d][1] in (d, None)}
+    leaking = {d for d, _ in brute_leaks({d: t or "" for d, t in left.items()}, items)}
+    assert leaking
+    with open(bpe.default_ranks(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tokens = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for d, t in left.items():
+        if d not in leaking:
+            ids = tokens.encode_ordinary(t or "")
+            want.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
+
+
 def test_pipeline_catches_what_is_planted(spark, sf, tmp_path):
     rng = random.Random(3)
     docs = spark.read.parquet(f"{sf}/documents.parquet")

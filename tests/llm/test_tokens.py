@@ -159,3 +159,57 @@ def test_entropy_of_pieces():
     assert tool.measure(["the"] * 8)[1][3] == 0.0
     n, fallback, _, entropy = tool.measure(["𝒳"])[1]
     assert fallback > 0 and n >= fallback and entropy > 0
+
+
+def test_bands_against_a_restatement(spark):
+    """Pieces, entropy, bands and verdicts of all documents, word by word with the libraries."""
+    import sentencepiece
+
+    piece_path, byte_path = fertility.default_paths()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    with open(byte_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    level = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = {}
+    docs = {}
+    names = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in table.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        met, other = Counter(), 0
+        for w in words:
+            if w not in known:
+                known[w] = (pieces.encode(w), len(level.encode_ordinary(" " + w)))
+            met.update(known[w][0])
+            other += known[w][1]
+        n = sum(met.values())
+        grams = Counter(zip(words, words[1:], words[2:]))
+        covered = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        share = np.array(list(met.values())) / n if n else np.empty(0)
+        chars = sum(map(len, words))
+        values = dict(zip(names, (chars / n, chars / other, sum(c for i, c in met.items() if pieces.is_byte(i)) / n, float(-(share * np.log2(share)).sum())) if n else (None, None, None, 0.0)))
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        docs[r.doc_id] = (r.lang, int(np.log2(len(words))) if words else None, failed, values, n, other)
+    passing = [d for d in docs.values() if not d[2]]
+
+    def quarters(some, v):
+        x = sorted(d[3][v] for d in some)
+        return [x[max(0, int(np.ceil(p * len(x))) - 1)] for p in (0.25, 0.5, 0.75)]
+
+    def kept(d):
+        fine = [x for x in passing if x[:2] == d[:2]]
+        broad = [x for x in passing if x[0] == d[0]]
+        some = fine if len(fine) >= fertility.LEAST_DOCUMENTS else broad if len(broad) >= fertility.LEAST_DOCUMENTS else passing
+        for v, low, high, slack in (("chars_per_piece", True, True, 0.02), ("chars_per_byte_token", True, True, 0.02), ("fallback_share", False, True, 0.02), ("entropy", True, False, 0.1)):
+            a, m, b = quarters(some, v)
+            reach = (b - a) / 1.349 * fertility.WIDTH + slack
+            if (low and d[3][v] < m - reach) or (high and d[3][v] > m + reach):
+                return False
+        return not d[2]
+
+    got = {r.doc_id: r for r in fertility.fertility_verdicts(table).collect()}
+    assert got.keys() == docs.keys()
+    for k, d in docs.items():
+        assert (got[k].n_pieces, got[k].n_byte_tokens, got[k].base_failed) == (d[4], d[5], d[2])
+        assert d[2] or all(got[k][v] == pytest.approx(d[3][v]) for v in names)
+    assert {k: r.kept for k, r in got.items()} == {k: not d[2] and kept(d) for k, d in docs.items()}

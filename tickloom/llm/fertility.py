@@ -195,5 +195,21 @@ def op2_fertility_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_fertility_bands": op2_fertility_bands}
-ORACLES: dict[str, str] = {}  # tokenizers are not SQL; tests compare the base with a brute-force version
+def base_rules_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op2_fertility_bands`` alone, which SQL can restate."""
+    return op2_fertility_bands(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op2_fertility_bands": op2_fertility_bands, "base_rules_of_documents": base_rules_of_documents}
+#: Tokenizers are not SQL: tests restate the measures and bands.
+ORACLES = {
+    "base_rules_of_documents": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+s AS (SELECT doc_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS g FROM g),
+m AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM m, range(3) o(k) GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f"""
+}

@@ -16,7 +16,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     task runs again); totals of the ranges, a few rows, give each range its
     offset; a running sum within the range does the rest.  A row goes to the
     shard that holds the middle of its bytes, so each shard is off its target by
-    less than half of the largest row at either end.
+    less than half of the largest row at either end.  Shards are contiguous in id:
+    rows of equal texts and other ids may lie in different shards, as this law has
+    no groups.
 
     Nulls: a null text has size 1 and the checksum of no bytes; a null id sorts
     first.  Repeated ids are ordered by size and checksum; equal rows are
@@ -56,4 +58,15 @@ def op7_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_byte_prefix_shards": op7_byte_prefix_shards}
-ORACLES: dict[str, str] = {}  # DuckDB has no crc32; tests compare with a brute-force version
+#: DuckDB has no crc32, so the checksum's table is made by its rule and folded over the bytes.
+ORACLES = {
+    "op7_byte_prefix_shards": """
+WITH RECURSIVE t0(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t0 WHERE k < 8),
+tb AS (SELECT list(c ORDER BY i) AS t FROM t0 WHERE k = 8),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, length(h) // 2 AS n, list_transform(range(0, length(h) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bs FROM h),
+d AS (SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tb),
+s AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS start, row_number() OVER w - 1 AS position, CAST(sum(size) OVER () AS BIGINT) AS total FROM d WINDOW w AS (ORDER BY doc_id, size, text_crc32)),
+x AS (SELECT *, CAST(least(15, ((2 * start + size) * 16) // (2 * total)) AS INT) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, position - min(position) OVER (PARTITION BY shard) AS slot, CAST(NULL AS DOUBLE) AS grown_shard, start FROM x"""
+}
