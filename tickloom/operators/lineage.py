@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tickloom-{what}-{uuid.uuid4().hex}"
+    """A new name in the session's folder under the shared one; the folder is deleted when the session's JVM ends."""
+    base = shared_dir(spark).rstrip("/")
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _FOLDERS:
+        folder = f"{base}/tickloom-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[key] = folder
+    return f"{_FOLDERS[key]}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
