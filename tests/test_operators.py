@@ -94,13 +94,19 @@ def test_nearest_takes_the_later_at_a_tie_and_keeps_the_limit(spark):
     assert got == {0: (0.5, True), 1: (1.5, True), 2: (1.5, True), 3: (2.5, True), 4: (None, False), 9: (None, False)}
 
 
-def test_nearest_equals_bisection(spark):
+@pytest.mark.parametrize("chunk", [1.0, 7.0, 50.0, 3_600_000.0])
+def test_nearest_equals_bisection(spark, chunk):
     rng = np.random.default_rng(3)
     a, b = sorted(set(rng.integers(0, 200, 60).tolist())), sorted(set(rng.integers(0, 200, 40).tolist()))
     core = frame(spark, [("r", float(t)) for t in a], "run_id string, timestamp_ms double")
     other = frame(spark, [("r", float(t), float(t)) for t in b], "run_id string, timestamp_ms double, v double")
     limit = float(np.median(np.diff(b)))
-    for r in merge.nearest(core, other, ["v"]).collect():
+    lone = frame(spark, [("x", 5.0)], "run_id string, timestamp_ms double")
+    got = merge.nearest(core.unionByName(lone), other, ["v"], chunk_ms=chunk).collect()
+    assert len(got) == len(a) + 1 and [(r.v, r.attached) for r in got if r.run_id == "x"] == [(None, False)]
+    for r in got:
+        if r.run_id == "x":
+            continue
         best = min(b, key=lambda t: (abs(t - r.timestamp_ms), -t))
         assert r.v == (best if abs(best - r.timestamp_ms) <= limit else None)
 

@@ -100,25 +100,37 @@ def label_phases(rows: DataFrame, log: DataFrame, keys: Sequence[str] = ("run_id
     return rows.join(first, [*keys, time], "left").withColumn("phase_label", F.coalesce("phase_label", F.lit("")))
 
 
-def nearest(core: DataFrame, other: DataFrame, carry: Sequence[str], keys: Sequence[str] = ("run_id",), time: str = "timestamp_ms", default_tolerance: float = 15.0) -> DataFrame:
+def nearest(core: DataFrame, other: DataFrame, carry: Sequence[str], keys: Sequence[str] = ("run_id",), time: str = "timestamp_ms", default_tolerance: float = 15.0, chunk_ms: float = 3_600_000.0) -> DataFrame:
     """As-of join: each core row gets ``carry`` of the nearest other row of its key, the later one at a tie.
 
     Nothing is taken from farther than the median positive step of the key's other
-    rows.  Both tables go once through a window by key: the last other row before
-    and the first one from the time on.  No row meets more than two candidates.
+    rows.  Both tables go once through a window by key and chunk of ``chunk_ms``: the
+    last other row before and the first one from the time on.  What lies in other
+    chunks is the last or first row of the nearest chunk that has one, found over a
+    row per chunk.  So a long run is many tasks, and no row meets more than two
+    candidates.
     """
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    limits = other.withColumn("__step", step).groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col("__step") > 0, F.col("__step")), F.lit(0.5)), F.lit(default_tolerance)).alias("__limit"))
+    chunk = F.floor(F.col(time) / chunk_ms).alias("__chunk")
     sample = F.struct(F.col(time).alias("at"), *[F.col(c) for c in carry])
-    right = other.where(F.col(time).isNotNull()).select(*keys, F.col(time), F.lit(1).alias("__kind"), sample.alias("__sample"))
-    left = core.select(*keys, F.col(time), F.lit(0).alias("__kind"), F.struct(*[F.col(c) for c in core.columns if c not in (*keys, time)]).alias("__row"))
+    right = other.where(F.col(time).isNotNull()).select(*keys, F.col(time), chunk, F.lit(1).alias("__kind"), sample.alias("__sample"))
+    left = core.select(*keys, F.col(time), chunk, F.lit(0).alias("__kind"), F.struct(*[F.col(c) for c in core.columns if c not in (*keys, time)]).alias("__row"))
     both = left.unionByName(right, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy(time, "__kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("__kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumns({"__prev": F.last("__sample", ignorenulls=True).over(before), "__next": F.last("__sample", ignorenulls=True).over(after)}).where("__kind = 0")
+    # a row per key and chunk: its own ends, and those of the chunks about it
+    ends = both.groupBy(*keys, "__chunk").agg(F.min_by("__sample", F.when(F.col("__sample").isNotNull(), F.col(time))).alias("first"), F.max_by("__sample", F.when(F.col("__sample").isNotNull(), F.col(time))).alias("last"))
+    order = Window.partitionBy(*keys).orderBy("__chunk")
+    around = ends.select(*keys, "__chunk", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"), F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    on = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*keys, "__chunk")]
+    known = both.alias("b").join(around.alias("a"), on, "left").select("b.*", "a.__earlier", "a.__later")
+    within = Window.partitionBy(*keys, "__chunk")
+    before = within.orderBy(time, "__kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = within.orderBy(F.col(time).desc(), F.col("__kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = known.withColumns({"__prev": F.coalesce(F.last("__sample", ignorenulls=True).over(before), F.col("__earlier")), "__next": F.coalesce(F.last("__sample", ignorenulls=True).over(after), F.col("__later"))})
+    step = F.when(F.col(time) > F.col("__prev.at"), F.col(time) - F.col("__prev.at"))
+    steps = seen.where("__kind = 1").select(*keys, step.alias("__step"))
+    limits = quantiles(steps, ["__step"], [0.5], keys).select(*keys, F.coalesce(F.col("q____step")[0], F.lit(default_tolerance)).alias("__limit"))
     back, ahead = F.col(time) - F.col("__prev.at"), F.col("__next.at") - F.col(time)
     later = F.col("__next").isNotNull() & (F.col("__prev").isNull() | (ahead <= back))
-    picked = seen.withColumn("__best", F.when(later, F.col("__next")).otherwise(F.col("__prev"))).withColumn("__gap", F.abs(F.col("__best.at") - F.col(time)))
+    picked = seen.where("__kind = 0").withColumn("__best", F.when(later, F.col("__next")).otherwise(F.col("__prev"))).withColumn("__gap", F.abs(F.col("__best.at") - F.col(time)))
     joined = picked.join(limits, list(keys), "left")
     near = F.col("__gap") <= F.col("__limit")
     own = [c for c in core.columns if c not in (*keys, time)]
