@@ -154,3 +154,11 @@ def evaluate(student: DataFrame, teacher: DataFrame, costs: DataFrame, keys: Seq
     per_model = wide.groupBy("model").agg(F.count("*").alias("rows"), F.avg((wrong == 0).cast("double")).alias("exact_tuple_accuracy"), F.avg(wrong / len(families)).alias("hamming_distance"))
     priced = policy.deployment_cost(costs).select("model", "memory_bytes", "complexity")
     return {"families": by_family.join(kept, ["model", "family"], "left").join(priced, "model", "left"), "tuples": per_model.join(priced, "model", "left")}
+
+
+def summary_rows(summary: DataFrame, experiment: str, scope: str | None = None, family: str | None = None) -> DataFrame:
+    """Rows of one experiment out of the summaries of all, of one scope and family if named; the conditions reach the scan."""
+    rows = summary.where(F.col("experiment") == experiment)
+    for column, value in (("scope", scope), ("family", family)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows

@@ -109,3 +109,9 @@ def indicators(df: DataFrame, cycles: str, instructions: str, events: dict[str,
 def median_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values get the median of the column, 0 where it has no value."""
     return with_quantiles(df, columns, [0.5]).withColumns({c: F.coalesce(F.col(c), F.col(f"q__{c}")[0], F.lit(0.0)) for c in columns}).drop(*[f"q__{c}" for c in columns])
+
+
+def counter_values(df: DataFrame, counter: str, out: str = "value") -> DataFrame:
+    """Adds one counter's values as numbers: NULL where it is missing, not finite, or the table lacks it."""
+    given = _counter(df, counter).try_cast("double")
+    return df.withColumn(out, F.when(~F.isnan(given) & (F.abs(given) != float("inf")), given))

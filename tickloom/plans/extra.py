@@ -122,6 +122,20 @@ def s18(spark, d):
     return spark.createDataFrame([(c["runtime"]["profile"], c["teacher"]["epochs"], c["detector"]["tree_max_depth"]) for c in chosen], "profile string, epochs int, depth int")
 
 
+@query("r2_counter_values", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (1, 2, 3) THEN NULL ELSE o_totalprice END AS value, CAST(NULL AS DOUBLE) AS absent FROM orders")
+def r2(spark, d):
+    """A counter as numbers where its text is blank, nan or inf, and one that the table lacks."""
+    k = F.col("o_orderkey") % 4
+    rows = adapter.table(spark, d, "orders").select("o_orderkey", F.when(k == 1, "").when(k == 2, "nan").when(k == 3, "-inf").otherwise(F.col("o_totalprice").cast("string")).alias("counter__price"))
+    return features.counter_values(features.counter_values(rows, "price"), "nothing", "absent").select("o_orderkey", "value", "absent")
+
+
+@query("r12_summary_rows", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 1")
+def r12(spark, d):
+    rows = adapter.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("experiment"), (F.col("o_custkey") % 3).cast("string").alias("scope"))
+    return evaluation.summary_rows(rows, "F", "1").select("o_orderkey")
+
+
 # -- filters and checks -------------------------------------------------------
 
 
