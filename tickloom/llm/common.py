@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut, fresh_path, shared_dir  # noqa: F401  (taken from here by the operators)
+from ..operators.lineage import cut, fresh_path, kept, shared_dir  # noqa: F401  (taken from here by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,21 +96,31 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(some)), np.concatenate(([0], np.cumsum(some)))[bounds]
 
 
-def give_back() -> None:
+_LIBC = ctypes.CDLL(None)
+#: glibc's numbers for mallopt: from how many bytes on a block is mapped by itself, and how many arenas there are.
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
+
+
+def _return_blocks() -> None:
+    """From now on blocks of 1 MB or more go back to the system as soon as they are free, where the C library can."""
+    if hasattr(_LIBC, "mallopt"):  # glibc alone has it
+        _LIBC.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        _LIBC.mallopt(_ARENA_MAX, 2)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back(collect: bool = True) -> None:
     """Return freed memory to the system, where the C library can."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if collect:
+        gc.collect()
+    trim = getattr(_LIBC, "malloc_trim", None)
     if trim:
         trim(0)
 
 
 def claim(owner: str) -> None:
-    """Called where a task begins: worker processes are used again by other operators, whose memos are emptied.
-
-    Arrow takes its memory from the C library from then on, which gives large buffers
-    back as soon as they are free.
-    """
-    pa.set_memory_pool(pa.system_memory_pool())
+    """Called where a task begins: worker processes are used again by other operators, whose memos are emptied; what is free is given back."""
+    _return_blocks()
     emptied = False
     for other, memos in _MEMOS.items():
         if other != owner:
@@ -120,8 +130,7 @@ def claim(owner: str) -> None:
                     memo.clear()
                     emptied = True
         _MEMOS[other] = [ref for ref in memos if ref() is not None]
-    if emptied:
-        give_back()
+    give_back(emptied)
 
 
 def pieces_of(batch, rows: int = 256):
@@ -130,7 +139,7 @@ def pieces_of(batch, rows: int = 256):
         yield batch.slice(lo, rows)
 
 
-def stretches(batch, column: int, most: int = 1 << 22):
+def stretches(batch, column: int, most: int = 1 << 21):
     """A record batch in runs of rows whose texts hold ``most`` bytes together, or one row if it is longer."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
     lo = 0

@@ -104,6 +104,8 @@ def _verify_pairs(size: int, percent: int):
     return run
 
 
+#: Documents that go up to which they are broadcast (16 bytes each); beyond it the join shuffles.
+BROADCAST_GONE = 1_000_000
 #: Members that one task compares with a copy of their hub.
 HUB_SHARE = 64
 #: Classes of a block, and shingles of all of them, in the comparison of what stars leave open.
@@ -241,9 +243,10 @@ def _blocks(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight_all") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("set_id"), count).cast("int")
     rows = rest.withColumn("count", count).withColumn("block", block)
-    left = rows.where("root <> main").select("bucket", "set_id", "root", F.lit(0).alias("side"), F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("y"))
-    lefts = left.select("bucket", "x").distinct()
-    right = rows.select("bucket", "set_id", "root", F.lit(1).alias("side"), F.col("block").alias("y")).join(lefts, "bucket").select("bucket", "set_id", "root", "side", "x", "y")
+    # of each member the blocks of the other side that it meets; one row for each of its buckets until texts are there
+    left = rows.where("root <> main").select("bucket", "set_id", "root", F.lit(0).alias("side"), "block", F.sequence(F.lit(0), F.col("count") - 1).alias("others"))
+    open_blocks = left.groupBy("bucket").agg(F.collect_set("block").alias("others"))
+    right = rows.join(open_blocks, "bucket").select("bucket", "set_id", "root", F.lit(1).alias("side"), "block", "others")
 
     def items(batches):
         claim("shingles")
@@ -252,8 +255,10 @@ def _blocks(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["set_id", "items"])
 
     sets = texts.join(rows.select("set_id").distinct(), "set_id").select("set_id", "text").mapInArrow(items, "set_id binary, items binary")
-    both = left.unionByName(right).join(sets, "set_id")
-    return both.groupBy("bucket", "x", "y").applyInPandas(_verify_blocks(percent), "a binary, b binary")
+    both = left.unionByName(right).join(sets, "set_id").select("*", F.explode("others").alias("other")).drop("others")
+    x, y = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))
+    dealt = both.select("bucket", "set_id", "root", "side", x.alias("x"), y.alias("y"), "items")
+    return dealt.groupBy("bucket", "x", "y").applyInPandas(_verify_blocks(percent), "a binary, b binary")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -263,7 +268,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, same, "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone, same, "left_anti")
 
 
 def op6_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, claim, give_back, id_text, stretches, table, words_of
+from .common import Memo, WordTable, claim, give_back, id_text, stretches, table, words_of
 
 #: General insults that are always in the lexicon (fixed values); more are learned from labels.
 SEED_TERMS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown"]
@@ -53,6 +53,10 @@ def normal(word: str) -> str:
     return word if word.isalpha() or word.isdigit() else word.translate(_LEET)
 
 
+#: The same, remembered while a model is learned.
+_NORMAL = Memo(normal, 200_000, "toxicity")
+
+
 class FuzzyTrie:
     """Lexicon trie intersected with Levenshtein automata, made deterministic as it is used.
 
@@ -166,7 +170,7 @@ class Scorer:
         reporting, addressing = set(REPORTING), set(ADDRESSING)
 
         self._reporting, self._addressing, self._find = reporting, addressing, trie.find
-        self.table = WordTable(self._kinds, 300_000, "toxicity")
+        self.table, self._known_kinds = WordTable(self._kinds, 300_000, "toxicity"), Memo(self.kind, 100_000, "toxicity")
 
     def kind(self, word: str) -> tuple[str | None, bool]:
         """(class of a word or None, whether it is quoted by itself)."""
@@ -228,8 +232,8 @@ class Scorer:
         """The text with a letter left out of each word that meets a term exactly and may meet it with an error; None if there is none."""
         words, changed = text.split(), False
         for i, word in enumerate(words):
-            plain = normal(word)
-            if len(plain) >= FUZZY_FROM and self.kind(word)[0] in ("strong", "weak"):
+            plain = _NORMAL[word]
+            if len(plain) >= FUZZY_FROM and self._known_kinds[word][0] in ("strong", "weak"):
                 words[i], changed = word.casefold().replace(plain, plain[:2] + plain[3:]), True
         return " ".join(words) if changed else None
 
@@ -243,13 +247,12 @@ class Scorer:
             out += [math.log1p(total[group]), 100 * total[group] / (n + 20)]
         return [*out, float(total["strong"] >= 0.5)]
 
-    def features(self, text: str) -> np.ndarray:
-        return np.array(self._features(*self.matches(text)))
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """A row of features for each text; a null text is empty."""
+        return np.array([self._features(len(kinds), self._matches(kinds, quoted)) for kinds, quoted in self._kinds_of(texts)]).reshape(-1, len(FEATURES))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """The score of every text; a null text is empty."""
-        x = np.array([self._features(len(kinds), self._matches(kinds, quoted)) for kinds, quoted in self._kinds_of(texts)]).reshape(-1, len(FEATURES))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
     def score(self, text: str) -> float:
         return float(self.scores(pa.array([text], pa.string()))[0])
@@ -266,7 +269,7 @@ def learn_terms(texts: list[str], labels: list[int]) -> dict[str, tuple[bool, bo
     whole_toxic: Counter = Counter()
     n_toxic = n_clean = 0
     for text, label in {t: y for t, y in zip(texts, labels)}.items():
-        words = {normal(w) for w in text.split()}
+        words = {_NORMAL[w] for w in text.split()}
         words = {w for w in words if len(w) >= SHORTEST and w.isalpha()}
         heads = {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
         if label:
@@ -300,7 +303,7 @@ def learn_terms(texts: list[str], labels: list[int]) -> dict[str, tuple[bool, bo
 def known_words(texts: list[str], labels: list[int], terms: dict[str, tuple[bool, bool]]) -> frozenset[str]:
     """Words of clean documents that are an error away from a term."""
     trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms))
-    words = {normal(w) for t, y in zip(texts, labels) if not y for w in t.split()}
+    words = {_NORMAL[w] for t, y in zip(texts, labels) if not y for w in t.split()}
     return frozenset(w for w in words if w and (trie.find(w) or (0,))[0])
 
 
@@ -370,15 +373,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     for side in (0, 1):
         mine, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
         scorer = learned([texts[i] for i in other], [int(y[i]) for i in other], PLAIN_WEIGHTS)
-        for i in mine:
-            x[i] = scorer.features(texts[i])
-            copy = scorer.misspelled(texts[i])
-            if copy is not None:
-                more.append(scorer.features(copy))
-                more_y.append(y[i])
+        copies = {i: scorer.misspelled(texts[i]) for i in mine}
+        copies = {i: c for i, c in copies.items() if c is not None}
+        for some, out in ((list(mine), x), (list(copies), None)):
+            whole = [texts[i] for i in some] if out is not None else [copies[i] for i in some]
+            for lo in range(0, len(some), 256):  # few texts are words at a time
+                rows = scorer.features(pa.array(whole[lo : lo + 256], pa.string()))
+                if out is not None:
+                    out[some[lo : lo + 256]] = rows
+                else:
+                    more.append(rows)
+                    more_y += [y[i] for i in some[lo : lo + 256]]
     x, fit_y = np.vstack([x, *more]), np.concatenate([y, more_y])
     model = learned(texts, [int(v) for v in y], fit_weights(x, fit_y).tolist())
     del rows, texts, scorer
+    _NORMAL.clear()
     give_back()
     return model
 
