@@ -101,7 +101,7 @@ _LIBC = ctypes.CDLL(None)
 _MMAP_THRESHOLD, _ARENA_MAX = -3, -8
 
 
-def _return_blocks() -> None:
+def return_blocks() -> None:
     """From now on blocks of 1 MB or more go back to the system as soon as they are free, where the C library can."""
     if hasattr(_LIBC, "mallopt"):  # glibc alone has it
         _LIBC.mallopt(_MMAP_THRESHOLD, 1 << 20)
@@ -120,7 +120,7 @@ def give_back(collect: bool = True) -> None:
 
 def claim(owner: str) -> None:
     """Called where a task begins: worker processes are used again by other operators, whose memos are emptied; what is free is given back."""
-    _return_blocks()
+    return_blocks()
     emptied = False
     for other, memos in _MEMOS.items():
         if other != owner:

@@ -212,9 +212,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(share)) + 1).select("item", "h", "n_windows")
     pairs = hits.select("doc", "h").distinct().join(probes, "h").select("doc", "item", "n_windows").distinct()
     # (document, item) by all of the item's windows
-    aligned = kept(pairs.join(items.drop("width"), "item").join(hits, ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")).drop("pos", "item_pos"), "aligned")
+    aligned = pairs.join(items.drop("width"), "item").join(hits, ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")).drop("pos", "item_pos")
     counted = aligned.groupBy("doc", "item").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("version").alias("version"), F.any_value("item_id").alias("item_id"), F.any_value("item_version").alias("item_version"), F.any_value("plain").alias("plain"), F.any_value("n_windows").alias("n_windows"), F.countDistinct("h").alias("n_matched"))
-    enough = kept(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)), "enough")
+    enough = cut(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)))
     mine = aligned.where("not plain").join(enough.select("doc", "item"), ["doc", "item"], "left_semi")
     alone = mine.groupBy("doc", "item", "offset").agg(F.countDistinct("h").alias("n"), F.any_value("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * F.lit(share)).select("doc", "item", "offset")
     values = mine.where("size(slots) > 0").select("doc", "item", "offset", F.explode(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))).alias("z")).groupBy("doc", "item", "offset", F.col("z.ours").alias("ours"), F.col("z.theirs").alias("theirs")).agg(F.count("*").alias("n"))

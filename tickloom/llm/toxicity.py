@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, WordTable, claim, give_back, id_text, stretches, table, words_of
+from .common import Memo, WordTable, claim, give_back, id_text, return_blocks, stretches, table, words_of
 
 #: General insults that are always in the lexicon (fixed values); more are learned from labels.
 SEED_TERMS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown"]
@@ -267,26 +267,35 @@ def learn_terms(texts: list[str], labels: list[int]) -> dict[str, tuple[bool, bo
     """
     toxic, clean = Counter(), Counter()
     whole_toxic: Counter = Counter()
-    n_toxic = n_clean = 0
-    for text, label in {t: y for t, y in zip(texts, labels)}.items():
-        words = {_NORMAL[w] for w in text.split()}
-        words = {w for w in words if len(w) >= SHORTEST and w.isalpha()}
-        heads = {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
-        if label:
-            n_toxic += 1
-            toxic.update(heads)
-            whole_toxic.update(words)
-        else:
-            n_clean += 1
-            clean.update(heads)
+    marked = {t: y for t, y in zip(texts, labels)}
+
+    def words_in(text: str) -> set[str]:
+        return {w for w in (_NORMAL[x] for x in text.split()) if len(w) >= SHORTEST and w.isalpha()}
+
+    n_toxic = sum(1 for y in marked.values() if y)
+    n_clean = len(marked) - n_toxic
     if not n_toxic or not n_clean:
         return {}
+    for text in (t for t, y in marked.items() if y):
+        words = words_in(text)
+        toxic.update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)})
+        whole_toxic.update(words)
+    least = max(4, 0.02 * n_toxic)
+    # only beginnings that enough toxic documents have are counted in clean ones; what begins them is among them too
+    toxic = Counter({p: c for p, c in toxic.items() if c >= least})
+    for text in (t for t, y in marked.items() if not y):
+        heads = set()
+        for w in words_in(text):
+            for k in range(SHORTEST, min(len(w), LONGEST) + 1):
+                if w[:k] not in toxic:
+                    break
+                heads.add(w[:k])
+        clean.update(heads)
 
     def ratio(p: str) -> float:
         return (toxic[p] / n_toxic) / ((clean[p] + 0.5) / n_clean)
 
-    least = max(4, 0.02 * n_toxic)
-    good = {p: ratio(p) for p in toxic if toxic[p] >= least and ratio(p) >= 4}
+    good = {p: ratio(p) for p in toxic if ratio(p) >= 4}
     out: dict[str, tuple[bool, bool]] = {}
     for p in sorted(good, key=len):
         if any(p[:k] in out for k in range(SHORTEST, len(p))) and good[p] < 4 * max(good.get(p[:k], 0) for k in range(SHORTEST, len(p)) if p[:k] in out):
@@ -303,8 +312,8 @@ def learn_terms(texts: list[str], labels: list[int]) -> dict[str, tuple[bool, bo
 def known_words(texts: list[str], labels: list[int], terms: dict[str, tuple[bool, bool]]) -> frozenset[str]:
     """Words of clean documents that are an error away from a term."""
     trie = FuzzyTrie({t: stem for t, (stem, _) in terms.items()}, set(terms))
-    words = {_NORMAL[w] for t, y in zip(texts, labels) if not y for w in t.split()}
-    return frozenset(w for w in words if w and (trie.find(w) or (0,))[0])
+    near = Memo(lambda w: _NORMAL[w] if _NORMAL[w] and (trie.find(_NORMAL[w]) or (0,))[0] else None, 200_000, "toxicity")
+    return frozenset(w for t, y in zip(texts, labels) if not y for w in map(near.__getitem__, t.split()) if w)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -353,6 +362,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     label says so; without both kinds of labels the fixed terms and plain weights
     are used.
     """
+    return_blocks()
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marked = marked.where("crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
