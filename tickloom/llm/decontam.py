@@ -211,28 +211,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     ranked = items.select("item", "h").distinct().join(met, "h", "left").withColumn("n_windows", F.count("*").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.coalesce("n_docs", F.lit(0)), "h")))
     probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(share)) + 1).select("item", "h", "n_windows")
     pairs = hits.select("doc", "h").distinct().join(probes, "h").select("doc", "item", "n_windows").distinct()
-    # (document, item) by all of the item's windows
-    aligned = pairs.join(items.drop("width"), "item").join(hits, ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")).drop("pos", "item_pos")
-    counted = aligned.groupBy("doc", "item").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("version").alias("version"), F.any_value("item_id").alias("item_id"), F.any_value("item_version").alias("item_version"), F.any_value("plain").alias("plain"), F.any_value("n_windows").alias("n_windows"), F.countDistinct("h").alias("n_matched"))
-    enough = cut(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)))
-    mine = aligned.where("not plain").join(enough.select("doc", "item"), ["doc", "item"], "left_semi")
-    alone = mine.groupBy("doc", "item", "offset").agg(F.countDistinct("h").alias("n"), F.any_value("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * F.lit(share)).select("doc", "item", "offset")
-    values = mine.where("size(slots) > 0").select("doc", "item", "offset", F.explode(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))).alias("z")).groupBy("doc", "item", "offset", F.col("z.ours").alias("ours"), F.col("z.theirs").alias("theirs")).agg(F.count("*").alias("n"))
+    # (document, item) by all of the item's windows; all that follows is grouped within a document, so it is dealt once
+    aligned = pairs.join(items.drop("width"), "item").join(hits, ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")).repartition(F.col("doc"))
+    pair, windows_of = ["doc", "item"], lambda *by: F.size(F.collect_set("h").over(Window.partitionBy(*by)))
+    met = aligned.withColumns({"n_matched": windows_of(*pair).cast("long"), "n_at": windows_of(*pair, "offset")}).where(F.col("n_matched") >= F.col("n_windows") * F.lit(share))
     # each way of looking at a pair: all offsets together, and an offset that has enough by itself
-    views = values.groupBy("doc", "item", F.lit(None).cast("int").alias("offset"), "ours", "theirs").agg(F.sum("n").alias("n")).unionByName(values.join(alone, ["doc", "item", "offset"], "left_semi"))
-    view = ["doc", "item", "offset"]
-    best = views.withColumn("a", F.row_number().over(Window.partitionBy(*view, "ours").orderBy(F.col("n").desc(), "theirs"))).withColumn("b", F.row_number().over(Window.partitionBy(*view, "theirs").orderBy(F.col("n").desc(), "ours")))
-    scored = best.groupBy(*view).agg(F.countDistinct("ours").alias("n_slots"), F.avg(((F.col("a") == 1) & (F.col("b") == 1)).cast("double")).alias("consistency"), F.min((F.col("ours") == F.col("theirs")).cast("int")).alias("same"))
-    slots = scored.groupBy("doc", "item").agg(F.max(F.struct("consistency", "same", "n_slots")).alias("s"))
-    out = enough.join(slots, ["doc", "item"], "left").select(
-        "doc_id", "version", "item_id", "item_version", "plain", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
-        F.coalesce("s.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("s.consistency", F.lit(1.0)).alias("slot_consistency"), (F.coalesce("s.same", F.lit(1)) == 1).alias("verbatim"),
+    alone = F.when(F.col("n_at") >= F.col("n_windows") * F.lit(share), F.struct(F.col("offset").alias("o")))
+    views = met.withColumn("view", F.explode(F.array_compact(F.array(F.struct(F.lit(None).cast("int").alias("o")), alone))))
+    about = ["doc_id", "version", "item_id", "item_version", "plain", "n_windows", "n_matched"]
+    slots = views.select(*pair, "view", *about, F.explode_outer(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))).alias("z")).select(*pair, "view", *about, "z.ours", "z.theirs")
+    view = [*pair, "view"]
+    values = slots.groupBy(*view, "ours", "theirs").agg(F.count("*").alias("n"), F.any_value(F.struct(*about)).alias("r"))
+    best = values.withColumn("a", F.row_number().over(Window.partitionBy(*view, "ours").orderBy(F.col("n").desc(), "theirs"))).withColumn("b", F.row_number().over(Window.partitionBy(*view, "theirs").orderBy(F.col("n").desc(), "ours")))
+    given = F.col("ours").isNotNull()
+    scored = best.groupBy(*view).agg(
+        F.count_distinct(F.when(given, F.col("ours"))).alias("n_slots"), F.avg(F.when(given, ((F.col("a") == 1) & (F.col("b") == 1)).cast("double"))).alias("consistency"),
+        F.min(F.when(given, (F.col("ours") == F.col("theirs")).cast("int"))).alias("same"), F.any_value("r").alias("r"),
+    )
+    found = scored.groupBy(*pair).agg(F.max(F.struct("consistency", "same", "n_slots")).alias("s"), F.any_value("r").alias("r"))
+    out = found.select(
+        "doc", "r.doc_id", "r.version", "r.item_id", "r.item_version", "r.plain", "r.n_windows", "r.n_matched", (F.col("r.n_matched") / F.col("r.n_windows")).alias("containment"),
+        F.col("s.n_slots").alias("n_slots"), F.coalesce("s.consistency", F.lit(1.0)).alias("slot_consistency"), (F.coalesce("s.same", F.lit(1)) == 1).alias("verbatim"),
     )
     # a pair that is met both ways counts once, as a template
     good = out.where(F.col("slot_consistency") >= consistent)
-    pair = ["doc_id", "version", "item_id", "item_version"]
-    once = good.groupBy(*pair).agg(F.min_by(F.struct(*[c for c in good.columns if c not in (*pair, "plain")]), F.col("plain")).alias("r"))
-    return once.select("doc_id", "version", "item_id", "r.*")
+    once = good.groupBy("doc", "item_id", "item_version").agg(F.min_by(F.struct(*[c for c in good.columns if c not in ("doc", "item_id", "item_version", "plain")]), F.col("plain")).alias("r"))
+    return once.select("r.doc_id", "r.version", "item_id", *[f"r.{c}" for c in ("n_windows", "n_matched", "containment", "n_slots", "slot_consistency", "verbatim")])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
