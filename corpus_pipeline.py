@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, decontam, line_dedup, near_dedup, toxicity
-from tickloom.llm.common import fresh_path, table
+from tickloom.llm.common import table
+from tickloom.operators.lineage import dropped, fresh_path, scope
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's rows are written as Parquet and read again by the next.
+
+    A stage's own intermediates, and the rows that it read, go once its rows are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            dropped(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

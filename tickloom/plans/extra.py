@@ -521,7 +521,7 @@ def m23h(spark, d):
     return students.student_summary(students.history_students(rows, answers, "core_fp", names, 3, 8))
 
 
-@query("r6_detector_baselines", sql("states", "h AS (SELECT row_index, split, is_train, state, row_number() OVER w AS n, lead(state) OVER w AS target FROM states WINDOW w AS (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms))", "e AS (SELECT * FROM h WHERE n >= 4 AND target IS NOT NULL)", "mj AS (SELECT target AS m FROM e WHERE is_train AND target >= 0 GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)", f"t AS (SELECT *, m FROM e, mj WHERE split = {_first('test', 'val')} AND target >= 0)", """SELECT 'baseline_last_state' AS model, count(*) AS rows, round(avg(CAST(target = state AS DOUBLE)), 6) AS accuracy, round(avg(CAST(target = state AS DOUBLE)) - avg(CAST(target = m AS DOUBLE)), 6) AS gain_over_majority_phase, CAST(1 AS DOUBLE) AS memory_bytes FROM t WHERE state >= 0
+@query("r6_detector_baselines", sql("states", "h AS (SELECT row_index, split, is_train, state, row_number() OVER w AS n, lead(state) OVER w AS target FROM states WINDOW w AS (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms))", "e AS (SELECT * FROM h WHERE n >= 4 AND target IS NOT NULL)", "mj AS (SELECT target AS m FROM e WHERE is_train AND target >= 0 GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)", f"t AS (SELECT *, m FROM e, mj WHERE split = {_first('test', 'val')} AND target >= 0)", """SELECT 'baseline_last_state' AS model, count(*) AS rows, round(avg(CAST(target = state AS DOUBLE)), 6) AS accuracy, round(avg(CAST(target = state AS DOUBLE)) - (SELECT avg(CAST(target = m AS DOUBLE)) FROM t), 6) AS gain_over_majority_phase, CAST(1 AS DOUBLE) AS memory_bytes FROM t WHERE state >= 0
  UNION ALL SELECT 'majority_phase', count(*), round(avg(CAST(target = m AS DOUBLE)), 6), 0, 6 FROM t"""))
 def r6b(spark, d):
     """The detector's summary for two baselines."""
