@@ -11,7 +11,10 @@ def _under(spark):
 
 def test_cuts_lie_in_the_folder_of_the_session(spark):
     cut = lineage.cut(spark.range(7))
-    assert any("/cuts/" in p for p in _under(spark)) and cut.count() == 7
+    where = spark.sparkContext.getCheckpointDir()
+    again = lineage.cut(spark.range(8))
+    assert any("/cuts/" in p for p in _under(spark)) and (cut.count(), again.count()) == (7, 8)
+    assert spark.sparkContext.getCheckpointDir() == where
 
 
 def test_a_scope_takes_its_intermediates_with_it(spark):

@@ -76,7 +76,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialised in the shared folder: later reads do not compute it again, and a lost executor costs nothing."""
     folder = _scopes(df.sparkSession)[-1]
     sc = df.sparkSession.sparkContext
-    if f"{folder}/cuts/" not in (sc.getCheckpointDir() or ""):
+    # Spark's cleaner looks for a checkpoint that is no longer used in the folder of the time, so that stays as it is
+    if f"/{folder.rsplit('/', 1)[1]}/cuts/" not in (sc.getCheckpointDir() or ""):
         sc.setCheckpointDir(f"{folder}/cuts")
     return df.checkpoint(eager=True)
 
