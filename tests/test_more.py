@@ -46,43 +46,6 @@ def test_deciles_of_many_values_are_the_same(spark, monkeypatch):
     assert models.fit_tree(df, ["a"], "y", 2, 3) == one
 
 
-def test_bootstrap_against_plain_resampling(spark):
-    """The same draws, counted row by row."""
-    rng = np.random.default_rng(4)
-    rows = [(f"g{rng.integers(9)}", int(rng.integers(3)), int(rng.integers(3)), int(rng.integers(3)), int(rng.integers(3))) for _ in range(300)]
-    df = frame(spark, rows, "run_id string, target int, prediction int, second_prediction int, state int").withColumn("first_prediction", F.col("prediction"))
-    names = sorted({r[0] for r in rows})
-    draws = np.random.default_rng(17).integers(0, len(names), size=(40, len(names)))
-    accuracy, moved = [], []
-    for d in draws:
-        sample = [r for k in d for r in rows if r[0] == names[k]]
-        accuracy.append(np.mean([r[1] == r[2] for r in sample]))
-        moved.append(np.mean([r[1] == r[2] for r in sample if r[1] != r[4]]))
-    got = stats.bootstrap_intervals(df, "run_id", resamples=40)
-    for name, values in (("accuracy", accuracy), ("transition_accuracy", moved)):
-        assert (got[f"{name}_low"], got[f"{name}_high"]) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
-    draws = np.random.default_rng(29).integers(0, len(names), size=(40, len(names)))
-    gaps = [np.mean([(r[1] == r[2]) - (r[1] == r[3]) for k in d for r in rows if r[0] == names[k]]) for d in draws]
-    assert stats.bootstrap_difference(df, "run_id", resamples=40)["accuracy_difference"] == pytest.approx(np.mean(gaps))
-
-
-def test_bootstrap_in_small_batches_and_with_too_many_groups(spark, monkeypatch):
-    df = frame(spark, [(f"g{i % 7}", i % 3, (i * i) % 3, (i // 2) % 3) for i in range(80)], "run_id string, target int, prediction int, state int")
-    whole = stats.bootstrap_intervals(df, "run_id", resamples=50)
-    monkeypatch.setattr(stats, "DRAWS", 20)
-    assert stats.bootstrap_intervals(df, "run_id", resamples=50) == pytest.approx(whole)
-    monkeypatch.setattr(stats, "MOST_GROUPS", 3)
-    with pytest.raises(ValueError, match="groups"):
-        stats.bootstrap_intervals(df, "run_id")
-
-
-def test_kendall_is_bounded(spark):
-    df = frame(spark, [(float(i), float(-i)) for i in range(50)], "x double, y double")
-    assert stats.kendall(df, "x", "y").first().tau == pytest.approx(-1)
-    with pytest.raises(ValueError, match="distinct pairs"):
-        stats.kendall(df, "x", "y", most_pairs=10)
-
-
 def test_split_sizes():
     assert [splits.split_sizes(n, 0.7, 0.15) for n in (1, 2, 3, 10, 20)] == [(1, 0), (1, 0), (2, 0), (7, 2), (14, 3)]
     assert splits.split_sizes(5, 1.0, 0.0) == (4, 0) and splits.split_items([], 0.7, 0.15, 1) == {}
@@ -215,7 +178,7 @@ def test_synthetic_histories_are_near_real_ones(spark):
     h = sequences.histories(df, 4, ["state"])
     real = {tuple(x[0] for x in r.history) for r in h.collect()}
     drawn = [tuple(x[0] for x in r.history) for r in sequences.synthetic_histories(h, 400, 0.0, 3).collect()]
-    assert 250 < len(drawn) < 550 and set(drawn) <= real
+    assert len(drawn) == 400 and set(drawn) <= real
     noisy = [tuple(x[0] for x in r.history) for r in sequences.synthetic_histories(h, 400, 0.5, 3).collect()]
     assert set(noisy) - real and all(set(x) <= {0, 1, 2} for x in noisy)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hashed_uniform
 from .lineage import cut
 
 STREAM = ("run_id", "cpu_or_core_id")
@@ -23,12 +24,23 @@ def with_row_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
     Rows are dealt by range; counts of the ranges give their offsets.  The ranges
     are cut in the shared folder first so that they stay the same.
     """
+    return with_running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", "row_index").drop("__one")
+
+
+def with_running_total(df: DataFrame, order: Sequence[str], value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` over the rows before in a global order, or in that of each group of ``by``.
+
+    Rows are dealt by range of (``by``, ``order``), so a group of any size is spread;
+    sums of the ranges, a row for each range and group that meet, give the offsets.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    number = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__i", number).join(F.broadcast(before), "__part").withColumn("row_index", F.col("__before") + F.col("__i") - 1).drop("__part", "__i", "__before")
+    dealt = cut(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(F.broadcast(before), [*by, "__part"]).withColumn(out, F.col("__before") + F.col("__own")).select(*df.columns, out)
 
 
 def futures(df: DataFrame, horizon: int, state: str = "state", value: str | None = None, w=None) -> DataFrame:
@@ -121,14 +133,26 @@ def target_windows(df: DataFrame, length: int, horizon: int, columns: Sequence[s
     return full.withColumn("one_hot", one_hot_history(F.col("history")))
 
 
-def synthetic_histories(df: DataFrame, n: int, rate: float, seed: int, history: str = "history", classes: int = 3) -> DataFrame:
-    """``n`` windows (about) drawn with replacement, each state replaced by a random one at ``rate``."""
-    total = df.count()
-    drawn = df.sample(withReplacement=True, fraction=n / max(1, total), seed=seed)
-    noise = F.transform(F.sequence(F.lit(0), F.size(history) - 1), lambda i: F.pmod(F.hash(F.col("__u"), i), F.lit(1_000_000)) / 1e6)
-    kept = drawn.withColumn("__u", F.rand(seed)).withColumn("__noise", noise)
+def drawn_rows(df: DataFrame, n: int, seed: int, order: Sequence[str]) -> DataFrame:
+    """``n`` rows drawn with replacement, with ``draw`` 0..n-1: draw i takes the row at floor(u N) in the given order, u hashed from (seed, i)."""
+    one = F.lit(1).cast("long")
+    placed = with_running_total(df.withColumn("__one", one), order, "__one", "__place").drop("__one")
+    placed = cut(placed)
+    total = placed.count()
+    draws = df.sparkSession.range(n if total else 0).select(F.col("id").alias("draw"), F.floor(hashed_uniform(seed, F.col("id")) * total).alias("__place"))
+    return draws.join(placed, "__place").select("draw", *df.columns)
+
+
+def synthetic_histories(df: DataFrame, n: int, rate: float, seed: int, history: str = "history", classes: int = 3, order: Sequence[str] = ("row_index",)) -> DataFrame:
+    """``n`` windows drawn with replacement (see ``drawn_rows``), each step's states replaced at ``rate`` by one drawn from the classes.
+
+    Step j of draw i changes if u < rate, u hashed from (seed, i, j), and then takes the
+    state floor(u classes / rate).  Without windows there are none.
+    """
+    drawn = drawn_rows(df, n, seed, order)
+    noise = F.transform(F.sequence(F.lit(0), F.size(history) - 1), lambda j: hashed_uniform(seed, F.col("draw"), j))
     changed = F.zip_with(history, "__noise", lambda s, u: F.when(u < rate, F.transform(s, lambda x: F.floor(u / rate * classes).cast("int"))).otherwise(s))
-    return kept.withColumn(history, changed).drop("__u", "__noise")
+    return drawn.withColumn("__noise", noise).withColumn(history, changed).drop("__noise")
 
 
 def known_states(df: DataFrame, horizon: int, state: str = "family_state", split: str = "split") -> DataFrame:

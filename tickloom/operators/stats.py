@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from ..functions.scalars import hashed_uniform
+from .lineage import cut, small
+from .sequences import with_running_total
 
 
 def group_counts(df: DataFrame, group: str, truth: str = "target", prediction: str = "prediction", current: str = "state", classes: int = 3) -> DataFrame:
@@ -19,83 +23,99 @@ def group_counts(df: DataFrame, group: str, truth: str = "target", prediction: s
     return df.where(ok).groupBy(group).agg(*cell, F.sum(moved.cast("long")).alias("moved"), F.sum((moved & (F.col(truth) == F.col(prediction))).cast("long")).alias("moved_right"))
 
 
-def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape, dtype=float), where=b > 0)
+def drawn_sums(counts: DataFrame, group: str, resamples: int, seed: int, scheme: str = "multinomial") -> DataFrame:
+    """``resample``, 0..resamples-1, and the sums of all other columns over groups drawn with replacement.
 
+    Draws are hashed (see ``hashed_uniform``), so no task holds a state and none of the
+    groups comes to the driver.  ``multinomial``: each resample draws as many groups as
+    there are; draw i of resample r takes the group at floor(u n) in order of the
+    groups' names, u hashed from (seed, r, i).  Where the groups' counts are within a
+    checked size they are broadcast and only sums are shuffled.  ``poisson``: each group
+    counts 0, 1, 2, ... times by one hash of (seed, r, group), so nothing but sums is
+    shuffled for any number of groups; the drawn number of groups varies.
+    """
+    names = [c for c in counts.columns if c != group]
+    spark = counts.sparkSession
+    turns = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
+    if scheme == "multinomial":
+        text = counts.select(F.col(group).cast("string").alias("__name"), *names)
+        numbered = cut(with_running_total(text.withColumn("__one", F.lit(1).cast("long")), ["__name"], "__one", "__place").drop("__name", "__one"))
+        n = numbered.count()
+        draws = spark.range(n).select("id", turns).select("resample", F.floor(hashed_uniform(seed, F.col("resample"), F.col("id")) * n).alias("__place"))
+        weighted = draws.join(small(numbered), "__place").withColumn("__times", F.lit(1))
+    elif scheme == "poisson":
+        chance, below = math.exp(-1), []
+        for k in range(1, 20):
+            below.append((below[-1] if below else 0.0) + chance)
+            chance /= k
+        rows = counts.select("*", turns)
+        u = hashed_uniform(seed, F.col("resample"), F.col(group))
+        weighted = rows.withColumn("__times", sum(((u >= b).cast("int") for b in below), F.lit(0))).where("__times > 0")
+    else:
+        raise ValueError(f"no such scheme: {scheme}")
+    return weighted.groupBy("resample").agg(*[F.sum(F.col(c) * F.col("__times")).alias(c) for c in names])
+
+
+def _intervals(values: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Both ends of each column's 95 % interval, 0 where it has no value."""
+    out = []
+    for name in names:
+        ends = F.percentile(name, F.array(F.lit(0.025), F.lit(0.975)))
+        out += [F.coalesce(ends[i], F.lit(0.0)).alias(f"{name}_{end}") for i, end in enumerate(("low", "high"))]
+    return out
 
-#: Groups that a bootstrap takes to the driver, at most; numbers drawn at a time.
-MOST_GROUPS, DRAWS = 1_000_000, 1 << 22
 
+SCORES = ("accuracy", "macro_f1", "balanced_accuracy", "transition_accuracy")
 
-def _collected(counts: DataFrame, group: str) -> list:
-    """The groups' counts in order of their names; more than MOST_GROUPS are an error: a group should be a run, not a row."""
-    rows = counts.limit(MOST_GROUPS + 1).collect()
-    if len(rows) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups to draw from")
-    return sorted(rows, key=lambda r: str(r[group]))
 
+def bootstrap_scores(df: DataFrame, group: str, truth: str = "target", prediction: str = "prediction", current: str = "state", resamples: int = 1000, seed: int = 17, classes: int = 3, scheme: str = "multinomial") -> DataFrame:
+    """``resample`` and its accuracy, macro F1, balanced and transition accuracy (NULL where nothing moved), drawing whole groups."""
+    drawn = drawn_sums(group_counts(df, group, truth, prediction, current, classes), group, resamples, seed, scheme)
+    cell = lambda t, p: F.col(f"c{t}{p}")
+    hit = [cell(t, t) for t in range(classes)]
+    support = [sum((cell(t, p) for p in range(classes)), F.lit(0)) for t in range(classes)]
+    said = [sum((cell(t, p) for t in range(classes)), F.lit(0)) for p in range(classes)]
+    add = lambda columns: sum(columns, F.lit(0))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    f1 = add(share(2 * h, s + p) for h, s, p in zip(hit, support, said))
+    met = add((s + p > 0).cast("int") for s, p in zip(support, said))
+    balanced = add(share(h, s) for h, s in zip(hit, support))
+    seen = add((s > 0).cast("int") for s in support)
+    return drawn.select("resample", share(add(hit), add(support)).alias("accuracy"), share(f1, met).alias("macro_f1"), share(balanced, seen).alias("balanced_accuracy"), F.try_divide("moved_right", "moved").alias("transition_accuracy"))
 
-def _drawn(rng: np.random.Generator, resamples: int, *tables: np.ndarray) -> list[np.ndarray]:
-    """Sums of each table's rows over groups drawn with replacement, a row per resample; DRAWS numbers are held at a time."""
-    n = len(tables[0])
-    out = [np.zeros((resamples, t.shape[1])) for t in tables]
-    step = max(1, DRAWS // n)
-    for lo in range(0, resamples, step):
-        some = rng.integers(0, n, size=(min(step, resamples - lo), n))
-        times = np.zeros(some.shape)
-        np.add.at(times, (np.arange(len(some))[:, None], some), 1)
-        for total, table in zip(out, tables):
-            total[lo : lo + len(some)] = times @ table
-    return out
 
+def bootstrap_intervals(df: DataFrame, group: str, truth: str = "target", prediction: str = "prediction", current: str = "state", resamples: int = 1000, seed: int = 17, classes: int = 3, scheme: str = "multinomial") -> dict[str, float]:
+    """95 % intervals of the scores (see ``bootstrap_scores``); one row comes to the driver, whatever the number of groups.
 
-def bootstrap_intervals(df: DataFrame, group: str, truth: str = "target", prediction: str = "prediction", current: str = "state", resamples: int = 1000, seed: int = 17, classes: int = 3) -> dict[str, float]:
-    """95 % intervals of accuracy, macro F1, balanced and transition accuracy, drawing whole groups.
-
-    Rows are counted by group in Spark; drawing works on a matrix of groups x 11
-    numbers on the driver, so ``group`` must be something like a run, not a row.
+    Without groups there are no resamples and all ends are 0.
     """
-    rows = _collected(group_counts(df, group, truth, prediction, current, classes), group)
-    names = ("accuracy", "macro_f1", "balanced_accuracy", "transition_accuracy")
-    out: dict[str, float] = {"groups": len(rows), "resamples": resamples if rows else 0}
-    if not rows:
-        return out | {f"{n}_{end}": 0.0 for n in names for end in ("low", "high")}
-    cells = np.array([[[r[f"c{t}{p}"] for p in range(classes)] for t in range(classes)] for r in rows])
-    moved = np.array([[r["moved_right"], r["moved"]] for r in rows])
-    c, m = _drawn(np.random.default_rng(seed), resamples, cells.reshape(len(rows), -1), moved)
-    c = c.reshape(resamples, classes, classes)
-    hit, support, said = np.einsum("rtt->rt", c), c.sum(axis=2), c.sum(axis=1)
-    value = {
-        "accuracy": _divide(hit.sum(axis=1), support.sum(axis=1)),
-        "macro_f1": _divide(_divide(2 * hit, support + said).sum(axis=1), (support + said > 0).sum(axis=1)),
-        "balanced_accuracy": _divide(_divide(hit, support).sum(axis=1), (support > 0).sum(axis=1)),
-        "transition_accuracy": _divide(m[:, 0], m[:, 1])[m[:, 1] > 0],
-    }
-    for name in names:
-        low, high = np.quantile(value[name], [0.025, 0.975]) if len(value[name]) else (0.0, 0.0)
-        out |= {f"{name}_low": float(low), f"{name}_high": float(high)}
-    return out
+    groups = df.where(F.col(truth).between(0, classes - 1) & F.col(prediction).between(0, classes - 1)).select(group).distinct().count()
+    values = bootstrap_scores(df, group, truth, prediction, current, resamples, seed, classes, scheme)
+    row = values.agg(*_intervals(values, SCORES)).first().asDict()
+    return {"groups": groups, "resamples": resamples if groups else 0, **{k: float(v) for k, v in row.items()}}
 
 
-def bootstrap_difference(df: DataFrame, group: str, truth: str = "target", first: str = "first_prediction", second: str = "second_prediction", current: str = "state", resamples: int = 5000, seed: int = 29) -> dict[str, float]:
-    """Mean, 95 % interval and chance above zero of the difference in accuracy and transition accuracy, first minus second."""
+def bootstrap_gaps(df: DataFrame, group: str, truth: str = "target", first: str = "first_prediction", second: str = "second_prediction", current: str = "state", resamples: int = 5000, seed: int = 29, scheme: str = "multinomial") -> DataFrame:
+    """``resample`` and the differences of accuracy and transition accuracy, first minus second (the latter NULL where nothing moved)."""
     known = df.where((F.col(truth) >= 0) & (F.col(first) >= 0) & (F.col(second) >= 0))
     moved = F.col(truth) != F.col(current)
+    a, b = F.col(first) == F.col(truth), F.col(second) == F.col(truth)
+    count = lambda c: F.sum(c.cast("long"))
+    counts = known.groupBy(group).agg(F.count("*").alias("n"), (count(a) - count(b)).alias("gap"), count(moved).alias("moved"), (count(moved & a) - count(moved & b)).alias("moved_gap"))
+    drawn = drawn_sums(counts, group, resamples, seed, scheme)
+    return drawn.select("resample", F.coalesce(F.try_divide("gap", "n"), F.lit(0.0)).alias("accuracy_difference"), F.try_divide("moved_gap", "moved").alias("transition_accuracy_difference"))
 
-    def count(c: Column) -> Column:
-        return F.sum(c.cast("long"))
 
-    a, b = F.col(first) == F.col(truth), F.col(second) == F.col(truth)
-    rows = _collected(known.groupBy(group).agg(F.count("*").alias("n"), count(a).alias("a"), count(b).alias("b"), count(moved).alias("m"), count(moved & a).alias("ma"), count(moved & b).alias("mb")), group)
-    out: dict[str, float] = {"groups": len(rows), "resamples": resamples if rows else 0}
-    if not rows:
+def bootstrap_difference(df: DataFrame, group: str, truth: str = "target", first: str = "first_prediction", second: str = "second_prediction", current: str = "state", resamples: int = 5000, seed: int = 29, scheme: str = "multinomial") -> dict[str, float]:
+    """Mean, 95 % interval and chance above zero of the differences (see ``bootstrap_gaps``); only the counts without groups."""
+    groups = df.where((F.col(truth) >= 0) & (F.col(first) >= 0) & (F.col(second) >= 0)).select(group).distinct().count()
+    out: dict[str, float] = {"groups": groups, "resamples": resamples if groups else 0}
+    if not groups:
         return out
-    table = np.array([[r[k] for k in ("n", "a", "b", "m", "ma", "mb")] for r in rows])
-    n, a_, b_, m, ma, mb = _drawn(np.random.default_rng(seed), resamples, table)[0].T
-    for name, d in (("accuracy", _divide(a_, n) - _divide(b_, n)), ("transition_accuracy", (_divide(ma, m) - _divide(mb, m))[m > 0])):
-        low, high = np.quantile(d, [0.025, 0.975]) if len(d) else (0.0, 0.0)
-        out |= {f"{name}_difference": float(d.mean()) if len(d) else 0.0, f"{name}_difference_low": float(low), f"{name}_difference_high": float(high), f"{name}_difference_above_zero": float((d > 0).mean()) if len(d) else 0.0}
-    return out
+    values = bootstrap_gaps(df, group, truth, first, second, current, resamples, seed, scheme)
+    names = ("accuracy_difference", "transition_accuracy_difference")
+    parts = [c for n in names for c in (F.coalesce(F.avg(n), F.lit(0.0)).alias(n), F.coalesce(F.avg((F.col(n) > 0).cast("double")), F.lit(0.0)).alias(f"{n}_above_zero"))]
+    return out | {k: float(v) for k, v in values.agg(*parts, *_intervals(values, names)).first().asDict().items()}
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -114,20 +134,19 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Average ranks (ties share their mean) as ``rank__<column>``; counts of values carry the ranks, not a sort of all rows in one task."""
-    out = df
-    for c in columns:
-        counts = df.groupBy(c).agg(F.count("*").alias("__n"))
-        # distinct values in order: offsets by range of value
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # the ranges are read twice, so they are kept as they were dealt
-        dealt = cut(counts.where(F.col(c).isNotNull()).repartitionByRange(parts, c).withColumn("__p", F.spark_partition_id()))
-        sums = dealt.groupBy("__p").agg(F.sum("__n").alias("__s"))
-        before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-        w = Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = dealt.join(F.broadcast(before), "__p").select(c, (F.col("__b") + F.sum("__n").over(w) - F.col("__n") + (F.col("__n") + 1) / 2).alias(f"rank__{c}"))
-        out = out.join(ranks, c, "left")
-    return out
+    """Average ranks (ties share their mean) of numbers as ``rank__<column>``, NULL for NULL.
+
+    All columns at once: counts of (column, value) are dealt by range and summed up,
+    so equal values are one row there; ranks go back to the rows by one join and one
+    grouping, whatever the number of columns.
+    """
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    long = rows.select("__row", cells.alias("x")).select("__row", "x.c", "x.v").where("v IS NOT NULL")
+    counts = long.groupBy("c", "v").agg(F.count("*").alias("n"))
+    ranks = with_running_total(counts, ["v"], "n", "before", ["c"]).select("c", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+    back = long.join(ranks, ["c", "v"]).groupBy("__row").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"rank__{c}") for i, c in enumerate(columns)])
+    return rows.join(back, "__row", "left").drop("__row")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -145,23 +164,83 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(F.substring("a", 7, 200).alias("a"), F.substring("b", 7, 200).alias("b"), "r")
 
 
-def kendall(df: DataFrame, x: str, y: str, most_pairs: int = 20_000) -> DataFrame:
-    """Tau-b of two columns by counts of their distinct pairs.
+#: Cells that one task of Kendall's coefficient looks through, about.
+CELLS = 1 << 17
+
 
-    Concordant and discordant pairs come from a join of distinct value pairs with
-    themselves, so the cost is the square of their number, whatever that of rows.
-    More than ``most_pairs`` distinct pairs are an error: bucket such columns first.
+def balance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Sum of n_a n_b over concordant pairs less that over discordant ones; pairs equal in x or y do not count.
+
+    Merge counting: at each level the right half of a stretch (in order of x) meets the
+    left half in order of y, all stretches at once.
+    """
+    cell, which = np.unique(np.stack([x, y], axis=1), axis=0, return_inverse=True)  # in order of x and then y
+    n = np.bincount(which.ravel(), weights=n)
+    xs, ys = np.unique(cell[:, 0], return_inverse=True)[1], np.unique(cell[:, 1], return_inverse=True)[1]
+    at, total, size = np.arange(len(n)), 0.0, 1
+    order = at
+    while size < len(n):
+        stretch = at // (2 * size)
+        order = np.lexsort((ys, stretch))
+        s, v, w, right = stretch[order], ys[order], n[order], (order // size) % 2 == 1
+        left = np.concatenate(([0.0], np.cumsum(np.where(right, 0.0, w))))
+
+        def ends(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """First place of each one's run, and the first after it."""
+            first = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            return first[run], np.append(first[1:], len(new))[run]
+
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        begin, end = ends(new)
+        equal, after = ends(new | np.concatenate(([True], v[1:] != v[:-1])))
+        total += float((w * ((left[equal] - left[begin]) - (left[end] - left[after])))[right].sum())
+        size *= 2
+    # pairs of one x stand in order of y, so they were counted as concordant
+    whole = np.bincount(xs, weights=n)
+    return total - float((whole**2).sum() - (n**2).sum()) / 2
+
+
+def _balances(df: DataFrame, by: str, x: str, y: str) -> float:
+    """``balance`` of each group of ``by``, summed."""
+    def run(rows: pa.Table) -> pa.Table:
+        return pa.table({"s": [balance(*[np.asarray(rows.column(c)) for c in (x, y, "n")])]})
+
+    return df.select(by, x, y, "n").groupBy(by).applyInArrow(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0]
+
+
+def kendall(df: DataFrame, x: str, y: str, cells: int = CELLS) -> DataFrame:
+    """Tau-b of two columns of any number of distinct values; NULL if one of them is constant.
+
+    Distinct pairs of values with their counts are cut into ranges of x and of y, of
+    about ``cells`` pairs; a value with more has a range of its own.  Pairs of one range of x
+    are counted there by merging (none, if it is one value), those of different ranges
+    of x but one of y there, and all others are those of the coarse table of ranges,
+    which is the same task, a quarter as large at most.  No pair is joined with another
+    and no task has more than two ranges' worth.
     """
-    cells = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n")))
-    if cells.count() > most_pairs:
-        raise ValueError(f"more than {most_pairs} distinct pairs of values")
-    a, b = cells.alias("a"), cells.alias("b")
-    sign = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
-    balance = a.join(b, F.col("a.x") > F.col("b.x")).agg(F.coalesce(F.sum(sign * F.col("a.n") * F.col("b.n")), F.lit(0.0)).alias("s"))
-    total = cells.agg(F.sum("n").alias("n"))
-    ties = [cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{c}")) for c in ("x", "y")]
-    whole = F.col("n") * (F.col("n") - 1) / 2
-    return balance.crossJoin(total).crossJoin(ties[0]).crossJoin(ties[1]).select(F.try_divide(F.col("s"), F.sqrt((whole - F.col("tx")) * (whole - F.col("ty")))).alias("tau"))
+    base = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")))
+    rest, found = base, 0.0
+    while True:
+        size = rest.count()
+        width = max(cells, 4 * math.isqrt(size) + 4)
+        placed = rest
+        for c in ("x", "y"):
+            values = with_running_total(rest.groupBy(c).agg(F.count("*").alias("k")), [c], "k", f"{c}_place")
+            hot = F.col("k") >= width
+            # a value's place stands for it; a hot one comes after those before it in its stretch
+            placed = placed.join(values.select(c, f"{c}_place", (F.floor(F.col(f"{c}_place") / width) * 2 + hot.cast("int")).alias(f"{c}_range"), hot.alias(f"{c}_hot")), c)
+        placed = cut(placed.select("x_place", "y_place", "x_range", "y_range", "x_hot", "y_hot", "n")) if size > width else placed
+        found += _balances(placed.where("not x_hot"), "x_range", "x_place", "y_place")
+        if size <= width:
+            break
+        found += _balances(placed.where("not y_hot"), "y_range", "x_range", "y_place")
+        rest = cut(placed.groupBy(F.col("x_range").alias("x"), F.col("y_range").alias("y")).agg(F.sum("n").alias("n")))
+    pairs = lambda n: n * (n - 1) / 2
+    count = lambda c: base.groupBy(c).agg(F.sum("n").cast("double").alias("n")).agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias(f"t{c}"))
+    whole = base.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
+    root = F.sqrt((pairs(F.col("n")) - F.col("tx")) * (pairs(F.col("n")) - F.col("ty")))
+    return whole.crossJoin(count("x")).crossJoin(count("y")).select(F.try_divide(F.lit(found), root).alias("tau"))
 
 
 def top_correlations(pairs: DataFrame, n: int) -> DataFrame:

@@ -48,6 +48,12 @@ def scaled(spark: SparkSession, d: str) -> DataFrame:
     return features.fill_and_scale(features.log_counters(base(spark, d), [f"counter__{c}" for c in COUNTERS]), [f"counter__{c}" for c in COUNTERS])
 
 
+def sql_uniform(*keys) -> str:
+    """The number that ``hashed_uniform`` makes of the same keys (SQL expressions)."""
+    text = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
 SQL_EVENTS = """
 perf AS (
   SELECT 'run_' || user_id AS run_id, user_id, 'w' || (user_id % 7) AS workload, 'g' || (user_id // 2) AS concurrent_group_id,

@@ -11,7 +11,7 @@ from ..operators.quantiles import quantiles
 from ..sources import adapter, readers
 from ..streaming import online
 from . import frames
-from .frames import VALUE, sql
+from .frames import VALUE, sql, sql_uniform
 from .registry import _PRED, COLS, _sql_family, _test_rows, _two_families, query, r6
 
 # -- scalars -----------------------------------------------------------------
@@ -169,11 +169,20 @@ def w10(spark, d):
     return sequences.temporal_features(s, context=("a", "b")).select("row_index", "previous", "run_length", "context")
 
 
-@query("w11_synthetic_histories")
+@query(
+    "w11_synthetic_histories",
+    sql(
+        "states", "h AS (SELECT row_index, row_number() OVER w AS n, list(state) OVER (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h, lead(state) OVER w AS target FROM states WINDOW w AS (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms))",
+        "p AS (SELECT row_index, h, target, row_number() OVER (ORDER BY row_index) - 1 AS place, count(*) OVER () AS n_rows FROM h WHERE n >= 4 AND target IS NOT NULL)",
+        f"dr AS (SELECT i AS draw, CAST(floor({sql_uniform(5, 'i')} * (SELECT count(*) FROM p)) AS BIGINT) AS place FROM range(500) t(i))",
+        f"st AS (SELECT draw, row_index, target, j, CASE WHEN {sql_uniform(5, 'draw', 'j')} < 0.1 THEN CAST(floor({sql_uniform(5, 'draw', 'j')} / 0.1 * 3) AS INT) ELSE h[j + 1] END AS s FROM dr JOIN p USING (place), range(4) t(j))",
+        "SELECT draw, row_index, target, string_agg(s, ',' ORDER BY j) AS history FROM st GROUP BY ALL",
+    ),
+)
 def w11(spark, d):
-    """Drawn windows with noise: random, so rows only."""
+    """500 windows drawn by hash, with noise."""
     h = sequences.histories(frames.states(spark, d), 4, ["state"])
-    return sequences.synthetic_histories(h, 500, 0.1, 5).select("row_index", "history", "target")
+    return sequences.synthetic_histories(h, 500, 0.1, 5).select("draw", "row_index", "target", F.array_join(F.flatten("history"), ",").alias("history"))
 
 
 @query("t6_states_by_mean", "WITH m AS (SELECT l_suppkey % 5 AS c, avg(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT c AS cluster, row_number() OVER (ORDER BY q, c) - 1 AS state FROM m")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..functions import scalars as fn
 from ..operators import evaluation, features, merge, metrics, models, phases, planning, policy, selection, sequences, splits, stats
 from ..sources import adapter, readers
 from . import frames
-from .frames import COUNTERS, VALUE, sql
+from .frames import COUNTERS, VALUE, sql, sql_uniform
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -786,6 +788,17 @@ def o5k(spark, d):
     return stats.kendall(adapter.table(spark, d, "lineitem"), "l_discount", "l_tax").select(*r6("tau"))
 
 
+@query(
+    "o5_kendall_many_values",
+    """WITH c AS (SELECT o_totalprice AS x, o_custkey AS y, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y) * a.n * b.n) AS s FROM c a JOIN c b ON a.x > b.x), t AS (SELECT sum(n) AS n FROM c),
+tx AS (SELECT sum(n * (n - 1) / 2) AS tx FROM (SELECT sum(n) AS n FROM c GROUP BY x)), ty AS (SELECT sum(n * (n - 1) / 2) AS ty FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+SELECT round(s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM s, t, tx, ty""",
+)
+def o5km(spark, d):
+    """Nearly as many values as rows; ranges of about 2,000 pairs, so that small tables are cut as well."""
+    return stats.kendall(adapter.table(spark, d, "orders"), "o_totalprice", "o_custkey", cells=2000).select(*r6("tau"))
+
+
 @query("o6_top_correlations", "SELECT a, b, round(r, 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for a, b in _LI_PAIRS) + ") ORDER BY abs(r) DESC, a, b LIMIT 3")
 def o6(spark, d):
     return stats.top_correlations(stats.correlations(adapter.table(spark, d, "lineitem"), _LI), 3).select("a", "b", *r6("r"))
@@ -843,16 +856,55 @@ def m17(spark, d):
     return metrics.classification_scores(metrics.confusion(metrics.usable(metrics.mask_rows(said))))
 
 
-@query("m25_bootstrap_intervals")
+def _drawn(seed: int, resamples: int, columns: list[str]) -> list[str]:
+    """Clauses from ``gc`` (counts by name) to ``drawn``: sums over groups drawn by hash, a row for each resample."""
+    return [
+        f"gp AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS place, count(*) OVER () AS n_groups FROM gc)",
+        f"dr AS (SELECT r AS resample, CAST(floor({sql_uniform(seed, 'r', 'place')} * n_groups) AS BIGINT) AS place FROM gp, range({resamples}) t(r))",
+        f"drawn AS (SELECT resample, {', '.join(f'sum({c}) AS {c}' for c in columns)} FROM dr JOIN gp USING (place) GROUP BY resample)",
+    ]
+
+
+_CELLS = [f"c{t}{p}" for t in range(3) for p in range(3)]
+_GROUP_COUNTS = ", ".join(f"count(*) FILTER (target = {t} AND prediction = {p}) AS c{t}{p}" for t in range(3) for p in range(3)) + ", count(*) FILTER (target <> state) AS moved, count(*) FILTER (target <> state AND target = prediction) AS moved_right"
+_ROWS_OF, _SAID = [f"(c{t}0 + c{t}1 + c{t}2)" for t in range(3)], [f"(c0{p} + c1{p} + c2{p})" for p in range(3)]
+_RESAMPLED = (
+    f"sc AS (SELECT resample, (c00 + c11 + c22) / CAST({' + '.join(_CELLS)} AS DOUBLE) AS accuracy,"
+    f" ({' + '.join(f'coalesce(2.0 * c{t}{t} / nullif({_ROWS_OF[t]} + {_SAID[t]}, 0), 0)' for t in range(3))}) / ({' + '.join(f'CAST({_ROWS_OF[t]} + {_SAID[t]} > 0 AS INT)' for t in range(3))}) AS macro_f1,"
+    f" ({' + '.join(f'coalesce(1.0 * c{t}{t} / nullif({_ROWS_OF[t]}, 0), 0)' for t in range(3))}) / ({' + '.join(f'CAST({_ROWS_OF[t]} > 0 AS INT)' for t in range(3))}) AS balanced_accuracy,"
+    " moved_right / CAST(nullif(moved, 0) AS DOUBLE) AS transition_accuracy FROM drawn)"
+)
+
+
+def _ends(names) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}_{end}' AS metric, round(coalesce(quantile_cont({n}, CAST({q} AS DOUBLE)), 0), 6) AS value FROM sc" for n in names for end, q in (("low", 0.025), ("high", 0.975)))
+
+
+def _metrics_of(spark, found: dict) -> DataFrame:
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in found.items()), "metric string, value double").withColumn("value", F.round("value", 6))
+
+
+@query("m25_bootstrap_intervals", sql("examples", *_PRED, f"gc AS (SELECT run_id AS name, {_GROUP_COUNTS} FROM test GROUP BY run_id)", *_drawn(17, 500, [*_CELLS, "moved", "moved_right"]), _RESAMPLED, f"SELECT 'groups' AS metric, CAST(count(*) AS DOUBLE) AS value FROM gc UNION ALL SELECT 'resamples', 500 UNION ALL {_ends(stats.SCORES)}"))
 def m25(spark, d):
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in stats.bootstrap_intervals(_test_rows(spark, d), "run_id", resamples=500).items()), "metric string, value double")
+    """500 resamples of the test runs, drawn by hash."""
+    return _metrics_of(spark, stats.bootstrap_intervals(_test_rows(spark, d), "run_id", resamples=500))
 
 
-@query("m26_bootstrap_difference")
+@query("m26_bootstrap_difference", sql("examples", *_PRED, "gc AS (SELECT run_id AS name, count(*) AS n, count(*) FILTER (prediction = target) - count(*) FILTER (state = target) AS gap, count(*) FILTER (target <> state) AS moved, count(*) FILTER (target <> state AND prediction = target) AS moved_gap FROM test WHERE state >= 0 GROUP BY run_id)", *_drawn(29, 500, ["n", "gap", "moved", "moved_gap"]), "sc AS (SELECT gap / CAST(n AS DOUBLE) AS accuracy_difference, moved_gap / CAST(nullif(moved, 0) AS DOUBLE) AS transition_accuracy_difference FROM drawn)", "SELECT 'groups' AS metric, CAST(count(*) AS DOUBLE) AS value FROM gc UNION ALL SELECT 'resamples', 500 UNION ALL " + _ends(["accuracy_difference", "transition_accuracy_difference"]) + "".join(f" UNION ALL SELECT '{n}', round(avg({n}), 6) FROM sc UNION ALL SELECT '{n}_above_zero', round(avg(CAST({n} > 0 AS DOUBLE)), 6) FROM sc" for n in ("accuracy_difference", "transition_accuracy_difference"))))
 def m26(spark, d):
     second = models.last_state(frames.examples(spark, d)).where("prediction >= 0")
     both = metrics.paired(_test_rows(spark, d), second, ["row_index"])
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in stats.bootstrap_difference(both, "run_id", resamples=500).items()), "metric string, value double")
+    return _metrics_of(spark, stats.bootstrap_difference(both, "run_id", resamples=500))
+
+
+_TIMES = " + ".join(f"CAST(u >= {float(b)!r} AS INT)" for b in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]))
+
+
+@query("m25_poisson_many_groups", f"WITH test AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) % 3 AS target, l_suppkey % 3 AS prediction, l_partkey % 3 AS state FROM lineitem), gc AS (SELECT l_orderkey AS name, {_GROUP_COUNTS} FROM test GROUP BY l_orderkey), du AS (SELECT gc.*, r AS resample, {sql_uniform(3, 'r', 'name')} AS u FROM gc, range(20) t(r)), dt AS (SELECT *, {_TIMES} AS times FROM du), drawn AS (SELECT resample, {', '.join(f'sum({c} * times) AS {c}' for c in [*_CELLS, 'moved', 'moved_right'])} FROM dt GROUP BY resample), {_RESAMPLED} SELECT resample, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy, round(transition_accuracy, 6) AS transition_accuracy FROM sc")
+def m25p(spark, d):
+    """20 resamples of all orders, a group each: counts drawn from Poisson's distribution, so only sums are shuffled."""
+    item = adapter.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("long") % 3).alias("target"), (F.col("l_suppkey") % 3).alias("prediction"), (F.col("l_partkey") % 3).alias("state"))
+    return stats.bootstrap_scores(item, "l_orderkey", resamples=20, seed=3, scheme="poisson").select("resample", *r6(*stats.SCORES))
 
 
 @query("m28_cluster_stability")
