@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import domain
-from tickloom.operators import build, collection, evaluation, events, features, lineage, models, planning, selection, sequences, splits, stats, students
+from tickloom.operators import build, collection, evaluation, events, features, forest, lineage, models, planning, selection, sequences, splits, stats, students
 from tickloom.operators.quantiles import quantiles
 from tickloom.sources import writers
 
@@ -42,7 +42,7 @@ def test_deciles_of_many_values_are_the_same(spark, monkeypatch):
     x = rng.normal(size=200).round(4)
     df = frame(spark, [(i, float(a), int(a > 0.3) + int(a > 1)) for i, a in enumerate(x)], "row_index long, a double, y int")
     one = models.fit_tree(df, ["a"], "y", 2, 3)
-    monkeypatch.setattr(models, "BUFFERED", 0)
+    monkeypatch.setattr(forest, "BUFFERED", 0)
     assert models.fit_tree(df, ["a"], "y", 2, 3) == one
 
 

@@ -1,7 +1,9 @@
 """Every query with SQL gives the rows of its SQL; the others give rows."""
 
+import functools
 import hashlib
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -35,18 +37,23 @@ def rows_of(frame):
     return columns, sorted(out, key=str)
 
 
-@pytest.fixture(scope="module")
-def tables(sf):
+@functools.cache
+def tables(folder):
     con = duckdb.connect()
-    for name in os.listdir(sf):
-        con.execute(f"create view {name[:-8]} as select * from '{sf}/{name}'")
+    for name in os.listdir(folder):
+        con.execute(f"create view {name[:-8]} as select * from '{folder}/{name}'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY.ORACLES))
-def test_against_sql(spark, sf, tables, name):
-    got = rows_of(REGISTRY.QUERIES[name](spark, sf).toPandas())
-    want = rows_of(tables.execute(REGISTRY.ORACLES[name]).df())
+#: Queries that are held against their SQL on the larger tables too: those that choose, learn or draw.
+LARGER = [n for n in sorted(REGISTRY.ORACLES) if re.match(r"r6_|m\d|a21|a24|t5|k7|w11|stream_|o5_", n)]
+
+
+@pytest.mark.parametrize("folder,name", [("sf0.001", n) for n in sorted(REGISTRY.ORACLES)] + [("sf0.01", n) for n in LARGER])
+def test_against_sql(spark, folder, name):
+    folder = f"/root/testdata/{folder}"
+    got = rows_of(REGISTRY.QUERIES[name](spark, folder).toPandas())
+    want = rows_of(tables(folder).execute(REGISTRY.ORACLES[name]).df())
     assert got[0] == want[0]
     assert got[1] == want[1]
 

@@ -11,9 +11,9 @@ from ..functions.domain import FAMILY_COUNTERS, counters_there, safe_counters
 from ..sources.readers import exists, write_partitioned
 from .features import _counter
 from .lineage import cut
-from .phases import phase_states, tertile_states
+from .phases import grouped_phases, phase_states, tertile_states
 from .quantiles import quantiles
-from .sequences import futures
+from .sequences import STREAM, futures, stream
 
 #: Where a state comes from.
 LABEL_SOURCE = "train_split_kmeans_full_safe_counters"
@@ -30,9 +30,9 @@ def only(df: DataFrame, column: str = "suite", value: str = "parsec") -> DataFra
 def scoped_states(df: DataFrame, scope: str = "global", counters: Sequence[str] | None = None, k: int = 3, seed: int = 17, workload: str = "workload", **how) -> tuple[DataFrame, list[dict]]:
     """``df`` with ``state``, the phase by k-means over all safe counters: over all rows, or within each workload by itself.
 
-    Also what was learned, one entry per clustering.  Workloads are a short list; each
-    one's clustering is a few grouped passes over its own rows.  ``df`` has is_train and
-    row_index; a row of no workload has state -1.
+    Also what was learned, one entry per clustering.  Workloads are clustered together, a
+    round for all of them.  ``df`` has is_train and row_index; a row of no workload has
+    state -1.
     """
     columns = list(counters or safe_counters(df.columns))
     if scope == "global":
@@ -40,31 +40,27 @@ def scoped_states(df: DataFrame, scope: str = "global", counters: Sequence[str]
         return df.join(states.select("row_index", "state"), "row_index", "left"), [{**learned, "scope": scope, "workload": ""}]
     if scope != "per_workload":
         raise ValueError(f"no such scope: {scope}")
-    df = cut(df)  # read for each workload
-    found, summaries = None, []
-    for name in sorted(r[0] for r in df.select(workload).where(F.col(workload).isNotNull()).distinct().collect()):
-        mine, learned = phase_states(df.where(F.col(workload) == name), columns, k, seed, **how)
-        mine = mine.select("row_index", "state")
-        found = mine if found is None else found.unionByName(mine)
-        summaries.append({**learned, "scope": scope, "workload": name})
-    if found is None:
-        return df.withColumn("state", F.lit(-1)), []
-    return df.join(found, "row_index", "left").withColumn("state", F.coalesce("state", F.lit(-1))), summaries
-
-
-def sequence_rows(df: DataFrame, counter: str, horizon: int, state: str = "state") -> DataFrame:
-    """The written rows of one counter: metadata, state, states and values to come, and when the state changes.
-
-    ``df`` has state and row_index.  Columns that it lacks are NULL.
+    states, learned = grouped_phases(df, columns, workload, k, seed, **how)
+    return df.join(states.select("row_index", "state"), "row_index", "left"), [{**x, "scope": scope, "workload": x["group"]} for x in learned]
+
+
+def sequence_rows(df: DataFrame, counters: str | Sequence[str], horizon: int, state: str = "state") -> DataFrame:
+    """The written rows of one counter or of several: metadata, state, states and values to come, and when the state changes.
+
+    ``df`` has state and row_index; each row is read once and gives one for each counter.
+    Columns that it lacks are NULL.
     """
-    family = next((f for f, names in FAMILY_COUNTERS.items() if counter in names), "")
-    rows = futures(df.withColumn("__value", _counter(df, counter)), horizon, state, "__value")
+    counters = [counters] if isinstance(counters, str) else list(counters)
+    family = {c: next((f for f, names in FAMILY_COUNTERS.items() if c in names), "") for c in counters}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.lit(family[c]).alias("family"), _counter(df, c).cast("double").alias("value")) for c in counters])).alias("__c")
+    long = df.select("*", each).select("*", F.col("__c.counter").alias("__counter"), F.col("__c.family").alias("__family"), F.col("__c.value").alias("__value"))
+    rows = futures(long, horizon, state, "__value", stream((*STREAM, "__counter")))
     taken = [(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in METADATA]
     core = (F.col("cpu_or_core_id") if "cpu_or_core_id" in df.columns else F.lit(None)).cast("string").alias("core_id")
     return rows.select(
         *taken, core, "row_index", F.col(state).cast("int").alias("family_state"),
         *[F.col(f"future_state_{k}").cast("int").alias(f"future_state_{k}") for k in range(1, horizon + 1)],
-        F.col("will_change").alias("will_change_within_horizon"), "time_to_change", F.lit(counter).alias("counter_name"), F.lit(family).alias("family"), F.lit(LABEL_SOURCE).alias("phase_label_source"),
+        F.col("will_change").alias("will_change_within_horizon"), "time_to_change", F.col("__counter").alias("counter_name"), F.col("__family").alias("family"), F.lit(LABEL_SOURCE).alias("phase_label_source"),
         F.col("__value").alias("counter_value"), *[F.col(f"future_value_{k}").alias(f"future_counter_value_{k}") for k in range(1, horizon + 1)],
     )
 
@@ -82,11 +78,9 @@ def build_sequences(df: DataFrame, experiment: str, horizon: int, scopes: Sequen
     sequences, clusters, choice = None, [], []
     for scope in scopes:
         states, learned = scoped_states(df, scope, seed=seed, **how)
-        states = cut(states)  # read for every counter
         clusters += [(experiment, scope, x["workload"], x["clusters"], ",".join(x["pressure_counters"]), [list(map(float, c)) for c in x["centroids"]]) for x in learned]
-        for counter in names:
-            one = sequence_rows(states, counter, horizon).withColumns({"experiment": F.lit(experiment), "scope": F.lit(scope)})
-            sequences = one if sequences is None else sequences.unionByName(one)
+        one = sequence_rows(states, names, horizon).withColumns({"experiment": F.lit(experiment), "scope": F.lit(scope)})
+        sequences = one if sequences is None else sequences.unionByName(one)
         for family, have in there.items():
             chosen = (selected or {}).get(scope, {}).get(family, "")
             source = "missing_single_ablation_selection" if not chosen else "ablation_selected" if chosen in names else "selected_counter_sequence_missing"

@@ -54,12 +54,13 @@ def fill_train_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"q__{c}")[0], F.lit(0.0)) for c in columns}).drop(*[f"q__{c}" for c in columns])
 
 
-def fill_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Median fill, then (x - mean) / population deviation, both of filled training rows; a deviation of 0 counts as 1."""
-    filled = fill_train_median(df, columns)
-    stats = filled.where("is_train").agg(*[F.avg(c).alias(f"__a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
+def fill_and_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Median fill, then (x - mean) / population deviation, both of filled training rows, of all or of each group; a deviation of 0 counts as 1."""
+    filled = fill_train_median(df, columns, by)
+    stats = filled.where("is_train").groupBy(*by).agg(*[F.avg(c).alias(f"__a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     scaled = {c: (F.col(c) - F.coalesce(F.col(f"__a_{c}"), F.lit(0.0))) / F.coalesce(F.nullif(F.col(f"__s_{c}"), F.lit(0.0)), F.lit(1.0)) for c in columns}
-    return filled.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*[f"__{k}_{c}" for c in columns for k in "as"])
+    beside = filled.join(stats, list(by), "left") if by else filled.crossJoin(F.broadcast(stats))
+    return beside.withColumns(scaled).drop(*[f"__{k}_{c}" for c in columns for k in "as"])
 
 
 def log_counters(df: DataFrame, columns: Sequence[str]) -> DataFrame:

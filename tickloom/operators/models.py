@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,11 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import RUN_LENGTH_EDGES
 from ..functions.scalars import bucket_edge, bucket_number
-from .quantiles import quantiles
+from .forest import Node, fit_tree  # noqa: F401  (fit_tree is one of the models)
 
 STATES = (0, 1, 2)
-#: Different values of a feature up to which its deciles come from a buffer of them.
-BUFFERED = 100_000
 
 
 def _fit_rows(df: DataFrame, target: str) -> DataFrame:
@@ -126,128 +122,7 @@ def history_lookup(df: DataFrame, history: str = "history", target: str = "targe
     return df.join(found, position, "left").crossJoin(F.broadcast(whole)).withColumn("prediction", F.coalesce("__found", "__all", F.lit(1))).drop("__found", "__all")
 
 
-# -- trees -------------------------------------------------------------------
-
-
-@dataclass
-class Node:
-    """A node: what it predicts, its counts by class, and its cut if it has one (left: value <= threshold)."""
-
-    prediction: int
-    counts: dict[int, int]
-    feature: str | None = None
-    threshold: float = 0.0
-    left: Node | None = None
-    right: Node | None = None
-
-    def leaves(self) -> int:
-        return 1 if self.feature is None else self.left.leaves() + self.right.leaves()
-
-    def internal(self) -> int:
-        return 0 if self.feature is None else 1 + self.left.internal() + self.right.internal()
-
-    def depth(self) -> int:
-        return 0 if self.feature is None else 1 + max(self.left.depth(), self.right.depth())
-
-
-@dataclass
-class _Open:
-    """A node in the making, with the condition that leads to it."""
-
-    node: Node | None = None
-    tests: list[tuple[str, float, bool]] = field(default_factory=list)
-
-
-def _impurity(counts: np.ndarray) -> np.ndarray:
-    total = counts.sum(axis=-1, keepdims=True)
-    share = np.divide(counts, total, out=np.zeros_like(counts, dtype=float), where=total > 0)
-    return 1.0 - (share**2).sum(axis=-1)
-
-
-def fit_tree(train: DataFrame, features: Sequence[str], target: str, max_depth: int = 5, min_leaf: int = 3, position: str = "row_index") -> Node:
-    """Binary tree by Gini over the deciles of each node, grown a level at a time.
-
-    Two grouped passes per level serve all of its nodes: exact deciles of every
-    feature, then class counts on both sides of every cut.  What comes to the
-    driver is nodes x features x 9 x classes numbers, whatever the number of rows.
-    Of equal cuts the first in feature order and lowest wins; a leaf predicts its
-    commonest class, of equals the one met first.  Deciles of a feature of few values
-    (BUFFERED, by a sketch) come from a buffer of its values, others from ``quantiles``.
-    """
-    deciles = [k / 10 for k in range(1, 10)]
-    data = train.select(*features, F.col(target).alias("__y"), F.col(position).alias("__at")).persist()
-    try:
-        kinds = data.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
-        few, many = [f for f in features if kinds[f] <= BUFFERED], [f for f in features if kinds[f] > BUFFERED]
-        root: list[Node] = []
-        level: list[tuple[list, tuple[Node, str] | None]] = [([], None)]
-        for depth in range(max_depth + 1):
-            if not level:
-                break
-            number = F.lit(-1)
-            for i, (tests, _) in enumerate(level):
-                where = F.lit(True)
-                for name, cut, left in tests:
-                    where = where & ((F.col(name) <= cut) if left else ~(F.col(name) <= cut))
-                number = F.when(where, i).otherwise(number)
-            rows = data.withColumn("__node", number).where("__node >= 0")
-            met = rows.groupBy("__node", "__y").agg(F.count("*").alias("n"), F.min("__at").alias("at")).collect()
-            by_node: dict[int, list] = {}
-            for r in met:
-                by_node.setdefault(r["__node"], []).append((r["__y"], r["n"], r["at"]))
-            growing = {}
-            for i, (tests, parent) in enumerate(level):
-                classes = by_node.get(i, [])
-                if not classes:
-                    continue
-                node = Node(min(classes, key=lambda c: (-c[1], c[2]))[0], {c: n for c, n, _ in classes})
-                if parent is None:
-                    root.append(node)
-                else:
-                    setattr(parent[0], parent[1], node)
-                total = sum(node.counts.values())
-                if depth < max_depth and len(classes) > 1 and total >= 2 * min_leaf:
-                    growing[i] = node
-            if not growing:
-                break
-            rows = rows.where(F.col("__node").isin(*growing))
-            cuts: dict[int, dict] = {i: {} for i in growing}
-            if few:
-                for r in rows.groupBy("__node").agg(*[F.percentile(f, F.array(*map(F.lit, deciles))).alias(f"q__{f}") for f in few]).collect():
-                    cuts[r["__node"]] |= r.asDict()
-            if many:
-                for r in quantiles(rows, many, deciles, ["__node"], few_groups=True).collect():
-                    cuts[r["__node"]] |= r.asDict()
-            candidates = {i: [(f, t) for f in features for t in sorted({x for x in cuts[i][f"q__{f}"] or [] if x is not None})] for i in growing}
-            widest = max(len(c) for c in candidates.values())
-            # below[j]: whether the row lies left of its node's j-th cut
-            below = []
-            for j in range(widest):
-                test = F.lit(False)
-                for i, c in candidates.items():
-                    if j < len(c):
-                        test = F.when(F.col("__node") == i, F.col(c[j][0]) <= c[j][1]).otherwise(test)
-                below.append(F.sum(test.cast("long")).alias(f"b{j}"))
-            counted = rows.groupBy("__node", "__y").agg(F.count("*").alias("n"), *below).collect()
-            following = []
-            for i, node in growing.items():
-                mine = [r for r in counted if r["__node"] == i]
-                left = np.array([[r[f"b{j}"] for r in mine] for j in range(len(candidates[i]))], dtype=float)
-                right = np.array([r["n"] for r in mine], dtype=float)[None, :] - left
-                size_l, size_r = left.sum(axis=1), right.sum(axis=1)
-                score = (size_l * _impurity(left) + size_r * _impurity(right)) / (size_l + size_r)
-                score[(size_l < min_leaf) | (size_r < min_leaf)] = math.inf
-                best = int(np.argmin(score))
-                if not math.isfinite(score[best]):
-                    continue
-                node.feature, node.threshold = candidates[i][best]
-                tests = level[i][0]
-                following.append(([*tests, (node.feature, node.threshold, True)], (node, "left")))
-                following.append(([*tests, (node.feature, node.threshold, False)], (node, "right")))
-            level = following
-        return root[0] if root else Node(0, {})
-    finally:
-        data.unpersist()
+# -- trees (grown in forest.py) ----------------------------------------------
 
 
 def tree_expression(node: Node) -> Column:

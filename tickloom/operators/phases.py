@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from ..functions.scalars import state_of
 from .features import fill_and_scale, log_counters
 from .lineage import cut
 from .quantiles import with_quantiles
+from .sequences import with_row_index
 
 
 def tertile_states(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "state") -> DataFrame:
@@ -34,74 +36,140 @@ def nearest_centroid(columns: Sequence[str], centroids: np.ndarray) -> Column:
     """Number of the nearest centroid, the lowest at ties; -1 if there is none."""
     if not len(centroids):
         return F.lit(-1)
-    d = F.array(*distances(columns, centroids))
+    return _nearest(distances(columns, centroids))
+
+
+def _nearest(apart: Sequence[Column]) -> Column:
+    d = F.array(*apart)
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
 
-def first_centroids(train: DataFrame, columns: Sequence[str], k: int, seed: int) -> np.ndarray:
-    """``k`` distinct training rows: those at the positions drawn by NumPy among the distinct rows in order.
+def _nearest_of(columns: Sequence[str], table: str, k: int) -> Column:
+    """The same with the centroids in a column, an array of up to ``k``; NULL if it is NULL or empty."""
+    def apart(j: int) -> Column:
+        return sum(((F.col(c) - F.get(F.get(table, F.lit(j)), F.lit(i))) * (F.col(c) - F.get(F.get(table, F.lit(j)), F.lit(i))) for i, c in enumerate(columns)), F.lit(0.0))
 
-    Only the number of distinct rows and the drawn rows come to the driver.
-    """
-    from .sequences import with_row_index
+    return _nearest([apart(j) for j in range(k)])
 
-    unique = with_row_index(train.select(*columns).distinct(), list(columns))
-    n = unique.count()
-    if not n:
-        return np.empty((0, len(columns)))
-    drawn = np.random.default_rng(seed).choice(n, size=min(max(1, k), n), replace=False).tolist()
-    rows = {r["row_index"]: [float(r[c]) for c in columns] for r in unique.where(F.col("row_index").isin(drawn)).collect()}
-    return np.array([rows[i] for i in drawn])
 
+@dataclass
+class Clustering:
+    """One k-means among many: the group whose rows it takes (None: all), how many clusters, what it is drawn with, or its first centroids."""
 
-def kmeans(train: DataFrame, columns: Sequence[str], k: int, seed: int, most_rounds: int = 100, start: Sequence[Sequence[float]] | None = None) -> np.ndarray:
-    """Lloyd's centroids; each round is one grouped mean, ``k`` rows of which come to the driver.
+    group: str | None
+    k: int
+    seed: int
+    start: Sequence[Sequence[float]] | None = None
 
-    An empty cluster keeps its centroid.  Ends when no row changes its cluster and
-    the centroids stay.  ``start`` gives the first centroids instead of drawing them.
+
+def _first_centroids(rows: DataFrame, columns: Sequence[str], wanted: Sequence[Clustering]) -> list[np.ndarray]:
+    """For each clustering ``k`` distinct rows of its group: those at the positions drawn by NumPy among the distinct rows in order.
+
+    Only the groups' numbers of distinct rows and the drawn rows come to the driver.
+    """
+    unique = with_row_index(rows.select("__group", *columns).distinct(), ["__group", *columns])
+    sizes = {r["__group"]: (r["first"], r["n"]) for r in unique.groupBy("__group").agg(F.min("row_index").alias("first"), F.count("*").alias("n")).collect()}
+    drawn = []
+    for c in wanted:
+        first, n = sizes.get(c.group or "", (0, 0))
+        drawn.append([first + i for i in np.random.default_rng(c.seed).choice(n, size=min(max(1, c.k), n), replace=False).tolist()] if n else [])
+    places = sorted({i for d in drawn for i in d})
+    if not places:
+        return [np.empty((0, len(columns))) for _ in wanted]
+    picked = unique.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in places], "row_index long")), "row_index")
+    found = {r["row_index"]: [float(r[c]) for c in columns] for r in picked.collect()}
+    return [np.array([found[i] for i in d]).reshape(-1, len(columns)) for d in drawn]
+
+
+def many_kmeans(train: DataFrame, columns: Sequence[str], wanted: Sequence[Clustering], group: str | None = None, most_rounds: int = 100) -> list[np.ndarray]:
+    """Lloyd's centroids of many clusterings, over all rows or over those of one ``group`` each.
+
+    A round is one job for all of them: rows meet the centroids of their group, a row
+    for each clustering, and give one grouped mean by (clustering, cluster).  A clustering
+    that has settled leaves the next rounds: no row changes its cluster and the centroids
+    stay.  An empty cluster keeps its centroid.
     """
-    data = train.select(*columns).persist()
+    spark = train.sparkSession
+    named = F.col(group).cast("string") if group else F.lit("")
+    data = train.select(named.alias("__group"), *columns).where("__group IS NOT NULL").persist()
     try:
-        centroids = first_centroids(data, columns, k, seed) if start is None else np.array(start, dtype=float)
-        last = np.zeros_like(centroids)
-        for turn in range(most_rounds if len(centroids) else 0):
-            label = nearest_centroid(columns, centroids)
-            old = nearest_centroid(columns, last) if turn else F.lit(0)
-            rows = data.groupBy(label.alias("cluster")).agg(F.sum((label != old).cast("long")).alias("moved"), *[F.avg(c).alias(c) for c in columns]).collect()
-            new = centroids.copy()
-            for r in rows:
-                new[r["cluster"]] = [r[c] for c in columns]
-            settled = sum(r["moved"] for r in rows) == 0 and np.allclose(new, centroids)
-            last, centroids = centroids, new
-            if settled:
+        to_draw = [c for c in wanted if c.start is None]
+        drawn = iter(_first_centroids(data, columns, to_draw) if to_draw else [])
+        now = [next(drawn) if c.start is None else np.array(c.start, dtype=float).reshape(-1, len(columns)) for c in wanted]
+        last = [np.zeros_like(x) for x in now]
+        active = [i for i, x in enumerate(now) if len(x)]
+        widest = max((len(x) for x in now), default=0)
+        for turn in range(most_rounds):
+            if not active:
                 break
-        return centroids
+            table = spark.createDataFrame([(i, wanted[i].group or "", now[i].tolist(), last[i].tolist()) for i in active], "clustering int, __group string, now array<array<double>>, last array<array<double>>")
+            met = data.join(F.broadcast(table), "__group")
+            label = _nearest_of(columns, "now", widest)
+            old = _nearest_of(columns, "last", widest) if turn else F.lit(0)
+            rows = met.groupBy("clustering", label.alias("cluster")).agg(F.sum((label != old).cast("long")).alias("moved"), *[F.avg(c).alias(c) for c in columns]).collect()
+            moved = dict.fromkeys(active, 0)
+            new = {i: now[i].copy() for i in active}
+            for r in rows:
+                new[r["clustering"]][r["cluster"]] = [r[c] for c in columns]
+                moved[r["clustering"]] += r["moved"]
+            settled = {i for i in active if not moved[i] and np.allclose(new[i], now[i])}
+            for i in active:
+                last[i], now[i] = now[i], new[i]
+            active = [i for i in active if i not in settled]
+        return now
     finally:
         data.unpersist()
 
 
+def kmeans(train: DataFrame, columns: Sequence[str], k: int, seed: int, most_rounds: int = 100, start: Sequence[Sequence[float]] | None = None) -> np.ndarray:
+    """Lloyd's centroids of one clustering (see ``many_kmeans``)."""
+    return many_kmeans(train, columns, [Clustering(None, k, seed, start)], None, most_rounds)[0]
+
+
 def phase_states(df: DataFrame, counters: Sequence[str], k: int = 3, seed: int = 17, out: str = "state", start: Sequence[Sequence[float]] | None = None, most_rounds: int = 100) -> tuple[DataFrame, dict]:
-    """Phases 0..k-1 by rising pressure, learned from training rows; and what was learned.
+    """Phases 0..k-1 by rising pressure over all rows (see ``grouped_phases``), and what was learned."""
+    states, learned = grouped_phases(df, counters, None, k, seed, out, start, most_rounds)
+    return states, learned[0]
+
+
+def grouped_phases(df: DataFrame, counters: Sequence[str], group: str | None = None, k: int = 3, seed: int = 17, out: str = "state", start: Sequence[Sequence[float]] | None = None, most_rounds: int = 100) -> tuple[DataFrame, list[dict]]:
+    """Phases 0..k-1 by rising pressure, learned from training rows, over all rows or those of each ``group`` by itself; and what was learned, by group.
 
     Signed log, median fill and scaling by training rows, k-means on them; all rows
     go to the nearest centroid; clusters are ranked by their mean training pressure
     (sum of scaled pressure counters, or the norm if there is none), an empty one
-    last.  Centroids are given in the order of the states.
+    last.  Centroids are given in the order of the states.  A row without a group, or
+    of one that nothing trained, has the state -1.  The number of jobs does not
+    depend on that of groups.
     """
-    scaled = cut(fill_and_scale(log_counters(df, counters), counters))  # read in every round, and by the states
+    spark = df.sparkSession
+    scaled = cut(fill_and_scale(log_counters(df, counters), counters, [group] if group else []))  # read in every round, and by the states
     train = scaled.where("is_train")
-    centroids = kmeans(train, counters, k, seed, most_rounds, start)
+    names = sorted(str(r[0]) for r in scaled.select(group).where(F.col(group).isNotNull()).distinct().collect()) if group else [""]
+    wanted = [Clustering(n, k, seed, start) for n in names]
+    found = dict(zip(names, many_kmeans(train, counters, wanted, group, most_rounds)))
+    widest = max((len(x) for x in found.values()), default=0)
     pressing = pressure_counters(list(counters))
     pressure = sum((F.col(c) for c in pressing), F.lit(0.0)) if pressing else F.sqrt(sum((F.col(c) * F.col(c) for c in counters), F.lit(0.0)))
-    raw = nearest_centroid(counters, centroids)
-    mean = {r["cluster"]: r["p"] for r in train.groupBy(raw.alias("cluster")).agg(F.avg(pressure).alias("p")).collect()}
-    order = sorted(range(len(centroids)), key=lambda c: mean.get(c, math.inf))
-    ordered = centroids[order] if len(centroids) else centroids
-    # ties go to the lowest raw cluster, so the raw number is found first and then ranked
-    rank = F.array(*[F.lit(order.index(c)) for c in range(len(centroids))]) if len(centroids) else F.array(F.lit(-1))
-    states = scaled.withColumn(out, F.when(raw >= 0, F.get(rank, raw)).otherwise(-1).cast("int"))
-    learned = {"centroids": ordered.tolist(), "pressure": [mean.get(c, math.inf) for c in order], "pressure_counters": pressing, "clusters": len(centroids)}
-    return states, learned
+    named = F.col(group).cast("string") if group else F.lit("")
+    some = [(n, x.tolist()) for n, x in found.items() if len(x)]
+    centroids = F.broadcast(spark.createDataFrame(some, "__group string, __now array<array<double>>"))
+    raw = _nearest_of(counters, "__now", widest)
+    met = train.withColumn("__group", named).join(centroids, "__group") if some else None
+    means = {(r["__group"], r["cluster"]): r["p"] for r in met.groupBy("__group", raw.alias("cluster")).agg(F.avg(pressure).alias("p")).collect()} if some else {}
+    learned, ranks = [], []
+    for n in names:
+        order = sorted(range(len(found[n])), key=lambda c: means.get((n, c), math.inf))
+        ordered = found[n][order] if order else found[n]
+        if order:
+            # ties go to the lowest raw cluster, so the raw number is found first and then ranked
+            ranks.append((n, found[n].tolist(), [order.index(c) for c in range(len(order))]))
+        learned.append({"group": n, "centroids": ordered.tolist(), "pressure": [means.get((n, c), math.inf) for c in order], "pressure_counters": pressing, "clusters": len(found[n])})
+    if not ranks:
+        return scaled.withColumn(out, F.lit(-1)), learned
+    table = F.broadcast(spark.createDataFrame(ranks, "__group string, __now array<array<double>>, __rank array<int>"))
+    states = scaled.withColumn("__group", named).join(table, "__group", "left").withColumn(out, F.coalesce(F.get("__rank", raw), F.lit(-1)).cast("int"))
+    return states.drop("__group", "__now", "__rank"), learned
 
 
 def phase_summary(states: DataFrame, counters: Sequence[str], learned: dict, state: str = "state") -> DataFrame:

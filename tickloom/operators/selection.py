@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.domain import FAMILY_COUNTERS, SCORE_WEIGHTS, is_forbidden
 from ..functions.scalars import keyed_pairs, split_list
 from .features import fill_train_median
+from .forest import Node, fit_forest, forest_predictions
 from .lineage import cut, small
 from .metrics import REPORT, SELECT, classification_scores, confusion, mask_rows
-from .models import fit_tree, tree_expression
 from .sequences import stream
 
 
@@ -86,28 +86,26 @@ def ablation(df: DataFrame, state: str = "state", families: dict[str, list[str]]
 
     The last row of a stream has the state -1 to come, which the tree learns like any
     other and scores leave out.  Missing values get the training median.  Choices
-    are made on validation rows, reports on test rows.
+    are made on validation rows, reports on test rows.  The trees of all counters grow
+    together (see ``fit_forest``), so the number of jobs is that of one.
     """
-    rows = cut(df.withColumn("target", F.coalesce(F.lead(state).over(stream()), F.lit(-1))))  # read for every counter
-    out = None
-    position = 0
-    for family in sorted(families or FAMILY_COUNTERS):
-        for counter in (families or FAMILY_COUNTERS)[family]:
-            column = f"counter__{counter}"
-            if column not in df.columns or is_forbidden(column):
-                continue
-            filled = fill_train_median(rows, [column])
-            tree = fit_tree(filled.where("is_train"), [column], "target", max_depth, min_leaf)
-            said = filled.withColumn("prediction", tree_expression(tree)).where(F.col("target") >= 0)
-            one = {}
-            for name, order in (("selection", SELECT), ("report", REPORT)):
-                scores = classification_scores(confusion(mask_rows(said, order, else_all=True)))
-                one[name] = scores.select(*[F.col(c).alias(f"{name}_{c}") for c in ("accuracy", "macro_f1", "high_recall")])
-            line = one["selection"].crossJoin(one["report"]).select(F.lit(family).alias("family"), F.lit(counter).alias("counter"), F.lit(position).alias("position"), "*")
-            out = line if out is None else out.unionByName(line)
-            position += 1
-    if out is None:
+    rows = cut(df.withColumn("target", F.coalesce(F.lead(state).over(stream()), F.lit(-1))))
+    listed = [(f, c) for f in sorted(families or FAMILY_COUNTERS) for c in (families or FAMILY_COUNTERS)[f] if f"counter__{c}" in df.columns and not is_forbidden(f"counter__{c}")]
+    if not listed:
         raise ValueError("no usable counter")
+    columns = list(dict.fromkeys(f"counter__{c}" for _, c in listed))
+    filled = fill_train_median(rows, columns)
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("model"), F.array(F.col(f"counter__{c}").cast("double")).alias("x")) for i, (_, c) in enumerate(listed)]))
+    long = cut(filled.select("split", "is_train", "target", "row_index", each.alias("e")).select("split", "is_train", "target", "row_index", "e.*"))
+    trees = fit_forest(long.where("is_train").select("model", "x", F.col("target").alias("y"), F.col("row_index").alias("at")), 1, max_depth, min_leaf)
+    # a counter that nothing trained says 0
+    said = forest_predictions(long.where("target >= 0"), {i: trees.get(i, Node(0, {})) for i in range(len(listed))})
+    out = df.sparkSession.createDataFrame([(i, f, c, i) for i, (f, c) in enumerate(listed)], "model long, family string, counter string, position int")
+    kinds = ("accuracy", "macro_f1", "high_recall")
+    for name, order in (("selection", SELECT), ("report", REPORT)):
+        scores = classification_scores(confusion(mask_rows(said, order, else_all=True), ["model"]), ["model"]).select("model", *[F.col(c).alias(f"{name}_{c}") for c in kinds])
+        out = out.join(scores, "model", "left").withColumns({f"{name}_{c}": F.coalesce(f"{name}_{c}", F.lit(0.0)) for c in kinds})
+    out = out.drop("model")
     scored = out.withColumns({"score": weighted_score("selection_accuracy", "selection_high_recall"), "report_score": weighted_score("report_accuracy", "report_high_recall")})
     return mark_best(scored, ["family"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hashed_uniform
+from .features import fill_and_scale, log_counters
 from .lineage import cut, small
+from .phases import Clustering, many_kmeans, nearest_centroid
 from .sequences import with_running_total
 
 
@@ -276,22 +279,40 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> list[tuple[str,
     return sorted(zip(columns, map(float, vif)), key=lambda p: (-p[1], p[0]))
 
 
-def stability(df: DataFrame, counters: Sequence[str], ks: Sequence[int], seeds: Sequence[int], starts: dict[int, list] | None = None, **how) -> list[dict]:
-    """For each k: mean and least pairwise Rand index over seeds (or given starts), mean of the least cluster share."""
-    from .phases import phase_states
-
+def _rand(cells: dict[tuple[int, int], int]) -> float:
+    """Adjusted Rand index of a table of counts; 1 for fewer than two rows or where it is not defined."""
+    pairs = lambda n: n * (n - 1) / 2
+    total = sum(cells.values())
+    if total < 2:
+        return 1.0
+    rows, columns = Counter(), Counter()
+    for (a, b), n in cells.items():
+        rows[a] += n
+        columns[b] += n
+    joint, x, y = (sum(map(pairs, c.values())) for c in (cells, rows, columns))
+    expected = x * y / pairs(total)
+    return (joint - expected) / ((x + y) / 2 - expected) if (x + y) / 2 != expected else 1.0
+
+
+def stability(df: DataFrame, counters: Sequence[str], ks: Sequence[int], seeds: Sequence[int], starts: dict[int, list] | None = None, most_rounds: int = 100) -> list[dict]:
+    """For each k: mean and least pairwise Rand index over seeds (or given starts), mean of the least cluster share.
+
+    All clusterings are fitted together (see ``many_kmeans``), and one pass counts how
+    often rows have two labels for every pair of them; those counts come to the driver.
+    """
+    scaled = cut(fill_and_scale(log_counters(df, counters), counters))
+    wanted = [(k, i) for k in ks for i in range(len(seeds))]
+    found = many_kmeans(scaled.where("is_train"), counters, [Clustering(None, k, seeds[i], starts[k][i] if starts else None) for k, i in wanted], None, most_rounds)
+    labels = scaled.select(F.array(*[nearest_centroid(counters, c) for c in found]).alias("l"))
+    both = [(a, b) for a in range(len(wanted)) for b in range(a, len(wanted)) if wanted[a][0] == wanted[b][0]]
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.get("l", F.lit(a)).alias("a"), F.get("l", F.lit(b)).alias("b")) for p, (a, b) in enumerate(both)]))
+    cells: list[dict] = [{} for _ in both]
+    for r in labels.select(each.alias("e")).where("e.a >= 0 and e.b >= 0").groupBy("e.p", "e.a", "e.b").agg(F.count("*").alias("n")).collect():
+        cells[r["p"]][r["a"], r["b"]] = r["n"]
     out = []
     for k in ks:
-        joined = None
-        shares = []
-        for i, seed in enumerate(seeds):
-            states, _ = phase_states(df, counters, k, seed, f"s{i}", starts[k][i] if starts else None, **how)
-            mine = states.select("row_index", f"s{i}")
-            sizes = [r["n"] for r in mine.groupBy(f"s{i}").agg(F.count("*").alias("n")).collect()] + [0] * k
-            shares.append(min(sizes[:k]) / max(1, sum(sizes)))
-            joined = mine if joined is None else joined.join(mine, "row_index")
-        joined = joined.persist()
-        rand = [adjusted_rand(joined, f"s{i}", f"s{j}").first()[0] for i in range(len(seeds)) for j in range(i + 1, len(seeds))]
-        joined.unpersist()
+        mine = [(a, b, cells[p]) for p, (a, b) in enumerate(both) if wanted[a][0] == k]
+        rand = [_rand(c) for a, b, c in mine if a != b]
+        shares = [min(c.get((j, j), 0) for j in range(k)) / max(1, sum(c.values())) for a, b, c in mine if a == b]
         out.append({"k": k, "seeds": len(seeds), "ari_mean": float(np.mean(rand)) if rand else 1.0, "ari_min": min(rand, default=1.0), "least_share_mean": float(np.mean(shares))})
     return out

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, models, sequences
+from . import forest, metrics, models, sequences
 from .lineage import cut
 
 KEYS = ("run_id", "cpu_or_core_id")
@@ -119,20 +119,26 @@ def direct_trees(df: DataFrame, families: Sequence[str], length: int, horizon: i
     """family, step, row_index, split, state, target, prediction: trees on the histories of true states, one per family and step.
 
     ``df`` has a column ``state__<family>`` for each.  With context the histories are of
-    all families, the own one first.
+    all families, the own one first.  All trees grow together (see ``fit_forest``).
     """
-    out = None
-    for family in families:
+    together, names = None, []
+    for i, family in enumerate(families):
         mine = f"state__{family}"
         columns = [mine, *[f"state__{f}" for f in families if with_context and f != family]]
         rows, names = flat_history(df, length, horizon, columns)
-        rows = cut(rows)
-        for step in range(1, horizon + 1):
-            known = rows.withColumn("target", F.col("targets")[step - 1])
-            tree = models.fit_tree(_fit_on(known, F.col("target") >= 0), names, "target", max_depth, min_leaf)
-            one = known.withColumn("prediction", models.tree_expression(tree)).select(F.lit(family).alias("family"), F.lit(step).alias("step"), "row_index", "split", F.col(mine).alias("state"), "target", "prediction")
-            out = one if out is None else out.unionByName(one)
-    return out
+        one = rows.select(F.lit(i).alias("i"), "row_index", "split", "is_train", F.col(mine).alias("state"), "targets", F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
+        together = one if together is None else together.unionByName(one)
+    steps = F.posexplode("targets").alias("step", "target")
+    long = together.select("i", "row_index", "split", "is_train", "state", "x", steps).withColumn("model", (F.col("i") * horizon + F.col("step")).cast("long"))
+    long = cut(long)
+    # a family without training rows learns from all that it has
+    trains = long.groupBy("i").agg(F.max(F.col("is_train").cast("int")).alias("some"))
+    fit = long.join(F.broadcast(trains), "i").where(F.col("is_train") | (F.col("some") == 0))
+    trees = forest.fit_forest(fit.select("model", "x", F.col("target").alias("y"), F.col("row_index").alias("at")), len(names), max_depth, min_leaf)
+    if not trees:
+        return long.select(F.lit("").alias("family"), (F.col("step") + 1).alias("step"), "row_index", "split", "state", "target", F.lit(-1).alias("prediction")).where("false")
+    family = F.element_at(F.array(*map(F.lit, families)), F.col("i") + 1)
+    return forest.forest_predictions(long, trees).select(family.alias("family"), (F.col("step") + 1).alias("step"), "row_index", "split", "state", "target", "prediction")
 
 
 def direct_tree_summary(predictions: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from ..functions import domain
 from ..functions import scalars as fn
 from ..operators import build, collection, evaluation, events, features, merge, metrics, models, phases, planning, policy, selection, sequences, splits, stats, students
 from ..operators.lineage import fresh_path
+from ..operators.quantiles import quantiles
 from ..sources import adapter, readers, writers
+from ..streaming import online, perf, scoring
 from . import frames
 from .frames import COUNTERS, VALUE, sql
 from .registry import _PRED, COLS, _first, _sql_family, _test_rows, _two_families, query, r6
@@ -764,3 +766,58 @@ def p5_rows(spark, d):
     text = F.when(k % 3 == 0, ", ,").when(k % 3 == 1, F.concat(F.lit(" "), s, F.lit(",,"), k.cast("string"))).otherwise(F.concat(F.lit("x , "), s, F.lit(" ,y")))
     items = fn.split_list(text)
     return adapter.table(spark, d, "orders").select("o_orderkey", F.size(items).cast("long").alias("n"), F.coalesce(F.get(items, F.lit(0)), F.lit("")).alias("first"))
+
+
+# -- streams ----------------------------------------------------------------------
+
+
+def _finished(df: DataFrame, where: str, name: str) -> DataFrame:
+    """What a stream gives that is run over all that is there."""
+    run = df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/{name}").option("checkpointLocation", f"{where}/{name}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{where}/{name}")
+
+
+@query("stream_perf_text", "SELECT 'run=' || user_id % 3 AS run_id, CAST(user_id % 4 AS VARCHAR) AS cpu_or_core_id, CAST(event_id // 50 * 100 AS DOUBLE) AS timestamp_ms, round(sum(CASE WHEN event_id % 17 <> 0 THEN value END) FILTER (event_type = 'view'), 6) AS counter__instructions_retired, round(sum(CASE WHEN event_id % 17 <> 0 THEN value END) FILTER (event_type IN ('click', 'error')), 6) AS counter__branch_instructions, min(CAST(json_extract(props, '$.k') AS DOUBLE)) FILTER (event_type = 'view') AS pmu_enabled_pct__instructions_retired, CAST(sum(event_id * 10) FILTER (event_type = 'view') AS DOUBLE) AS pmu_runtime_ns__instructions_retired FROM events GROUP BY ALL")
+def stream_perf(spark, d):
+    """Counter text of three runs, landed as files: parsed, and pivoted once a time is closed."""
+    where = fresh_path(spark, "stream")
+    e = adapter.table(spark, d, "events")
+    value = F.when(F.col("event_id") % 17 == 0, F.lit("<not counted>")).otherwise(F.col("value").cast("string"))
+    line = F.concat_ws(",", F.format_string("%.3f", F.floor(F.col("event_id") / 50) / 10), F.concat(F.lit("CPU"), (F.col("user_id") % 4).cast("string")), value, F.lit("msec"), F.concat(F.upper("event_type"), F.lit(":u [annotated]")), (F.col("event_id") * 10).cast("string"), F.get_json_object("props", "$.k"), F.lit(""), F.lit(""))
+    e.select(line.alias("value"), (F.col("user_id") % 3).alias("run")).write.partitionBy("run").text(f"{where}/in")
+    # a far later line of another run closes all times
+    spark.range(1).select(F.lit("999999999.000,CPU0,0,msec,x,0,0,,").alias("value"), F.lit("z").alias("run")).write.mode("append").partitionBy("run").text(f"{where}/in")
+    rows = perf.interval_rows(perf.perf_samples(perf.perf_lines(spark, f"{where}/in"), "1000 days"), {"view": "instructions_retired", "click": "branch_instructions", "error": "branch_instructions"})
+    done = _finished(rows, where, "out").where("run_id <> 'run=z'")
+    return done.select("run_id", "cpu_or_core_id", F.round("timestamp_ms", 3).alias("timestamp_ms"), *r6("counter__instructions_retired", "counter__branch_instructions"), "pmu_enabled_pct__instructions_retired", "pmu_runtime_ns__instructions_retired")
+
+
+@query("stream_nearest", "WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'click') SELECT v.event_id, CAST(v.user_id AS VARCHAR) AS run_id, round(c.value, 6) AS value, c.ts IS NOT NULL AS attached FROM v LEFT JOIN c ON v.user_id = c.user_id AND c.ts BETWEEN v.ts - INTERVAL 3 DAYS AND v.ts + INTERVAL 3 DAYS QUALIFY row_number() OVER (PARTITION BY v.event_id ORDER BY abs(epoch_us(c.ts) - epoch_us(v.ts)), c.ts DESC, c.value) = 1")
+def stream_near(spark, d):
+    """Each view with the nearest click of its user within three days, both as streams."""
+    where = fresh_path(spark, "stream")
+    e = adapter.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    late = e.agg((F.max("ts") + F.expr("interval 9000 days")).alias("ts"))
+    sides = {}
+    for side, kind in (("core", "view"), ("other", "click")):
+        e.where(F.col("event_type") == kind).drop("event_type").unionByName(late.select(F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("run_id"), "ts", F.lit(0.0).alias("value"))).write.parquet(f"{where}/{side}")
+        sides[side] = spark.readStream.schema(e.drop("event_type").schema).parquet(f"{where}/{side}").withWatermark("ts", "1000 days")
+    near = perf.nearest_on_streams(sides["core"].drop("value"), sides["other"], ["value"], "3 days", row=["event_id"])
+    return _finished(near, where, "out").where("run_id <> ''").select("event_id", "run_id", *r6("value"), "attached")
+
+
+@query("stream_scored_states", sql("states", "h AS (SELECT run_id, timestamp_ms, row_index, is_train, state, row_number() OVER w AS n, lead(state) OVER w AS target, state AS v FROM states WINDOW w AS (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms))", "q AS (SELECT row_index, is_train, target, v::DOUBLE AS v FROM h WHERE n >= 4 AND target IS NOT NULL)", *_stump("u", "q", "v", 3), "SELECT run_id, timestamp_ms, CAST(state AS INT) AS state, p AS prediction FROM h, u_b JOIN u_s ON true WHERE n >= 4 AND side = (v <= t)"))
+def stream_scored(spark, d):
+    """Daily sums of a stream of events, their states and the predictions of a tree that was fitted at rest: three stateful steps and none of them waits for the clock."""
+    where = fresh_path(spark, "stream")
+    rest = frames.base(spark, d)
+    low, high = quantiles(rest.where("is_train"), [VALUE], [1 / 3, 2 / 3]).first()[f"q__{VALUE}"]
+    tree = models.fit_tree(evaluation.examples(frames.states(spark, d), 4, ["state"]).where("is_train"), ["h3"], "target", 1, 3)
+    e = adapter.table(spark, d, "events").select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), (F.col("user_id") % 4).cast("string").alias("cpu_or_core_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", "instructions_retired").alias("counter"), "value")
+    e.write.parquet(f"{where}/in")
+    e.agg((F.max("ts") + F.expr("interval 9000 days")).alias("ts")).select(F.lit("").alias("run_id"), F.lit("0").alias("cpu_or_core_id"), "ts", F.lit("").alias("counter"), F.lit(0.0).alias("value")).write.mode("append").parquet(f"{where}/in")
+    sums = online.windowed_sums(spark.readStream.schema(e.schema).parquet(f"{where}/in"), ["instructions_retired"], late="1000 days")
+    with scoring.state_store(spark):
+        done = _finished(scoring.scored(sums, VALUE, low, high, tree, 4), where, "out")
+    return done.where("run_id <> '' and prediction is not null").select("run_id", "timestamp_ms", "state", "prediction")
