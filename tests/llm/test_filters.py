@@ -465,6 +465,42 @@ def test_ties_of_far_words():
         assert pii.one_edit(a, b) == near, (a, b)
 
 
+def test_repeats_are_found_by_their_ties(spark, tmp_path):
+    """The registered query on documents in which mentions come again in another form, and strangers of the same form in others."""
+    rng = random.Random(3)
+    source = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows, planted = [], {}
+    for r in source.collect():
+        text, base = r.text, pii.base_spans(r.text or "")
+        if base:
+            start, end, kind = rng.choice(base)
+            raw, digits = text[start:end], re.sub("[^0-9]", "", text[start:end])
+            again = {"email": raw.split("@")[0], "card": ".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), "phone": raw.split()[-1]}.get(kind, "")
+            repeat = rng.random() < 0.5
+            if len(again) >= 5:
+                if not repeat:
+                    again = re.sub("[0-9]", lambda _: rng.choice("0123456789"), again)
+                words_ = text.split(" ")
+                at = rng.randrange(len(words_) // 2, len(words_)) + 1
+                place = len(" ".join(words_[:at])) + 1
+                text = " ".join([*words_[:at], again, *words_[at:]])
+                planted[r.doc_id] = (repeat, kind, place, place + len(again))
+        rows.append((r.doc_id, text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def shares(found):
+        got = {r.doc_id: [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)] for r in found.collect()}
+        hit = {i: any(k == kind and s < end and start < e for k, s, e in got[i]) for i, (_, kind, start, end) in planted.items()}
+        return [np.mean([hit[i] for i, p in planted.items() if p[0] == side]) for side in (True, False)]
+
+    repeats, strangers = shares(registry.QUERIES["op9_skip_chain_pii"](spark, str(tmp_path)))
+    assert len(planted) > 250 and repeats >= 0.9 and strangers <= 0.08, (repeats, strangers)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    alone = pii.train(docs)
+    alone.tables[1:] = 0
+    assert shares(pii.find_personal_data(docs, alone))[0] <= 0.3
+
+
 def test_field_is_learned():
     """Without a mention met twice in the sample, far ties still pull labels together; without texts there is nothing."""
     field = pii.fit(["write to ann.7@mail.example.com now", "call +1 (017) 555-7713 or 12 of 30", 'key = "abc123def456abc123" and 7 more', "see 2.0000000 and 10.1.22.33 of 4111111111111111 and 4111111111111112"] * 20)
