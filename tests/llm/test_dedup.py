@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import common, line_dedup, near_dedup
+from tickloom.llm.common import connected_components
 from tickloom.llm.shingles import shingle_set
 
 from .conftest import SCHEMA, words
@@ -122,7 +123,36 @@ def test_a_common_middle_makes_no_pairs(spark):
     filed = line_dedup.segment_rows(df, [p for p in places if p[0] == 0 and p[2] == 0], 2).select("key", F.col("h").alias("hb")).join(df.selectExpr("h as hb", "c as cb"), "hb")
     looked = line_dedup.segment_rows(df, places, 2).select("key", "gap", F.col("h").alias("ha")).join(df.selectExpr("h as ha", "c as ca"), "ha")
     assert looked.join(filed, "key").where("gap = 0 and ha < hb").count() >= 2000 * 1999 // 2
-    assert line_dedup._meetings(looked, filed, df, 2).count() < 100
+    assert line_dedup._meetings(looked, filed, df, 2)[0].count() < 100
+
+
+def test_numbered_lines_are_one_star(spark):
+    """Lines that differ in a running number only: links grow with the lines, not with their pairs; classes as by brute force on a part."""
+    made = [f"Read the full archive entry of this site under number {i:05d} today" for i in range(20_000)]
+    frame = lambda lines: spark.createDataFrame([(x,) for x in lines], "line string").select(F.unhex(F.md5("line")).alias("line_id"), "line", F.char_length("line").alias("chars"))
+    links = line_dedup.edit_links(frame(made), 2)[0].distinct()
+    assert len(made) - 1 <= links.count() <= 12 * len(made)
+    some = connected_components(links, "a", "b")
+    assert some.count() == len(made) and some.select("root").distinct().count() == 1
+    # sparse numbers make several classes
+    rng = random.Random(8)
+    sparse = [f"Read the full archive entry of this site under number {i:07d} today" for i in rng.sample(range(10**7), 150)] + [f"Read the full archive entry of this site under number {i} today" for i in range(150)]
+    name = {hashlib.md5(x.encode()).digest(): x for x in sparse}
+    got = {tuple(sorted((name[bytes(r.a)], name[bytes(r.b)]))) for r in line_dedup.edit_links(frame(sparse), 2)[0].collect()}
+    want = {tuple(sorted(p)) for p in itertools.combinations(sparse, 2) if abs(len(p[0]) - len(p[1])) <= 2 and distance(*p) <= 2}
+    assert got <= want and components(got) == components(want)
+
+
+def test_sure_links_are_within_two_edits_and_tie_all_that_share_a_rest(spark):
+    rng = random.Random(31)
+    lines = sorted({edited(rng, base, rng.randrange(0, 3)) for base in ("aabbccddee", "a short line", "日本語のテキスト🙂") for _ in range(60)})
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), F.char_length("line").alias("chars"), "line")
+    name = {r.h: r.line for r in df.collect()}
+    got = {tuple(sorted((name[r.ha], name[r.hb]))) for r in line_dedup.sure_links(df).collect()}
+    rests = lambda x: {x, *[x[:k] + x[k + 1 :] for k in range(len(x))]}
+    share = {tuple(sorted(p)) for p in itertools.combinations(lines, 2) if rests(p[0]) & rests(p[1])}
+    assert all(distance(*p) <= 2 for p in share) and got <= share and components(got) == components(share)
+
 
 
 def brute_lines(docs, threshold=2, least=1, near_least=24):

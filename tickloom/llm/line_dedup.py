@@ -19,6 +19,8 @@ NEAR_MIN_CHARS = 24
 HOT = 64
 #: Times that segments are split again, at most; what is hot after that is paired all the same.
 SPLITS = 4
+#: Lines of up to so many characters are tied by what is left of them without one character, where they meet in crowds.
+TIED_CHARS = 256
 #: Rows up to which a table of keys is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -172,16 +174,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``ha, hb`` of lines that meet in a segment, without pairing all that share a common one.
+def sure_links(lines: DataFrame) -> DataFrame:
+    """``ha, hb``: links that tie together all ``lines`` (h, chars, line) that are equal but for one character, left out or changed.
+
+    Two lines that are the same without one character of each are two edits apart at
+    most, so nothing is compared: each is filed under itself and under what is left
+    without each of its characters, by two hashes, and all lines of one entry are tied
+    to the least of them.  So rows grow with characters, whatever the number of
+    lines that are alike: a million numbered lines of one wording are one star.
+    """
+    at = lines.where(f"chars <= {TIED_CHARS}").withColumn("u", F.expr("encode(line, 'UTF-32')")).select("h", "u", F.explode(F.expr("sequence(0, chars)")).alias("p"))
+    left = F.expr("if(p = 0, u, concat(substring(u, 1, 4 * (p - 1)), substring(u, 4 * p + 1)))")
+    filed = at.select("h", left.alias("v")).select("h", F.xxhash64("v").alias("v"), F.xxhash64(F.lit(1), "v").alias("w"))
+    least = filed.groupBy("v", "w").agg(F.min("h").alias("hub"), F.max("h").alias("last")).where("hub <> last").select("v", "w", "hub")
+    return filed.join(least, ["v", "w"]).where("h <> hub").select(F.col("h").alias("ha"), F.col("hub").alias("hb")).distinct()
+
+
+def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``ha, hb`` of lines that meet in a segment and are to be compared, without pairing all that share a common one; and links that need no comparison (None, if there are none).
 
     ``live`` (key, gap, ha, ca) and ``held`` (key, hb, cb) meet by key; ``lines`` are h,
     chars, line and c, the counts of letters.  Where far more pairs than lines would meet,
-    the lines without that segment are again within the threshold of each other: these
-    rests are filed and looked up by segments of their own, under the key and the
-    segment.  So a segment shared by a million lines that have nothing else in common
-    makes no pairs.  Rests of no more characters than the threshold are all near each
-    other: each is tied to the least one of the other side.
+    lines are tied by ``sure_links`` first.  Of the lines of a key that are tied to each other
+    already, its main body, none is paired with another: only those outside it are paired
+    with all.  Where these are still too many, the lines without that segment are again
+    within the threshold of each other: the rests are filed and looked up by segments of
+    their own, under the key and the segment.  So a segment shared by a million lines that
+    have nothing else in common makes no pairs.  Rests of no more characters than the
+    threshold are all near each other: each is tied to the least one of the other side.
     """
     places = look_ups(threshold)
     filed = [p for p in places if p[0] == 0 and p[2] == 0]
@@ -190,18 +210,41 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
     lookers: list[DataFrame] = []
     holders: list[DataFrame] = []
 
-    def crowded(l: DataFrame, r: DataFrame) -> DataFrame:
-        sizes = l.groupBy("key").agg(F.count("*").alias("a")).join(r.groupBy("key").agg(F.count("*").alias("b")), "key")
-        return cut(sizes.where(f"a * b > {HOT} * (a + b)").select("key"))
+    def sizes(l: DataFrame, r: DataFrame) -> DataFrame:
+        return l.groupBy("key").agg(F.count("*").alias("a")).join(r.groupBy("key").agg(F.count("*").alias("b")), "key")
+
+    first = cut(sizes(live, held).where(f"a * b > {HOT} * (a + b)").select("key"))
+    plain = first.isEmpty()
+    sure = None
+    if not plain:
+        crowd = live.join(first, "key", "left_semi").select(F.col("ha").alias("h")).unionAll(held.join(first, "key", "left_semi").select(F.col("hb").alias("h"))).distinct()
+        sure = cut(sure_links(lines.join(crowd, "h", "left_semi").select("h", "chars", "line"))) if threshold >= 2 else None
+    roots = cut(connected_components(sure, "ha", "hb").select(F.col("node").alias("id"), "root")) if sure is not None else None
+
+    def rooted(side: DataFrame, name: str) -> DataFrame:
+        """With the root of each line, itself where it is tied to none."""
+        return side.join(roots.withColumnRenamed("id", name), name, "left").withColumn("root", F.coalesce("root", name)) if roots is not None else side.withColumn("root", F.col(name))
+
+    def bodies(l: DataFrame, r: DataFrame) -> DataFrame:
+        """Of each crowded key the root that most of its lines have, and whether the lines outside it are too many to be paired with all."""
+        both = l.select("key", "root", F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(r.select("key", "root", F.lit(0), F.lit(1)))
+        by_root = both.groupBy("key", "root").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        whole = by_root.groupBy("key").agg(F.sum("x").alias("a"), F.sum("y").alias("b"), F.max(F.struct(F.col("x") + F.col("y"), F.col("root").alias("root"), "x", "y")).alias("m"))
+        crowded = whole.where(f"a > 0 and b > 0 and a * b > {HOT} * (a + b)")
+        return cut(crowded.select("key", F.col("m.root").alias("main"), F.expr(f"(a - m.x) * b + m.x * (b - m.y) > {HOT} * (a + b)").alias("hot")))
 
     def rest(side: DataFrame, *more) -> DataFrame:
         """Without the segment that led to the key."""
         left = F.expr("concat(substring(line, 1, start), substring(line, start + size + 1))")
         return side.select("key", "id", "c", *more, left.alias("line"), (F.col("chars") - F.col("size")).alias("chars")).distinct()
 
-    hot = crowded(live, held)
-    looking = filing = None
-    for _ in range(SPLITS):
+    mains: list[DataFrame] = []
+    looking = filing = hot = None
+    if not plain:
+        found = bodies(rooted(live, "ha"), rooted(held, "hb"))
+        mains.append(found.where("not hot").select("key", "main"))
+        hot = found.where("hot").select("key")
+    for _ in range(SPLITS if not plain else 0):
         if hot.isEmpty():
             break
         lookers.append(live.join(hot, "key", "left_anti"))
@@ -226,12 +269,26 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key).drop("u")
         looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).drop("u").join(filing.select("key").distinct(), "key", "left_semi"))
         live, held = looking.select("key", "gap", F.col("id").alias("ha"), F.col("c").alias("ca")).distinct(), filing.select("key", F.col("id").alias("hb"), F.col("c").alias("cb")).distinct()
-        hot = crowded(live, held)
+        found = bodies(rooted(live, "ha"), rooted(held, "hb"))
+        mains.append(found.where("not hot").select("key", "main"))
+        hot = found.where("hot").select("key")
+        last = found.where("hot").select("key", "main")
+    else:
+        if not plain and not hot.isEmpty():
+            mains.append(last)  # paired all the same, but for those of one body
     lookers.append(live)
     holders.append(held)
-    met = functools.reduce(DataFrame.unionByName, lookers).join(functools.reduce(DataFrame.unionByName, holders), "key")
+    asking, asked = functools.reduce(DataFrame.unionByName, lookers), functools.reduce(DataFrame.unionByName, holders)
+    if plain:
+        met = asking.join(asked, "key")
+    else:
+        # of a crowded key those inside its body meet those outside alone
+        main = functools.reduce(DataFrame.unionByName, mains)
+        inside = lambda side, name: cut(rooted(side, name).join(main, "key", "left").withColumn("inside", F.coalesce(F.col("root") == F.col("main"), F.lit(False))).drop("root", "main"))
+        asking, asked = inside(asking, "ha"), inside(asked, "hb")
+        met = asking.where("not inside").drop("inside").join(asked.drop("inside"), "key").unionByName(asking.where("inside").drop("inside").join(asked.where("not inside").drop("inside"), "key"))
     pairs = met.where(f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}").select("ha", "hb")
-    return functools.reduce(DataFrame.unionAll, tied, pairs).distinct()
+    return functools.reduce(DataFrame.unionAll, tied, pairs).distinct(), sure
 
 
 #: Of two lines of one length it is enough that one looks for the other.
@@ -271,12 +328,16 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
         texts = cut(lines.join(wanted, "h"))
     known = texts.select("h", "chars", "line", F.expr(counts("line")).alias("c"))
     counted = known.select("h", "c")
-    pairs = _meetings(live.join(counted.toDF("ha", "ca"), "ha"), held.join(counted.toDF("hb", "cb"), "hb"), known, threshold)
+    pairs, sure = _meetings(live.join(counted.toDF("ha", "ca"), "ha"), held.join(counted.toDF("hb", "cb"), "hb"), known, threshold)
     found = texts.select("h", "line_id", "line")
     both = pairs.join(found.toDF("ha", "a", "line_a"), "ha").join(found.toDF("hb", "b", "line_b"), "hb")
     wide = both.withColumn("ua", F.expr("encode(line_a, 'UTF-32')")).withColumn("ub", F.expr("encode(line_b, 'UTF-32')"))
     trimmed = wide.select("a", "b", F.expr(trim_common("line_a", "line_b", "ua", "ub")).alias("t")).where(may_be_near("t.x", "t.y", threshold))
-    return trimmed.where(f"{banded_distance('t.x', 't.y', threshold)} <= {threshold}").select("a", "b"), texts
+    links = trimmed.where(f"{banded_distance('t.x', 't.y', threshold)} <= {threshold}").select("a", "b")
+    if sure is not None:
+        names = texts.select("h", "line_id")
+        links = links.unionAll(sure.join(names.toDF("ha", "a"), "ha").join(names.toDF("hb", "b"), "hb").select("a", "b"))
+    return links, texts
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
