@@ -55,7 +55,8 @@ def with_durations(rows: DataFrame, unit: Sequence[str] = ("run_id", "cpu_or_cor
     w = Window.partitionBy(*unit).orderBy(time)
     step = F.col(time) - F.lag(time).over(w)
     stepped = rows.withColumn("__step", step)
-    usual = stepped.groupBy(*unit).agg(F.percentile(F.when(F.col("__step") > 0, F.col("__step")), F.lit(0.5)).alias("__usual"))
+    steps = stepped.select(*unit, F.when(F.col("__step") > 0, F.col("__step")).cast("double").alias("step"))
+    usual = quantiles(steps, ["step"], [0.5], unit).select(*unit, F.col("q__step")[0].alias("__usual"))
     u, s = usual.alias("u"), stepped.alias("s")
     on = [F.col(f"s.{c}").eqNullSafe(F.col(f"u.{c}")) for c in unit]
     return s.join(u, on, "left").select(*[F.col(f"s.`{c}`") for c in rows.columns], F.when(F.col("s.__step") > 0, F.col("s.__step")).otherwise(F.coalesce("u.__usual", "s.__step")).alias("interval_duration_ms"))

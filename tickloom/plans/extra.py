@@ -96,19 +96,26 @@ def v2t(spark, d):
 
 # -- projections over names ---------------------------------------------------
 
-_NAMES = ["counter__l1d_loads", "counter__cycles", "counter__llc_misses", "counter__IPC_raw", "counter__memory_read_bandwidth", "counter__resource_stalls", "counter__branch_mispredictions", "run_id", "counter__runtime_ns", "counter__elapsed"]
-_SQL_NAMES = "(VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(name)"
+_KINDS = ["l1d_loads", "cycles", "llc_misses", "IPC_raw", "memory_read_bandwidth", "resource_stalls", "branch_mispredictions", "runtime_ns", "elapsed"]
+_SQL_NAMES = "(SELECT DISTINCT CASE WHEN p_size % 11 = 0 THEN 'other' ELSE 'counter' END || '__' || lower(replace(p_brand, '#', '_')) || '_' || [" + ", ".join(f"'{k}'" for k in _KINDS) + f"][p_size % {len(_KINDS)} + 1] AS name FROM part)"
 _BAD = " OR ".join(f"lower(name) LIKE '%{p}%'" for p in ["cycle", "ipc", "cpi", "elapsed", "stall", "per\\_ms", "interval\\_duration", "runtime"]).replace("%per\\_ms%'", "%per\\_ms%' ESCAPE '\\'").replace("%interval\\_duration%'", "%interval\\_duration%' ESCAPE '\\'")
 
 
+def _names(spark, d) -> list[str]:
+    """Columns that a collection by the parts' brands and sizes would have: a few hundred."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_size") % len(_KINDS) + 1).cast("int"))
+    name = F.concat(F.when(F.col("p_size") % 11 == 0, "other").otherwise("counter"), F.lit("__"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("_"), kind)
+    return [r[0] for r in adapter.table(spark, d, "part").select(name).distinct().collect()]
+
+
 @query("p20_safe_counters", f"SELECT name FROM {_SQL_NAMES} WHERE name LIKE 'counter%' AND NOT ({_BAD})")
 def p20(spark, d):
-    return spark.createDataFrame([(c,) for c in domain.safe_counters(_NAMES)], "name string")
+    return spark.createDataFrame([(c,) for c in domain.safe_counters(_names(spark, d))], "name string")
 
 
 @query("p21_pressure_counters", f"SELECT name FROM {_SQL_NAMES} WHERE name LIKE '%llc_misses%' OR (name LIKE '%memory%' AND name LIKE '%bandwidth%') OR name LIKE '%branch_mispredictions%' OR name LIKE '%stall%'")
 def p21(spark, d):
-    return spark.createDataFrame([(c,) for c in domain.pressure_counters(_NAMES)], "name string")
+    return spark.createDataFrame([(c,) for c in domain.pressure_counters(_names(spark, d))], "name string")
 
 
 @query("p22_counters_there", sql("wide", "cols AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}', {i})" for f, cs in domain.FAMILY_COUNTERS.items() for i, c in enumerate(cs)) + ") v(family, counter, place)), have AS (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM wide))", "SELECT family, coalesce(string_agg(counter, ',' ORDER BY place) FILTER ('counter__' || counter IN (SELECT c FROM have)), '') AS counters FROM cols GROUP BY family"))
@@ -116,12 +123,15 @@ def p22(spark, d):
     return spark.createDataFrame([(f, ",".join(c)) for f, c in domain.counters_there(frames.wide(spark, d).columns).items()], "family string, counters string")
 
 
-@query("s18_runtime_profile", "SELECT 'quick' AS profile, 3 AS epochs, 4 AS depth UNION ALL SELECT 'full', 15, 4")
+@query("s18_runtime_profile", "SELECT machine, profile, epochs, depth FROM (SELECT p_brand AS machine, max(p_size) AS depth, min(p_size) + 2 AS quick FROM part GROUP BY p_brand) CROSS JOIN (VALUES ('quick'), ('full')) v(profile), LATERAL (SELECT CASE profile WHEN 'quick' THEN quick ELSE 15 END AS epochs)")
 def s18(spark, d):
-    """Epochs under both profiles of a configuration whose tree depth was overridden."""
-    config = domain.merged_config(domain.DEFAULTS, {"detector": {"tree_max_depth": 4}})
-    chosen = [domain.with_profile(config, full) for full in (False, True)]
-    return spark.createDataFrame([(c["runtime"]["profile"], c["teacher"]["epochs"], c["detector"]["tree_max_depth"]) for c in chosen], "profile string, epochs int, depth int")
+    """Both profiles of each brand's configuration, whose tree depth and quick epochs are those of its parts: 25 records."""
+    own = adapter.table(spark, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("depth"), F.min("p_size").alias("least")).collect()
+    rows = []
+    for r in own:
+        config = domain.merged_config(domain.DEFAULTS, {"detector": {"tree_max_depth": r["depth"]}, "runtime": {"quick": {"teacher_epochs": r["least"] + 2}}})
+        rows += [(r["p_brand"], c["runtime"]["profile"], c["teacher"]["epochs"], c["detector"]["tree_max_depth"]) for c in (domain.with_profile(config, full) for full in (False, True))]
+    return spark.createDataFrame(rows, "machine string, profile string, epochs int, depth int")
 
 
 @query("r2_counter_values", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (1, 2, 3) THEN NULL ELSE o_totalprice END AS value, CAST(NULL AS DOUBLE) AS absent FROM orders")
@@ -596,15 +606,24 @@ def x6s(spark, d):
 
 
 def _aliases(spark, d):
-    """Aliases on a machine that lists a few of the vendor's names and a few generic ones."""
-    supported = planning.event_aliases(spark.createDataFrame([("  INST_RETIRED.ANY   [x]",), ("cpu-cycles OR cycles  [Hardware event]",), ("branch-misses",), ("BR_MISP_RETIRED.ALL_BRANCHES",), ("LLC-loads:u",), ("LLC_MISSES",), ("READ",)], "value string"))
-    return events.alias_map(events.candidates(spark), supported, "intel", ["uncore_imc_0"], True)
+    """Aliases by parts: 20 candidates a family, even ones the vendor's, every 23rd is listed; the first family is that of instructions, the next two are read from devices."""
+    k = F.col("p_partkey")
+    family = F.floor(k / 20)
+    name = F.when(family == 0, "instructions_retired").when(family == 1, "memory_read_bandwidth").when(family == 2, "memory_write_bandwidth").otherwise(F.concat(F.lit("f"), family.cast("string")))
+    part = adapter.table(spark, d, "part")
+    names = part.select(name.alias("family"), F.when(k % 2 == 0, "mine").otherwise("generic").alias("vendor"), F.concat(F.lit("Part:u "), k.cast("string")).alias("event_name"), k.alias("priority"))
+    listed = part.where("p_partkey % 23 = 0").select(F.concat(F.lit("PART "), k.cast("string")).alias("value"))
+    return events.alias_map(names, planning.event_aliases(listed), "mine", ["uncore_imc_0"], True)
 
 
-_ALIAS_SQL = "(VALUES ('instructions_retired', 'INST_RETIRED.ANY', 'vendor_preferred', true), ('cycles', 'cycles', 'generic_fallback', false), ('branch_instructions', '', 'unsupported', false), ('branch_mispredictions', 'BR_MISP_RETIRED.ALL_BRANCHES', 'vendor_preferred', true), ('l1d_loads', '', 'unsupported', false), ('l1d_stores', '', 'unsupported', false), ('l2_misses', '', 'unsupported', false), ('llc_references', 'LLC-loads:u', 'generic_fallback', false), ('llc_misses', 'LLC_MISSES', 'vendor_preferred', true), ('offcore_demand_data_reads', '', 'unsupported', false), ('fp_arithmetic', '', 'unsupported', false), ('resource_stalls', '', 'unsupported', false), ('memory_read_bandwidth', 'uncore_imc/cas_count_read/', 'vendor_preferred_uncore', true), ('memory_write_bandwidth', 'uncore_imc/cas_count_write/', 'vendor_preferred_uncore', true), ('total_memory_bandwidth', 'derived_total_memory_bandwidth', 'derived_uncore_total', true)) v(family, selected_event, selection_kind, analysis_confident)"
+_ALIAS_SQL = """(SELECT CASE f WHEN 0 THEN 'instructions_retired' WHEN 1 THEN 'memory_read_bandwidth' WHEN 2 THEN 'memory_write_bandwidth' ELSE 'f' || f END AS family, f,
+  CASE f WHEN 1 THEN 'uncore_imc/cas_count_read/' WHEN 2 THEN 'uncore_imc/cas_count_write/' ELSE coalesce('PART ' || best % 1000000000, '') END AS selected_event,
+  CASE f WHEN 1 THEN 'uncore_imc/cas_count_read/' WHEN 2 THEN 'uncore_imc/cas_count_write/' ELSE coalesce('Part:u ' || best % 1000000000, '') END AS selected_via,
+  CASE WHEN f IN (1, 2) THEN 'vendor_preferred_uncore' WHEN best IS NULL THEN 'unsupported' WHEN best < 1000000000 THEN 'vendor_preferred' ELSE 'generic_fallback' END AS selection_kind, f IN (1, 2) OR coalesce(best < 1000000000, false) AS analysis_confident
+  FROM (SELECT p_partkey // 20 AS f, min(CASE WHEN p_partkey % 23 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1000000000 END + p_partkey END) AS best FROM part GROUP BY 1))"""
 
 
-@query("e2_alias_map", f"SELECT * FROM {_ALIAS_SQL}")
+@query("e2_alias_map", f"SELECT family, selected_event, selection_kind, analysis_confident FROM {_ALIAS_SQL}")
 def e2(spark, d):
     return _aliases(spark, d).select("family", "selected_event", "selection_kind", "analysis_confident")
 
@@ -625,18 +644,24 @@ def e3(spark, d):
     return events.device_specs(_aliases(spark, d), sorted(devices))
 
 
-@query("e4_study_readiness", f"WITH a AS (SELECT family FROM {_ALIAS_SQL} WHERE selection_kind = 'vendor_preferred'), m AS (SELECT f FROM (VALUES ('instructions_retired'), ('cycles'), ('branch_mispredictions')) c(f) WHERE f NOT IN (SELECT family FROM a)) SELECT (SELECT count(*) FROM m) = 0 AS ready, (SELECT string_agg(f, ',') FROM m) AS missing, (SELECT string_agg(family, ',' ORDER BY family) FROM a) AS confident")
+_CORE = ["instructions_retired", "f4", "f9"]
+
+
+@query("e4_study_readiness", f"WITH a AS (SELECT family FROM {_ALIAS_SQL} WHERE selection_kind = 'vendor_preferred'), m AS (SELECT f, i FROM (VALUES {', '.join(f'({f!r}, {i})' for i, f in enumerate(_CORE))}) c(f, i) WHERE f NOT IN (SELECT family FROM a) UNION ALL SELECT 'one_of:f5|f6', 9 WHERE NOT EXISTS (SELECT 1 FROM a WHERE family IN ('f5', 'f6'))) SELECT (SELECT count(*) FROM m) = 0 AS ready, (SELECT coalesce(string_agg(f, ',' ORDER BY i), '') FROM m) AS missing, (SELECT string_agg(family, ',' ORDER BY family) FROM a) AS confident")
 def e4(spark, d):
-    return events.readiness(_aliases(spark, d))
+    """Whether three families of parts, and one of two others, are there with confidence."""
+    return events.readiness(_aliases(spark, d), _CORE, ["f5", "f6"])
 
 
-@query("e4_uncore_readiness", "SELECT * FROM (VALUES ('none', 'no device', false), ('policy', 'blocked by policy', false), ('refused', 'blocked by policy', false), ('failed', 'the probe gave no counts', false), ('good', 'ready', true)) v(\"case\", reason, ready)")
+@query("e4_uncore_readiness", f"WITH n AS (SELECT count(*) AS n FROM {_ALIAS_SQL} WHERE selection_kind = 'vendor_preferred_uncore') SELECT event_type AS \"case\", CASE event_type WHEN 'view' THEN 'no device' WHEN 'click' THEN 'blocked by policy' WHEN 'error' THEN 'blocked by policy' ELSE CASE WHEN n = 0 THEN 'no event' WHEN event_type = 'signup' THEN 'the probe gave no counts' ELSE 'ready' END END AS reason, event_type NOT IN ('view', 'click', 'error', 'signup') AND n > 0 AS ready FROM (SELECT DISTINCT event_type FROM events), n")
 def e4u(spark, d):
+    """A machine for each type of event, and what its probe said."""
     specs = events.device_specs(_aliases(spark, d), ["uncore_imc_0"])
-    cases = {"none": ([], False, "1"), "policy": (["a"], True, "1"), "refused": (["a"], False, "No permission"), "failed": (["a"], False, None), "good": (["a"], False, "123,,x")}
+    cases = {"view": ([], False, "1"), "click": (["a"], True, "1"), "error": (["a"], False, "No permission"), "signup": (["a"], False, None)}
     out = None
-    for name, (devices, blocked, output) in cases.items():
-        one = events.uncore_readiness(devices, blocked, specs, output).withColumn("case", F.lit(name))
+    for r in adapter.table(spark, d, "events").select("event_type").distinct().collect():  # five types
+        devices, blocked, output = cases.get(r[0], (["a"], False, "123,,x"))
+        one = events.uncore_readiness(devices, blocked, specs, output).withColumn("case", F.lit(r[0]))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -646,21 +671,23 @@ def e5(spark, d):
     return events.families_by_kind(_aliases(spark, d))
 
 
-@query("e5_reverse_aliases", f"SELECT lower(replace(n, ':u', '')) AS normal, max(family) AS family FROM (SELECT family, unnest([selected_event, CASE family WHEN 'total_memory_bandwidth' THEN 'uncore_imc/cas_count_read/ + uncore_imc/cas_count_write/' WHEN 'llc_references' THEN 'LLC-loads' ELSE selected_event END]) AS n FROM {_ALIAS_SQL} WHERE selection_kind <> 'vendor_preferred_uncore' AND selected_event <> '') GROUP BY 1")
+@query("e5_reverse_aliases", f"SELECT normal, arg_max(family, f) AS family FROM (SELECT family, f, lower(replace(unnest([selected_event, selected_via]), ':u', '')) AS normal FROM {_ALIAS_SQL} WHERE selection_kind <> 'vendor_preferred_uncore' AND selected_event <> '') GROUP BY normal")
 def e5r(spark, d):
-    order = events.candidates(spark).select("family", "family_order").distinct()
-    return events.reverse_aliases(_aliases(spark, d).join(order, "family"))
+    order = F.when(F.col("family") == "instructions_retired", 0).otherwise(F.substring("family", 2, 9).cast("int"))
+    return events.reverse_aliases(_aliases(spark, d).where("selection_kind <> 'vendor_preferred_uncore'").withColumn("family_order", order))
 
 
-@query("e6_family_events", f"SELECT family, selected_event AS event_name FROM {_ALIAS_SQL} WHERE selected_event <> '' AND selection_kind IN ('vendor_preferred', 'generic_fallback') AND family <> 'cycles'")
+@query("e6_family_events", f"SELECT family, selected_event AS event_name FROM {_ALIAS_SQL} WHERE f % 3 = 0 AND selected_event <> '' AND selection_kind <> 'vendor_preferred_uncore'")
 def e6(spark, d):
-    return events.family_events(_aliases(spark, d)).select("family", "event_name")
+    """Events of every third family of parts."""
+    last = adapter.table(spark, d, "part").agg(F.max("p_partkey")).first()[0] // 20
+    return events.family_events(_aliases(spark, d), ["instructions_retired", *[f"f{k}" for k in range(3, last + 1, 3)]]).select("family", "event_name")
 
 
-@query("e6_family_readiness", "SELECT true AS ready, '' AS reason UNION ALL SELECT false, 'instructions are missing'")
+@query("e6_family_readiness", f"WITH a AS (SELECT count(*) FILTER (family = 'instructions_retired') AS base, count(*) FILTER (family IN ('f3', 'f4', 'f7')) AS others FROM {_ALIAS_SQL} WHERE selection_kind = 'vendor_preferred'), r AS (SELECT CASE WHEN base = 0 THEN 'instructions are missing' WHEN others = 0 THEN 'no other counter' ELSE '' END AS reason FROM a) SELECT reason = '' AS ready, reason FROM r UNION ALL SELECT false, 'instructions are missing'")
 def e6r(spark, d):
-    a = _aliases(spark, d)
-    return events.family_readiness(a).unionByName(events.family_readiness(a.where("family <> 'instructions_retired'")))
+    a, chosen = _aliases(spark, d), ["instructions_retired", "f3", "f4", "f7"]
+    return events.family_readiness(a, chosen).unionByName(events.family_readiness(a.where("family <> 'instructions_retired'"), chosen))
 
 
 def _tasks(spark, d):
@@ -726,7 +753,7 @@ def k9(spark, d):
     """Aliases as the written discovery names them."""
     path = fresh_path(spark, "discovery")
     aliases = _aliases(spark, d)
-    writers.write_discovery(adapter.table(spark, d, "customer").select(F.col("c_mktsegment").alias("value")).distinct(), aliases, events.readiness(aliases), {"vendor": "intel"}, path)
+    writers.write_discovery(adapter.table(spark, d, "part").select(F.concat(F.lit("PART "), F.col("p_partkey").cast("string")).alias("value")), aliases, events.readiness(aliases), {"vendor": "intel"}, path)
     return writers.read_aliases(spark, path).select("family", "selected_event")
 
 

@@ -296,9 +296,11 @@ def merge_end_to_end(spark, d):
     rows = features.derived_features(merge.with_durations(frames.wide(spark, d, True)))
     return rows.select("run_id", "timestamp_ms", *r6("branch_miss_rate", "llc_miss_rate"))
 
-@query("m18_skipped_models", "SELECT m AS model, 'skipped' AS status, 'torch is not installed' AS reason FROM (VALUES ('tcn_phase_classifier'), ('tiny_transformer_phase_classifier')) v(m)")
+@query("m18_skipped_models", "SELECT event_type AS family, m AS model, 'skipped' AS status, 'torch is not installed' AS reason FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (VALUES ('tcn_phase_classifier'), ('tiny_transformer_phase_classifier')) v(m)")
 def m18(spark, d):
-    return evaluation.skipped(spark)
+    """What each family's detector says of the models that it cannot fit."""
+    families = adapter.table(spark, d, "events").select(F.col("event_type").alias("family")).distinct()
+    return families.crossJoin(F.broadcast(evaluation.skipped(spark)))
 
 
 @query("r6_detector_summary")
@@ -323,7 +325,9 @@ def r5(spark, d):
     return out.select("model", "family", "rows", *r6("accuracy", "retention"), "memory_bytes", "complexity")
 
 
-@query("f10_enabled_models", "SELECT * FROM (VALUES ('L1', 9), ('L2', 3)) v(family, models)")
+@query("f10_enabled_models", "SELECT event_type AS family, CASE event_type WHEN 'view' THEN 9 ELSE 3 END AS models FROM (SELECT DISTINCT event_type FROM events)")
 def f10(spark, d):
-    names = list(evaluation.predictors(4, ["L1"]))
-    return spark.createDataFrame([(f, len(evaluation.enabled(names, f, "L1"))) for f in ("L1", "L2")], "family string, models int")
+    """How many models run for each family, with views as the one that global models run for."""
+    names = list(evaluation.predictors(4, ["view"]))
+    families = [r[0] for r in adapter.table(spark, d, "events").select("event_type").distinct().collect()]  # five types
+    return spark.createDataFrame([(f, len(evaluation.enabled(names, f, "view"))) for f in families], "family string, models int")
