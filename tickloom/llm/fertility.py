@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
 from .common import WordTable, claim, cut, stretches, table, words_of
 from .pieces import gather
 from .shingles import windows
@@ -143,8 +144,8 @@ def fertility_verdicts(docs: DataFrame, piece_path: str | None = None, byte_path
     standard deviations over all documents that pass the base rules, of a language
     and size class (words to the power of two); of the language, or of all, where
     there are fewer than LEAST_DOCUMENTS.  Entropy only has a lower bound, fallback
-    only an upper one.  Quantiles are mergeable sketches, a row per group, so no
-    group is gathered; measures are cut once and not taken twice.
+    only an upper one.  Quartiles are exact (linear), from two passes over the measures,
+    and no group is gathered; measures are cut once and not taken twice.
 
     A null or empty text has no words and fails the base rules.  A null language
     is one of its own.  Rows each give a row; an empty table none.
@@ -160,22 +161,23 @@ def fertility_verdicts(docs: DataFrame, piece_path: str | None = None, byte_path
         "entropy": F.col("entropy"),
     }
     judged = measured.withColumns({**values, "base_failed": failed, "size_class": F.when(F.col("n_words") > 0, F.floor(F.log2("n_words"))).cast("int")})
-    quarters = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias(f"q_{v}") for v in values]
-    passing = judged.where(~F.col("base_failed"))
-    fine = passing.groupBy("lang", "size_class").agg(F.count("*").alias("n"), *quarters).where(f"n >= {LEAST_DOCUMENTS}")
-    broad = passing.groupBy("lang").agg(F.count("*").alias("n"), *quarters).where(f"n >= {LEAST_DOCUMENTS}")
-    whole = passing.agg(*quarters)
-    bands = [f"q_{v}" for v in values]
-    joined = (
-        judged.alias("d")
-        .join(fine.alias("f"), F.expr("d.lang <=> f.lang and d.size_class <=> f.size_class"), "left")
-        .join(broad.alias("b"), F.expr("d.lang <=> b.lang"), "left")
-        .crossJoin(F.broadcast(whole).alias("w"))  # one row
-        .select("d.*", *[F.coalesce(f"f.{q}", f"b.{q}", f"w.{q}").alias(q) for q in bands])
-    )
+    quarters = [0.25, 0.5, 0.75]
+    names = [f"q__{v}" for v in values]
+    # a null language is one of its own
+    judged = judged.withColumn("g", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    passing = judged.where(~F.col("base_failed")).select("g", "size_class", *[F.col(v).cast("double").alias(v) for v in values])
+
+    def bands(by: list[str], tag: str) -> DataFrame:
+        """Quartiles of the groups that are large enough, exact whatever the number of documents."""
+        some = passing.groupBy(*by).agg(F.count("*").alias("n")).where(f"n >= {LEAST_DOCUMENTS}").drop("n")
+        return quantiles(passing, list(values), quarters, by).join(some, by).select(*by, *[F.col(q).alias(f"{tag}{q}") for q in names])
+
+    whole = quantiles(passing, list(values), quarters).select(*[F.col(q).alias(f"w{q}") for q in names])
+    joined = judged.join(bands(["g", "size_class"], "f"), ["g", "size_class"], "left").join(bands(["g"], "b"), "g", "left").crossJoin(F.broadcast(whole))  # one row
+    joined = joined.select(*[c for c in judged.columns if c != "g"], *[F.coalesce(f"f{q}", f"b{q}", f"w{q}").alias(q) for q in names])
 
     def inside(v: str, low: bool, high: bool, slack: float):
-        q = F.col(f"q_{v}")
+        q = F.col(f"q__{v}")
         reach = (q[2] - q[0]) / 1.349 * width + slack
         ok = F.lit(True)
         if low:
