@@ -13,7 +13,7 @@ from ..sources import adapter, readers, writers
 from ..streaming import online, perf, scoring
 from . import frames
 from .frames import COUNTERS, VALUE, sql
-from .registry import _PRED, COLS, _first, _sql_family, _test_rows, _two_families, query, r6
+from .registry import _PRED, COLS, ORACLES, _first, _sql_family, _test_rows, _two_families, query, r6
 
 # -- sources and sinks -------------------------------------------------------
 
@@ -551,6 +551,22 @@ def k7(spark, d):
     return spark.createDataFrame(list(written.items()), "name string, rows long")
 
 
+_BY = {"workload": "workload", "core": "cpu_or_core_id", "thread": "threads"}
+
+
+@query("k7_detector_contents", sql("states", "h AS (SELECT *, row_number() OVER w AS n, lead(state) OVER w AS target FROM states WINDOW w AS (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms))", f"t AS (SELECT * FROM h WHERE n >= 4 AND target IS NOT NULL AND split = {_first('test', 'val')} AND target >= 0 AND state >= 0)", " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({c} AS VARCHAR) AS value, count(*) AS rows, round(avg(CAST(target = state AS DOUBLE)), 6) AS accuracy FROM t GROUP BY {c}" for n, c in _BY.items()) + " UNION ALL SELECT 'confusion', a || '>' || b, count(*) FILTER (target = a AND state = b), NULL FROM t, range(3) x(a), range(3) y(b) GROUP BY a, b"))
+def k7c(spark, d):
+    """What stands in a detector's written tables of accuracy and confusion, for the last-state baseline."""
+    rows = evaluation.examples(frames.states(spark, d), 4, ["state"]).withColumn("process_count", F.lit(2)).select("run_id", "workload", "cpu_or_core_id", "threads", "process_count", "split", "is_train", "row_index", "state", "run_length", "target", "history")
+    named = {n: f for n, f in evaluation.predictors(4, ["core_fp"]).items() if n == "baseline_last_state"}
+    path = fresh_path(spark, "detector")
+    writers.write_tables(evaluation.detector_tables(evaluation.report(rows, named)), path, {"experiment": "run_holdout"})
+    out = spark.read.parquet(f"{path}/confusion_matrices").select(F.lit("confusion").alias("name"), F.concat(F.col("truth").cast("string"), F.lit(">"), F.col("pred").cast("string")).alias("value"), F.col("n").alias("rows"), F.lit(None).cast("double").alias("accuracy"))
+    for name, column in _BY.items():
+        out = out.unionByName(spark.read.parquet(f"{path}/per_{name}_accuracy").select(F.lit(name).alias("name"), F.col(column).cast("string").alias("value"), "rows", *r6("accuracy")))
+    return out
+
+
 @query("k10_student_outputs", sql("examples", "SELECT 'predictions' AS name, 2 * count(*) AS rows FROM examples UNION ALL SELECT 'summary', 2"))
 def k10(spark, d):
     e, answers = _taught(spark, d)
@@ -559,6 +575,16 @@ def k10(spark, d):
     return spark.createDataFrame(list(written.items()), "name string, rows long")
 
 
+@query("k10_student_contents", ORACLES["m23_lookup_student"])
+def k10c(spark, d):
+    """The written summary of the lookup student, read back."""
+    e, answers = _taught(spark, d)
+    said = students.run_length_students(e, answers, "core_fp", 0.3, 1, 8)
+    path = fresh_path(spark, "students")
+    writers.write_tables({"predictions": said, "summary": students.student_summary(said)}, path, {"scope": "global", "horizon": 1})
+    return spark.read.parquet(f"{path}/summary").where("model = 'lookup_rle_student'").select("family", "model", "rows", *r6("accuracy", "teacher_retention"))
+
+
 @query("m33_history_dataset", sql("states", "h AS (SELECT row_index, row_number() OVER w AS n, list(state) OVER (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h, lead(state) OVER w AS target FROM states WINDOW w AS (PARTITION BY run_id, cpu_or_core_id ORDER BY timestamp_ms))", "SELECT row_index, h[1] AS h0, h[2] AS h1, h[3] AS h2, h[4] AS h3, target FROM h WHERE n >= 4 AND target IS NOT NULL"))
 def m33(spark, d):
     return evaluation.examples(frames.states(spark, d), 4, ["state"]).select("row_index", "h0", "h1", "h2", "h3", "target")
@@ -766,6 +792,14 @@ def k11(spark, d):
     return read[0].join(read[1], "set_key")
 
 
+@query("k11_collection_contents", f"WITH {_TASKS} SELECT set_key, CAST(rep AS INT) AS rep, concurrent_group_id, CAST(process_index AS INT) AS process_index, workload, threads, co_running_workloads, CAST(first_cpu AS INT) AS first_cpu FROM tk")
+def k11c(spark, d):
+    """The written manifest of a collection, read back whole."""
+    path, tasks = fresh_path(spark, "collection"), _tasks(spark, d)
+    writers.write_collection(tasks, tasks.select("set_key", F.lit(0).alias("returncode")), path)
+    return spark.read.parquet(f"{path}/manifest").select("set_key", "rep", "concurrent_group_id", "process_index", "workload", "threads", "co_running_workloads", F.col("affinity")[0].alias("first_cpu"))
+
+
 _MODELS = ["baseline_last_state", "rle_markov_phase_predictor", "hsmm_duration_phase_predictor", "online_history_tree", "rocket_phase_classifier", "tiny_transformer_phase_classifier", "graph_tcn_phase_classifier", "own_parameters", "own_table"]
 
 
