@@ -169,9 +169,9 @@ def banded_distance(x: str, y: str, threshold: int) -> str:
     return f"if(abs(char_length({x}) - char_length({y})) > {t}, {t + 1}, {whole})"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows; else as it is, and the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Marked for broadcast if it has few rows (``rows``, if they are counted already); else as it is, and the join shuffles."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def sure_links(lines: DataFrame) -> DataFrame:
@@ -193,8 +193,8 @@ def sure_links(lines: DataFrame) -> DataFrame:
 def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``ha, hb`` of lines that meet in a segment and are to be compared, without pairing all that share a common one; and links that need no comparison (None, if there are none).
 
-    ``live`` (key, gap, ha, ca) and ``held`` (key, hb, cb) meet by key; ``lines`` are h,
-    chars, line and c, the counts of letters.  Where far more pairs than lines would meet,
+    ``live`` (key, gap, ha) and ``held`` (key, hb) meet by key; ``lines`` are h, chars,
+    line and c, the counts of letters.  Where far more pairs than lines would meet,
     lines are tied by ``sure_links`` first.  Of the lines of a key that are tied to each other
     already, its main body, none is paired with another: only those outside it are paired
     with all.  Where these are still too many, the lines without that segment are again
@@ -202,93 +202,100 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
     their own, under the key and the segment.  So a segment shared by a million lines that
     have nothing else in common makes no pairs.  Rests of no more characters than the
     threshold are all near each other: each is tied to the least one of the other side.
+    Keys of all turns are hashes, so all that meets waits for one join at the end.
     """
     places = look_ups(threshold)
     filed = [p for p in places if p[0] == 0 and p[2] == 0]
-    tied: list[DataFrame] = []
-    # keys of all turns are hashes, so what meets without being split can wait for one join at the end
     lookers: list[DataFrame] = []
     holders: list[DataFrame] = []
-
-    def sizes(l: DataFrame, r: DataFrame) -> DataFrame:
-        return l.groupBy("key").agg(F.count("*").alias("a")).join(r.groupBy("key").agg(F.count("*").alias("b")), "key")
-
-    first = cut(sizes(live, held).where(f"a * b > {HOT} * (a + b)").select("key"))
-    plain = first.isEmpty()
-    sure = None
-    if not plain:
-        crowd = live.join(first, "key", "left_semi").select(F.col("ha").alias("h")).unionAll(held.join(first, "key", "left_semi").select(F.col("hb").alias("h"))).distinct()
-        sure = cut(sure_links(lines.join(crowd, "h", "left_semi").select("h", "chars", "line"))) if threshold >= 2 else None
-    roots = cut(connected_components(sure, "ha", "hb").select(F.col("node").alias("id"), "root")) if sure is not None else None
+    tiny: list[DataFrame] = []
+    mains: list[DataFrame] = []
+    live, held = live.select("key", "gap", "ha"), held.select("key", "hb")
+    many = f"a > 0 and b > 0 and a * b > {HOT} * (a + b)"
+
+    def sides(l: DataFrame, r: DataFrame, *more: str) -> DataFrame:
+        """Rows of both sides, 1 in ``x`` for those that look, in ``y`` for those that are met."""
+        return l.select("key", *more, F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(r.select("key", *more, F.lit(0), F.lit(1)))
+
+    first = cut(sides(live, held).groupBy("key").agg(F.sum("x").alias("a"), F.sum("y").alias("b")).where(many).select("key"))
+    n = first.count()
+    about, sure, roots = lines.select("h", "c"), None, None
+    if n:
+        first = _small(first, n)
+        crowd_live, crowd_held = live.join(first, "key", "left_semi"), held.join(first, "key", "left_semi")
+        if threshold >= 2:
+            crowd = crowd_live.select(F.col("ha").alias("h")).unionAll(crowd_held.select(F.col("hb").alias("h"))).distinct()
+            sure = cut(sure_links(lines.join(crowd, "h", "left_semi").select("h", "chars", "line")))
+            roots = _small(cut(connected_components(sure, "ha", "hb").select(F.col("node").alias("h"), "root")))
 
     def rooted(side: DataFrame, name: str) -> DataFrame:
         """With the root of each line, itself where it is tied to none."""
-        return side.join(roots.withColumnRenamed("id", name), name, "left").withColumn("root", F.coalesce("root", name)) if roots is not None else side.withColumn("root", F.col(name))
+        own = F.col(name)
+        return side.join(roots.withColumnRenamed("h", name), name, "left").withColumn("root", F.coalesce("root", own)) if roots is not None else side.withColumn("root", own)
 
     def bodies(l: DataFrame, r: DataFrame) -> DataFrame:
         """Of each crowded key the root that most of its lines have, and whether the lines outside it are too many to be paired with all."""
-        both = l.select("key", "root", F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(r.select("key", "root", F.lit(0), F.lit(1)))
-        by_root = both.groupBy("key", "root").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        by_root = sides(rooted(l, "ha"), rooted(r, "hb"), "root").groupBy("key", "root").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
         whole = by_root.groupBy("key").agg(F.sum("x").alias("a"), F.sum("y").alias("b"), F.max(F.struct(F.col("x") + F.col("y"), F.col("root").alias("root"), "x", "y")).alias("m"))
-        crowded = whole.where(f"a > 0 and b > 0 and a * b > {HOT} * (a + b)")
-        return cut(crowded.select("key", F.col("m.root").alias("main"), F.expr(f"(a - m.x) * b + m.x * (b - m.y) > {HOT} * (a + b)").alias("hot")))
+        return cut(whole.where(many).select("key", F.col("m.root").alias("main"), F.expr(f"(a - m.x) * b + m.x * (b - m.y) > {HOT} * (a + b)").alias("hot")))
 
     def rest(side: DataFrame, *more) -> DataFrame:
         """Without the segment that led to the key."""
         left = F.expr("concat(substring(line, 1, start), substring(line, start + size + 1))")
-        return side.select("key", "id", "c", *more, left.alias("line"), (F.col("chars") - F.col("size")).alias("chars")).distinct()
-
-    mains: list[DataFrame] = []
-    looking = filing = hot = None
-    if not plain:
-        found = bodies(rooted(live, "ha"), rooted(held, "hb"))
-        mains.append(found.where("not hot").select("key", "main"))
-        hot = found.where("hot").select("key")
-    for _ in range(SPLITS if not plain else 0):
-        if hot.isEmpty():
-            break
-        lookers.append(live.join(hot, "key", "left_anti"))
-        holders.append(held.join(hot, "key", "left_anti"))
-        if looking is None:
-            text, key = lines.withColumnRenamed("h", "id"), F.expr(f"xxhash64({_SEGMENT})")
-            who = live.join(hot, "key", "left_semi").select("key", "gap", F.col("ha").alias("id")).distinct()
-            looking = _placed(text.join(who.select("id").distinct(), "id"), places, threshold).withColumn("key", key).join(who, ["key", "gap", "id"], "left_semi")
-            who = held.join(hot, "key", "left_semi").select("key", F.col("hb").alias("id")).distinct()
-            filing = _placed(text.join(who.select("id").distinct(), "id"), filed, threshold).withColumn("key", key).join(who, ["key", "id"], "left_semi")
-        else:
-            looking, filing = looking.join(hot, "key", "left_semi"), filing.join(hot, "key", "left_semi")
-        looking, filing = cut(rest(looking, F.col("gap").alias("by"))), cut(rest(filing))
-        short = f"chars <= {threshold}"
-        # tiny rests are near each other, so the least of each side ties them; one that is no longer tiny is compared
-        ends = looking.where(short).groupBy("key").agg(F.min("id").alias("ha")).join(filing.where(short).groupBy("key").agg(F.min("id").alias("hb")), "key")
-        sides = looking.where(short).select("key", "id", F.lit(True).alias("looks")).unionAll(filing.where(short).select("key", "id", F.lit(False)))
-        tied.append(sides.join(ends, "key").select(F.when(F.col("looks"), F.col("id")).otherwise(F.col("ha")).alias("ha"), F.when(F.col("looks"), F.col("hb")).otherwise(F.col("id")).alias("hb")).where("ha <> hb"))
-        lookers.append(looking.where(f"not {short}").select("key", F.col("by").alias("gap"), F.col("id").alias("ha"), F.col("c").alias("ca")))
-        holders.append(filing.where(short).select("key", F.col("id").alias("hb"), F.col("c").alias("cb")))
-        key = F.expr(f"xxhash64(key, {_SEGMENT})")
-        filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key).drop("u")
-        looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).drop("u").join(filing.select("key").distinct(), "key", "left_semi"))
-        live, held = looking.select("key", "gap", F.col("id").alias("ha"), F.col("c").alias("ca")).distinct(), filing.select("key", F.col("id").alias("hb"), F.col("c").alias("cb")).distinct()
-        found = bodies(rooted(live, "ha"), rooted(held, "hb"))
-        mains.append(found.where("not hot").select("key", "main"))
-        hot = found.where("hot").select("key")
-        last = found.where("hot").select("key", "main")
-    else:
-        if not plain and not hot.isEmpty():
-            mains.append(last)  # paired all the same, but for those of one body
+        return side.select("key", "id", *more, left.alias("line"), (F.col("chars") - F.col("size")).alias("chars")).distinct()
+
+    if n:
+        found = bodies(crowd_live, crowd_held)
+        looking = filing = None
+        for _ in range(SPLITS):
+            hot = found.where("hot").select("key")
+            n_hot = hot.count()
+            if not n_hot:
+                break
+            hot = _small(hot, n_hot)
+            mains.append(found.where("not hot").select("key", "main"))
+            lookers.append(live.join(hot, "key", "left_anti"))
+            holders.append(held.join(hot, "key", "left_anti"))
+            if looking is None:
+                text, key = lines.select(F.col("h").alias("id"), "chars", "line"), F.expr(f"xxhash64({_SEGMENT})")
+                who = live.join(hot, "key", "left_semi").select("key", "gap", F.col("ha").alias("id")).distinct()
+                looking = _placed(text.join(who.select("id").distinct(), "id"), places, threshold).withColumn("key", key).join(who, ["key", "gap", "id"], "left_semi")
+                who = held.join(hot, "key", "left_semi").select("key", F.col("hb").alias("id")).distinct()
+                filing = _placed(text.join(who.select("id").distinct(), "id"), filed, threshold).withColumn("key", key).join(who, ["key", "id"], "left_semi")
+            else:
+                looking, filing = looking.join(hot, "key", "left_semi"), filing.join(hot, "key", "left_semi")
+            looking, filing = cut(rest(looking, F.col("gap").alias("by"))), cut(rest(filing))
+            short = f"chars <= {threshold}"
+            # tiny rests are near each other, so the least of each side ties them; one that is no longer tiny is compared
+            tiny.append(looking.where(short).select("key", "id", F.lit(True).alias("looks")).unionAll(filing.where(short).select("key", "id", F.lit(False))))
+            lookers.append(looking.where(f"not {short}").select("key", F.col("by").alias("gap"), F.col("id").alias("ha")))
+            holders.append(filing.where(short).select("key", F.col("id").alias("hb")))
+            key = F.expr(f"xxhash64(key, {_SEGMENT})")
+            filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key).drop("u")
+            looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).drop("u").join(filing.select("key").distinct(), "key", "left_semi"))
+            live, held = looking.select("key", "gap", F.col("id").alias("ha")).distinct(), filing.select("key", F.col("id").alias("hb")).distinct()
+            found = bodies(live, held)
+        mains.append(found.select("key", "main"))  # what is hot still is paired all the same, but for those of one body
     lookers.append(live)
     holders.append(held)
-    asking, asked = functools.reduce(DataFrame.unionByName, lookers), functools.reduce(DataFrame.unionByName, holders)
-    if plain:
-        met = asking.join(asked, "key")
-    else:
-        # of a crowded key those inside its body meet those outside alone
-        main = functools.reduce(DataFrame.unionByName, mains)
-        inside = lambda side, name: cut(rooted(side, name).join(main, "key", "left").withColumn("inside", F.coalesce(F.col("root") == F.col("main"), F.lit(False))).drop("root", "main"))
-        asking, asked = inside(asking, "ha"), inside(asked, "hb")
-        met = asking.where("not inside").drop("inside").join(asked.drop("inside"), "key").unionByName(asking.where("inside").drop("inside").join(asked.where("not inside").drop("inside"), "key"))
-    pairs = met.where(f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}").select("ha", "hb")
-    return functools.reduce(DataFrame.unionAll, tied, pairs).distinct(), sure
+    asking = functools.reduce(DataFrame.unionByName, lookers).join(about.toDF("ha", "ca"), "ha")
+    asked = functools.reduce(DataFrame.unionByName, holders).join(about.toDF("hb", "cb"), "hb")
+    on = ["key"]
+    if n:
+        # of a crowded key those inside its body ask in a class of their own, where those outside it alone are filed too
+        main = _small(cut(functools.reduce(DataFrame.unionByName, mains)))
+        inside = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+        asking = rooted(asking, "ha").join(main, "key", "left").withColumn("class", inside.cast("int")).drop("root", "main")
+        both = F.when(F.col("main").isNull() | inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        asked = rooted(asked, "hb").join(main, "key", "left").withColumn("class", F.explode(both)).drop("root", "main")
+        on = ["key", "class"]
+    pairs = asking.join(asked, on).where(f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}").select("ha", "hb")
+    if tiny:
+        ends_of = functools.reduce(DataFrame.unionAll, tiny)
+        ends = ends_of.groupBy("key").agg(F.min(F.when(F.col("looks"), F.col("id"))).alias("ha"), F.min(F.when(~F.col("looks"), F.col("id"))).alias("hb")).where("ha is not null and hb is not null")
+        tied = ends_of.join(ends, "key").select(F.when(F.col("looks"), F.col("id")).otherwise(F.col("ha")).alias("ha"), F.when(F.col("looks"), F.col("hb")).otherwise(F.col("id")).alias("hb"))
+        pairs = pairs.unionAll(tied.where("ha <> hb"))
+    return pairs.distinct(), sure
 
 
 #: Of two lines of one length it is enough that one looks for the other.
@@ -327,8 +334,7 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
         wanted = cut(asks.unionAll(held.select(F.col("hb").alias("h"))).distinct())
         texts = cut(lines.join(wanted, "h"))
     known = texts.select("h", "chars", "line", F.expr(counts("line")).alias("c"))
-    counted = known.select("h", "c")
-    pairs, sure = _meetings(live.join(counted.toDF("ha", "ca"), "ha"), held.join(counted.toDF("hb", "cb"), "hb"), known, threshold)
+    pairs, sure = _meetings(live, held, known, threshold)
     found = texts.select("h", "line_id", "line")
     both = pairs.join(found.toDF("ha", "a", "line_a"), "ha").join(found.toDF("hb", "b", "line_b"), "hb")
     wide = both.withColumn("ua", F.expr("encode(line_a, 'UTF-32')")).withColumn("ub", F.expr("encode(line_b, 'UTF-32')"))
