@@ -294,3 +294,14 @@ def test_profiles_and_indicators(spark):
     assert domain.derived_there("LLC", ["llc_miss_rate", "x"]) == ["llc_miss_rate"]
     row = features.indicators(frame(spark, [(10.0, 5.0, 2.0, 4.0)], "c double, i double, m double, d double"), "c", "i", {"mpki": "m"}, "d").first()
     assert (row.cpi, row.ipc, row.mpki, row.mpki_per_ms) == (2.0, 0.5, 400.0, 0.5)
+
+
+def test_families_may_be_a_table_of_any_number(spark):
+    """The plan does not grow with the number of families, and the rows are those of the list."""
+    aliases = spark.range(5000).selectExpr("concat('f', id) AS family", "id % 7 <> 0 AS supported", "'task_local' AS collection_scope", "concat('e', id) AS selected_event")
+    names = [f"f{k}" for k in range(0, 6000, 3)]
+    table = spark.range(0, 6000, 3).selectExpr("concat('f', id) AS family", "id / 3 AS place")
+    got = events.family_events(aliases, table)
+    want = {(i, f, f"e{f[1:]}") for i, f in enumerate(names) if int(f[1:]) < 5000 and int(f[1:]) % 7}
+    assert {tuple(r) for r in got.collect()} == want == {tuple(r) for r in events.family_events(aliases, names).collect()}
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 5000

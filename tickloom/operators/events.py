@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import COLLECTED, EVENT_CANDIDATES, REQUIRED_ANY, REQUIRED_CORE, UNCORE_EVENTS, UNCORE_MACHINE, UNCORE_TOTAL
 from ..functions.scalars import normal_event
+from .lineage import small
 
 
 def candidates(spark: SparkSession, table: dict[str, dict[str, list[str]]] = EVENT_CANDIDATES) -> DataFrame:
@@ -110,10 +111,18 @@ def uncore_readiness(devices: Sequence[str], blocked: bool, specs: DataFrame, pr
     return specs.agg(F.count("*").alias("n")).select(reason.alias("reason")).withColumn("ready", F.col("reason") == "ready")
 
 
-def family_events(aliases: DataFrame, families: Sequence[str] = COLLECTED) -> DataFrame:
-    """Supported events of the families that are collected, in the families' order."""
-    place = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
-    return aliases.where((place > 0) & F.col("supported") & (F.col("collection_scope") == "task_local") & (F.trim("selected_event") != "")).select((place - 1).cast("int").alias("place"), "family", F.col("selected_event").alias("event_name"))
+def family_events(aliases: DataFrame, families: Sequence[str] | DataFrame = COLLECTED) -> DataFrame:
+    """Supported events of the families that are collected, in the families' order.
+
+    ``families``: a short list, or a table of any number (family, place), one row each, that is joined.
+    """
+    there = aliases.where(F.col("supported") & (F.col("collection_scope") == "task_local") & (F.trim("selected_event") != ""))
+    if isinstance(families, DataFrame):
+        placed = there.join(small(families.select("family", F.col("place").cast("int").alias("place"))), "family")
+    else:
+        place = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
+        placed = there.where(place > 0).withColumn("place", (place - 1).cast("int"))
+    return placed.select("place", "family", F.col("selected_event").alias("event_name"))
 
 
 def family_readiness(aliases: DataFrame, families: Sequence[str] = COLLECTED) -> DataFrame:

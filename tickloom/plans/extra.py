@@ -631,11 +631,14 @@ def x6s(spark, d):
 # -- event names and collections ---------------------------------------------------------
 
 
+def _family_name(family):
+    return F.when(family == 0, "instructions_retired").when(family == 1, "memory_read_bandwidth").when(family == 2, "memory_write_bandwidth").otherwise(F.concat(F.lit("f"), family.cast("string")))
+
+
 def _aliases(spark, d):
     """Aliases by parts: 20 candidates a family, even ones the vendor's, every 23rd is listed; the first family is that of instructions, the next two are read from devices."""
     k = F.col("p_partkey")
-    family = F.floor(k / 20)
-    name = F.when(family == 0, "instructions_retired").when(family == 1, "memory_read_bandwidth").when(family == 2, "memory_write_bandwidth").otherwise(F.concat(F.lit("f"), family.cast("string")))
+    name = _family_name(F.floor(k / 20))
     part = adapter.table(spark, d, "part")
     names = part.select(name.alias("family"), F.when(k % 2 == 0, "mine").otherwise("generic").alias("vendor"), F.concat(F.lit("Part:u "), k.cast("string")).alias("event_name"), k.alias("priority"))
     listed = part.where("p_partkey % 23 = 0").select(F.concat(F.lit("PART "), k.cast("string")).alias("value"))
@@ -706,8 +709,8 @@ def e5r(spark, d):
 @query("e6_family_events", f"SELECT family, selected_event AS event_name FROM {_ALIAS_SQL} WHERE f % 3 = 0 AND selected_event <> '' AND selection_kind <> 'vendor_preferred_uncore'")
 def e6(spark, d):
     """Events of every third family of parts."""
-    last = adapter.table(spark, d, "part").agg(F.max("p_partkey")).first()[0] // 20
-    return events.family_events(_aliases(spark, d), ["instructions_retired", *[f"f{k}" for k in range(3, last + 1, 3)]]).select("family", "event_name")
+    thirds = adapter.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("f")).where("f % 3 = 0").distinct()
+    return events.family_events(_aliases(spark, d), thirds.select(_family_name(F.col("f")).alias("family"), (F.col("f") / 3).alias("place"))).select("family", "event_name")
 
 
 @query("e6_family_readiness", f"WITH a AS (SELECT count(*) FILTER (family = 'instructions_retired') AS base, count(*) FILTER (family IN ('f3', 'f4', 'f7')) AS others FROM {_ALIAS_SQL} WHERE selection_kind = 'vendor_preferred'), r AS (SELECT CASE WHEN base = 0 THEN 'instructions are missing' WHEN others = 0 THEN 'no other counter' ELSE '' END AS reason FROM a) SELECT reason = '' AS ready, reason FROM r UNION ALL SELECT false, 'instructions are missing'")
