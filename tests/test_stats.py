@@ -178,3 +178,11 @@ def test_kendall_of_a_million_pairs(spark):
 def test_kendall_without_values(spark):
     df = spark.createDataFrame([(1.0, 2.0)] * 3, "x double, y double")
     assert stats.kendall(df, "x", "y").first().tau is None and stats.kendall(df.where("false"), "x", "y").first().tau is None
+
+
+def test_poisson_draws_are_hashed_once(answers):
+    """One hash to drop the groups that do not count and one to count the others, not one for each bound."""
+    _, df = answers
+    drawn = stats.drawn_sums(stats.group_counts(df, "run_id"), "run_id", 3, 5, "poisson")
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 2 and "conv(" not in plan

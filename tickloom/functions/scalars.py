@@ -115,10 +115,15 @@ def thread_process_group(threads: Column, processes: Column) -> Column:
     return F.concat(F.lit("threads="), known(threads), F.lit("|processes="), known(processes))
 
 
+def hashed_digits(*keys: Column | int | str) -> Column:
+    """The 13 hexadecimal digits that ``hashed_uniform`` is made of; in order of text they are in order of number."""
+    texts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys]
+    return F.substring(F.md5(F.concat_ws(":", *texts)), 1, 13)
+
+
 def hashed_uniform(*keys: Column | int | str) -> Column:
     """A number from 0 to below 1 out of the keys alone: 52 bits of the MD5 of their texts joined by colons.
 
     Stateless, so any task draws the same again, and other engines can.
     """
-    texts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return F.conv(hashed_digits(*keys), 16, 10).cast("long") / float(1 << 52)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hashed_uniform
+from ..functions.scalars import hashed_digits, hashed_uniform
 from .features import fill_and_scale, log_counters
 from .lineage import cut, small
 from .phases import Clustering, many_kmeans, nearest_centroid
@@ -51,9 +51,10 @@ def drawn_sums(counts: DataFrame, group: str, resamples: int, seed: int, scheme:
         for k in range(1, 20):
             below.append((below[-1] if below else 0.0) + chance)
             chance /= k
-        rows = counts.select("*", turns)
-        u = hashed_uniform(seed, F.col("resample"), F.col(group))
-        weighted = rows.withColumn("__times", sum(((u >= b).cast("int") for b in below), F.lit(0))).where("__times > 0")
+        # each group and resample is hashed once and its digits compared as text: a number above each bound counts once more
+        bounds = [f"{n:013x}" for n in (math.ceil(b * (1 << 52)) for b in below) if n < 1 << 52]
+        drawn = counts.select("*", turns).withColumn("__digits", hashed_digits(seed, F.col("resample"), F.col(group))).where(F.col("__digits") >= bounds[0])
+        weighted = drawn.withColumn("__times", sum(((F.col("__digits") >= b).cast("int") for b in bounds), F.lit(0)))
     else:
         raise ValueError(f"no such scheme: {scheme}")
     return weighted.groupBy("resample").agg(*[F.sum(F.col(c) * F.col("__times")).alias(c) for c in names])
