@@ -4,6 +4,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,61 @@ def test_scores_do_not_depend_on_order_or_batches(spark, tmp_path, files_a_batch
             assert (r.state, r.run_length, r.action, r.prediction) == (state, length, action, said)
     state = spark.read.format("statestore").option("path", str(tmp_path / "out-c")).option("stateVarName", "run").load()
     assert {r.key.run_id for r in state.collect()} <= {"z"}
+
+
+def test_rows_that_come_together_are_stored_by_one_call():
+    """Calls to the store grow with streams and batches, not with rows; what waits has a timer at its first row."""
+    calls, timers, stored = [], [], {}
+
+    class Value:
+        def get(self):
+            return stored.get("run")
+
+        def exists(self):
+            return "run" in stored
+
+        def update(self, row):
+            stored["run"] = row
+
+    class Rows:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            return iter(stored.get(self.name, []))
+
+        def exists(self):
+            return bool(stored.get(self.name))
+
+        def clear(self):
+            stored.pop(self.name, None)
+
+        def put(self, rows):
+            stored[self.name] = list(rows)
+
+        def appendValue(self, row):
+            calls.append("one")
+            stored.setdefault(self.name, []).append(row)
+
+        def appendList(self, rows):
+            calls.append("many")
+            stored.setdefault(self.name, []).extend(rows)
+
+    class Handle:
+        getListState = staticmethod(lambda name, schema: Rows(name))
+        getValueState = staticmethod(lambda name, schema: Value())
+        registerTimer = staticmethod(timers.append)
+
+    class At:
+        def __init__(self, now):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: now
+
+    scorer = scoring.Scorer("v", 20.0, 40.0, forest.Node(0, {}), 3, 1000)
+    scorer.init(Handle)
+    times = [float(10 * k) for k in range(30, 0, -1)]
+    list(scorer.handleInputRows(("r",), iter([pd.DataFrame({"timestamp_ms": times, "v": times})]), At(0)))
+    assert calls == ["many"] and timers == [10]
+    first = pd.concat(scorer.handleExpiredTimer(("r",), At(0), At(95)))
+    assert first["timestamp_ms"].tolist() == [float(10 * k) for k in range(1, 10)] and timers == [10, 100]
+    last = pd.concat(scorer.handleExpiredTimer(("r",), At(0), At(500)))
+    assert len(first) + len(last) == 30 and timers == [10, 100, 1300]

@@ -43,7 +43,9 @@ class Scorer(StatefulProcessor):
     """States by two cuts, run lengths, confirmed actions and predictions, in order of event time.
 
     Rows wait in a list until the watermark has passed them, so neither their order nor
-    the clock matters; a timer at each one's time takes all that is due.  Kept by stream: the
+    the clock matters; a timer at the first one's time takes all that is due, and the next is set to
+    the first that still waits.  Calls to the store cost more than the rows, so those of a stream that
+    come together are stored by one.  Kept by stream: the
     rows that wait, the last ``history`` states, and four numbers.  All goes once the
     watermark is ``silence_ms`` past the last row.
     """
@@ -58,21 +60,26 @@ class Scorer(StatefulProcessor):
         self.run = handle.getValueState("run", _RUN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.run.get()[3] if self.run.exists() else float("-inf")
+        run = self.run.get()
+        seen = run[3] if run else float("-inf")
+        new = []
         for batch in rows:
             values = pd.to_numeric(batch[self.value])
             states = values.ge(self.low).astype(int).add(values.ge(self.high).astype(int)).mask(values.isna(), -1)
             for at, state in zip(batch["timestamp_ms"].tolist(), states.tolist()):
                 if at > seen:
-                    self.waiting.appendValue((float(at), int(state)))
-                    self.handle.registerTimer(int(at))
+                    new.append((float(at), int(state)))
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(int(min(new)[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
         ready = [r for r in waiting if int(r[0]) <= now]
-        length, last, action, seen = self.run.get() if self.run.exists() else (0, -1, self.start, float("-inf"))
+        run = self.run.get()
+        length, last, action, seen = run if run else (0, -1, self.start, float("-inf"))
         out = []
         if ready:
             past = [tuple(r) for r in self.past.get()] if self.past.exists() else []
@@ -90,9 +97,10 @@ class Scorer(StatefulProcessor):
             self.waiting.clear()
             if rest := waiting[len(ready) :]:
                 self.waiting.put(rest)
+                self.handle.registerTimer(int(rest[0][0]))
             self.past.put(past)
             self.run.update((length, last, action, seen))
-        if len(ready) == len(waiting) and self.run.exists():
+        if len(ready) == len(waiting) and (run or ready):
             if now >= seen + self.silence_ms:
                 self.waiting.clear()
                 self.past.clear()
