@@ -186,3 +186,12 @@ def test_poisson_draws_are_hashed_once(answers):
     drawn = stats.drawn_sums(stats.group_counts(df, "run_id"), "run_id", 3, 5, "poisson")
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") <= 2 and "conv(" not in plan
+
+
+def test_rows_of_a_common_value_are_not_drawn_together(spark):
+    """Ranks of columns of few values are broadcast to the rows; the way by shuffles gives the same."""
+    df = spark.range(400).selectExpr("id % 3 AS a", "CAST(id * 7 % 50 AS double) AS b", "IF(id % 9 = 0, NULL, id % 200) AS c")
+    few, many = stats.ranked(df, ["a", "b", "c"]), stats.ranked(df, ["a", "b", "c"], few_values=10)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == plan.count("strategy=broadcast") == 3

@@ -137,20 +137,35 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return joint.crossJoin(rows).crossJoin(cols).select(F.when(F.col("total") < 2, 1.0).otherwise(F.coalesce(value, F.lit(1.0))).alias("adjusted_rand"))
 
 
-def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+#: Values of columns in all up to which their ranks are broadcast.
+FEW_VALUES = 200_000
+
+
+def ranked(df: DataFrame, columns: Sequence[str], few_values: int = FEW_VALUES) -> DataFrame:
     """Average ranks (ties share their mean) of numbers as ``rank__<column>``, NULL for NULL.
 
-    All columns at once: counts of (column, value) are dealt by range and summed up,
-    so equal values are one row there; ranks go back to the rows by one join and one
-    grouping, whatever the number of columns.
+    Counts of (column, value) of all columns at once are dealt by range and summed up,
+    so equal values are one row there.  Ranks go back by value: those of the columns of
+    fewest values, ``FEW_VALUES`` in all, are broadcast, so that no task gets all rows of
+    a common value; for each other column the rows are shuffled by it.
     """
-    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    rows = cut(df)
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
-    long = rows.select("__row", cells.alias("x")).select("__row", "x.c", "x.v").where("v IS NOT NULL")
-    counts = long.groupBy("c", "v").agg(F.count("*").alias("n"))
-    ranks = with_running_total(counts, ["v"], "n", "before", ["c"]).select("c", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    back = long.join(ranks, ["c", "v"]).groupBy("__row").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"rank__{c}") for i, c in enumerate(columns)])
-    return rows.join(back, "__row", "left").drop("__row")
+    counts = rows.select(cells.alias("x")).select("x.c", "x.v").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    ranks = cut(with_running_total(counts, ["v"], "n", "before", ["c"]).select("c", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
+    values = {r["c"]: r["k"] for r in ranks.groupBy("c").agg(F.count("*").alias("k")).collect()}
+    total, few = 0, []
+    for i in sorted(range(len(columns)), key=lambda i: values.get(i, 0)):
+        total += values.get(i, 0)
+        few += [i] if total <= few_values else []
+    # one table of all of them, an array by column, so that every join reads the same broadcast
+    table = F.broadcast(ranks.where(F.col("c").isin(few)).groupBy(F.col("v").alias("__value")).agg(F.array(*[F.max(F.when(F.col("c") == i, F.col("rank"))) for i in range(len(columns))]).alias("__ranks")))
+    out = rows
+    for i, c in enumerate(columns):
+        mine = table if i in few else ranks.where(F.col("c") == i).select(F.col("v").alias("__value"), F.col("rank").alias("__rank"))
+        met = out.join(mine, F.col(c).cast("double") == F.col("__value"), "left")
+        out = met.withColumn(f"rank__{c}", F.get("__ranks", F.lit(i)) if i in few else F.col("__rank")).drop("__value", "__ranks", "__rank")
+    return out
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
