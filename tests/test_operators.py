@@ -362,3 +362,15 @@ def test_costs(spark):
 def test_row_numbers(spark):
     df = frame(spark, [(float(x),) for x in np.random.default_rng(0).permutation(500)], "x double")
     assert all(r.x == r.row_index for r in sequences.with_row_index(df, ["x"]).collect())
+
+
+def test_ordered_sums_do_not_depend_on_how_rows_are_dealt(spark):
+    """Three values whose sum has other last bits in another order: always added in order."""
+    rows = [(n, "u", "x" if n < 90 else "y", float(v)) for n, v in enumerate([0.1, 0.2, 0.3, 1e16, 1.0, -1e16] * 20)]
+    df = spark.createDataFrame(rows, "n long, unit string, counter string, value double")
+    want = {c: 0.0 for c in "xy"}
+    for _, _, c, v in rows:
+        want[c] += v
+    for dealt in (df.coalesce(1), df.repartition(7), df.orderBy(F.col("n").desc()).coalesce(1)):
+        (got,) = merge.pivot_sum(dealt, ["x", "y", "z"], ["unit"], order=["n"]).collect()
+        assert (got.counter__x, got.counter__y, got.counter__z) == (want["x"], want["y"], None)

@@ -24,13 +24,29 @@ def map_events(samples: DataFrame, aliases: DataFrame, event: str = "event_name"
     return samples.withColumn("__name", normal_event(F.col(event))).join(small(names), "__name", "left").drop("__name")
 
 
-def pivot_sum(samples: DataFrame, counters: Sequence[str], keys: Sequence[str] = KEYS, quality: bool = False, value: str = "value") -> DataFrame:
+def pivot_sum(samples: DataFrame, counters: Sequence[str], keys: Sequence[str] = KEYS, quality: bool = False, value: str = "value", order: Sequence[str] = ()) -> DataFrame:
     """One row per key with the sum of each counter's values, NULL where none was read.
 
     Keys whose samples match no counter keep a row.  With ``quality`` also the
     least enabled share and the sum of run times.  The list of counters is given,
     so there is no extra pass for it and one shuffle, combined map-side.
+
+    With ``order`` the values of a key are added one after the other in that order (as a
+    running sum, not combined map-side), so that the last bits of a sum do not depend on
+    how rows are dealt, and rows are ranked or cut by it the same in every run.
     """
+    if order:
+        at = Window.partitionBy(*keys).orderBy(*order)
+        to_here = at.rowsBetween(Window.unboundedPreceding, 0)
+        running = {}
+        for c in counters:
+            mine = F.col("counter") == c
+            running[f"counter__{c}"] = F.sum(F.when(mine, F.col(value))).over(to_here)
+            if quality:
+                running[f"pmu_enabled_pct__{c}"] = F.min(F.when(mine, F.col("enabled_pct"))).over(to_here)
+                running[f"pmu_runtime_ns__{c}"] = F.sum(F.when(mine, F.col("runtime_ns"))).over(to_here)
+        last = samples.withColumns({**running, "__last": F.lead(F.lit(1)).over(at).isNull()})
+        return last.where("__last").select(*keys, *running)
     out = []
     for c in counters:
         mine = F.col("counter") == c

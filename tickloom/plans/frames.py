@@ -19,7 +19,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, d: str, quality: bool = False) -> DataFrame:
-    return merge.pivot_sum(samples(spark, d), COUNTERS, RUN_KEYS, quality)
+    return merge.pivot_sum(samples(spark, d), COUNTERS, RUN_KEYS, quality, order=["event_id"])
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:

@@ -38,6 +38,7 @@ def perf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value"),
         F.get_json_object("props", "$.k").cast("double").alias("enabled_pct"),
         (F.col("value") * 1000).alias("runtime_ns"),
+        "event_id",
     )
 
 
