@@ -374,3 +374,15 @@ def test_ordered_sums_do_not_depend_on_how_rows_are_dealt(spark):
     for dealt in (df.coalesce(1), df.repartition(7), df.orderBy(F.col("n").desc()).coalesce(1)):
         (got,) = merge.pivot_sum(dealt, ["x", "y", "z"], ["unit"], order=["n"]).collect()
         assert (got.counter__x, got.counter__y, got.counter__z) == (want["x"], want["y"], None)
+
+
+def test_equal_rows_meet_the_centroids_once(spark, monkeypatch):
+    """K-means over copies looks through distinct rows with their counts, and gives the centroids of all rows."""
+    seen, first = [], phases._first_centroids
+    monkeypatch.setattr(phases, "_first_centroids", lambda rows, *more: seen.append(rows.count()) or first(rows, *more))
+    points = [(float(x), float(x % 3)) for x in (0, 1, 2, 20, 21, 22) for _ in range(x % 5 + 1)] * 4
+    got = phases.kmeans(spark.createDataFrame(points, "a double, b double"), ["a", "b"], 2, 17)
+    assert seen == [6]
+    data = np.array(points)
+    sides = [data[data[:, 0] < 10].mean(axis=0), data[data[:, 0] > 10].mean(axis=0)]
+    assert np.allclose(got[np.argsort(got[:, 0])], sides)

@@ -84,14 +84,15 @@ def _first_centroids(rows: DataFrame, columns: Sequence[str], wanted: Sequence[C
 def many_kmeans(train: DataFrame, columns: Sequence[str], wanted: Sequence[Clustering], group: str | None = None, most_rounds: int = 100) -> list[np.ndarray]:
     """Lloyd's centroids of many clusterings, over all rows or over those of one ``group`` each.
 
-    A round is one job for all of them: rows meet the centroids of their group, a row
+    Equal rows are one row with a count.  A round is one job for all of them: rows meet
+    the centroids of their group, a row
     for each clustering, and give one grouped mean by (clustering, cluster).  A clustering
     that has settled leaves the next rounds: no row changes its cluster and the centroids
     stay.  An empty cluster keeps its centroid.
     """
     spark = train.sparkSession
     named = F.col(group).cast("string") if group else F.lit("")
-    data = train.select(named.alias("__group"), *columns).where("__group IS NOT NULL").persist()
+    data = train.select(named.alias("__group"), *columns).where("__group IS NOT NULL").groupBy("__group", *columns).agg(F.count("*").alias("__n")).persist()
     try:
         to_draw = [c for c in wanted if c.start is None]
         drawn = iter(_first_centroids(data, columns, to_draw) if to_draw else [])
@@ -104,9 +105,10 @@ def many_kmeans(train: DataFrame, columns: Sequence[str], wanted: Sequence[Clust
                 break
             table = spark.createDataFrame([(i, wanted[i].group or "", now[i].tolist(), last[i].tolist()) for i in active], "clustering int, __group string, now array<array<double>>, last array<array<double>>")
             met = data.join(F.broadcast(table), "__group")
-            label = _nearest_of(columns, "now", widest)
             old = _nearest_of(columns, "last", widest) if turn else F.lit(0)
-            rows = met.groupBy("clustering", label.alias("cluster")).agg(F.sum((label != old).cast("long")).alias("moved"), *[F.avg(c).alias(c) for c in columns]).collect()
+            labelled = met.withColumns({"cluster": _nearest_of(columns, "now", widest), "__old": old})
+            mean = lambda c: F.sum(F.col(c) * F.col("__n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("__n")))
+            rows = labelled.groupBy("clustering", "cluster").agg(F.sum((F.col("cluster") != F.col("__old")).cast("long")).alias("moved"), *[mean(c).alias(c) for c in columns]).collect()
             moved = dict.fromkeys(active, 0)
             new = {i: now[i].copy() for i in active}
             for r in rows:
