@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import common, line_dedup, near_dedup
 from tickloom.llm.common import connected_components
 from tickloom.llm.shingles import shingle_set
+from tickloom.operators import lineage
 
 from .conftest import SCHEMA, words
 
@@ -239,6 +241,35 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_shuffled_or_broadcast(spark):
+    """Minima that are joined by a shuffle give the same roots; small tables of pairs are not read in as many parts as were shuffled."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(180)], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = common.connected_components(edges)
+        few = sorted(map(tuple, out.collect()))
+        assert few == sorted(map(tuple, common.connected_components(edges, broadcast_pairs=0).collect()))
+        assert out.where("node > root").rdd.getNumPartitions() < 64 + 32
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_stages_leave_only_their_own_table(spark, odd):
+    """What a stage has made on the way is gone when it is planned, whoever calls it."""
+    folder = Path(lineage.fresh_path(spark, "x")).parent
+    for stage in (line_dedup.drop_repeated_lines, near_dedup.keep_one_of_each):
+        cuts = lambda: {p for p in folder.glob("cuts/*/rdd-*")}
+        was, made = set(folder.iterdir()), cuts()
+        left = stage(odd)
+        assert len(set(folder.iterdir()) - was) == 1 and not cuts() - made
+        assert left.count() > 0
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     for n in (1, 3, 20, 500, 5000):

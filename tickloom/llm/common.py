@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut, fresh_path, kept, shared_dir  # noqa: F401  (taken from here by the operators)
+from ..operators.lineage import cut, dropped, fresh_path, kept, settled, shared_dir  # noqa: F401  (taken from here by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,34 +150,48 @@ def stretches(batch, column: int, most: int = 1 << 21):
         lo = hi
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+#: Pairs up to which the least neighbours of all nodes are broadcast in a round; beyond it they are joined by a shuffle.
+BROADCAST_PAIRS = 200_000
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """``(node, root)`` for every node of ``edges``; root is the least node of its component.
 
     Alternating large-star and small-star rounds: each is a grouped minimum
     (combined map-side) and an equi-join on the node, so neither a hub nor a long
-    chain is gathered in one place.  Every round is cut into the shared folder.
+    chain is gathered in one place.  Pairs are counted each round; up to
+    ``broadcast_pairs`` the minima are broadcast, and the pairs stay where they lie.
+    Every round is written to the shared folder and the one before it deleted.
     No row comes to the driver but a count and a checksum.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        if large:
-            pairs = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = pairs.join(least, "u")
-        if large:
-            out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+    spark, path = edges.sparkSession, ""
+
+    def written(pairs: DataFrame) -> DataFrame:
+        nonlocal path
+        last, path = path, fresh_path(spark, "pairs")
+        pairs.write.parquet(path)
+        if last:
+            dropped(spark, last)
+        return spark.read.schema(pairs.schema).parquet(path)
+
+    def round_of(pairs: DataFrame, few: bool) -> DataFrame:
+        """Large-star, then small-star, of pairs whose ``u`` is the greater."""
+        near = F.broadcast if few else lambda least: least
+        either = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.u", "p.v")
+        least = either.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = pairs.join(near(least), "v").select("u", F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        return large.join(near(least), "u").select(F.explode(both).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
 
     def checksum(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    now = written(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = checksum(now)
     for _ in range(most_rounds if before[0] else 0):
-        now = cut(star(star(now, True), False))
+        now = written(round_of(now, before[0] <= broadcast_pairs))
         after = checksum(now)
         if after == before:
             break

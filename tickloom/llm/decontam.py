@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, claim, cut, id_text, stretches, table, words_of
+from .common import WordTable, claim, id_text, kept, settled, stretches, table, words_of
 from .shingles import windows
 
 #: Words of a window, and the share of an item's windows that a document must have.
@@ -197,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
         return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")), F.col(name).isNull())
 
     items = rows(benchmark, item_col, item_text_col, known=None).select(F.col("doc_id").alias("item_id"), F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "width", "plain").distinct()
-    items = cut(items.withColumn("item", F.xxhash64(key("item_id"), "item_version", "plain")))
+    items = kept(items.withColumn("item", F.xxhash64(key("item_id"), "item_version", "plain")), "items")
     seen = items.select("width", "plain").distinct().collect()
     short = sorted({r["width"] for r in seen if r["width"] < size}) if inside else []
     distinct = items.select("h").distinct()
@@ -205,16 +205,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     if distinct.count() <= broadcast_windows:
         known = spark.sparkContext.broadcast(np.sort(np.asarray(distinct.toArrow().column("h"), dtype=np.int64).view(np.uint64)))
     # the corpus is read once: counts and slots need the hits, which are few
-    hits = cut(rows(docs, id_col, text_col, known=known, short=short, plainly=any(r["plain"] for r in seen)).drop("width", "plain").distinct().withColumn("doc", F.xxhash64(key("doc_id"), "version")))
+    hits = kept(rows(docs, id_col, text_col, known=known, short=short, plainly=any(r["plain"] for r in seen)).drop("width", "plain").distinct().withColumn("doc", F.xxhash64(key("doc_id"), "version")), "hits")
     met = hits.groupBy("h").agg(F.countDistinct("doc").alias("n_docs"))
     whole = Window.partitionBy("item")
     ranked = items.select("item", "h").distinct().join(met, "h", "left").withColumn("n_windows", F.count("*").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.coalesce("n_docs", F.lit(0)), "h")))
     probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(share)) + 1).select("item", "h", "n_windows")
     pairs = hits.select("doc", "h").distinct().join(probes, "h").select("doc", "item", "n_windows").distinct()
     # (document, item) by all of the item's windows
-    aligned = cut(pairs.join(items, "item").join(hits.select("doc", "doc_id", "version", "pos", "slots", "h"), ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")))
+    aligned = kept(pairs.join(items, "item").join(hits.select("doc", "doc_id", "version", "pos", "slots", "h"), ["doc", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos")), "aligned")
     counted = aligned.groupBy("doc", "item").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("version").alias("version"), F.any_value("item_id").alias("item_id"), F.any_value("item_version").alias("item_version"), F.any_value("plain").alias("plain"), F.any_value("n_windows").alias("n_windows"), F.countDistinct("h").alias("n_matched"))
-    enough = cut(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)))
+    enough = kept(counted.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)), "enough")
     mine = aligned.where("not plain").join(enough.select("doc", "item"), ["doc", "item"], "left_semi")
     alone = mine.groupBy("doc", "item", "offset").agg(F.countDistinct("h").alias("n"), F.any_value("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * F.lit(share)).select("doc", "item", "offset")
     values = mine.where("size(slots) > 0").select("doc", "item", "offset", F.explode(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))).alias("z")).groupBy("doc", "item", "offset", F.col("z.ours").alias("ours"), F.col("z.theirs").alias("theirs")).agg(F.count("*").alias("n"))
@@ -240,7 +240,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows of one id and other texts are told apart; null and empty texts stay.
     """
-    found = cut(leaks(docs, benchmark, inside=True).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
+    found = settled(docs.sparkSession, lambda: leaks(docs, benchmark, inside=True).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "found")
     clean = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
     return docs.join(F.broadcast(found) if found.count() <= BROADCAST_FOUND else found, clean, "left_anti")
 

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_text, table
+from .common import connected_components, cut, id_text, kept, settled, table
 
 #: Edits allowed between near-duplicate lines.
 THRESHOLD = 2
@@ -217,7 +217,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         """Rows of both sides, 1 in ``x`` for those that look, in ``y`` for those that are met."""
         return l.select("key", *more, F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(r.select("key", *more, F.lit(0), F.lit(1)))
 
-    first = cut(sides(live, held).groupBy("key").agg(F.sum("x").alias("a"), F.sum("y").alias("b")).where(many).select("key"))
+    first = kept(sides(live, held).groupBy("key").agg(F.sum("x").alias("a"), F.sum("y").alias("b")).where(many).select("key"), "crowds")
     n = first.count()
     about, sure, roots = lines.select("h", "c"), None, None
     if n:
@@ -225,8 +225,8 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         crowd_live, crowd_held = live.join(first, "key", "left_semi"), held.join(first, "key", "left_semi")
         if threshold >= 2:
             crowd = crowd_live.select(F.col("ha").alias("h")).unionAll(crowd_held.select(F.col("hb").alias("h"))).distinct()
-            sure = cut(sure_links(lines.join(crowd, "h", "left_semi").select("h", "chars", "line")))
-            roots = _small(cut(connected_components(sure, "ha", "hb").select(F.col("node").alias("h"), "root")))
+            sure = kept(sure_links(lines.join(crowd, "h", "left_semi").select("h", "chars", "line")), "ties")
+            roots = _small(kept(connected_components(sure, "ha", "hb").select(F.col("node").alias("h"), "root"), "roots"))
 
     def rooted(side: DataFrame, name: str) -> DataFrame:
         """With the root of each line, itself where it is tied to none."""
@@ -237,7 +237,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         """Of each crowded key the root that most of its lines have, and whether the lines outside it are too many to be paired with all."""
         by_root = sides(rooted(l, "ha"), rooted(r, "hb"), "root").groupBy("key", "root").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
         whole = by_root.groupBy("key").agg(F.sum("x").alias("a"), F.sum("y").alias("b"), F.max(F.struct(F.col("x") + F.col("y"), F.col("root").alias("root"), "x", "y")).alias("m"))
-        return cut(whole.where(many).select("key", F.col("m.root").alias("main"), F.expr(f"(a - m.x) * b + m.x * (b - m.y) > {HOT} * (a + b)").alias("hot")))
+        return kept(whole.where(many).select("key", F.col("m.root").alias("main"), F.expr(f"(a - m.x) * b + m.x * (b - m.y) > {HOT} * (a + b)").alias("hot")), "bodies")
 
     def rest(side: DataFrame, *more) -> DataFrame:
         """Without the segment that led to the key."""
@@ -264,7 +264,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
                 filing = _placed(text.join(who.select("id").distinct(), "id"), filed, threshold).withColumn("key", key).join(who, ["key", "id"], "left_semi")
             else:
                 looking, filing = looking.join(hot, "key", "left_semi"), filing.join(hot, "key", "left_semi")
-            looking, filing = cut(rest(looking, F.col("gap").alias("by"))), cut(rest(filing))
+            looking, filing = kept(rest(looking, F.col("gap").alias("by")), "looking"), kept(rest(filing), "filing")
             short = f"chars <= {threshold}"
             # tiny rests are near each other, so the least of each side ties them; one that is no longer tiny is compared
             tiny.append(looking.where(short).select("key", "id", F.lit(True).alias("looks")).unionAll(filing.where(short).select("key", "id", F.lit(False))))
@@ -272,7 +272,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
             holders.append(filing.where(short).select("key", F.col("id").alias("hb")))
             key = F.expr(f"xxhash64(key, {_SEGMENT})")
             filing = _placed(filing.where(f"not {short}"), filed, threshold).withColumn("key", key).drop("u")
-            looking = cut(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).drop("u").join(filing.select("key").distinct(), "key", "left_semi"))
+            looking = kept(_placed(looking.where(f"chars - by > {threshold}"), places, threshold).where("gap = by").withColumn("key", key).drop("u").join(filing.select("key").distinct(), "key", "left_semi"), "looking")
             live, held = looking.select("key", "gap", F.col("id").alias("ha")).distinct(), filing.select("key", F.col("id").alias("hb")).distinct()
             found = bodies(live, held)
         mains.append(found.select("key", "main"))  # what is hot still is paired all the same, but for those of one body
@@ -283,7 +283,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
     on = ["key"]
     if n:
         # of a crowded key those inside its body ask in a class of their own, where those outside it alone are filed too
-        main = _small(cut(functools.reduce(DataFrame.unionByName, mains)))
+        main = _small(kept(functools.reduce(DataFrame.unionByName, mains), "mains"))
         inside = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
         asking = rooted(asking, "ha").join(main, "key", "left").withColumn("class", inside.cast("int")).drop("root", "main")
         both = F.when(F.col("main").isNull() | inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
@@ -319,20 +319,20 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     own = [p for p in places if p[0] == 0 and p[2] == 0]
     filed = segment_rows(lines, own, threshold).select("key", F.col("h").alias("hb"))
     looked = segment_rows(lines, places, threshold).select("key", "gap", F.col("h").alias("ha"))
-    live = cut(looked.alias("x").join(filed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(_OTHER), "left_semi"))
-    keys = cut(live.select("key").distinct())
+    live = kept(looked.alias("x").join(filed.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(_OTHER), "left_semi"), "live")
+    keys = kept(live.select("key").distinct(), "keys")
     asks = live.select(F.col("ha").alias("h")).distinct()
     # the lines that look and those that are met, with their texts
     if keys.count() <= BROADCAST_ROWS:
         # in one pass: a line stands once for itself and once for each of its segments
         wanted = F.broadcast(keys.unionAll(asks.select(F.expr("~h").alias("key"))))
-        met = cut(_keyed(lines, threshold).join(wanted, "key"))
+        met = kept(_keyed(lines, threshold).join(wanted, "key"), "met")
         held = met.where("own").select("key", F.col("h").alias("hb"))
-        texts = cut(met.drop("key", "own").dropDuplicates(["h"]))
+        texts = kept(met.drop("key", "own").dropDuplicates(["h"]), "texts")
     else:
-        held = cut(filed.join(keys, "key"))
-        wanted = cut(asks.unionAll(held.select(F.col("hb").alias("h"))).distinct())
-        texts = cut(lines.join(wanted, "h"))
+        held = kept(filed.join(keys, "key"), "held")
+        wanted = kept(asks.unionAll(held.select(F.col("hb").alias("h"))).distinct(), "wanted")
+        texts = kept(lines.join(wanted, "h"), "texts")
     known = texts.select("h", "chars", "line", F.expr(counts("line")).alias("c"))
     pairs, sure = _meetings(live, held, known, threshold)
     found = texts.select("h", "line_id", "line")
@@ -356,7 +356,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     lines = _lines(docs, min_chars)
     # where each line stands, without its text: met again at the end, so it is kept
     stands = cut(lines.select("line_id", "doc_id", "version", "line_no"))
-    repeated = cut(stands.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"))
+    repeated = kept(stands.groupBy("line_id").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").select("line_id", "first"), "repeated")
     near = lines.where(F.col("chars") >= near_min_chars).withColumn("place", _place())
     # rows that repeat an id and a text stand at the same place, so a line may still come twice
     few = repeated.count() <= BROADCAST_ROWS
@@ -364,11 +364,11 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     if not few:  # the lines were shuffled: once is enough
         distinct = cut(distinct)
     links, texts = edit_links(distinct, threshold)
-    members = connected_components(cut(links.distinct()))
+    members = connected_components(links)
     classes = members.join(texts.select(F.col("line_id").alias("node"), "place"), "node")
     leaders = classes.groupBy("root").agg(F.min("place").alias("leader"))
     near_first = classes.join(leaders, "root").groupBy(F.col("node").alias("line_id")).agg(F.min("leader").alias("leader"))
-    dups = cut(repeated.join(near_first, "line_id", "full").select("line_id", "first", F.coalesce("leader", "first").alias("leader")))
+    dups = kept(repeated.join(near_first, "line_id", "full").select("line_id", "first", F.coalesce("leader", "first").alias("leader")), "dups")
     found = stands.withColumn("place", _place()).join(_small(dups), "line_id").where("place <> leader")
     exact = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
     return found.groupBy("doc_id", "version").agg(
@@ -388,7 +388,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     at.
     """
     plain = id_text(docs, id_col, text_col)
-    side = cut(repeated_lines(plain, threshold, min_chars, near_min_chars))  # a row for many a document: never broadcast
+    side = settled(docs.sparkSession, lambda: repeated_lines(plain, threshold, min_chars, near_min_chars), "gone")  # a row for many a document: never broadcast
     joined = plain.withColumn("version", F.xxhash64("text")).alias("d").join(side.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.version = g.version"), "left")
     lines = F.split(F.col("d.text"), "\n", -1)
     none = F.array().cast("array<int>")
@@ -412,7 +412,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
     text are treated alike.
     """
     plain = id_text(docs)
-    side = cut(repeated_lines(plain, threshold, min_chars, near_min_chars))  # a row for many a document: never broadcast
+    side = settled(docs.sparkSession, lambda: repeated_lines(plain, threshold, min_chars, near_min_chars), "gone")  # a row for many a document: never broadcast
     names = ("__gone_id", "__gone_version", "__exact", "__near")
     joined = docs.join(side.toDF(*names), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__gone_version")), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.concat("__exact", "__near"), i)), "\n")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, connected_components, cut, id_text, stretches, table
+from .common import claim, connected_components, cut, id_text, kept, settled, stretches, table
 from .shingles import mix, shingle_sets
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +150,7 @@ def _stars(members: DataFrame, texts: DataFrame, size: int, percent: int, broadc
     degree = members.groupBy("hub").agg(F.count("*").alias("n"))
     shares = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(1)) / HUB_SHARE)).cast("int")
     # only hubs of more than one share matter to the members: few, so a crowd is not dealt out by its hub
-    heavy = cut(degree.where(F.col("n") > HUB_SHARE))
+    heavy = kept(degree.where(F.col("n") > HUB_SHARE), "heavy")
     heavy = F.broadcast(heavy) if heavy.count() <= broadcast_rows else heavy
     dealt = members.join(heavy, "hub", "left").select("hub", F.pmod(F.xxhash64("member"), shares).cast("int").alias("part"), F.lit(False).alias("is_hub"), "member")
     hubs = degree.select("hub", F.explode(F.sequence(F.lit(0), shares - 1)).alias("part"), F.lit(True).alias("is_hub"), F.col("hub").alias("member"))
@@ -186,27 +186,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, t: int =
     classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("weight"), F.first("bands").alias("bands"))
     banded = classes.select("set_id", "weight", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(banded.join(crowded, "bucket"))  # only members of buckets with company: few of all
+    shared = kept(banded.join(crowded, "bucket"), "shared")  # only members of buckets with company: few of all
     score = shared.groupBy("set_id").agg(F.sum("n").alias("score"))
     ranked = shared.join(score, "set_id")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("score", "set_id")).alias("top")).select("bucket", F.col("top.set_id").alias("hub"))
-    pairs = cut(shared.join(hubs, "bucket").where("hub <> set_id").select("hub", F.col("set_id").alias("member")).distinct())
+    pairs = kept(shared.join(hubs, "bucket").where("hub <> set_id").select("hub", F.col("set_id").alias("member")).distinct(), "stars")
 
     # texts of members only, one for each class
-    needed = cut(shared.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id"))
+    needed = kept(shared.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id"), "needed")
     few = needed.count() <= broadcast_rows
     wanted = needed.select(F.col("rep").alias("doc_id"), "set_id")
     wanted = F.broadcast(wanted) if few else wanted
     # rows of the id with another text are told apart by their set when read
-    kept_texts = cut(_by_set(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "text"), size))
+    kept_texts = kept(_by_set(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "text"), size), "texts")
 
-    links = cut(_stars(pairs, kept_texts, size, percent, broadcast_rows))
+    links = kept(_stars(pairs, kept_texts, size, percent, broadcast_rows), "links")
     roots = connected_components(links)
     state = shared.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", "weight", F.coalesce("root", "set_id").alias("root"))
     by_root = state.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))
     spread = by_root.groupBy("bucket").agg(F.count("*").alias("n_roots"), F.sum("m").alias("n"), F.sum("w").alias("weight_all"), F.max(F.struct("m", "root")).alias("top"))
     # a bucket of two was settled by its star; so was one whose other members are each alone with the hub
-    unsettled = cut(spread.where("n_roots > 1 and n > 2").select("bucket", "n", "weight_all", F.col("top.root").alias("main")))
+    unsettled = kept(spread.where("n_roots > 1 and n > 2").select("bucket", "n", "weight_all", F.col("top.root").alias("main")), "unsettled")
     if unsettled.isEmpty():
         final = roots
     else:
@@ -261,7 +261,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id and a text go or stay together; texts without words stay.
     """
-    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
+    gone = settled(docs.sparkSession, lambda: near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "gone")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
     return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, same, "left_anti")
 

@@ -89,6 +89,15 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make, what: str) -> DataFrame:
+    """The table that ``make()`` plans, written; the intermediates that it made on the way go."""
+    path = fresh_path(spark, what)
+    with scope(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most_bytes: int = SMALL_BYTES) -> DataFrame:
     """Marked for broadcast if the optimizer's estimate of its size is within the bound; else as it is, and the join may shuffle."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
