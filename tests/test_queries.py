@@ -110,6 +110,12 @@ def test_files_of_every_table_are_digested(spark, sf, tmp_path):
         assert got == sorted((len(b), hashlib.sha256(b).hexdigest()) for b in files)
 
 
+def test_teachers_answers_are_not_broadcast(spark, sf):
+    """Answers and orders grow with the rows, so no task may hold them whole."""
+    plan = REGISTRY.QUERIES["j15_teacher_targets"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -38,9 +38,12 @@ def context_modes(stored: DataFrame, position: str = "position") -> DataFrame:
 
 
 def teacher_targets(rows: DataFrame, answers: DataFrame, family: str, step: int = 1) -> DataFrame:
-    """``rows`` with ``teacher`` (-1 where there is no answer), ``soft`` and ``valid``."""
+    """``rows`` with ``teacher`` (-1 where there is no answer), ``soft`` and ``valid``.
+
+    Answers may be as many as rows, whatever few bytes their files take, so they are never broadcast.
+    """
     mine = answers.where((F.col("family") == family) & (F.col("step") == step) & (F.col("hard") >= 0)).select("row_index", F.col("hard").alias("teacher"), "soft")
-    return rows.join(mine, "row_index", "left").withColumns({"valid": F.col("teacher").isNotNull(), "teacher": F.coalesce("teacher", F.lit(-1))})
+    return rows.join(mine.hint("merge"), "row_index", "left").withColumns({"valid": F.col("teacher").isNotNull(), "teacher": F.coalesce("teacher", F.lit(-1))})
 
 
 def _fit_on(rows: DataFrame, condition) -> DataFrame:

@@ -263,8 +263,12 @@ def s13c(spark, d):
 
 @query("j15_teacher_targets", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE l_orderkey % 3 END ELSE -1 END AS teacher, l_orderkey % 2 = 0 AS valid FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) OR l_orderkey % 2 = 1")
 def j15(spark, d):
-    rows = adapter.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_index"), "l_linenumber")
-    known = rows.join(adapter.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_index")), "row_index", "left_semi").unionByName(rows.join(adapter.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_index")), "row_index", "left_anti").where("row_index % 2 = 1"))
+    """Orders are neither broadcast nor sorted with more than about a million rows a task."""
+    items = adapter.table(spark, d, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // 1_000_000))
+    rows = items.select(F.col("l_orderkey").alias("row_index"), "l_linenumber").repartition(parts, "row_index")
+    there = adapter.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_index")).repartition(parts, "row_index").distinct().withColumn("there", F.lit(True))
+    known = rows.join(there.hint("merge"), "row_index", "left").where("there or row_index % 2 = 1").drop("there")
     found = students.teacher_targets(known, students.teacher_answers(_teacher(spark, d), 1), "L1")
     return found.select(F.col("row_index").alias("l_orderkey"), "l_linenumber", F.col("teacher").cast("long").alias("teacher"), "valid")
 
