@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows of its SQL; the others give rows."""
 
 import functools
+import gzip
 import hashlib
 import os
 import re
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tickloom.sources import digests, readers
 
 REGISTRY = pytest.importorskip("tickloom.plans.registry")
 
@@ -110,6 +112,36 @@ def test_files_of_every_table_are_digested(spark, sf, tmp_path):
         assert got == sorted((len(b), hashlib.sha256(b).hexdigest()) for b in files)
 
 
+def test_large_files_are_digested_a_split_at_a_time(spark, tmp_path):
+    """No task may read a large file whole: here Spark refuses files over 1,000 bytes, and splits hold 4,096."""
+    rng = np.random.default_rng(4)
+    noise = rng.integers(0, 256, 50_000).astype(np.uint8).tobytes()
+    bodies = [noise, noise + b"\n", b"\n" * 20_000, b"\xef\xbb\xbf" + noise, b"\xef\xbb\xbf" + noise + b"\n", b"\r\n" * 3_000 + b"\r", b"x" * 9_000 + b"\n" + noise, b"\n" + noise[:999], b"small", noise[:4096] + b"\n", noise[:4095] + b"\n" + noise]
+    folder = tmp_path / "some files"
+    (folder / "in").mkdir(parents=True)
+    for i, body in enumerate(bodies):
+        (folder / ("in" if i % 2 else ".") / f"{i} a.parquet").write_bytes(body)
+    conf = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in readers.file_digests(spark, str(folder), "*.parquet", nested=True).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {k.replace("%20", " "): v for k, v in got.items()} == {f"{i} a.parquet": (len(b), hashlib.sha256(b).hexdigest()) for i, b in enumerate(bodies)}
+
+
+def test_large_compressed_files_are_digested_as_they_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(digests, "WHOLE_BYTES", 1000)
+    packed = gzip.compress(np.random.default_rng(4).integers(0, 256, 5_000).astype(np.uint8).tobytes())
+    (tmp_path / "a.gz").write_bytes(packed)
+    (tmp_path / "b.txt").write_bytes(packed)
+    got = readers.file_digests(spark, str(tmp_path)).collect()
+    assert [(r.length, r.sha256) for r in got] == 2 * [(len(packed), hashlib.sha256(packed).hexdigest())]
+
+
 def test_teachers_answers_are_not_broadcast(spark, sf):
     """Answers and orders grow with the rows, so no task may hold them whole."""
     plan = REGISTRY.QUERIES["j15_teacher_targets"](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clean_event, normal_event, safe_float
+from .digests import file_digests  # noqa: F401  (one of the readers)
 
 PERF_LONG = T.StructType(
     [
@@ -112,8 +113,3 @@ def resolve_directories(found: DataFrame, manifest: DataFrame) -> tuple[DataFram
     """(folders that the manifest names, stale ones that it does not)."""
     listed = manifest.select("directory").distinct()
     return found.join(listed, "directory", "left_semi"), found.join(listed, "directory", "left_anti")
-
-
-def file_digests(spark: SparkSession, path: str, pattern: str = "*", nested: bool = False) -> DataFrame:
-    """SHA-256 of each file; ``nested``: of folders below too."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", nested).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
