@@ -9,11 +9,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, fertility, simple8b, token_files
+from tickloom.llm import bpe, fertility, pieces, simple8b, token_files
 from tickloom.llm.common import fresh_path
 
 PARTS = ["a", "é", "Z", "the", "1", "22", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "!", "***", "　", "\xa0", "ß", "中", "\x1c", "<|endoftext|>", "'ll", "_", "-", "\r\n", "²", "𝒳", "🙂", "\x00"]
@@ -212,3 +213,27 @@ def test_bands_against_a_restatement(spark):
         assert (got[k].n_pieces, got[k].n_byte_tokens, got[k].base_failed) == (d[4], d[5], d[2])
         assert d[2] or all(got[k][v] == pytest.approx(d[3][v]) for v in names)
     assert {k: r.kept for k, r in got.items()} == {k: not d[2] and kept(d) for k, d in docs.items()}
+
+
+def test_known_pieces_are_found_without_a_table_of_all(monkeypatch):
+    """Looking a column up may not build a table of all that is known each time: so no index_in; keys of one hash are told apart."""
+    monkeypatch.setattr(pieces.pc, "index_in", None)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aé\n.") for _ in range(rng.randrange(0, 9))) for _ in range(3000)] + ["x" * 5000, "y" * 5000]
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(pieces, "hashes", lambda strings: np.zeros(len(strings), np.uint64))
+        known = pieces.Known(400, "test")
+        seen: dict[str, int] = {}
+        for _ in range(20):
+            column = pa.array([""] + rng.sample(words, 150), pa.string())[1:].unique()
+            at = known.find(column)
+            for word, place in zip(column.to_pylist(), at.tolist()):
+                assert place < 0 or known.keys[place].as_py() == word
+                assert same or (place >= 0) == (word in seen)
+            new = column.filter(pa.array(at < 0))
+            known.add(new, np.arange(len(new), dtype=np.uint32), np.ones(len(new), np.int64))
+            known.met += 1
+            known.trim()
+            seen = {word: i for i, word in enumerate(known.keys.to_pylist())}
+            assert sorted(known.order.tolist()) == list(range(len(known))) and (np.diff(known.sorted.astype(object)) >= 0).all()

@@ -41,10 +41,26 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
     return flat[np.repeat(start[which] - ends + sizes, sizes) + np.arange(total)], ends
 
 
+#: Factors of a string's bytes by place, for its hash; places further on use them again.
+_FACTORS = np.random.default_rng(8).integers(1, 1 << 63, 1 << 12, dtype=np.uint64)
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: its length and the sum of its bytes by factors of their places."""
+    cuts = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, 4 * strings.offset).astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    sizes = np.diff(cuts)
+    raw = np.frombuffer(strings.buffers()[2], np.uint8, int(cuts[-1] - cuts[0]), int(cuts[0])) if cuts[-1] > cuts[0] else np.empty(0, np.uint8)
+    place = np.arange(len(raw)) - np.repeat(cuts[:-1] - cuts[0], sizes)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * _FACTORS[place % len(_FACTORS)], dtype=np.uint64)))[cuts - cuts[0]]
+    return np.diff(sums) + sizes.astype(np.uint64)
+
+
 class Known:
     """Pieces met and their ids, as arrays: ``keys`` and, for each, where its ids stand in ``flat`` and how many.
 
-    Holds ``limit`` pieces between columns; beyond it, the half met most often stays.
+    ``sorted`` holds the hashes of the keys in order and ``order`` whose they are, so what
+    is looked up costs by its own number, not by that of the keys.  Holds ``limit``
+    pieces between columns; beyond it, the half met most often stays.
     """
 
     def __init__(self, limit: int, owner: str):
@@ -55,11 +71,29 @@ class Known:
     def clear(self) -> None:
         self.keys = pa.array([], pa.string())
         self.flat, self.size, self.met = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.sorted, self.order = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """Where each string stands among the keys, or -1; of two keys of one hash the later may not be found."""
+        out = np.full(len(strings), -1, dtype=np.int64)
+        if len(self):
+            sought = hashes(strings)
+            way = np.argsort(sought)  # in order, neighbours are looked for in the same places
+            at = np.minimum(np.searchsorted(self.sorted, sought[way]), len(self) - 1)
+            same_hash = self.sorted[at] == sought[way]
+            hit, keys = way[same_hash], self.order[at[same_hash]]
+            same = np.asarray(pc.equal(self.keys.take(pa.array(keys)), strings.take(pa.array(hit))))
+            out[hit[same]] = keys[same]
+        return out
 
     def __len__(self) -> int:
         return len(self.keys)
 
     def add(self, keys: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        found = hashes(keys)
+        way = np.argsort(found)
+        at = np.searchsorted(self.sorted, found[way])
+        self.sorted, self.order = np.insert(self.sorted, at, found[way]), np.insert(self.order, at, len(self) + way)
         self.keys = pa.concat_arrays([self.keys, keys])
         self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, size))
         self.met = np.concatenate((self.met, np.zeros(len(keys), np.int64)))
@@ -69,6 +103,9 @@ class Known:
             stays = np.sort(np.argpartition(-self.met, self.limit // 2)[: self.limit // 2])
             flat, _ = gather(self.flat, np.cumsum(self.size) - self.size, self.size, stays)
             self.keys, self.flat, self.size, self.met = self.keys.take(pa.array(stays)), flat, self.size[stays], self.met[stays] // 2
+            new = np.searchsorted(stays, self.order)
+            still = stays[np.minimum(new, len(stays) - 1)] == self.order
+            self.sorted, self.order = self.sorted[still], new[still]
 
 
 class PieceCoder:
@@ -88,6 +125,8 @@ class PieceCoder:
         self.words, self.tails = Memo(token, max(1, limit // 4), owner), Memo(token, 10_000, owner)
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.words[" " + piece]
         if piece[:1] == "\n":
             return self.tails["\n"] + (self._chunk(piece[1:]) if len(piece) > 1 else b"")
         return self._chunk(surface(piece))
@@ -117,9 +156,8 @@ class PieceCoder:
         cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.replace_substring(plain, "\n", " \n"), ""), " ")
         pieces, known = cut.flatten(), self.known
         coded = pieces.dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=known.keys)
-        new = coded.dictionary.filter(pc.is_null(at))
-        place = np.array(pc.fill_null(at, -1), dtype=np.int64)
+        place = known.find(coded.dictionary)
+        new = coded.dictionary.filter(pa.array(place < 0))
         place[place < 0] = len(known) + np.arange(len(new))
         values = list(map(self._piece, new.to_pylist()))
         known.add(new, np.frombuffer(b"".join(values), dtype="<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4)
