@@ -365,3 +365,11 @@ def test_stage_keeps_one_of_each(variants):
     left = near_dedup.keep_one_of_each(variants)
     want = {d for d, _, c in brute_near([(r.doc_id, r.text) for r in variants.collect()]) if d == c}
     assert {r.doc_id for r in left.collect()} == want
+
+
+def test_crowded_segments_are_joined_in_plans_of_their_own(spark):
+    """The driver builds all broadcasts of a plan at a time, so those of the turns may not be in the plan of the comparison."""
+    rows = [(i, f"{i:04d} one boilerplate middle that a great many of these lines have {'abcdefghij'[i % 10]}{i * 7919 % 10007:05d}") for i in range(300)]
+    lines = spark.createDataFrame(rows, "line_id long, line string").withColumn("chars", F.char_length("line"))
+    plan = line_dedup.edit_links(lines, 2)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 12

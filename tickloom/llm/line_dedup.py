@@ -285,9 +285,10 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         # of a crowded key those inside its body ask in a class of their own, where those outside it alone are filed too
         main = _small(kept(functools.reduce(DataFrame.unionByName, mains), "mains"))
         inside = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
-        asking = rooted(asking, "ha").join(main, "key", "left").withColumn("class", inside.cast("int")).drop("root", "main")
+        # each written by itself: in one plan the driver would build the broadcasts of all turns at a time
+        asking = kept(rooted(asking, "ha").join(main, "key", "left").withColumn("class", inside.cast("int")).drop("root", "main"), "asking")
         both = F.when(F.col("main").isNull() | inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-        asked = rooted(asked, "hb").join(main, "key", "left").withColumn("class", F.explode(both)).drop("root", "main")
+        asked = kept(rooted(asked, "hb").join(main, "key", "left").withColumn("class", F.explode(both)).drop("root", "main"), "asked")
         on = ["key", "class"]
     pairs = asking.join(asked, on).where(f"{_OTHER} and {counts_differ('ca', 'cb')} <= {2 * threshold}").select("ha", "hb")
     if tiny:
@@ -295,7 +296,7 @@ def _meetings(live: DataFrame, held: DataFrame, lines: DataFrame, threshold: int
         ends = ends_of.groupBy("key").agg(F.min(F.when(F.col("looks"), F.col("id"))).alias("ha"), F.min(F.when(~F.col("looks"), F.col("id"))).alias("hb")).where("ha is not null and hb is not null")
         tied = ends_of.join(ends, "key").select(F.when(F.col("looks"), F.col("id")).otherwise(F.col("ha")).alias("ha"), F.when(F.col("looks"), F.col("hb")).otherwise(F.col("id")).alias("hb"))
         pairs = pairs.unionAll(tied.where("ha <> hb"))
-    return pairs.distinct(), sure
+    return kept(pairs.distinct(), "meetings") if n else pairs.distinct(), sure
 
 
 #: Of two lines of one length it is enough that one looks for the other.
