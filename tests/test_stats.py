@@ -83,6 +83,32 @@ def test_more_than_a_million_groups(spark):
         assert len(got) == resamples and all(r.accuracy == pytest.approx(share, abs=0.003) for r in got)
 
 
+def broadcast_parts(df):
+    """Text of what lies below each broadcast in the plan."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*|")) for x in lines]
+    joins = []
+    for i, line in enumerate(lines):
+        if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line:
+            sides = [j for j in range(i + 1, len(lines)) if depth[j] == depth[i] + 3 and all(d > depth[i] for d in depth[i + 1 : j + 1])]
+            j = sides[0] if "BuildLeft" in line else sides[1]
+            end = next((k for k in range(j + 1, len(lines)) if depth[k] <= depth[j]), len(lines))
+            joins.append("\n".join(lines[j:end]))
+    return joins
+
+
+def test_draws_are_not_broadcast(spark):
+    """A row for each resample and group would go through the driver; counts are broadcast within a known size only."""
+    counts = spark.range(6000).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("g"), *[(F.col("id") % (k + 2)).alias(f"n{k}") for k in range(3)])
+    counts = counts.crossJoin(spark.range(1_000_000).where("id = 0")).drop("id")  # so that the estimate of their size is far too large
+    found = stats.drawn_sums(counts, "g", 100, 17)
+    assert not any("Generate" in part for part in broadcast_parts(found))
+    assert len(broadcast_parts(found)) == 1
+    shuffled = stats.drawn_sums(counts, "g", 100, 17, most_bytes=0)
+    assert not broadcast_parts(shuffled)
+    assert sorted(found.collect()) == sorted(shuffled.collect())
+
+
 def test_no_groups(answers):
     _, df = answers
     assert stats.bootstrap_intervals(df.where("false"), "run_id") == {"groups": 0, "resamples": 0, **{f"{n}_{e}": 0.0 for n in stats.SCORES for e in ("low", "high")}}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hashed_digits, hashed_uniform
 from .features import fill_and_scale, log_counters
-from .lineage import cut, small
+from .lineage import SMALL_BYTES, cut
 from .phases import Clustering, many_kmeans, nearest_centroid
 from .sequences import with_running_total
 
@@ -26,14 +26,15 @@ def group_counts(df: DataFrame, group: str, truth: str = "target", prediction: s
     return df.where(ok).groupBy(group).agg(*cell, F.sum(moved.cast("long")).alias("moved"), F.sum((moved & (F.col(truth) == F.col(prediction))).cast("long")).alias("moved_right"))
 
 
-def drawn_sums(counts: DataFrame, group: str, resamples: int, seed: int, scheme: str = "multinomial") -> DataFrame:
+def drawn_sums(counts: DataFrame, group: str, resamples: int, seed: int, scheme: str = "multinomial", most_bytes: int = SMALL_BYTES) -> DataFrame:
     """``resample``, 0..resamples-1, and the sums of all other columns over groups drawn with replacement.
 
     Draws are hashed (see ``hashed_uniform``), so no task holds a state and none of the
     groups comes to the driver.  ``multinomial``: each resample draws as many groups as
     there are; draw i of resample r takes the group at floor(u n) in order of the
-    groups' names, u hashed from (seed, r, i).  Where the groups' counts are within a
-    checked size they are broadcast and only sums are shuffled.  ``poisson``: each group
+    groups' names, u hashed from (seed, r, i).  Where the groups' counts, a known number
+    of rows of numbers, are within ``most_bytes`` they are broadcast and only sums are
+    shuffled; else they and the draws are.  Draws are never broadcast.  ``poisson``: each group
     counts 0, 1, 2, ... times by one hash of (seed, r, group), so nothing but sums is
     shuffled for any number of groups; the drawn number of groups varies.
     """
@@ -45,7 +46,9 @@ def drawn_sums(counts: DataFrame, group: str, resamples: int, seed: int, scheme:
         numbered = cut(with_running_total(text.withColumn("__one", F.lit(1).cast("long")), ["__name"], "__one", "__place").drop("__name", "__one"))
         n = numbered.count()
         draws = spark.range(n).select("id", turns).select("resample", F.floor(hashed_uniform(seed, F.col("resample"), F.col("id")) * n).alias("__place"))
-        weighted = draws.join(small(numbered), "__place").withColumn("__times", F.lit(1))
+        # the optimizer's estimates do not serve here: too large for the counts after their joins, and for the draws that of the range, before it is exploded
+        broadcast = n * 8 * (len(names) + 3) <= most_bytes
+        weighted = draws.hint("merge").join(F.broadcast(numbered) if broadcast else numbered, "__place").withColumn("__times", F.lit(1))
     elif scheme == "poisson":
         chance, below = math.exp(-1), []
         for k in range(1, 20):
